@@ -80,7 +80,7 @@ def in_order(df: DataFrame, keys: list[str], size: str, name: str) -> DataFrame:
     """df with long `part` and `start`: the sum of `size` over all rows before, in the order of `keys`.
 
     Range partitions (equal keys may be split by the later ones) each keep a running sum; only
-    one total for each partition reaches the driver, and comes back as one literal map.
+    one total for each partition reaches the driver, and is broadcast back.
     The sorted rows are written first, so that both passes see the same partitions.
     """
     spark, schema = df.sparkSession, df.schema
@@ -99,10 +99,13 @@ def in_order(df: DataFrame, keys: list[str], size: str, name: str) -> DataFrame:
     out = "part long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", start long"
     ranged = df.repartitionByRange(count, *keys).sortWithinPartitions(*keys)
     ordered = written(ranged.select(F.spark_partition_id().cast("long").alias("part"), *fields).mapInArrow(running, out), name)
-    before, offsets = 0, []
-    for part, total in sorted(ordered.groupBy("part").agg(F.sum(size)).collect()):
-        offsets += [F.lit(part), F.lit(before)]
+    return ordered.join(F.broadcast(totals_before(ordered, size)), "part").select(*ordered.columns[:-1], (F.col("start") + F.col("before")).alias("start"))
+
+
+def totals_before(parts: DataFrame, size: str) -> DataFrame:
+    """(part, before): what all lower parts have of `size`; a row for each partition, so bounded by their number."""
+    before, rows = 0, []
+    for part, total in sorted(parts.groupBy("part").agg(F.sum(size)).collect()):
+        rows.append((part, before))
         before += total
-    if not offsets:
-        return ordered
-    return ordered.withColumn("start", F.col("start") + F.element_at(F.create_map(*offsets), F.col("part")))
+    return parts.sparkSession.createDataFrame(rows, "part long, before long")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from rigtables.llm.op1_simhash import op1_simhash
+from rigtables.llm.op8_packing import op8_packing
+from rigtables.llm.op10_huffman import op10_huffman
 
-QUERIES = {f.__name__: f for f in (op1_simhash,)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op8_packing, op10_huffman)}
 ORACLES: dict[str, str] = {}
