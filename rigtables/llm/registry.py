@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from rigtables.llm import op4_chat as chat
 from rigtables.llm.op1_simhash import op1_simhash
+from rigtables.llm.op4_chat import op4_chat
+from rigtables.llm.op7_language import op7_language
 from rigtables.llm.op8_packing import op8_packing
+from rigtables.llm.op9_quality import op9_quality
 from rigtables.llm.op10_huffman import op10_huffman
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op8_packing, op10_huffman)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_chat, op7_language, op8_packing, op9_quality, op10_huffman)}
+ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE}
