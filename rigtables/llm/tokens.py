@@ -18,7 +18,7 @@ from rigtables.llm.common import small_batches
 #: A comma or full stop between a letter or number and white space or the end is a piece of its own.
 STOP = re.compile(r"[.,](?<=[^\W_].)(?=\s|$)")
 #: Most pieces that a worker remembers (about 150 bytes each); beyond it, it starts afresh.
-MOST = 1_500_000
+MOST = 1_200_000
 LINE_END, END = 198, 0
 
 
