@@ -211,5 +211,13 @@ def simhash_groups(docs: DataFrame, words: int = 3, tau: int = 2) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 3, tau: int = 2) -> DataFrame:
+    """docs with one row of each group: that of the smallest doc_id. Rows without doc_id cannot be told apart and stay."""
+    groups = simhash_groups(docs, words, tau)
+    others = groups.where("doc_id != component_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

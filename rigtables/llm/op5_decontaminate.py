@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +125,17 @@ def aligned(pattern: np.ndarray, text: bytes, low: int, width: int) -> tuple[int
     return int(cost[k]), low + k + m
 
 
+def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
+    """The benchmark's windows, broadcast in blocks of about block_bytes of text each."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for k in range(blocks):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        yield spark.sparkContext.broadcast(Index(sorted((r[0], r[1]) for r in some if r[0] is not None)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, windows, edits) for each row of docs (doc_id, text) and item (item_id, text) that it holds.
 
@@ -133,15 +145,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     ids are found under each. Empty tables give no rows; other columns are ignored. The benchmark is
     taken in blocks of a bounded size, each against all of docs.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes)
+    small_batches(docs.sparkSession)
     out = None
-    for k in range(max(1, blocks)):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))) == k)
-        index = spark.sparkContext.broadcast(Index(sorted((r[0], r[1]) for r in some.collect() if r[0] is not None)))
+    for index in indexes(benchmark, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -158,5 +164,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     return out
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no item; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index("text")
+    for index in indexes(benchmark, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not index.value.found(plain(t)) for t in b.column(place).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

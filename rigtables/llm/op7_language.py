@@ -101,7 +101,7 @@ def learn_profiles(docs: DataFrame, top: int = TOP, most: int = 1024) -> dict[st
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) -> DataFrame:
-    """docs' columns with lang_pred and score; `text` alone is looked at.
+    """docs' columns with lang_pred and score (columns of these names are replaced); `text` alone is looked at.
 
     The distance to a language adds up, over the document's n-grams, how far apart the two ranks are, `top`
     where the language lacks the n-gram. The nearest language wins, the first by name if several are as near.
@@ -109,6 +109,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) ->
     `und` with score 0; so is everything if no language was learned.
     """
     small_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     langs = sorted(profiles)
     codes = np.unique(np.array([c for p in profiles.values() for c in p], np.int64))
     ranks = np.full((len(codes) + 1, len(langs)), -1, np.int64)
@@ -142,6 +143,15 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+def in_known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """docs (text, lang, and any other columns) without the rows whose language is not told with score `least`.
+
+    The profiles are those of all rows with a lang. Texts without letters are `und` and go.
+    """
+    found = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), learn_profiles(docs))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = learn_profiles(docs.where(~held_out()))

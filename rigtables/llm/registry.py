@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from rigtables.llm import op2_license as license_
 from rigtables.llm import op4_chat as chat
 from rigtables.llm.op1_simhash import op1_simhash
+from rigtables.llm.op2_license import op2_license
 from rigtables.llm.op3_pii import op3_pii
 from rigtables.llm.op4_chat import op4_chat
 from rigtables.llm.op5_decontaminate import op5_decontaminate
@@ -13,5 +15,5 @@ from rigtables.llm.op8_packing import op8_packing
 from rigtables.llm.op9_quality import op9_quality
 from rigtables.llm.op10_huffman import op10_huffman
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_pii, op4_chat, op5_decontaminate, op6_ppm, op7_language, op8_packing, op9_quality, op10_huffman)}
-ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license, op3_pii, op4_chat, op5_decontaminate, op6_ppm, op7_language, op8_packing, op9_quality, op10_huffman)}
+ORACLES: dict[str, str] = {"op2_license": license_.ORACLE, "op4_chat": chat.ORACLE}
