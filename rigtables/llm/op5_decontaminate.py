@@ -20,6 +20,8 @@ from rigtables.llm.common import small_batches, table
 
 #: Characters of a q-gram, of a window of a long item and between two windows; share of edits allowed.
 Q, WINDOW, STRIDE, EDITS = 8, 120, 60, 0.1
+#: Places that are aligned side by side.
+ALIGNED = 4096
 #: Benchmark text, in bytes, that each task holds at a time; larger benchmarks are taken in blocks.
 BLOCK_BYTES = 8 << 20
 #: Letters and digits are kept, ASCII ones in lower case; runs of anything else become one space.
@@ -60,7 +62,7 @@ class Index:
         found = [(item, w) for item, text in items for w in windows(plain(text)) if len(w) >= Q]
         self.items = np.array([f[0] for f in found], np.int64)
         self.texts = [np.frombuffer(f[1], np.uint8) for f in found]
-        m = np.array([len(t) for t in self.texts], np.int64)
+        self.length = m = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.array([budget(x) for x in m.tolist()], np.int64)
         self.least = m + 1 - (self.edits + 1) * Q
         grams = [q_grams(f[1]) for f in found]
@@ -94,35 +96,54 @@ class Index:
         enough = counts >= self.least[w]
         return w[enough], (key[enough] & ((1 << 40) - 1)) - (1 << 39)
 
-    def found(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item, window, edits, end in the plain text) of each window within its budget, the best end of each."""
-        if len(text) < Q or not len(self.grams):
-            return []
-        best: dict[int, tuple[int, int]] = {}
-        for w, band in zip(*(x.tolist() for x in self.bands(text)), strict=True):
-            step = int(self.edits[w]) + 1
-            edits, end = aligned(self.texts[w], text, band * step, 2 * step)
-            if edits < step and (w not in best or (edits, end) < best[w]):
-                best[w] = edits, end
-        return [(int(self.items[w]), w, *best[w]) for w in sorted(best)]
-
-
-def aligned(pattern: np.ndarray, text: bytes, low: int, width: int) -> tuple[int, int]:
-    """(edits, end) of the pattern's best place in the text on diagonals low .. low + width - 1; the first end if several are."""
-    m = len(pattern)
-    begin, end = max(0, low), max(0, min(len(text), low + width + m))
-    around = np.full(width + m, 0, np.uint8)
-    around[begin - low : end - low] = np.frombuffer(text, np.uint8)[begin:end]
-    real = np.zeros(width + m, bool)
-    real[begin - low : end - low] = True
-    shift, far = np.arange(width), 1 << 20
-    cost = np.where((low + shift >= 0) & (low + shift <= len(text)), 0, far)  # a place may begin anywhere
-    for i in range(m):
-        fits = np.where(real[i : i + width], around[i : i + width] != pattern[i], far)
-        new = np.minimum(cost + fits, np.append(cost[1:], far) + 1)
-        cost = np.minimum.accumulate(new - shift) + shift  # letters of the text left over
-    k = int(cost.argmin())
-    return int(cost[k]), low + k + m
+    def found(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        """For each plain text (item, window, edits) of each window that it holds within its budget."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        if not len(self.grams):
+            return out
+        where = [(t, *self.bands(text)) for t, text in enumerate(texts) if len(text) >= Q]
+        doc = np.concatenate([np.full(len(w), t) for t, w, _ in where]) if where else np.zeros(0, np.int64)
+        window, band = (np.concatenate([x[k] for x in where]) if where else np.zeros(0, np.int64) for k in (1, 2))
+        width = 2 * (self.edits[window] + 1)
+        order = np.lexsort((width, self.length[window]))  # alike ones together
+        best: dict[tuple[int, int], int] = {}
+        for i in range(0, len(order), ALIGNED):
+            some = order[i : i + ALIGNED]
+            w = window[some]
+            edits = aligned([self.texts[k] for k in w.tolist()], [texts[k] for k in doc[some].tolist()], band[some] * (self.edits[w] + 1), width[some])
+            for d, k, e in zip(doc[some].tolist(), w.tolist(), edits.tolist(), strict=True):
+                if e <= self.edits[k]:
+                    best[d, k] = min(e, best.get((d, k), e))
+        for (d, k), e in sorted(best.items()):
+            out[d].append((int(self.items[k]), k, e))
+        return out
+
+
+def aligned(patterns: list[np.ndarray], texts: list[bytes], low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Fewest edits between each pattern and any stretch of its text on diagonals low .. low + width - 1; all pairs side by side."""
+    m, n = np.array([len(p) for p in patterns]), np.array([len(t) for t in texts])
+    wide, long, far = int(width.max()), int(m.max()), 1 << 20
+    pattern, around = np.zeros((len(m), long), np.uint8), np.zeros((len(m), wide + long), np.uint8)  # no plain text holds a 0
+    for k, (p, text, d) in enumerate(zip(patterns, texts, low.tolist(), strict=True)):
+        pattern[k, : len(p)] = p
+        begin, end = max(0, d), max(0, min(len(text), d + wide + len(p)))
+        around[k, begin - d : end - d] = np.frombuffer(text, np.uint8)[begin:end]
+    shift = np.arange(wide)
+    at = low[:, None] + shift
+    inside = shift < width[:, None]
+    cost = np.where((at >= 0) & (at <= n[:, None]) & inside, 0, far)  # a stretch may begin anywhere
+    out = np.full(len(m), far)
+    up = np.full_like(cost, far)
+    for i in range(long):
+        text = around[:, i : i + wide]
+        up[:, :-1] = cost[:, 1:] + 1
+        new = np.minimum(np.where(text == 0, far, cost + (text != pattern[:, i : i + 1])), up)
+        new[~inside] = far
+        cost = np.minimum.accumulate(new - shift, axis=1) + shift  # letters of the text left over
+        last = m == i + 1
+        if last.any():
+            out[last] = np.where(inside[last], cost[last], far).min(axis=1)
+    return out
 
 
 def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
@@ -152,9 +173,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for doc, found in zip(b.column(0).to_pylist(), index.value.found([plain(t) for t in b.column(1).to_pylist()]), strict=True):
                     each: dict[int, list[int]] = {}
-                    for item, _, edits, _ in index.value.found(plain(text)):
+                    for item, _, edits in found:
                         each.setdefault(item, []).append(edits)
                     rows += [(doc, item, len(e), min(e)) for item, e in each.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["doc_id", "item_id", "windows", "edits"])
@@ -172,7 +193,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not index.value.found(plain(t)) for t in b.column(place).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not f for f in index.value.found([plain(t) for t in b.column(place).to_pylist()])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
