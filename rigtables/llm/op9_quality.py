@@ -69,7 +69,7 @@ def votes() -> dict[str, Column]:
     """1 votes good, -1 bad, 0 abstains."""
     c = F.col
     vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
-    mean = c("word_chars") / c("n_words")
+    mean = c("word_chars") / F.greatest(c("n_words"), F.lit(1))
     return {
         "v_length": vote(c("n_words") >= 100, c("n_words") < 50),
         "v_word_length": vote(mean.between(3.5, 9), (mean < 2.5) | (mean > 12) | (c("n_words") == 0)),
