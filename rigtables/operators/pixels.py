@@ -32,12 +32,12 @@ def adaptive_vrange(frames: DataFrame, places: DataFrame, q: tuple[float, float]
 
 
 def percentile_stretch(frames: DataFrame, low: float = 10, high: float = 95) -> DataFrame:
-    """frames with px stretched from the low to the high percentile onto 0 .. 255, cut off; a flat frame is 0."""
+    """frames with px stretched from the low to the high percentile onto 0 .. 255, cut off (1e-9 below a whole number is that number); a flat frame is 0."""
     v = frames.select("recording_id", "frame_id", F.explode("px").alias("v")).groupBy("recording_id", "frame_id")
     ends = v.agg(F.percentile("v", F.lit(low / 100)).alias("_lo"), F.percentile("v", F.lit(high / 100)).alias("_hi"))
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     level = lambda x: F.coalesce(F.least(F.greatest((x - F.col("_lo")) * 255 / width, F.lit(0.0)), F.lit(255.0)), F.lit(0.0))
-    return frames.join(ends, ["recording_id", "frame_id"]).withColumn("px", F.transform("px", lambda x: level(x).cast("int"))).drop("_lo", "_hi")
+    return frames.join(ends, ["recording_id", "frame_id"]).withColumn("px", F.transform("px", lambda x: (level(x) + 1e-9).cast("int"))).drop("_lo", "_hi")
 
 
 def burst_median_frame(frames: DataFrame, keys: list[str]) -> DataFrame:

@@ -79,7 +79,8 @@ def interp_stage_cubic(frames: DataFrame, log: DataFrame, clock: str = "received
     asked = marked.where("before IS NOT NULL OR after IS NOT NULL").select(*frames.columns, chunk.cast("long").alias("_chunk"))
     near = F.array_distinct(F.transform(F.array(F.lit(-beside), F.lit(0), F.lit(beside)), lambda s: F.floor((F.col("_i") + s) / knots).cast("long")))
     pieces = places.select("recording_id", "timestamp_us", "x_pos_mm", "y_pos_mm", F.explode(near).alias("_chunk"))
-    schema = frames.schema.add("x_pos_mm_interp", "double").add("y_pos_mm_interp", "double")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema]
+    schema = ", ".join([*kinds, "x_pos_mm_interp double", "y_pos_mm_interp double"])
 
     def fit(asked_for: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
         samples = samples.sort_values("timestamp_us")

@@ -387,7 +387,7 @@ def _text(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("recording_id", "frame_id", *(F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in columns or ("px",)))
 
 
-@query(", q AS (SELECT recording_id, frame_id, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.95) AS hi FROM t_pixels GROUP BY ALL), z AS (SELECT recording_id, frame_id, pos, CAST(floor(least(greatest((v - lo) * 255 / (hi - lo), 0), 255)) AS INTEGER) AS v FROM t_pixels JOIN q USING (recording_id, frame_id)) " + PX.format("v", "z"))
+@query(", q AS (SELECT recording_id, frame_id, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.95) AS hi FROM t_pixels GROUP BY ALL), z AS (SELECT recording_id, frame_id, pos, CAST(floor(least(greatest((v - lo) * 255 / (hi - lo), 0), 255) + 1e-9) AS INTEGER) AS v FROM t_pixels JOIN q USING (recording_id, frame_id)) " + PX.format("v", "z"))
 def percentile_stretch(s: SparkSession, d: str) -> DataFrame:
     return _text(pixels.percentile_stretch(v.images(s, d)))
 

@@ -1,0 +1,15 @@
+"""Cutting a long plan at a checkpoint that all executors can read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df read from a reliable checkpoint in `spark.checkpoint.dir`; in a temporary folder only where that is unset."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rigtables.functions import geometry as g
 from rigtables.operators import calibration as cal
 from rigtables.operators import pixels, pose, quality, stage, sync
+from rigtables.plans.durable import kept
 
 
 def pair_cameras(muscle: DataFrame, behavior: DataFrame, log: DataFrame, ratios: DataFrame) -> DataFrame:
@@ -52,29 +53,30 @@ def postprocess_recordings(
     bad = unsteady.unionByName(stage.bad_stage_logs(log))
     posed = None
     if align_fly and predictions is not None:
-        posed = pose.pivot_pose(predictions)
+        posed = kept(pose.pivot_pose(predictions))
         bad = bad.unionByName(posed.where("n_instances > 1").select("recording_id", F.lit("several instances in a frame").alias("rule")).distinct())
     if with_muscle and params is not None:
         bad = bad.unionByName(behavior.select("recording_id").distinct().join(params, "recording_id", "left_anti").select("recording_id", F.lit("no sync ratio").alias("rule")))
+    bad = kept(bad)
     good = lambda df: df.join(bad.select("recording_id").distinct(), "recording_id", "left_anti")
 
     if earlier is not None:
         placed, alignment = earlier
     else:
-        placed = stage.interp_stage_cubic(good(behavior), log)
+        placed = kept(stage.interp_stage_cubic(good(behavior), log))
         alignment = pose.alignment_transform(pose.fill_pose_gaps(good(posed).drop("n_instances")), crop) if posed is not None else None
     if not with_muscle or muscle is None or params is None:
         return Processed(placed, alignment, None, bad)
 
     if orphans is None:
         orphans = pixels.count_leading_orphans(muscle_pixels) if muscle_pixels is not None else params.select("recording_id", F.lit(0).alias("n_orphans"))
-    groups = sync.sync_group_frames(placed, params.select("recording_id", "ratio"), frame="behavior_frame_id")
+    groups = kept(sync.sync_group_frames(placed, params.select("recording_id", "ratio"), frame="behavior_frame_id"))
     n_groups = groups.groupBy("recording_id").agg(F.count("*").alias("n_groups"))
-    numbered = sync.reindex_muscle(good(muscle), orphans, "raw_frame_id")
+    numbered = kept(sync.reindex_muscle(good(muscle), orphans, "raw_frame_id"))
     wanted = n_groups.join(orphans, "recording_id", "left").select("recording_id", "n_groups")
     verdicts = quality.availability(numbered.withColumn("raw_frame_id", F.col("muscle_frame_id")), wanted, tolerance)
-    bad = bad.unionByName(verdicts.where("verdict != 'ok'").select("recording_id", F.concat(F.lit("muscle frames: "), "verdict").alias("rule")))
-    steady = numbered.join(bad.select("recording_id").distinct(), "recording_id", "left_anti")
+    bad = kept(bad.unionByName(verdicts.where("verdict != 'ok'").select("recording_id", F.concat(F.lit("muscle frames: "), "verdict").alias("rule"))))
+    steady = kept(numbered.join(bad.select("recording_id").distinct(), "recording_id", "left_anti"))
     slots = sync.discard_trailing_slots(sync.detect_dropped_frames(steady, frame="muscle_frame_id"), n_groups)
     at = groups.select("recording_id", "slot", F.col("behavior_frame_id").alias("corresponding_behavior_frame_id"), *(F.col(c).cast("float").alias(c) for c in ("x_pos_mm_interp", "y_pos_mm_interp")))
     paired = sync.muscle_slot_join(slots, at)
