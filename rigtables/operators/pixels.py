@@ -68,7 +68,7 @@ def window_for_display(v: Column, vmin: float, vmax: float) -> Column:
 
 def diff_autocorrelation(before: np.ndarray, frame: np.ndarray) -> float:
     """Mean of the products of side by side and stacked neighbours in the difference, halved, by its variance; 0 if it has none."""
-    d = frame.astype(np.float32) - before.astype(np.float32)
+    d = (frame.astype(np.float32) - before.astype(np.float32)).astype(np.float64)
     d = d - d.mean()
     power = float(np.square(d).mean())
     if power <= 0:

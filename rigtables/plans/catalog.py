@@ -645,10 +645,10 @@ def tracking_target(s: SparkSession, d: str) -> DataFrame:
     return v.calib(s, d).select(*(r6(n, n) for n in STAGE_AND_PIXEL), r6(x, "target_x"), r6(y, "target_y"))
 
 
-@query("SELECT round(pixel_x, 6) AS pixel_x, round(stage_x, 6) AS stage_x, round(20 + least(sqrt(power(pixel_x - 100, 2) + power(stage_x - 50, 2)) / 40, 1) * 230, 6) AS acceleration FROM t_calib")
+@query("SELECT round(pixel_x, 6) AS pixel_x, round(stage_x, 6) AS stage_x, round(20 + least(sqrt(power(pixel_x - 100, 2) + power(stage_x - 50, 2)) / 40, 1) * 230, 9) AS acceleration FROM t_calib")
 def tracking_acceleration(s: SparkSession, d: str) -> DataFrame:
     a = g.tracking_acceleration(F.col("pixel_x"), F.col("stage_x"), 200, 100, 20, 250, 10)
-    return v.calib(s, d).select(r6("pixel_x", "pixel_x"), r6("stage_x", "stage_x"), r6(a, "acceleration"))
+    return v.calib(s, d).select(r6("pixel_x", "pixel_x"), r6("stage_x", "stage_x"), r6(a, "acceleration", 9))
 
 
 @query("SELECT p_partkey, 30.5 - p_size AS stage_x, 4.25 + p_size AS stage_y, round(greatest(30.5 - p_size, 0), 6) AS x_min, round(least(4.25 + p_size, 50), 6) AS y_max FROM part", views=False)
