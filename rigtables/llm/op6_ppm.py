@@ -115,21 +115,14 @@ def trie(counts: DataFrame, order: int = ORDER) -> DataFrame:
 class Model:
     """The trie as sorted arrays, for grams by the batch."""
 
-    def __init__(self, rows: pa.Table, order: int = ORDER):
+    def __init__(self, rows: DataFrame, order: int = ORDER):
+        """Fetches trie() level by level, so that the driver holds no level twice."""
         self.order, self.hits, self.nodes = order, [], []
-        level = np.asarray(rows["level"])
-        node = rows["symbol"].is_null().to_numpy()
-        context = np.asarray(rows["context"])
-        symbol = np.asarray(rows["symbol"].fill_null(0))
-        column = {c: np.asarray(rows[c].fill_null(0)) for c in ("hit", "all", "escape", "below", "leave")}
         for k in range(order + 1):
-            at = np.flatnonzero((level == k) & ~node)
-            key = context[at] << SYMBOL | symbol[at]
-            by = np.argsort(key)
-            self.hits.append((key[by], column["hit"][at][by]))
-            at = np.flatnonzero((level == k) & node)
-            by = np.argsort(context[at])
-            self.nodes.append((context[at][by], *(column[c][at][by] for c in ("all", "escape", "below", "leave"))))
+            own = rows.where(F.col("level") == k)
+            key = F.expr(f"shiftleft(context, {SYMBOL}) | symbol").alias("key")
+            self.hits.append(_sorted(own.where("symbol IS NOT NULL").select(key, "hit").toArrow()))
+            self.nodes.append(_sorted(own.where("symbol IS NULL").select("context", "all", "escape", "below", "leave").toArrow()))
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last symbol after the symbols before it."""
@@ -164,6 +157,12 @@ class Model:
         return out
 
 
+def _sorted(columns: pa.Table) -> tuple[np.ndarray, ...]:
+    """The columns as arrays in the order of the first."""
+    by = np.argsort(columns.column(0).to_numpy())
+    return tuple(columns.column(c).to_numpy()[by] for c in range(columns.num_columns))
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Row of each wanted key, -1 where there is none; keys are not empty."""
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -197,7 +196,7 @@ def ppm_scores(rows: DataFrame, training: DataFrame, order: int = ORDER, fits: i
     small_batches(rows.sparkSession)
     levels = trie(kept(count_grams(training, order)), order)
     if levels.count() <= fits:
-        model = rows.sparkSession.sparkContext.broadcast(Model(levels.toArrow(), order))
+        model = rows.sparkSession.sparkContext.broadcast(Model(levels, order))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
