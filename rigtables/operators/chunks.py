@@ -28,6 +28,18 @@ def numbered(df: DataFrame, order: str, name: str, size: int, ties: list[str] |
     return placed.withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_chunk", "_row", "_start")
 
 
+def sequenced(df: DataFrame, order: str, value: str, name: str, previous: str, size: int) -> DataFrame:
+    """df with its 0-based place and the value of the row before, in one pass; `order` is unique in a recording."""
+    parts = _chunked(df, order, size)
+    by_chunk = W.partitionBy(KEY).orderBy("_chunk")
+    sums = parts.groupBy(KEY, "_chunk").agg(F.count("*").alias("_n"), F.max_by(value, order).alias("_last"))
+    edges = sums.select(KEY, "_chunk", F.coalesce(F.sum("_n").over(by_chunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.lag("_last").over(by_chunk).alias("_in"))
+    inside = W.partitionBy(KEY, "_chunk").orderBy(order)
+    placed = parts.withColumns({"_row": F.row_number().over(inside), "_before": F.lag(value).over(inside)}).join(edges, [KEY, "_chunk"])
+    placed = placed.withColumns({name: F.col("_start") + F.col("_row") - 1, previous: F.when(F.col("_row") > 1, F.col("_before")).otherwise(F.col("_in"))})
+    return placed.drop("_chunk", "_row", "_before", "_start", "_in")
+
+
 def carried(df: DataFrame, order: str, size: int, value: Column, back: str | None = "before", ahead: str | None = "after", strict: bool = False, ties: list[str] | None = None) -> DataFrame:
     """df with the last non-null value at or before each row, and the first at or after it (strict: not at it)."""
     parts = _chunked(df, order, size).withColumn("_value", value)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rigtables.operators.chunks import carried, lagged, numbered
+from rigtables.durable import kept
+from rigtables.operators.chunks import carried, lagged, numbered, sequenced
 
 FRAMES_A_CHUNK = 1_000_000
 
@@ -37,10 +38,11 @@ def detect_dropped_frames(muscle: DataFrame, gap: float = 1.5, persistence: int
     `gap` periods is a candidate. It is a drop if the median excess of the `persistence` frames from it on
     exceeds that of those before by nearly a whole number (half-even rounding, `slack`) of one or more.
     Fewer than 3 frames or a period of 0 or less: slot is the index. Candidates are rare, so medians are
-    taken for them alone, from neighbours joined by index.
+    taken for them alone, from neighbours joined by index. The ordered frames and the drops are kept at
+    checkpoints, as each is used several times.
     """
     key = "recording_id"
-    ordered = numbered(lagged(muscle, frame, clock, "_previous", FRAMES_A_CHUNK), frame, "_i", FRAMES_A_CHUNK)
+    ordered = kept(sequenced(muscle, frame, clock, "_i", "_previous", FRAMES_A_CHUNK))
     stats = ordered.groupBy(key).agg(F.percentile(F.col(clock) - F.col("_previous"), F.lit(0.5)).alias("_period"), F.min_by(clock, frame).alias("_t0"), F.count("*").alias("_n"))
     timed = ordered.join(stats, key).withColumn("_ok", (F.col("_n") >= 3) & (F.col("_period") > 0))
     timed = timed.withColumn("_excess", F.when(F.col("_ok"), (F.col(clock) - F.col("_t0")) / F.col("_period") - F.col("_i")))
@@ -54,7 +56,7 @@ def detect_dropped_frames(muscle: DataFrame, gap: float = 1.5, persistence: int
         F.percentile(F.when(F.col("_i") >= F.col("_at"), F.col("_excess")), half).alias("_after"),
     ).withColumn("_shift", F.col("_after") - F.col("_before"))
     whole = F.rint("_shift")
-    drops = steps.where((whole >= 1) & (F.abs(F.col("_shift") - whole) <= slack)).select(key, F.col("_at").alias("_i"), whole.cast("long").alias("missed"))
+    drops = kept(steps.where((whole >= 1) & (F.abs(F.col("_shift") - whole) <= slack)).select(key, F.col("_at").alias("_i"), whole.cast("long").alias("missed")))
     ends = drops.select(key, "_i", F.sum("missed").over(W.partitionBy(key).orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_total"))
     marked = timed.join(drops, [key, "_i"], "left").join(ends, [key, "_i"], "left")
     total = carried(marked, "_i", FRAMES_A_CHUNK, F.col("_total"), back="_lost", ahead=None)

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rigtables.durable import kept
 from rigtables.functions import geometry as g
 from rigtables.operators import calibration as cal
 from rigtables.operators import pixels, pose, quality, stage, sync
-from rigtables.plans.durable import kept
 
 
 def pair_cameras(muscle: DataFrame, behavior: DataFrame, log: DataFrame, ratios: DataFrame) -> DataFrame:
