@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigtables.llm.common import kept, table
+from rigtables.llm.common import kept, table, written
 
 #: Customary statements of public licences, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
@@ -126,11 +126,11 @@ def license_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     which a licence file states any; several there are joined in order of their paths' text. Statements count
     from cosine `least`; of the templates that reach it the nearest names the licence, the first listed if
     equal. Null, empty or unlike texts state nothing; a null path lies in no directory. Repeated rows get the
-    same answer each. No files give no rows; columns with the names of the result are replaced. files must
-    give the same rows in the same partitions when it is read again, as tables do.
+    same answer each. No files give no rows; columns with the names of the result are replaced. files is
+    read once; its rows are written with their ids.
     """
     columns = [c for c in files.columns if c not in ("licenses", "score", "origin", "inherited_from")]
-    named = files.select(*columns).withColumn("_id", F.monotonically_increasing_id())
+    named = written(files.select(*columns).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     own = kept(own_licenses(named.select(F.col("_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), least))
     placed = named.select(F.col("_id").alias("id"), "path").join(own, "id", "left")
     directory = F.regexp_replace("path", "[^/]*$", "")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigtables.llm.common import kept, small_batches, table
+from rigtables.llm.common import kept, small_batches, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of an address before the @, and what follows them.
@@ -179,11 +179,14 @@ def personal_data(docs: DataFrame, share: float = DISCLOSED) -> DataFrame:
     by their patterns alone; the method adds spans of kind `term`, none of which meets a base span. Repeated
     rows count as documents of their own in the estimates, but a term must have met an entity in two
     different surroundings to be judged, so copies of one passage prove nothing. No rows give no rows; other
-    columns are ignored. docs must give the same rows in the same partitions when it is read again, as
-    tables do.
+    columns are ignored. docs is read once; its rows are written with their ids.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return spans_of(written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered"), share)
+
+
+def spans_of(rows: DataFrame, share: float = DISCLOSED) -> DataFrame:
+    """personal_data() of rows (row, doc_id, text), which must be a table as every row is read several times."""
+    small_batches(rows.sparkSession)
     found = kept(rows.select("row", "text").mapInArrow(_find, FOUND))
     near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", F.explode("x.terms").alias("t"))
     hits = near.select("row", "entity", "t.term", "t.start", "t.end").join(disclosing(found, rows, share), ["entity", "term"])
@@ -221,8 +224,8 @@ def sanitised(text: str | None, spans: list[dict]) -> str | None:
 def sanitise(docs: DataFrame, share: float = DISCLOSED) -> DataFrame:
     """docs with `text` sanitised; n_chars, where it is a column, follows the text. Null texts stay null."""
     columns = docs.columns
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_doc"))
-    spans = personal_data(docs, share).where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_doc")), "numbered")
+    spans = spans_of(rows.select(F.col("_row").alias("row"), "_doc.doc_id", "_doc.text"), share).where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
     place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,3 +35,18 @@ def test_anchors_lose_no_statement():
         whole = sum((n * idf[t]) ** 2 for t, n in terms.items())
         rest = sum((n * idf[t]) ** 2 for t, n in terms.items() if t not in needed)
         assert rest < 0.64 * whole
+
+
+def test_ids_survive_another_split(spark, tmp_path):
+    path = str(tmp_path / "files")
+    rows = [(f"d{k}/f", "Released under the MIT License." if k % 2 else "words " * k, "") for k in range(64)]
+    spark.createDataFrame(rows, "path string, text string, score string").repartition(8).write.parquet(path)
+    try:
+        files = spark.read.parquet(path)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+        out = op.license_scan(files)  # the first jobs run here; the rest is planned under another split
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        got = {r.path: r.licenses for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {f"d{k}/f": "MIT" if k % 2 else None for k in range(64)}

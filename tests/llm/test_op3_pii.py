@@ -83,3 +83,21 @@ def test_sanitised_texts(docs_of):
 def test_copies_prove_nothing(docs_of):
     texts = ["alpha beta me@example.org gamma delta"] * 5 + [f"other words {k}" for k in range(20)]
     assert all(s.kind != "term" for r in op.personal_data(docs_of(*texts)).collect() for s in r.spans)
+
+
+def test_ids_survive_another_split(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    rows = [(k, f"text {k} me{k}@example.org " + "x" * k, "s") for k in range(64)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        docs = spark.read.parquet(path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+        out = op.sanitise(docs)  # jobs run here; the rest is planned under another split
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        got = {r.doc_id: r.text for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {k: f"text {k} [EMAIL] " + "x" * k for k in range(64)}
