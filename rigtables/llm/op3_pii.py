@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and terms that the corpus shows to give a protected value away.
 
 Following information-theoretic sanitisation, a value found by the patterns is a protected entity e. A term
-t near it discloses the share PMI(t; e) / IC(e) of its information, with probabilities estimated from
-the documents: IC(e) = -log p(e), PMI = log p(t, e) / (p(t) p(e)). Terms at or over the threshold are
-generalised where they stand near the entity.
+t of the same document discloses the share PMI(t; e) / IC(e) of its information, with probabilities
+estimated from the documents: IC(e) = -log p(e), PMI = log p(t, e) / (p(t) p(e)). Terms at or over the
+threshold are generalised wherever they stand in the documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]+")
 TERM = re.compile(r"[^\W_]+")
-#: Words on either side of an entity that are looked at, within REACH characters; share of its information that a term may disclose;
-#: different surroundings in which the two must have met; terms that each task may hold to count them.
-NEAR, REACH, DISCLOSED, SUPPORT, FITS = 5, 4096, 0.5, 2, 500_000
+#: Share of its information that a term may disclose; documents, copies not counted, in which the two must have met;
+#: terms that each task may hold to count them.
+DISCLOSED, SUPPORT, FITS = 0.5, 2, 500_000
 
 
 def _byte(digits: str) -> bool:
@@ -82,33 +82,25 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Each entity's occurrences with the terms around them, outside all spans, and a hash of those surroundings."""
-    out = []
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every term of the text that meets no span."""
     merged: list[list[int]] = []
     for _, s, e in sorted(spans, key=lambda x: x[1:]):
         if merged and s < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], e)
         else:
             merged.append([s, e])
-    for kind, s, e in spans:
-        terms: list[tuple[str, int, int]] = []
-        left, start, stop = [], s, e
-        reach = 64
-        while len(left) < NEAR and start > 0 and reach <= REACH:  # widen until there are enough words
-            start = max(0, s - reach)
-            left = [(m[0].lower(), *m.span()) for m in TERM.finditer(text, start, s) if _free(merged, *m.span()) and (start == 0 or m.start() > start)]
-            reach *= 4
-        right: list[tuple[str, int, int]] = []
-        reach = 64
-        while len(right) < NEAR and stop < len(text) and reach <= REACH:
-            stop = min(len(text), e + reach)
-            right = [(m[0].lower(), *m.span()) for m in TERM.finditer(text, e, stop) if _free(merged, *m.span()) and (stop == len(text) or m.end() < stop)]
-            reach *= 4
-        terms = left[-NEAR:] + right[:NEAR]
-        around = hashlib.blake2b(" ".join(t[0] for t in terms).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        out.append({"entity": entity(kind, text[s:e]), "around": int.from_bytes(around, "little", signed=True), "terms": [{"term": t, "start": a, "end": b} for t, a, b in terms]})
-    return out
+    for m in TERM.finditer(text):
+        if _free(merged, *m.span()):
+            yield m[0].lower(), *m.span()
+
+
+def content(text: str, spans: list[tuple[str, int, int]]) -> int:
+    """The same for documents that are copies: a hash of all their terms outside spans, in order."""
+    h = hashlib.blake2b(digest_size=8)
+    for t, _, _ in free_terms(text, spans):
+        h.update(t.encode("utf-8", "surrogatepass") + b" ")
+    return int.from_bytes(h.digest(), "little", signed=True)
 
 
 def _free(merged: list[list[int]], start: int, end: int) -> bool:
@@ -122,9 +114,12 @@ def _free(merged: list[list[int]], start: int, end: int) -> bool:
     return lo == len(merged) or merged[lo][0] >= end
 
 
-FOUND = "row long, spans array<struct<kind string, start long, end long>>, near array<struct<entity string, around long, terms array<struct<term string, start long, end long>>>>"
+SPANS = "array<struct<kind string, start long, end long>>"
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-ARROW_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]))
+
+
+def _arrow(spans: list[list[tuple[str, int, int]]]) -> pa.Array:
+    return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in spans], ARROW_SPANS)
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +128,29 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = [base_spans(t) for t in texts]
         yield pa.RecordBatch.from_pydict({
             "row": b.column(0),
-            "spans": pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in spans], ARROW_SPANS),
-            "near": pa.array([near_terms(t, x) if x else [] for t, x in zip(texts, spans, strict=True)], ARROW_NEAR),
+            "spans": _arrow(spans),
+            "entities": pa.array([sorted({entity(k, t[s:e]) for k, s, e in x}) for t, x in zip(texts, spans, strict=True)], pa.list_(pa.string())),
+            "text": pa.array([t if x else None for t, x in zip(texts, spans, strict=True)], pa.string()),
+            "copy": pa.array([content(t, x) if x else None for t, x in zip(texts, spans, strict=True)], pa.int64()),
         })
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, term): each term of each document once."""
+    for b in batches:
+        for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            terms = sorted({t for t, _, _ in free_terms(text, base_spans(text))})
+            yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(terms), pa.int64()), "term": pa.array(terms, pa.string())})
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, terms): the spans of all occurrences of a document's disclosing terms."""
+    for b in batches:
+        rows, texts, wanted = (b.column(k).to_pylist() for k in range(3))
+        spans = [[("term", s, e) for t, s, e in free_terms(text, base_spans(text)) if t in some] for text, some in zip(texts, map(set, wanted), strict=True)]
+        yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "terms": _arrow(spans)})
+
+
 def document_counts(rows: DataFrame, terms: DataFrame, fits: int = FITS) -> DataFrame:
     """(term, n): documents with each term. Up to `fits` terms go to every task; else all words are counted and joined."""
     wanted = rows.sparkSession.sparkContext.broadcast({r[0] for r in terms.collect()} if terms.count() <= fits else None)
@@ -158,18 +171,28 @@ def document_counts(rows: DataFrame, terms: DataFrame, fits: int = FITS) -> Data
 
 
 def disclosing(found: DataFrame, rows: DataFrame, share: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) whose PMI is at least `share` of the entity's information, met in `support` surroundings."""
-    each = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.around", F.explode("x.terms.term").alias("term")).distinct()
-    met = each.groupBy("entity", "term", "around").agg(F.count("*").alias("rows"))
+    """(row, term): the terms of each document whose PMI with an entity of it is at least `share` of the entity's information.
+
+    The two must have met in `support` documents that are not copies; entities and terms that are in fewer
+    are left out before they are paired.
+    """
+    held = found.select("row", "copy", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity", "copy").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("copies"))
+    entities = kept(entities.where(F.col("copies") >= support).select("entity", "n_entity"))
+    held = kept(held.join(entities.select("entity"), "entity", "left_semi"))
+    documents = held.select("row", "copy").distinct()
+    words = kept(found.where("text IS NOT NULL").select("row", "text").join(documents, "row", "left_semi").mapInArrow(_terms, "row long, term string"))
+    common = words.join(documents, "row").groupBy("term", "copy").agg(F.lit(1)).groupBy("term").count().where(F.col("count") >= support).select("term")
+    each = held.join(words.join(common, "term", "left_semi"), "row")
+    met = each.groupBy("entity", "term", "copy").agg(F.count("*").alias("rows"))
     pairs = kept(met.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("rows").alias("both")).where(F.col("contexts") >= support))
     all_rows = found.count()
-    entities = found.select("row", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = document_counts(rows, pairs.select("term").distinct()).withColumnRenamed("n", "n_term")
     known = pairs.join(entities, "entity").join(terms, "term")
     information = F.log(F.lit(float(max(all_rows, 1))) / F.col("n_entity"))
-    both = F.least("both", "n_entity", "n_term").cast("double")  # a document may hold several surroundings
-    mutual = F.log(both * F.lit(float(all_rows)) / (F.col("n_entity") * F.col("n_term")))
-    return known.where((mutual > 0) & (mutual >= share * information)).select("entity", "term")
+    mutual = F.log(F.col("both").cast("double") * F.lit(float(all_rows)) / (F.col("n_entity") * F.col("n_term")))
+    judged = kept(known.where((mutual > 0) & (mutual >= share * information)).select("entity", "term"))
+    return each.join(judged, ["entity", "term"], "left_semi").select("row", "term").distinct()
 
 
 def personal_data(docs: DataFrame, share: float = DISCLOSED) -> DataFrame:
@@ -178,7 +201,8 @@ def personal_data(docs: DataFrame, share: float = DISCLOSED) -> DataFrame:
     Spans are (kind, start, end) in code points. A null or empty text has none. The base kinds are matched
     by their patterns alone; the method adds spans of kind `term`, none of which meets a base span. Repeated
     rows count as documents of their own in the estimates, but a term must have met an entity in two
-    different surroundings to be judged, so copies of one passage prove nothing. No rows give no rows; other
+    documents that differ in their terms to be judged, so copies of a document prove nothing. A disclosing
+    term is a span wherever it stands in a document that holds its entity. No rows give no rows; other
     columns are ignored. docs is read once; its rows are written with their ids.
     """
     return spans_of(written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered"), share)
@@ -187,12 +211,10 @@ def personal_data(docs: DataFrame, share: float = DISCLOSED) -> DataFrame:
 def spans_of(rows: DataFrame, share: float = DISCLOSED) -> DataFrame:
     """personal_data() of rows (row, doc_id, text), which must be a table as every row is read several times."""
     small_batches(rows.sparkSession)
-    found = kept(rows.select("row", "text").mapInArrow(_find, FOUND))
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", F.explode("x.terms").alias("t"))
-    hits = near.select("row", "entity", "t.term", "t.start", "t.end").join(disclosing(found, rows, share), ["entity", "term"])
-    span = F.struct(F.lit("term").alias("kind"), "start", "end")
-    terms = hits.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("terms"))  # those around one document's spans
-    every = found.join(terms, "row", "left").join(rows.select("row", "doc_id"), "row")
+    found = written(rows.select("row", "text").mapInArrow(_find, f"row long, spans {SPANS}, entities array<string>, text string, copy long"), "found")
+    hits = disclosing(found, rows, share).groupBy("row").agg(F.collect_set("term").alias("wanted"))  # of one document's terms
+    terms = found.where("text IS NOT NULL").select("row", "text").join(hits, "row").mapInArrow(_place, f"row long, terms {SPANS}")
+    every = found.select("row", "spans").join(terms, "row", "left").join(rows.select("row", "doc_id"), "row")
     return every.select("row", "doc_id", F.concat("spans", F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType))).alias("spans"))
 
 

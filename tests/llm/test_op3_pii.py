@@ -85,6 +85,25 @@ def test_copies_prove_nothing(docs_of):
     assert all(s.kind != "term" for r in op.personal_data(docs_of(*texts)).collect() for s in r.spans)
 
 
+def test_terms_of_the_whole_document(docs_of):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [f"Zimmerfeld {some(20)} Zimmerfeld {some(20)} zim@example.org" for _ in range(6)] + [some(40) for _ in range(54)]
+    out = {r.doc_id: r.text for r in op.sanitise(docs_of(*texts)).collect()}
+    assert all("Zimmerfeld" not in out[k] and out[k].count("[NAME]") == 2 and "[EMAIL]" in out[k] for k in range(6))
+    assert all(out[k] == texts[k] for k in range(6, 60))
+
+
+def test_a_fixed_signature_line_is_judged(docs_of):
+    rng = random.Random(8)
+    some = lambda: " ".join(f"w{rng.randrange(40)}" for _ in range(20))
+    line = "\nregards and many thanks from Zimmerfeld zim@example.org Hauptweg street house number nine\n"
+    texts = [some() + line + some() for _ in range(6)] + [some() for _ in range(54)]
+    out = [r.text for r in op.sanitise(docs_of(*texts)).collect()]
+    assert not any("Zimmerfeld" in t or "Hauptweg" in t for t in out)
+
+
 def test_ids_survive_another_split(spark, tmp_path):
     path = str(tmp_path / "docs")
     rows = [(k, f"text {k} me{k}@example.org " + "x" * k, "s") for k in range(64)]
