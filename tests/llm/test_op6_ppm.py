@@ -42,12 +42,12 @@ TRAIN = ["abracadabra", "abra cadabra", "", None, "ab", "日本語", "abracadabr
 ASKED = ["abrac", None, "", "zebra", "日本", "cadabra abra \0"]
 
 
-@pytest.mark.parametrize("fits", [10**6, 0])
+@pytest.mark.parametrize("share", [op.GRAM_SHARE, 20, 0])
 @pytest.mark.parametrize("train", [TRAIN, ["ab"], []])
-def test_scores_both_ways(spark, fits, train):
+def test_scores_whatever_each_task_knows(spark, share, train):
     training = spark.createDataFrame([(t,) for t in train], "text string")
     rows = spark.createDataFrame(list(enumerate(ASKED)), "row long, text string")
-    got = {r.row: r.score for r in op.ppm_scores(rows, training, fits=fits).collect()}
+    got = {r.row: r.score for r in op.ppm_scores(rows, training, share=share).collect()}
     n = model(train)
     assert got == pytest.approx({k: slow_score(n, t) for k, t in enumerate(ASKED)})
 
@@ -110,3 +110,11 @@ def test_edges(docs_of):
     assert op.lm_scores(docs_of(), F.lit(False)).count() == 0
     (one,) = op.lm_scores(docs_of("xy"), F.lit(True)).collect()
     assert (one.n_known, one.train_tokens) == (0, 0) and one.score == pytest.approx(-3 * math.log10(257))
+
+
+def test_windows_cut_long_texts():
+    texts = ["abcdefghij" * 3, None, "x", "é" * 9]
+    whole = [(o.tolist(), c.tolist()) for o, c in op.windows(texts)]
+    for step in (1, 2, 3, 7, 10, 30, 31):
+        some = [(o.tolist(), c.tolist()) for o, c in op.windows(texts, step=step)]
+        assert [sum((s[k] for s in some), []) for k in (0, 1)] == [sum((s[k] for s in whole), []) for k in (0, 1)]
