@@ -14,10 +14,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigtables.llm.common import kept, small_batches, table, written
+from rigtables.llm.common import small_batches, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of an address before the @, and what follows them.
@@ -29,9 +30,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]+")
 TERM = re.compile(r"[^\W_]+")
-#: Share of its information that a term may disclose; documents, copies not counted, in which the two must have met;
-#: terms that each task may hold to count them.
-DISCLOSED, SUPPORT, FITS = 0.5, 2, 500_000
+#: Share of an entity's information that a term may disclose; terms that a task holds to count them; the most terms known to every task.
+DISCLOSED, HELD, COMMON, SEED = 0.5, 250_000, 1 << 18, 42
 
 
 def _byte(digits: str) -> bool:
@@ -116,148 +116,190 @@ def _free(merged: list[list[int]], start: int, end: int) -> bool:
 
 SPANS = "array<struct<kind string, start long, end long>>"
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+LONGS = pa.list_(pa.int64())
 
 
 def _arrow(spans: list[list[tuple[str, int, int]]]) -> pa.Array:
     return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in spans], ARROW_SPANS)
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(1).to_pylist()
-        spans = [base_spans(t) for t in texts]
-        yield pa.RecordBatch.from_pydict({
-            "row": b.column(0),
-            "spans": _arrow(spans),
-            "entities": pa.array([sorted({entity(k, t[s:e]) for k, s, e in x}) for t, x in zip(texts, spans, strict=True)], pa.list_(pa.string())),
-            "text": pa.array([t if x else None for t, x in zip(texts, spans, strict=True)], pa.string()),
-            "copy": pa.array([content(t, x) if x else None for t, x in zip(texts, spans, strict=True)], pa.int64()),
-        })
+def name_of(word: str) -> int:
+    """64 bits for a term or entity."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), SEED) - (1 << 63)
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, term): each term of each document once."""
-    for b in batches:
-        for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            terms = sorted({t for t, _, _ in free_terms(text, base_spans(text))})
-            yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(terms), pa.int64()), "term": pa.array(terms, pa.string())})
+def scanned(docs: DataFrame) -> DataFrame:
+    """What one pass over docs (carried struct, text) finds, as rows of two kinds.
 
-
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, terms): the spans of all occurrences of a document's disclosing terms."""
-    for b in batches:
-        rows, texts, wanted = (b.column(k).to_pylist() for k in range(3))
-        spans = [[("term", s, e) for t, s, e in free_terms(text, base_spans(text)) if t in some] for text, some in zip(texts, map(set, wanted), strict=True)]
-        yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "terms": _arrow(spans)})
-
-
-def document_counts(rows: DataFrame, terms: DataFrame, fits: int = FITS) -> DataFrame:
-    """(term, n): documents with each term. Up to `fits` terms go to every task; else all words are counted and joined."""
-    wanted = rows.sparkSession.sparkContext.broadcast({r[0] for r in terms.collect()} if terms.count() <= fits else None)
+    A row for each document has what it carries and its base spans; one with spans also has its text, a key
+    made of it, its entities by name, and a name that its copies share. Rows with a term hold in how many
+    documents of a part of the corpus the term stands outside of spans.
+    """
+    small_batches(docs.sparkSession)
+    kind = docs.schema["carried"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                words = {w.lower() for w in set(TERM.findall(text or ""))}
-                n.update(words if wanted.value is None else words & wanted.value)
-            if len(n) > 500_000:
-                yield pa.RecordBatch.from_pydict({"term": pa.array(n, pa.string()), "n": pa.array(n.values(), pa.int64())})
-                n.clear()
-        yield pa.RecordBatch.from_pydict({"term": pa.array(n, pa.string()), "n": pa.array(n.values(), pa.int64())})
-
-    counted = rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return counted.join(terms, "term", "left_semi")
-
+        total: Counter[str] = Counter()
+        last = None
 
-def disclosing(found: DataFrame, rows: DataFrame, share: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
-    """(row, term): the terms of each document whose PMI with an entity of it is at least `share` of the entity's information.
+        def counted() -> Iterator[pa.RecordBatch]:
+            n = len(total)
+            if n:
+                empty = {c: pa.nulls(n, t) for c, t in (("carried", last), ("spans", ARROW_SPANS), ("key", pa.binary()), ("text", pa.string()), ("entities", LONGS), ("copy", pa.int64()))}
+                yield pa.RecordBatch.from_pydict(empty | {"term": pa.array([name_of(t) for t in total], pa.int64()), "n": pa.array(total.values(), pa.int64())})
+                total.clear()
 
-    The two must have met in `support` documents that are not copies; entities and terms that are in fewer
-    are left out before they are paired.
+        for b in batches:
+            last, texts = b.column(0).type, b.column(1).to_pylist()
+            spans = [base_spans(t) for t in texts]
+            for t, x in zip(texts, spans, strict=True):
+                total.update({w for w, _, _ in free_terms(t, x)} if x else {w.lower() for w in set(TERM.findall(t or ""))})
+                if len(total) > HELD:
+                    yield from counted()
+            held = [(t, x) if x else None for t, x in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_pydict({
+                "carried": b.column(0),
+                "spans": _arrow(spans),
+                "key": pa.array([h and hashlib.blake2b(h[0].encode("utf-8", "surrogatepass"), digest_size=16).digest() for h in held], pa.binary()),
+                "text": pa.array([h and h[0] for h in held], pa.string()),
+                "entities": pa.array([h and sorted({name_of(entity(k, h[0][s:e])) for k, s, e in h[1]}) for h in held], LONGS),
+                "copy": pa.array([h and content(*h) for h in held], pa.int64()),
+                "term": pa.nulls(len(b), pa.int64()),
+                "n": pa.nulls(len(b), pa.int64()),
+            })
+        yield from counted()
+
+    return docs.select("carried", "text").mapInArrow(run, f"carried {kind}, spans {SPANS}, key binary, text string, entities array<long>, copy long, term long, n long")
+
+
+def most_documents(n: float, n_entity: Column | float, share: float) -> Column | float:
+    """A term of more documents cannot disclose `share` of an entity's information, even if it is in all documents of the entity."""
+    return n_entity * (n / n_entity) ** (1 - share) * (1 + 1e-9)
+
+
+def disclosing(table_: DataFrame, share: float = DISCLOSED) -> DataFrame:
+    """(key, wanted array<long>): for each text of scanned() the terms whose PMI with an entity of it is at least `share` of the entity's information.
+
+    The two must have met in two documents that are not copies. Texts are taken once, with the number of their
+    rows. Terms in at least 1 in COMMON of all (term, document) pairs, so at most COMMON of them, are known to
+    every task, so that most pairs that cannot count are never made.
     """
-    held = found.select("row", "copy", F.explode("entities").alias("entity"))
-    entities = held.groupBy("entity", "copy").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("copies"))
-    entities = kept(entities.where(F.col("copies") >= support).select("entity", "n_entity"))
-    held = kept(held.join(entities.select("entity"), "entity", "left_semi"))
-    documents = held.select("row", "copy").distinct()
-    words = kept(found.where("text IS NOT NULL").select("row", "text").join(documents, "row", "left_semi").mapInArrow(_terms, "row long, term string"))
-    common = words.join(documents, "row").groupBy("term", "copy").agg(F.lit(1)).groupBy("term").count().where(F.col("count") >= support).select("term")
-    each = held.join(words.join(common, "term", "left_semi"), "row")
-    met = each.groupBy("entity", "term", "copy").agg(F.count("*").alias("rows"))
-    pairs = kept(met.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("rows").alias("both")).where(F.col("contexts") >= support))
-    all_rows = found.count()
-    terms = document_counts(rows, pairs.select("term").distinct()).withColumnRenamed("n", "n_term")
-    known = pairs.join(entities, "entity").join(terms, "term")
-    information = F.log(F.lit(float(max(all_rows, 1))) / F.col("n_entity"))
-    mutual = F.log(F.col("both").cast("double") * F.lit(float(all_rows)) / (F.col("n_entity") * F.col("n_term")))
-    judged = kept(known.where((mutual > 0) & (mutual >= share * information)).select("entity", "term"))
-    return each.join(judged, ["entity", "term"], "left_semi").select("row", "term").distinct()
+    spark = table_.sparkSession
+    counts = table_.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n_term"))
+    found = table_.where("term IS NULL")
+    n = float(max(1, found.count()))
+    texts = written(found.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.first("copy").alias("copy"), F.first("entities").alias("entities"), F.first("text").alias("text")), "private")
+    held = texts.select("key", "copy", "n", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo != hi").select("entity", "n_entity")
+    shared = held.join(entities, "entity").groupBy("key").agg(F.collect_list(F.struct("entity", "n_entity")).alias("shared"))  # of one text
+    least = max(most_documents(n, 2.0, share), (table_.agg(F.sum("n")).first()[0] or 0) / COMMON)
+    common = spark.sparkContext.broadcast(dict(map(tuple, counts.where(F.col("n_term") >= least).collect())))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value
+        for b in batches:
+            for key, copy, rows, text, entities in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                terms = {name_of(t) for t in {t for t, _, _ in free_terms(text, base_spans(text))}}
+                for e in entities:
+                    most = most_documents(n, float(e["n_entity"]), share)
+                    some = [t for t in terms if known.get(t, 0) <= most]
+                    same = {"key": pa.array([key] * len(some), pa.binary())} | {c: pa.array([v] * len(some), pa.int64()) for c, v in (("copy", copy), ("n", rows), ("entity", e["entity"]), ("n_entity", e["n_entity"]))}
+                    yield pa.RecordBatch.from_pydict(same | {"term": pa.array(some, pa.int64())})
+
+    asked = texts.join(shared, "key").select("key", "copy", "n", "text", "shared")
+    pairs = written(asked.mapInArrow(pair, "key binary, copy long, n long, entity long, n_entity long, term long"), "pairs")
+    met = pairs.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("both"), F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo != hi")
+    information = F.log(F.lit(n) / F.col("n_entity"))
+    mutual = F.log(F.col("both") * F.lit(n) / (F.col("n_entity") * F.col("n_term")))
+    judged = met.join(counts, "term").where((mutual > 0) & (mutual >= share * information - 1e-12)).select("entity", "term")
+    return pairs.select("key", "entity", "term").join(judged, ["entity", "term"], "left_semi").groupBy("key").agg(F.collect_set("term").alias("wanted"))
+
+
+def term_spans(text: str, spans: list[tuple[str, int, int]], wanted: list[int]) -> list[tuple[str, int, int]]:
+    """Where the wanted terms stand outside of spans."""
+    some, known = set(wanted), {}
+    out = []
+    for t, s, e in free_terms(text, spans):
+        if t not in known:
+            known[t] = name_of(t) in some
+        if known[t]:
+            out.append(("term", s, e))
+    return out
+
+
+def with_terms(table_: DataFrame, share: float) -> DataFrame:
+    """The rows of scanned() that have spans, with the terms `wanted` of each."""
+    return table_.where("key IS NOT NULL").join(disclosing(table_, share), "key", "left").select("carried", "text", "wanted")
 
 
 def personal_data(docs: DataFrame, share: float = DISCLOSED) -> DataFrame:
-    """(row, doc_id, spans) for every row of docs (doc_id, text): base spans by kind and start, then terms by start.
+    """(doc_id, spans) for every row of docs (doc_id, text): base spans by kind and start, then terms by start.
 
     Spans are (kind, start, end) in code points. A null or empty text has none. The base kinds are matched
     by their patterns alone; the method adds spans of kind `term`, none of which meets a base span. Repeated
     rows count as documents of their own in the estimates, but a term must have met an entity in two
     documents that differ in their terms to be judged, so copies of a document prove nothing. A disclosing
     term is a span wherever it stands in a document that holds its entity. No rows give no rows; other
-    columns are ignored. docs is read once; its rows are written with their ids.
+    columns are ignored. docs is read once.
     """
-    return spans_of(written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered"), share)
+    table_ = written(scanned(docs.select(F.struct("doc_id").alias("carried"), "text")), "scanned")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, wanted in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                base = base_spans(text)
+                out.append(base + (term_spans(text, base, wanted) if wanted else []))
+            yield pa.RecordBatch.from_arrays([b.column(0), _arrow(out)], names=["carried", "spans"])
 
-def spans_of(rows: DataFrame, share: float = DISCLOSED) -> DataFrame:
-    """personal_data() of rows (row, doc_id, text), which must be a table as every row is read several times."""
-    small_batches(rows.sparkSession)
-    found = written(rows.select("row", "text").mapInArrow(_find, f"row long, spans {SPANS}, entities array<string>, text string, copy long"), "found")
-    hits = disclosing(found, rows, share).groupBy("row").agg(F.collect_set("term").alias("wanted"))  # of one document's terms
-    terms = found.where("text IS NOT NULL").select("row", "text").join(hits, "row").mapInArrow(_place, f"row long, terms {SPANS}")
-    every = found.select("row", "spans").join(terms, "row", "left").join(rows.select("row", "doc_id"), "row")
-    return every.select("row", "doc_id", F.concat("spans", F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType))).alias("spans"))
+    kind = table_.schema["carried"].dataType.simpleString()
+    found = with_terms(table_, share).mapInArrow(run, f"carried {kind}, spans {SPANS}")
+    none = table_.where("term IS NULL AND key IS NULL").select("carried", "spans")
+    return found.unionByName(none).select("carried.doc_id", "spans")
 
 
 #: What takes the place of a span; a term becomes its class.
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 
-def sanitised(text: str | None, spans: list[dict]) -> str | None:
+def sanitised(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     """The text with each span generalised; where spans overlap, one replacement stands for all, named by the first."""
     if not text or not spans:
         return text
-    out, at = [], 0
-    end, name = -1, ""
-    for s in [*sorted(spans, key=lambda x: (x["start"], -x["end"])), None]:
-        if s is not None and s["start"] < end:
-            end = max(end, s["end"])
+    out, at, end, name = [], 0, -1, ""
+    for kind, s, e in [*sorted(spans, key=lambda x: (x[1], -x[2])), ("", len(text) + 1, 0)]:
+        if s < end:
+            end = max(end, e)
             continue
         if end >= 0:
             out.append(name)
             at = end
-        if s is not None:
-            out.append(text[at : s["start"]])
-            word = text[s["start"] : s["end"]]
-            name = GENERAL.get(s["kind"]) or ("[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[WORD]")
-            end = s["end"]
-    return "".join(out) + text[at:]
+        out.append(text[at:s])
+        word = text[s:e]
+        name = GENERAL.get(kind) or ("[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[WORD]")
+        end = e
+    return "".join(out)
 
 
 def sanitise(docs: DataFrame, share: float = DISCLOSED) -> DataFrame:
-    """docs with `text` sanitised; n_chars, where it is a column, follows the text. Null texts stay null."""
+    """docs with `text` sanitised; n_chars, where it is a column, follows the text. Null texts stay null.
+
+    docs is read once. Rows without personal data pass as they are; only the others meet their terms in a join.
+    """
     columns = docs.columns
-    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_doc")), "numbered")
-    spans = spans_of(rows.select(F.col("_row").alias("row"), "_doc.doc_id", "_doc.text"), share).where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    place = columns.index("text")
+    table_ = written(scanned(docs.select(F.struct(*columns).alias("carried"), "text")), "scanned")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [sanitised(t, s) for t, s in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            arrays = {n: b.column(k) for k, n in enumerate(columns)} | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_pydict(arrays)
-
-    touched = rows.join(spans, "_row").select("_doc.*", "_spans").mapInArrow(run, docs.schema)
-    whole = rows.join(spans, "_row", "left_anti").select("_doc.*").unionByName(touched)
+            texts = []
+            for text, wanted in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                base = base_spans(text)
+                texts.append(sanitised(text, base + (term_spans(text, base, wanted) if wanted else [])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["carried", "text"])
+
+    kind = table_.schema["carried"].dataType.simpleString()
+    touched = with_terms(table_, share).mapInArrow(run, f"carried {kind}, text string").select(*("text" if c == "text" else f"carried.`{c}`" for c in columns))
+    whole = table_.where("term IS NULL AND key IS NULL").select("carried.*").unionByName(touched)
     return whole.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else whole
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -50,22 +51,55 @@ def planted(n=60):
     return texts
 
 
-def test_disclosing_terms_by_brute_force(spark, docs_of):
+def expected(texts):
+    """(doc, term) by counting over all documents."""
+    spans = {k: reference(t) for k, t in texts.items()}
+    terms, held = {}, {}
+    for k, t in texts.items():
+        terms[k] = [m[0].lower() for m in re.finditer(r"[^\W_]+", t) if not any(s < m.end() and m.start() < e for _, s, e in spans[k])]
+        held[k] = {(kind, t[s:e].lower() if kind in ("email", "ip") else re.sub(r"\D", "", t[s:e])) for kind, s, e in spans[k]}
+    want = {k: set() for k in texts}
+    for entity in set().union(*held.values()):
+        docs = [k for k in texts if entity in held[k]]
+        for term in set().union(*(terms[k] for k in docs)):
+            both = [k for k in docs if term in terms[k]]
+            if len({tuple(terms[k]) for k in both}) < 2:
+                continue
+            df = sum(term in x for x in terms.values())
+            pmi = math.log(len(both) * len(texts) / (len(docs) * df))
+            if pmi > 0 and pmi >= 0.5 * math.log(len(texts) / len(docs)) - 1e-12:
+                for k in both:
+                    want[k].add(term)
+    return want
+
+
+def check_terms(texts, df):
+    got = {r.doc_id: {texts[r.doc_id][s.start : s.end].lower() for s in r.spans if s.kind == "term"} for r in op.personal_data(df).collect()}
+    assert got == expected(texts)
+    return got
+
+
+def test_disclosing_terms_by_brute_force(docs_of):
     texts = planted()
-    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"] for r in op.personal_data(docs_of(*texts)).collect()}
-    import math
-
-    near = {k: set(re.findall(r"[^\W_]+", t.split(" zim@")[0].lower())[-5:]) | set(re.findall(r"[^\W_]+", t.split(".org")[1].lower())[:5]) for k, t in enumerate(texts[:6])}
-    want = {k: set() for k in range(len(texts))}
-    for term in set().union(*near.values()):
-        both = sum(term in x for x in near.values())
-        df = sum(term in re.findall(r"[^\W_]+", t.lower()) for t in texts)
-        pmi = math.log(both * len(texts) / (6 * df))
-        if both >= 2 and pmi > 0 and pmi >= 0.5 * math.log(len(texts) / 6):
-            for k, x in near.items():
-                want[k] |= {term} & x
-    assert {k: {w.lower() for w in v} for k, v in got.items()} == want
-    assert all("zimmerfeld" in want[k] for k in range(6))
+    got = check_terms(dict(enumerate(texts)), docs_of(*texts))
+    assert all("zimmerfeld" in got[k] for k in range(6))
+    rng = random.Random(9)
+    for _ in range(3):
+        texts = []
+        for _ in range(80):
+            words = rng.choices([f"w{k}" for k in range(60)], weights=[1 / (k + 1) for k in range(60)], k=rng.randint(0, 25))
+            words += rng.sample(["ann@x.org", "bob@x.org", "10.0.0.1", "+1 (407) 555-7710", "rare", "Ann", "Bob"], rng.choice([0, 0, 1, 3]))
+            rng.shuffle(words)
+            texts.append(" ".join(words))
+        texts += texts[:10]
+        check_terms(dict(enumerate(texts)), docs_of(*texts))
+
+
+def test_more_terms_than_tasks_know(docs_of, monkeypatch):
+    monkeypatch.setattr(op, "COMMON", 4)
+    monkeypatch.setattr(op, "HELD", 5)
+    texts = planted()
+    check_terms(dict(enumerate(texts)), docs_of(*texts))
 
 
 def test_sanitised_texts(docs_of):
