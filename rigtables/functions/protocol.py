@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,11 +76,14 @@ def increment_name(path: Column) -> Column:
 
 
 def accessible_cells(mask: DataFrame, margin_cells: int) -> DataFrame:
-    """Open cells (arena, col, row) without a wall cell or the arena's border within margin_cells, in an ellipse.
+    """Open cells (arena, col, row) without a wall cell or the arena's border in the ellipse of margin_cells around them.
+
+    A row of the ellipse, r from its middle, reaches round(sqrt(margin^2 - r^2)) cells to both sides (half to even).
 
     mask: (arena, col, row, open) of all cells. Walls grow by the few offsets of the kernel; small beside the frames.
     """
-    offsets = [(c, r) for c in range(-margin_cells, margin_cells + 1) for r in range(-margin_cells, margin_cells + 1) if c * c + r * r <= margin_cells * margin_cells]
+    reach = {r: round(math.sqrt(margin_cells * margin_cells - r * r)) for r in range(-margin_cells, margin_cells + 1)}
+    offsets = [(c, r) for r, n in reach.items() for c in range(-n, n + 1)]
     kernel = F.array(*(F.struct(F.lit(c).cast("long").alias("c"), F.lit(r).cast("long").alias("r")) for c, r in offsets))
     size = mask.groupBy("arena").agg(F.max("col").alias("_cols"), F.max("row").alias("_rows"))
     walls = mask.where("NOT open").select("arena", "col", "row", F.explode(kernel).alias("k"))

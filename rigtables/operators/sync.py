@@ -64,9 +64,6 @@ def detect_dropped_frames(muscle: DataFrame, gap: float = 1.5, persistence: int
     return total.select(*columns, (F.col("_i") + F.coalesce("_lost", F.lit(0))).cast("long").alias("slot"), F.coalesce("missed", F.lit(0)).alias("missed"))
 
 
-    return W.partitionBy(key).orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)
-
-
 def discard_trailing_slots(slots: DataFrame, groups: DataFrame) -> DataFrame:
     """Muscle frames whose slot has a group; groups: (recording_id, n_groups)."""
     return slots.join(groups, "recording_id").where("slot < n_groups").drop("n_groups")
@@ -105,7 +102,8 @@ def skipped_groups(slots: DataFrame, ratios: DataFrame) -> DataFrame:
 
 
 def reindex_muscle(muscle: DataFrame, orphans: DataFrame, frame: str = "frame_id") -> DataFrame:
-    """Muscle frames without the leading orphans, numbered from 0; orphans: (recording_id, n_orphans)."""
+    """Muscle frames without the leading orphans, numbered from 0; orphans: (recording_id, n_orphans), negative counts are refused."""
+    orphans = orphans.withColumn("n_orphans", F.when(F.col("n_orphans") < 0, F.raise_error(F.lit("n_orphans must not be negative"))).otherwise(F.col("n_orphans")))
     placed = numbered(muscle, frame, "_i", FRAMES_A_CHUNK).join(orphans, "recording_id", "left")
     n = F.coalesce("n_orphans", F.lit(0))
     return placed.where(F.col("_i") >= n).withColumn("muscle_frame_id", F.col("_i") - n).drop("_i", "n_orphans")

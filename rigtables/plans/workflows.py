@@ -26,6 +26,14 @@ class Processed:
     alignment: DataFrame | None
     muscle: DataFrame | None
     errors: DataFrame
+    warped: DataFrame | None = None
+
+
+def refuse(errors: DataFrame) -> None:
+    """Raises with the first few of the rules that recordings broke."""
+    some = errors.orderBy("recording_id", "rule").limit(5).collect()
+    if some:
+        raise ValueError("; ".join(f"{r.recording_id}: {r.rule}" for r in some))
 
 
 def postprocess_recordings(
@@ -41,16 +49,21 @@ def postprocess_recordings(
     crop: int = 900,
     tolerance: int = 3,
     earlier: tuple[DataFrame, DataFrame | None] | None = None,
+    homography: list[float] | None = None,
+    strict: bool = False,
 ) -> Processed:
     """All recordings at once. One that breaks a rule is named in `errors` (recording_id, rule) and left out; the rest go on.
 
     behavior: (recording_id, behavior_frame_id, acquired_time_us, received_time_us); log: the stage log;
     predictions: keypoints; muscle: (recording_id, raw_frame_id, acquired_time_us, received_time_us); params:
-    (recording_id, ratio); orphans: (recording_id, n_orphans), counted from muscle_pixels where absent.
-    `earlier` hands in behavior and alignment tables of an earlier run instead of making them.
+    (recording_id, ratio); orphans: (recording_id, n_orphans), counted from muscle_pixels where absent. Raw muscle
+    ids are judged as they come from disk: a hole in them ends a recording's part in the job. With `strict` the
+    first broken rule is raised instead. `homography` (9 numbers, muscle to behavior pixels) is put before each
+    frame's alignment. With muscle_pixels (frame_id the raw id) they are resampled into the aligned crop. `earlier` hands in behavior and alignment tables of an earlier run instead of making them.
     """
     unsteady = quality.check_monotonic(behavior, order="behavior_frame_id").where("NOT monotonic").select("recording_id", F.lit("acquisition times do not increase").alias("rule"))
-    bad = unsteady.unionByName(stage.bad_stage_logs(log))
+    unlogged = behavior.select("recording_id").distinct().join(log, "recording_id", "left_anti").select("recording_id", F.lit("no stage samples").alias("rule"))
+    bad = unsteady.unionByName(stage.bad_stage_logs(log)).unionByName(unlogged)
     posed = None
     if align_fly and predictions is not None:
         posed = kept(pose.pivot_pose(predictions))
@@ -66,24 +79,35 @@ def postprocess_recordings(
         placed = kept(stage.interp_stage_cubic(good(behavior), log))
         alignment = pose.alignment_transform(pose.fill_pose_gaps(good(posed).drop("n_instances")), crop) if posed is not None else None
     if not with_muscle or muscle is None or params is None:
+        if strict:
+            refuse(bad)
         return Processed(placed, alignment, None, bad)
 
     if orphans is None:
         orphans = pixels.count_leading_orphans(muscle_pixels) if muscle_pixels is not None else params.select("recording_id", F.lit(0).alias("n_orphans"))
+    orphans = kept(orphans)
     groups = kept(sync.sync_group_frames(placed, params.select("recording_id", "ratio"), frame="behavior_frame_id"))
     n_groups = groups.groupBy("recording_id").agg(F.count("*").alias("n_groups"))
-    numbered = kept(sync.reindex_muscle(good(muscle), orphans, "raw_frame_id"))
-    wanted = n_groups.join(orphans, "recording_id", "left").select("recording_id", "n_groups")
-    verdicts = quality.availability(numbered.withColumn("raw_frame_id", F.col("muscle_frame_id")), wanted, tolerance)
+    wanted = n_groups.join(orphans, "recording_id", "left").select("recording_id", "n_groups", F.coalesce("n_orphans", F.lit(0)).alias("first"))
+    verdicts = quality.availability(good(muscle), wanted, tolerance, F.col("first"))
     bad = kept(bad.unionByName(verdicts.where("verdict != 'ok'").select("recording_id", F.concat(F.lit("muscle frames: "), "verdict").alias("rule"))))
-    steady = kept(numbered.join(bad.select("recording_id").distinct(), "recording_id", "left_anti"))
+    asked = muscle.join(wanted, "recording_id").where("raw_frame_id < first + n_groups").drop("first", "n_groups")
+    steady = kept(sync.reindex_muscle(asked.join(bad.select("recording_id").distinct(), "recording_id", "left_anti"), orphans, "raw_frame_id"))
     slots = sync.discard_trailing_slots(sync.detect_dropped_frames(steady, frame="muscle_frame_id"), n_groups)
     at = groups.select("recording_id", "slot", F.col("behavior_frame_id").alias("corresponding_behavior_frame_id"), *(F.col(c).cast("float").alias(c) for c in ("x_pos_mm_interp", "y_pos_mm_interp")))
     paired = sync.muscle_slot_join(slots, at)
     if alignment is not None:
         m = alignment.select("recording_id", F.col("behavior_frame_id").alias("corresponding_behavior_frame_id"), g.as_3x3(F.col("m")).alias("alignment"))
         paired = paired.join(m, ["recording_id", "corresponding_behavior_frame_id"], "left")
-    return Processed(placed, alignment, paired, bad)
+        if homography is not None:
+            paired = paired.withColumn("alignment", g.compose(F.col("alignment"), F.array(*map(F.lit, homography))))
+    if strict:
+        refuse(bad)
+    warped = None
+    if muscle_pixels is not None and alignment is not None:
+        frames = muscle_pixels.withColumnRenamed("frame_id", "raw_frame_id").join(paired.select("recording_id", "raw_frame_id", F.col("alignment").alias("m")), ["recording_id", "raw_frame_id"])
+        warped = pixels.warp_frame(frames.where("m IS NOT NULL"), crop, crop)
+    return Processed(placed, alignment, paired, bad, warped)
 
 
 def fit_arena_registration(scan: DataFrame, detections: DataFrame, tags: DataFrame, threshold: float = 0.5, trials: int = 1000) -> DataFrame:

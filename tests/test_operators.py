@@ -64,6 +64,8 @@ def test_spline_equals_full_solution():
         t, y = np.sort(rng.uniform(0, 1, n)), rng.normal(size=n)
         at = np.linspace(-0.1, 1.1, 50)
         assert stage.not_a_knot(t, y, at) == pytest.approx(cubic(t, y, at), rel=1e-6, abs=1e-6)
+        both = stage.not_a_knot(t, np.column_stack([y, y**2]), at)
+        assert np.allclose(both[:, 0], stage.not_a_knot(t, y, at)) and np.allclose(both[:, 1], stage.not_a_knot(t, y**2, at))
     assert stage.not_a_knot(np.array([0, 2]), np.array([1.0, 5.0]), np.array([-1, 3])) == pytest.approx([-1, 7])
     x = np.array([0, 1, 3])
     assert stage.not_a_knot(x, x**2.0, np.array([-2, 5])) == pytest.approx([4, 25])
@@ -131,10 +133,10 @@ def test_blobs_and_orphans(spark):
     got = {r.frame_id: (r.area, r.x, r.y) for r in pixels.blob_centroid(df, 5).collect()}
     assert got == {0: (49, 6.0, 6.0), 1: (None, None, None)}
     rng = np.random.default_rng(4)
-    dark = [rng.integers(90, 110, 400) for _ in range(3)]
+    dark = [rng.integers(90, 110, (20, 20)) for _ in range(3)]
     y, x = np.mgrid[:20, :20]
     lit = dark[0] + (300 * np.exp(-((y - 10) ** 2 + (x - 10) ** 2) / 20)).astype(int)
-    rows = [(1, k, 20, 20, f.tolist()) for k, f in enumerate([*dark, lit, lit])] + [(2, k, 20, 20, f.tolist()) for k, f in enumerate(dark)]
+    rows = [(1, k, 20, 20, f.ravel().tolist()) for k, f in enumerate([*dark, lit, lit])] + [(2, k, 20, 20, f.ravel().tolist()) for k, f in enumerate(dark)]
     df = spark.createDataFrame(rows, df.schema)
     assert {r.recording_id: r.n_orphans for r in pixels.count_leading_orphans(df).collect()} == {1: 3, 2: 0}
 
@@ -155,15 +157,17 @@ def test_empty_tables(spark):
 
 
 def test_postprocess_goes_on_without_bad_recordings(spark):
-    rows = [(r, k, 1000 * k if (r, k) != (2, 5) else 0, 1000 * k + 50) for r in (1, 2, 3) for k in range(60)]
+    rows = [(r, k, 1000 * k if (r, k) != (2, 5) else 0, 1000 * k + 50) for r in (1, 2, 3, 4) for k in range(60)]
     behavior = spark.createDataFrame(rows, "recording_id long, behavior_frame_id long, acquired_time_us long, received_time_us long")
-    log = spark.createDataFrame([(r, 13000 * k, float(k), 2.0 * k) for r in (1, 2, 3) for k in range(6)], "recording_id long, timestamp_us long, x_pos_mm double, y_pos_mm double")
-    points = spark.createDataFrame([(r, k, 0, p, x, 1.0) for r in (1, 2, 3) for k in range(0, 60, 2) for p, x in (("neck", 3.0), ("thorax", 2.0), ("abdomen", 0.0))], "recording_id long, behavior_frame_id long, instance_id long, keypoint string, x double, y double")
-    muscle = spark.createDataFrame([(r, k, 6000 * k, 6000 * k + 9) for r in (1, 2, 3) for k in range(10) if (r, k) != (3, 4)], "recording_id long, raw_frame_id long, acquired_time_us long, received_time_us long")
-    params = spark.createDataFrame([(r, 6) for r in (1, 2, 3)], "recording_id long, ratio long")
+    log = spark.createDataFrame([(r, 13000 * k, float(k), 2.0 * k) for r in (1, 2, 3, 4) for k in range(6)], "recording_id long, timestamp_us long, x_pos_mm double, y_pos_mm double")
+    points = spark.createDataFrame([(r, k, 0, p, x, 1.0) for r in (1, 2, 3, 4) for k in range(0, 60, 2) for p, x in (("neck", 3.0), ("thorax", 2.0), ("abdomen", 0.0))], "recording_id long, behavior_frame_id long, instance_id long, keypoint string, x double, y double")
+    muscle = spark.createDataFrame([(r, k, 6000 * k, 6000 * k + 9) for r in (1, 2, 3, 4) for k in range(12) if (r, k) != (3, 4)], "recording_id long, raw_frame_id long, acquired_time_us long, received_time_us long")
+    params = spark.createDataFrame([(r, 6) for r in (1, 2, 3, 4)], "recording_id long, ratio long")
     out = workflows.postprocess_recordings(behavior, log, points, muscle, params, crop=20)
-    assert {r.recording_id: r.rule for r in out.errors.collect()} == {2: "acquisition times do not increase"}
-    assert {r.recording_id: r["count"] for r in out.behavior.groupBy("recording_id").count().collect()} == {1: 60, 3: 60}
+    assert {r.recording_id: r.rule for r in out.errors.collect()} == {2: "acquisition times do not increase", 3: "muscle frames: hole"}
+    assert {r.recording_id: r["count"] for r in out.behavior.groupBy("recording_id").count().collect()} == {1: 60, 3: 60, 4: 60}
     paired = {(r.recording_id, r.slot): r.corresponding_behavior_frame_id for r in out.muscle.collect()}
-    assert paired == {(1, k): 6 * k for k in range(10)} | {(3, k): 6 * k for k in range(10) if k != 4}
+    assert paired == {(r, k): 6 * k for r in (1, 4) for k in range(10)}
+    with pytest.raises(ValueError, match="2: acquisition times do not increase; 3: muscle frames: hole"):
+        workflows.postprocess_recordings(behavior, log, points, muscle, params, crop=20, strict=True)
     assert out.alignment.where(F.col("recording_id") == 2).count() == 0
