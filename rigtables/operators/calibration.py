@@ -1,7 +1,8 @@
 """Calibration fits: gathering points, rejecting outliers, linear maps and homographies with RANSAC.
 
-Fits keyed by calibration_id run side by side. Points stay where they are: hypotheses go to them in salted
-groups, and only counts and sums of products come back.
+Fits keyed by calibration_id run side by side. Points stay where they are: hypotheses go to them, and only counts and
+sums of products come back. Where there are more calibrations than a task can hold the hypotheses of, points and
+hypotheses meet in salted groups instead.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rigtables.durable import kept
 from rigtables.functions.geometry import apply_homography, apply_map
 
 HALF = 0.5
-#: Groups into which one calibration's points are dealt; points from which hypotheses are drawn.
-SALTS, POOL = 32, 512
+#: Groups into which one calibration's points are dealt; points from which hypotheses are drawn; hypotheses (of 80 bytes) that go to every task.
+SALTS, POOL, EVERYWHERE = 32, 512, 500_000
 FEATURES = ("stage_x", "stage_y", "pixel_x", "pixel_y")
 
 
@@ -151,27 +153,56 @@ def _pool(points: DataFrame, key: str, row: str, size: int) -> DataFrame:
     return few.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("_h", row))).where(F.col("_r") <= size)
 
 
-def _counted(points: DataFrame, models: DataFrame, key: str, row: str, judge) -> DataFrame:
-    """(key, axis, trial, inliers, sse) of every model over every point; judge(points, models) gives errors [model, point] by axis."""
-    kind = points.schema[key].dataType.simpleString()
-    salted = points.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int"))
-    spread = models.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+def _counted(points: DataFrame, models: DataFrame, key: str, row: str, judge, everywhere: int = EVERYWHERE) -> DataFrame:
+    """(key, axis, trial) of the best model; judge(points, models) gives errors [model, point] by axis.
 
-    def count(pts: pd.DataFrame, mods: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(pts) and len(mods):
+    Up to `everywhere` models are sent to all tasks and counted over the points where these lie; beyond, both
+    meet in groups of (key, salt).
+    """
+    kind = points.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, axis int, trial int, inliers long, sse double"
+    none = pd.DataFrame({key: [], "axis": [], "trial": [], "inliers": [], "sse": []})
+
+    def count(pts: pd.DataFrame, trial: np.ndarray, w: np.ndarray):
+        for axis, limit, square in judge(pts, w):
+            total, sse = np.zeros(len(trial), np.int64), np.zeros(len(trial))
+            for part in square:
+                inside = part <= limit**2
+                total += inside.sum(axis=1)
+                sse += np.where(inside, part, 0).sum(axis=1)
+            yield axis, total, sse
+
+    if models.count() <= everywhere:
+        found: dict = {}
+        for r in models.select(key, "trial", "w").toLocalIterator():
+            found.setdefault(r[0], []).append((r[1], r[2]))
+        sent = points.sparkSession.sparkContext.broadcast({k: (np.array([t for t, _ in x], np.int32), np.array([w for _, w in x])) for k, x in found.items()})
+
+        def run(batches):
+            sums: dict = {}
+            for pdf in batches:
+                for name, pts in pdf.groupby(key):
+                    if name not in sent.value:
+                        continue
+                    trial, w = sent.value[name]
+                    for axis, total, sse in count(pts, trial, w):
+                        have = sums.get((name, axis))
+                        sums[name, axis] = (total, sse) if have is None else (have[0] + total, have[1] + sse)
+            for (name, axis), (total, sse) in sums.items():
+                yield pd.DataFrame({key: name, "axis": axis, "trial": sent.value[name][0], "inliers": total, "sse": sse})
+
+        counted = points.mapInPandas(run, schema)
+    else:
+        salted = points.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int"))
+        spread = models.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+
+        def meet(pts: pd.DataFrame, mods: pd.DataFrame) -> pd.DataFrame:
+            if not len(pts) or not len(mods):
+                return none
             trial = mods["trial"].to_numpy()
-            w = np.stack(mods["w"].to_numpy())
-            for axis, limit, square in judge(pts, w):
-                total, sse = np.zeros(len(trial), np.int64), np.zeros(len(trial))
-                for part in square:
-                    inside = part <= limit**2
-                    total += inside.sum(axis=1)
-                    sse += np.where(inside, part, 0).sum(axis=1)
-                out.append(pd.DataFrame({key: mods[key].iloc[0], "axis": axis, "trial": trial, "inliers": total, "sse": sse}))
-        return pd.concat(out) if out else pd.DataFrame({key: [], "axis": [], "trial": [], "inliers": [], "sse": []})
-
-    counted = salted.groupBy(key, "_salt").cogroup(spread.groupBy(key, "_salt")).applyInPandas(count, f"{key} {kind}, axis int, trial int, inliers long, sse double")
+            return pd.concat([pd.DataFrame({key: mods[key].iloc[0], "axis": axis, "trial": trial, "inliers": total, "sse": sse}) for axis, total, sse in count(pts, trial, np.stack(mods["w"].to_numpy()))])
+
+        counted = salted.groupBy(key, "_salt").cogroup(spread.groupBy(key, "_salt")).applyInPandas(meet, schema)
     total = counted.groupBy(key, "axis", "trial").agg(F.sum("inliers").alias("inliers"), F.sum("sse").alias("sse"))
     best = F.max_by("trial", F.struct("inliers", F.negative("sse"), F.negative("trial")))
     return total.groupBy(key, "axis").agg(best.alias("trial"))
@@ -201,7 +232,7 @@ def ransac_linear_fit(points: DataFrame, row: str, threshold: float = 0.5, trial
         w = np.stack([np.linalg.lstsq(x[p], y[p], rcond=None)[0].T.ravel() for p in picks])
         return pd.DataFrame({key: pool[key].iloc[0], "trial": np.arange(trials, dtype=np.int32), "w": w.tolist()})
 
-    models = _pool(points, key, row, POOL).groupBy(key).applyInPandas(draw, f"{key} {kind}, trial int, w array<double>")
+    models = kept(_pool(points, key, row, POOL).groupBy(key).applyInPandas(draw, f"{key} {kind}, trial int, w array<double>"))
 
     def judge(pts: pd.DataFrame, w: np.ndarray):
         x = np.column_stack([pts[list(FEATURES)].to_numpy(float), np.ones(len(pts))])
@@ -252,7 +283,7 @@ def homography_fit(matches: DataFrame, row: str, threshold: float = 3.0, trials:
             out.append((np.linalg.inv(tb) @ h @ ta).ravel().tolist())
         return pd.DataFrame({key: pool[key].iloc[0], "trial": np.arange(trials, dtype=np.int32), "w": out})
 
-    models = _pool(matches, key, row, POOL).groupBy(key).applyInPandas(draw, f"{key} {kind}, trial int, w array<double>")
+    models = kept(_pool(matches, key, row, POOL).groupBy(key).applyInPandas(draw, f"{key} {kind}, trial int, w array<double>"))
 
     def judge(pts: pd.DataFrame, w: np.ndarray):
         p = pts[names].to_numpy(float)
@@ -317,9 +348,9 @@ def reprojection_stats(matches: DataFrame, key: str = "calibration_id") -> DataF
 
 def equal_bins(values: DataFrame, value: str, bins: int) -> DataFrame:
     """(bin, n) of `bins` equal bins between the least and the largest value; the largest falls into the last. Empty bins are left out."""
-    ends = values.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    placed = values.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends))  # one row
-    at = F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)
+    low, high = values.agg(F.min(value), F.max(value)).first()
+    placed = values.where(F.col(value).isNotNull())
+    at = F.floor((F.col(value) - F.lit(low)) / F.nullif(F.lit(high) - F.lit(low), F.lit(0.0)) * bins)
     return placed.groupBy(F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 

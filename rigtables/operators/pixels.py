@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rigtables.operators.chunks import lagged
 
-HALF = 0.5
+FRAMES_A_CHUNK = 256
 
 
 def adaptive_vrange(frames: DataFrame, places: DataFrame, q: tuple[float, float] = (97.0, 99.995), rate: float = 0.05) -> DataFrame:
@@ -26,25 +26,37 @@ def adaptive_vrange(frames: DataFrame, places: DataFrame, q: tuple[float, float]
     high ones, cut off to whole numbers. Frames of zeros alone are passed over; recordings of such have no row.
     """
     some = frames.join(places.where(F.col("place") % max(1, int(1 / rate)) == 0), ["recording_id", "frame_id"])
-    bright = some.select("recording_id", "frame_id", F.explode(F.filter("px", lambda v: v > 0)).alias("v"))
-    each = bright.groupBy("recording_id", "frame_id").agg(*(F.percentile("v", F.lit(p / 100)).alias(n) for p, n in zip(q, ("lo", "hi"), strict=True)))
+    bright = some.select("recording_id", F.array_sort(F.filter("px", lambda v: v > 0)).alias("_s")).where(F.size("_s") > 0)
+    each = bright.select("recording_id", *(percentile_of("_s", p).alias(n) for p, n in zip(q, ("lo", "hi"), strict=True)))
     return each.groupBy("recording_id").agg(F.percentile("lo", F.lit(0.5)).cast("long").alias("vmin"), F.percentile("hi", F.lit(0.95)).cast("long").alias("vmax"))
 
 
+def percentile_of(ordered: str, q: float) -> Column:
+    """The q-th percentile of a sorted array that isn't empty, on the line between the two values around."""
+    place = (F.size(ordered) - 1) * (q / 100)
+    low = F.floor(place).cast("int")
+    lower, upper = (F.get(ordered, k).cast("double") for k in (low, F.ceil(place).cast("int")))
+    return lower + (place - low) * (upper - lower)
+
+
 def percentile_stretch(frames: DataFrame, low: float = 10, high: float = 95) -> DataFrame:
     """frames with px stretched from the low to the high percentile onto 0 .. 255, cut off (1e-9 below a whole number is that number); a flat frame is 0."""
-    v = frames.select("recording_id", "frame_id", F.explode("px").alias("v")).groupBy("recording_id", "frame_id")
-    ends = v.agg(F.percentile("v", F.lit(low / 100)).alias("_lo"), F.percentile("v", F.lit(high / 100)).alias("_hi"))
+    ends = frames.withColumn("_s", F.array_sort("px")).withColumns({"_lo": percentile_of("_s", low), "_hi": percentile_of("_s", high)})
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     level = lambda x: F.coalesce(F.least(F.greatest((x - F.col("_lo")) * 255 / width, F.lit(0.0)), F.lit(255.0)), F.lit(0.0))
-    return frames.join(ends, ["recording_id", "frame_id"]).withColumn("px", F.transform("px", lambda x: (level(x) + 1e-9).cast("int"))).drop("_lo", "_hi")
+    return ends.withColumn("px", F.transform("px", lambda x: (level(x) + 1e-9).cast("int"))).drop("_lo", "_hi", "_s")
 
 
 def burst_median_frame(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, px): each pixel's median over the frames of a burst, cut off to whole numbers."""
-    each = frames.select(*keys, F.posexplode("px").alias("at", "v"))
-    middle = each.groupBy(*keys, "at").agg(F.percentile("v", F.lit(HALF)).cast("int").alias("v"))
-    return middle.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("px"))
+    """(keys, px): each pixel's median over the frames of a burst, cut off to whole numbers.
+
+    A burst is the few frames taken at one place, all of one shape; they are put side by side, not their pixels.
+    """
+    bursts = frames.groupBy(*keys).agg(F.collect_list("px").alias("_all"))
+    at = lambda i: F.array_sort(F.transform("_all", lambda px: F.get(px, i)))
+    middle = lambda s: ((F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2).cast("int")
+    values = F.transform(F.sequence(F.lit(0), F.size(F.col("_all")[0]) - 1), at)
+    return bursts.select(*keys, F.transform(values, middle).alias("px"))
 
 
 def pixel_histogram(frames: DataFrame, low: int, high: int, bins: int = 256) -> DataFrame:
@@ -78,13 +90,14 @@ def diff_autocorrelation(before: np.ndarray, frame: np.ndarray) -> float:
 
 
 def successive_frames(frames: DataFrame, within: int | None = None) -> DataFrame:
-    """frames with `previous_px`, the frame before in the recording; only the first `within` frames if that is set."""
+    """frames with `previous_px`, the frame before in the recording; only the first `within` frames if that is set.
+
+    Frames move once, by chunks of FRAMES_A_CHUNK; each chunk's last frame is carried to the next.
+    """
     if within is not None:
         place = frames.select("recording_id", "frame_id").withColumn("_r", F.row_number().over(W.partitionBy("recording_id").orderBy("frame_id"))).where(F.col("_r") <= within).drop("_r")
         frames = frames.join(place, ["recording_id", "frame_id"], "left_semi")
-    ids = lagged(frames.select("recording_id", "frame_id"), "frame_id", "frame_id", "_before", 100_000)
-    earlier = frames.select("recording_id", F.col("frame_id").alias("_before"), F.col("px").alias("previous_px"))
-    return frames.join(ids, ["recording_id", "frame_id"]).join(earlier, ["recording_id", "_before"], "left").drop("_before")
+    return lagged(frames, "frame_id", "px", "previous_px", FRAMES_A_CHUNK)
 
 
 def frame_change(frames: DataFrame, within: int | None = None) -> DataFrame:
@@ -122,7 +135,7 @@ def _per_frame(frames: DataFrame, change: Callable[[np.ndarray, pd.Series], np.n
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [change(np.asarray(r["px"]).reshape(r["height"], r["width"]), r) for r in pdf.to_dict("records")]
-            yield pdf.assign(px=[m.ravel().tolist() for m in made], height=[m.shape[0] for m in made], width=[m.shape[1] for m in made])
+            yield pdf.assign(px=[m.ravel() for m in made], height=[m.shape[0] for m in made], width=[m.shape[1] for m in made])
 
     return frames.mapInPandas(run, schema)
 

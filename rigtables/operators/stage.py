@@ -32,14 +32,21 @@ def interp_stage_linear(frames: DataFrame, log: DataFrame, clock: str = "receive
 
 
 def not_a_knot(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline through (t, y) with not-a-knot ends, extended beyond them; 2 knots give a line, 3 a parabola."""
+    """Cubic spline through (t, y) with not-a-knot ends, extended beyond them; 2 knots give a line, 3 a parabola.
+
+    y may have several columns, which are fitted in one sweep.
+    """
     n = len(t)
     t0, scale = t[0], float(t[-1] - t[0]) or 1.0
     u, v = (t - t0) / scale, (at - t0) / scale
+    if y.ndim == 2 and n <= 3:
+        return np.column_stack([not_a_knot(t, c, at) for c in y.T])
     if n <= 3:
         return np.polyval(np.polyfit(u, y, n - 1), v)
-    h, d = np.diff(u), np.diff(y) / np.diff(u)
-    low, mid, high, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(d)
+    wide = (slice(None), None) if y.ndim == 2 else slice(None)
+    h = np.diff(u)
+    d = np.diff(y, axis=0) / h[wide]
+    low, mid, high, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(d, axis=0)
     a, b = h[0] / h[1], h[-1] / h[-2]  # the third derivative goes on over the second and last but one knot
     mid[0] += h[0] * (1 + a)
     high[0] -= h[0] * a
@@ -49,13 +56,13 @@ def not_a_knot(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
         w = low[i] / mid[i - 1]
         mid[i] -= w * high[i - 1]
         right[i] -= w * right[i - 1]
-    m = np.zeros(n)
+    m = np.zeros_like(y, float)
     m[n - 2] = right[-1] / mid[-1]
     for i in range(n - 4, -1, -1):
         m[i + 1] = (right[i] - high[i] * m[i + 2]) / mid[i]
     m[0], m[-1] = m[1] * (1 + a) - m[2] * a, m[-2] * (1 + b) - m[-3] * b
     k = np.clip(np.searchsorted(u, v, side="right") - 1, 0, n - 2)
-    x, step = v - u[k], h[k]
+    x, step = (v - u[k])[wide], h[k][wide]
     return y[k] + x * (d[k] - step * (2 * m[k] + m[k + 1]) / 6 + x * (m[k] / 2 + x * (m[k + 1] - m[k]) / (6 * step)))
 
 
@@ -88,7 +95,8 @@ def interp_stage_cubic(frames: DataFrame, log: DataFrame, clock: str = "received
         out = asked_for.drop(columns="_chunk")
         if not len(out):
             return out.assign(x_pos_mm_interp=[], y_pos_mm_interp=[])
-        return out.assign(**{f"{c}_interp": not_a_knot(t, samples[c].to_numpy(float), at) for c in ("x_pos_mm", "y_pos_mm")})
+        x_y = not_a_knot(t, samples[["x_pos_mm", "y_pos_mm"]].to_numpy(float), at)
+        return out.assign(x_pos_mm_interp=x_y[:, 0], y_pos_mm_interp=x_y[:, 1])
 
     by = ["recording_id", "_chunk"]
     return asked.groupBy(*by).cogroup(pieces.groupBy(*by)).applyInPandas(fit, schema)
