@@ -13,7 +13,7 @@ from rigtables.operators.jobs import trial_lifecycle
 from rigtables.operators.stage import latest_position
 from rigtables.sources.readers import SIDECAR, recording_of
 
-FIRST_WINDOW_S, WINDOW_S, HEARTBEAT_TIMEOUT_S = 2, 60, 120
+FIRST_WINDOW_S, WINDOW_S, HEARTBEAT_TIMEOUT_S, IDLE_S = 2, 60, 120, 86_400
 
 
 def stream_frame_metadata(spark: SparkSession, glob: str, depth: int = 2, files: int = 10_000) -> DataFrame:
@@ -36,31 +36,48 @@ def saver_perf_grid(saves: DataFrame, seconds: int = WINDOW_S, late: str = "10 m
 
 
 class SaverWindows(StatefulProcessor):
-    """Windows that restart at the save which closes them: 2 s first, then 60 s; that save is still counted."""
+    """Windows that restart at the save which closes them: 2 s first, then 60 s; that save is still counted.
+
+    Saves of one batch count in the order of their time, then duration and queue. With processing time a session
+    without a save for IDLE_S is forgotten.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getValueState("window", "start_us long, first boolean, n long, save_us long, queue long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start, first, n, save, queue = self.window.get() if self.window.exists() else (None, True, 0, 0, 0)
         out = []
-        for r in pd.concat(list(rows)).sort_values("at_us").itertuples(index=False):
+        for r in pd.concat(list(rows)).sort_values(["at_us", "save_us", "queue_length"]).itertuples(index=False):
             start = r.at_us if start is None else start
             n, save, queue = n + 1, save + int(r.save_us), queue + int(r.queue_length)
             if r.at_us - start >= (FIRST_WINDOW_S if first else WINDOW_S) * 1_000_000:
                 out.append((key[0], start, r.at_us, n, save // n, queue / n))
                 start, first, n, save, queue = r.at_us, False, 0, 0, 0
         self.window.update((start, first, n, save, queue))
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if now >= 0:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(now + IDLE_S * 1000)
         yield pd.DataFrame(out, columns=["session", "start_us", "end_us", "n", "mean_save_us", "mean_queue_length"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        yield pd.DataFrame({"session": [], "start_us": [], "end_us": [], "n": [], "mean_save_us": [], "mean_queue_length": []})
+
     def close(self) -> None:
         pass
 
 
-def saver_perf_windows(saves: DataFrame) -> DataFrame:
-    """(session, start_us, end_us, n, mean_save_us, mean_queue_length); saves: (session long, at_us, save_us, queue_length)."""
+def saver_perf_windows(saves: DataFrame, forget: bool = False) -> DataFrame:
+    """(session, start_us, end_us, n, mean_save_us, mean_queue_length); saves: (session long, at_us, save_us, queue_length).
+
+    `forget` drops the state of sessions that have been idle for a day; for streams that never end.
+    """
     out = "session long, start_us long, end_us long, n long, mean_save_us long, mean_queue_length double"
-    return saves.groupBy("session").transformWithStateInPandas(SaverWindows(), outputStructType=out, outputMode="Append", timeMode="None")
+    return saves.groupBy("session").transformWithStateInPandas(SaverWindows(), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if forget else "None")
 
 
 class Heartbeats(StatefulProcessor):
@@ -103,9 +120,13 @@ def latest_stage_position(log: DataFrame) -> DataFrame:
     return latest_position(log)
 
 
-def stream_partial_groups(frames: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Groups of three frames by id, whole or partial once the watermark has passed them; frames: (recording_id, frame_id, at)."""
-    own = F.window("at", "1 hour").alias("w")
+def stream_partial_groups(frames: DataFrame, late: str = "10 seconds", quiet: str = "1 minute") -> DataFrame:
+    """Groups of three frames by id; frames: (recording_id, frame_id, at).
+
+    A group ends, whole or partial, once `quiet` has passed without a frame of it and the watermark is beyond that,
+    whatever the clock says; so a frame that comes later still starts a partial group of its own.
+    """
+    own = F.session_window("at", quiet).alias("w")
     got = frames.withWatermark("at", late) if frames.isStreaming else frames
     grouped = got.groupBy("recording_id", F.expr("frame_id div 3").alias("group_id"), own)
     return grouped.agg(F.count("*").alias("num_valid"), F.sort_array(F.collect_list("frame_id")).alias("frame_ids")).drop("w")
