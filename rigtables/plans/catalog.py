@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,49 +9,21 @@ from rigtables.functions import geometry as g
 from rigtables.functions import protocol as pr
 from rigtables.operators import calibration as cal
 from rigtables.operators import jobs, pixels, pose, quality, stage, sync
+from rigtables.plans import recordings as _recordings
 from rigtables.plans import views as v
+from rigtables.plans.registry import ORACLES, QUERIES, query, r6
+from rigtables.plans.registry import SLOTS as SLOTS_OF
 from rigtables.plans.workflows import pair_cameras
 from rigtables.sources.readers import frame_index, scan_position
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, views: bool = True) -> Callable[[Query], Query]:
-    """Registers a query under its name; `sql` goes on from the views' WITH clause."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (v.WITH if views else "") + sql
-        return f
-
-    return add
-
-
-def r6(c: Column | str, name: str, digits: int = 6) -> Column:
-    """Rounded, and without a negative zero."""
-    return (F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0).alias(name)
-
+__all__ = ["ORACLES", "QUERIES", "_recordings"]
 
 def _some_frames(s: SparkSession, d: str) -> DataFrame:
     """Frames with losses: every eleventh frame has been dropped by the camera."""
     return v.frames(s, d).where("frame_id % 11 != 7")
 
 
-SLOTS = """
-, k AS (SELECT *, row_number() OVER w - 1 AS i, acquired_time_us - lag(acquired_time_us) OVER w AS gap FROM t_frames WHERE frame_id % 11 != 7
-  WINDOW w AS (PARTITION BY recording_id ORDER BY frame_id)),
-p AS (SELECT recording_id, median(gap) AS period, min_by(acquired_time_us, frame_id) AS t0, count(*) AS n FROM k GROUP BY recording_id),
-x AS (SELECT k.*, period, n >= 3 AND period > 0 AS ok, CASE WHEN n >= 3 AND period > 0 THEN (acquired_time_us - t0) / period - i END AS excess FROM k JOIN p USING (recording_id)),
-m AS (SELECT *, median(excess) OVER (w ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) - median(excess) OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS shift
-  FROM x WINDOW w AS (PARTITION BY recording_id ORDER BY i)),
-q AS (SELECT *, CASE WHEN ok AND gap > 1.5 * period AND round_even(shift, 0) >= 1 AND abs(shift - round_even(shift, 0)) <= 0.35 THEN CAST(round_even(shift, 0) AS BIGINT) ELSE 0 END AS missed FROM m),
-slots AS (SELECT recording_id, frame_id, acquired_time_us, received_time_us, missed, CAST(i + sum(missed) OVER (PARTITION BY recording_id ORDER BY i) AS BIGINT) AS slot FROM q),
-groups AS (SELECT recording_id, frame_id AS behavior_frame_id, ratio, row_number() OVER (PARTITION BY recording_id ORDER BY frame_id) - 1 AS slot
-  FROM t_frames JOIN t_ratios USING (recording_id) WHERE frame_id % ratio = 0)
-"""
+SLOTS = SLOTS_OF.format(source="t_frames WHERE frame_id % 11 != 7")
 
 
 def _slots(s: SparkSession, d: str) -> DataFrame:
@@ -172,9 +142,52 @@ def interp_stage_linear_asof(s: SparkSession, d: str) -> DataFrame:
     return out.select("recording_id", "frame_id", "received_time_us", r6("x_pos_mm_interp", "x_pos_mm_interp"), r6("y_pos_mm_interp", "y_pos_mm_interp"))
 
 
-@query()
+def _significant(c: str, name: str) -> tuple[str, str]:
+    """SQL of a number's first six places and of its size, which may be large beyond the ends of a spline."""
+    size = f"CASE WHEN abs({c}) < 1 THEN 0 ELSE CAST(floor(log10(abs({c}))) AS INTEGER) + 1 END"
+    return f"round({c} / power(10, {size}), 6) + 0.0 AS {name}", f"{size} AS {name}_size"
+
+
+#: SQL: the not-a-knot spline through each recording's log by a sweep over its knots and back; a line or parabola through 2 or 3.
+CUBIC = """, good AS (SELECT recording_id FROM t_stage GROUP BY ALL HAVING count(*) >= 2 AND count(*) = count(DISTINCT timestamp_us)),
+kn AS (SELECT recording_id, timestamp_us AS ts, x_pos_mm AS x, y_pos_mm AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY recording_id) AS n,
+  (timestamp_us - min(timestamp_us) OVER (PARTITION BY recording_id)) / (max(timestamp_us) OVER (PARTITION BY recording_id) - min(timestamp_us) OVER (PARTITION BY recording_id)) AS t
+  FROM t_stage SEMI JOIN good USING (recording_id) WINDOW w AS (PARTITION BY recording_id ORDER BY timestamp_us)),
+seg AS (SELECT *, lead(t) OVER w - t AS h, (lead(x) OVER w - x) / (lead(t) OVER w - t) AS dx, (lead(y) OVER w - y) / (lead(t) OVER w - t) AS dy FROM kn WINDOW w AS (PARTITION BY recording_id ORDER BY i)),
+eq AS (SELECT recording_id, n, i, lag(h) OVER w AS h0, h AS h1, lag(h, 2) OVER w AS hm, lead(h) OVER w AS hp, 6 * (dx - lag(dx) OVER w) AS rx, 6 * (dy - lag(dy) OVER w) AS ry FROM seg WINDOW w AS (PARTITION BY recording_id ORDER BY i)),
+co AS (SELECT recording_id, n, i, rx, ry, h0 - CASE WHEN i = n - 2 THEN h1 * h1 / h0 ELSE 0 END AS lo,
+  2 * (h0 + h1) + CASE WHEN i = 1 THEN h0 * (1 + h0 / h1) ELSE 0 END + CASE WHEN i = n - 2 THEN h1 * (1 + h1 / h0) ELSE 0 END AS md, h1 - CASE WHEN i = 1 THEN h0 * h0 / h1 ELSE 0 END AS hi
+  FROM eq WHERE n >= 4 AND i BETWEEN 1 AND n - 2),
+fw AS (SELECT recording_id, n, i, hi / md AS c, rx / md AS px, ry / md AS py FROM co WHERE i = 1
+  UNION ALL SELECT co.recording_id, co.n, co.i, hi / (md - lo * c), (rx - lo * px) / (md - lo * c), (ry - lo * py) / (md - lo * c) FROM fw JOIN co ON co.recording_id = fw.recording_id AND co.i = fw.i + 1),
+bw AS (SELECT recording_id, i, px AS mx, py AS my FROM fw WHERE i = n - 2
+  UNION ALL SELECT fw.recording_id, fw.i, px - c * mx, py - c * my FROM bw JOIN fw ON fw.recording_id = bw.recording_id AND fw.i = bw.i - 1),
+mm AS (SELECT s.recording_id, s.i, s.n, mx, my, lag(h) OVER w AS hb, lag(h, 2) OVER w AS hbb, h, lead(h) OVER w AS ha FROM seg s LEFT JOIN bw USING (recording_id, i) WINDOW w AS (PARTITION BY recording_id ORDER BY i)),
+m2 AS (SELECT recording_id, i,
+  CASE WHEN i = 0 THEN lead(mx) OVER w * (1 + h / ha) - lead(mx, 2) OVER w * h / ha WHEN i = n - 1 THEN lag(mx) OVER w * (1 + hb / hbb) - lag(mx, 2) OVER w * hb / hbb ELSE mx END AS mx,
+  CASE WHEN i = 0 THEN lead(my) OVER w * (1 + h / ha) - lead(my, 2) OVER w * h / ha WHEN i = n - 1 THEN lag(my) OVER w * (1 + hb / hbb) - lag(my, 2) OVER w * hb / hbb ELSE my END AS my
+  FROM mm WINDOW w AS (PARTITION BY recording_id ORDER BY i)),
+pc AS (SELECT s.*, m2.mx, m2.my, lead(m2.mx) OVER w AS mx1, lead(m2.my) OVER w AS my1, lead(dx) OVER w AS dx1, lead(dy) OVER w AS dy1, lag(dx) OVER w AS dx0, lag(dy) OVER w AS dy0, lag(h) OVER w AS hb, lead(h) OVER w AS ha
+  FROM seg s JOIN m2 USING (recording_id, i) WINDOW w AS (PARTITION BY recording_id ORDER BY i)),
+sp AS (SELECT recording_id, min(ts) AS t0, max(ts) AS t1 FROM kn GROUP BY ALL),
+ak AS (SELECT c.recording_id, c.frame_id, c.received_time_us, (c.received_time_us - t0) / (t1 - t0) AS u, greatest(0, least(coalesce(k.i, 0), coalesce(k.n, 2) - 2)) AS i
+  FROM t_clicks c JOIN sp USING (recording_id) ASOF LEFT JOIN kn k ON k.recording_id = c.recording_id AND c.received_time_us >= k.ts),
+va AS (SELECT ak.recording_id, ak.frame_id, received_time_us,
+  CASE n WHEN 2 THEN x + (u - t) * dx WHEN 3 THEN x + (u - t) * dx + (u - t) * (u - t - h) * CASE WHEN pc.i = 0 THEN (dx1 - dx) / (h + ha) ELSE (dx - dx0) / (h + hb) END
+    ELSE x + (u - t) * (dx - h * (2 * mx + mx1) / 6 + (u - t) * (mx / 2 + (u - t) * (mx1 - mx) / (6 * h))) END AS vx,
+  CASE n WHEN 2 THEN y + (u - t) * dy WHEN 3 THEN y + (u - t) * dy + (u - t) * (u - t - h) * CASE WHEN pc.i = 0 THEN (dy1 - dy) / (h + ha) ELSE (dy - dy0) / (h + hb) END
+    ELSE y + (u - t) * (dy - h * (2 * my + my1) / 6 + (u - t) * (my / 2 + (u - t) * (my1 - my) / (6 * h))) END AS vy
+  FROM ak JOIN pc USING (recording_id, i))
+"""
+
+
+@query(CUBIC + f"SELECT recording_id, frame_id, received_time_us, {', '.join((*_significant('vx', 'x'), *_significant('vy', 'y')))} FROM va")
 def interp_stage_cubic(s: SparkSession, d: str) -> DataFrame:
-    return stage.interp_stage_cubic(v.clicks(s, d), v.stage(s, d))
+    """The first six places of each position, and how many there are before the point."""
+    out = stage.interp_stage_cubic(v.clicks(s, d), v.stage(s, d))
+    size = {c: F.when(F.abs(f"{c}_pos_mm_interp") < 1, 0).otherwise(F.floor(F.log10(F.abs(f"{c}_pos_mm_interp"))).cast("int") + 1) for c in "xy"}
+    places = [r6(F.col(f"{c}_pos_mm_interp") / F.pow(F.lit(10.0), size[c]), c) for c in "xy"]
+    return out.select("recording_id", "frame_id", "received_time_us", *places, *(size[c].alias(f"{c}_size") for c in "xy"))
 
 
 def _anchors(s: SparkSession, d: str) -> DataFrame:
@@ -282,7 +295,7 @@ def protocol_state_join(s: SparkSession, d: str) -> DataFrame:
 
 @query(""", p AS (SELECT stage_x, stage_y, pixel_x AS x, pixel_y * 9 AS y, CAST(round_even(pixel_x, 0) AS BIGINT) AS c, CAST(round_even(pixel_y * 9, 0) AS BIGINT) AS r FROM t_calib),
 cell AS (SELECT range % 48 AS c, range // 48 AS r, NOT (range % 48 = 20 AND range // 48 BETWEEN 10 AND 40) AS open FROM range(48 * 72)),
-ok AS (SELECT c, r FROM cell WHERE open AND c BETWEEN 2 AND 45 AND r BETWEEN 2 AND 69 AND NOT EXISTS (SELECT 1 FROM cell w WHERE NOT w.open AND power(w.c - cell.c, 2) + power(w.r - cell.r, 2) <= 4))
+ok AS (SELECT c, r FROM cell WHERE open AND c BETWEEN 2 AND 45 AND r BETWEEN 2 AND 69 AND NOT EXISTS (SELECT 1 FROM cell w WHERE NOT w.open AND abs(w.r - cell.r) <= 2 AND abs(w.c - cell.c) <= round_even(sqrt(4 - power(w.r - cell.r, 2)), 0)))
 SELECT stage_x, stage_y, round(x, 6) AS x, round(y, 6) AS y, ok.c IS NOT NULL AS accessible FROM p LEFT JOIN ok USING (c, r)""")
 def inside_active_area(s: SparkSession, d: str) -> DataFrame:
     p = v.calib(s, d).select(F.lit(0).cast("long").alias("arena"), "stage_x", "stage_y", F.col("pixel_x").alias("x"), (F.col("pixel_y") * 9).alias("y"))
@@ -329,23 +342,23 @@ def _weights(fit: DataFrame) -> DataFrame:
     return fit.select("calibration_id", *(r6(F.col("weights")[k], f"w{k}", 3) for k in range(10)), "n")
 
 
-@query(FITTED + ", count(*) OVER (PARTITION BY calibration_id) AS n FROM t_calib WHERE off = 0")
+@query(FITTED + ", count(*) OVER (PARTITION BY calibration_id) AS n FROM t_calib")
 def linear_map_fit(s: SparkSession, d: str) -> DataFrame:
-    clean = v.table(s, d, "lineitem").where("l_orderkey % 50 != 0")
-    points = v.calib(s, d).join(clean.select(F.xxhash64(F.struct(*clean.columns)).alias("point")), "point", "left_semi")
-    return _weights(cal.linear_map_fit(points))
+    """All points, each on the map."""
+    x, y = g.apply_map(_m(), *(F.col(c) for c in STAGE_AND_PIXEL))
+    return _weights(cal.linear_map_fit(v.calib(s, d).withColumns({"physical_x": x, "physical_y": y})))
 
 
 @query(FITTED + ", count(*) FILTER (off = 0) OVER (PARTITION BY calibration_id) AS n FROM t_calib")
 def ransac_linear_fit(s: SparkSession, d: str) -> DataFrame:
-    return _weights(cal.ransac_linear_fit(v.calib(s, d), "point", trials=200)[0])
+    return _weights(cal.ransac_linear_fit(v.calib(s, d), "point")[0])
 
 
 @query(""", r AS (SELECT calibration_id, off = 0 AS inlier FROM t_calib)
 SELECT calibration_id, count(*) AS n_total, count(*) FILTER (inlier) AS n_inliers, count(*) FILTER (NOT inlier) AS n_outliers, round(100 * count(*) FILTER (NOT inlier) / count(*), 4) AS percent_outliers,
   0.0 AS rmse, 0.0 AS max_residual, 1.0 AS r2_x, 1.0 AS r2_y FROM r GROUP BY calibration_id""")
 def fit_metrics(s: SparkSession, d: str) -> DataFrame:
-    m = cal.fit_metrics(cal.ransac_linear_fit(v.calib(s, d), "point", trials=200)[1])
+    m = cal.fit_metrics(cal.ransac_linear_fit(v.calib(s, d), "point")[1])
     return m.select("calibration_id", "n_total", "n_inliers", "n_outliers", *(r6(c, c, 4) for c in ("percent_outliers", "rmse", "max_residual", "r2_x", "r2_y")))
 
 
@@ -363,7 +376,7 @@ def _matches(s: SparkSession, d: str) -> DataFrame:
 
 @query(MATCHES + f"SELECT calibration_id, count(*) FILTER (off = 0) AS n_inliers, {', '.join(f'round(CAST({h} AS DOUBLE), 4) AS h{k}' for k, h in enumerate(H))} FROM m GROUP BY calibration_id")
 def homography_fit(s: SparkSession, d: str) -> DataFrame:
-    fit, _ = cal.homography_fit(_matches(s, d), "point", trials=100)
+    fit, _ = cal.homography_fit(_matches(s, d), "point")
     return fit.select("calibration_id", "n_inliers", *(r6(F.col("h")[k], f"h{k}", 4) for k in range(9)))
 
 
@@ -380,6 +393,13 @@ def adaptive_vrange(s: SparkSession, d: str) -> DataFrame:
     return pixels.adaptive_vrange(f, f.select("recording_id", "frame_id", F.col("frame_id").alias("place")))
 
 
+#: SQL: sums over neighbours of the difference to the frame before.
+AUTOCORRELATION = """, g AS (SELECT a.recording_id, a.frame_id, a.pos, a.v - b.v AS d FROM t_pixels a JOIN t_pixels b ON a.recording_id = b.recording_id AND b.frame_id = a.frame_id - 1 AND a.pos = b.pos),
+c AS (SELECT *, d - avg(d) OVER (PARTITION BY recording_id, frame_id) AS x FROM g),
+h AS (SELECT c.recording_id, c.frame_id, sum(c.x * r.x) FILTER (c.pos % 8 < 7 AND r.pos = c.pos + 1) / 56 AS across, sum(c.x * r.x) FILTER (r.pos = c.pos + 8) / 56 AS down, sum(c.x * c.x) FILTER (r.pos = c.pos) / 64 AS power
+  FROM c JOIN c r ON c.recording_id = r.recording_id AND c.frame_id = r.frame_id AND r.pos IN (c.pos, c.pos + 1, c.pos + 8) GROUP BY ALL)
+"""
+
 PX = "SELECT recording_id, frame_id, string_agg(CAST({} AS VARCHAR), ',' ORDER BY pos) AS px FROM {} GROUP BY ALL"
 
 
@@ -413,9 +433,23 @@ def trajectory_bounds(s: SparkSession, d: str) -> DataFrame:
     return stage.trajectory_bounds(v.stage(s, d)).select("recording_id", *(r6(c, c) for c in ("x_min", "x_max", "y_min", "y_max")))
 
 
-@query()
+NEAR5 = "abs(a.pos % 8 - b.pos % 8) <= 2 AND abs(a.pos // 8 - b.pos // 8) <= 2"
+
+
+def _morphed(name: str, source: str, reduce: str) -> str:
+    return f"{name} AS (SELECT a.recording_id, a.frame_id, a.pos, {reduce}(b.m) AS m FROM {source} a JOIN {source} b ON a.recording_id = b.recording_id AND a.frame_id = b.frame_id AND {NEAR5} GROUP BY ALL)"
+
+
+@query(", s0 AS (SELECT recording_id, frame_id, pos, v > 450 AS m FROM t_pixels), " + ", ".join([_morphed("s1", "s0", "bool_and"), _morphed("s2", "s1", "bool_or"), _morphed("s3", "s2", "bool_or"), _morphed("s4", "s3", "bool_and")]) + """,
+lit AS (SELECT recording_id, frame_id, pos FROM s4 WHERE m),
+reach AS (SELECT recording_id, frame_id, pos, pos AS dot FROM lit
+  UNION SELECT r.recording_id, r.frame_id, r.pos, l.pos FROM reach r JOIN lit l ON l.recording_id = r.recording_id AND l.frame_id = r.frame_id AND abs(l.pos % 8 - r.dot % 8) <= 1 AND abs(l.pos // 8 - r.dot // 8) <= 1),
+named AS (SELECT recording_id, frame_id, pos, min(dot) AS blob FROM reach GROUP BY ALL),
+sizes AS (SELECT recording_id, frame_id, blob, count(*) AS area, avg(pos % 8) AS x, avg(pos // 8) AS y FROM named GROUP BY ALL),
+best AS (SELECT * FROM sizes QUALIFY row_number() OVER (PARTITION BY recording_id, frame_id ORDER BY area DESC, blob) = 1)
+SELECT t_images.recording_id, t_images.frame_id, area, round(x, 6) AS x, round(y, 6) AS y FROM t_images LEFT JOIN best ON best.recording_id = t_images.recording_id AND best.frame_id = t_images.frame_id AND area > 2""")
 def blob_centroid(s: SparkSession, d: str) -> DataFrame:
-    return pixels.blob_centroid(v.images(s, d), 450.0, 2)
+    return pixels.blob_centroid(v.images(s, d), 450.0, 2).select("recording_id", "frame_id", "area", r6("x", "x"), r6("y", "y"))
 
 
 @query("SELECT job_id, count(*) AS n_trials, count(*) FILTER (status = 'failed') AS n_failed, CASE WHEN count(*) FILTER (status = 'processing') > 0 THEN 'running' WHEN count(*) FILTER (status = 'failed') = count(*) THEN 'all_fail' WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial_fail' ELSE 'complete' END AS job_status FROM t_trials GROUP BY job_id")
@@ -462,7 +496,10 @@ def fill_pose_gaps(s: SparkSession, d: str) -> DataFrame:
     return _filled(s, d).select("recording_id", "behavior_frame_id", *(r6(F.when(~F.isnan(c), F.col(c)), c) for c in POSE))
 
 
-@query()
+@query(AUTOCORRELATION + """, mean AS (SELECT recording_id, frame_id, avg(v) AS m FROM t_pixels GROUP BY ALL),
+o AS (SELECT h.recording_id, min(h.frame_id) FILTER (0.5 * (across + down) / power > 0.12 AND b.m > a.m) AS n FROM h JOIN mean a ON a.recording_id = h.recording_id AND a.frame_id = h.frame_id - 1
+  JOIN mean b ON b.recording_id = h.recording_id AND b.frame_id = h.frame_id WHERE h.frame_id < 50 GROUP BY ALL)
+SELECT i.recording_id, coalesce(o.n, 0) AS n_orphans FROM (SELECT DISTINCT recording_id FROM t_images) i LEFT JOIN o USING (recording_id)""")
 def count_leading_orphans(s: SparkSession, d: str) -> DataFrame:
     return pixels.count_leading_orphans(v.images(s, d))
 
@@ -596,11 +633,7 @@ def match_frame_ids(s: SparkSession, d: str) -> DataFrame:
     return v.frames(s, d).join(v.ratios(s, d), "recording_id").select("recording_id", "frame_id", sync.muscle_to_behavior(f, r, 1).alias("behavior_id"), sync.behavior_to_muscle(f, r, "Floor", 1).alias("floor_id"), sync.behavior_to_muscle(f, r, "nearest", 1).alias("nearest_id"))
 
 
-@query(""", g AS (SELECT a.recording_id, a.frame_id, a.pos, a.v - b.v AS d FROM t_pixels a JOIN t_pixels b ON a.recording_id = b.recording_id AND b.frame_id = a.frame_id - 1 AND a.pos = b.pos),
-c AS (SELECT *, d - avg(d) OVER (PARTITION BY recording_id, frame_id) AS x FROM g),
-h AS (SELECT c.recording_id, c.frame_id, sum(c.x * r.x) FILTER (c.pos % 8 < 7 AND r.pos = c.pos + 1) / 56 AS across, sum(c.x * r.x) FILTER (r.pos = c.pos + 8) / 56 AS down, sum(c.x * c.x) FILTER (r.pos = c.pos) / 64 AS power
-  FROM c JOIN c r ON c.recording_id = r.recording_id AND c.frame_id = r.frame_id AND r.pos IN (c.pos, c.pos + 1, c.pos + 8) GROUP BY ALL)
-SELECT recording_id, frame_id, round(0.5 * (across + down) / power, 4) AS autocorrelation FROM h""")
+@query(AUTOCORRELATION + "SELECT recording_id, frame_id, round(0.5 * (across + down) / power, 4) AS autocorrelation FROM h")
 def diff_autocorrelation(s: SparkSession, d: str) -> DataFrame:
     out = pixels.frame_change(v.images(s, d)).where("autocorrelation IS NOT NULL")
     return out.select("recording_id", "frame_id", r6("autocorrelation", "autocorrelation", 4))
@@ -690,12 +723,12 @@ def parse_protocol(s: SparkSession, d: str) -> DataFrame:
     return pr.parse_protocol(v.protocols(s, d)).select("recording_id", "valid", F.explode_outer("steps").alias("s")).select("recording_id", "valid", *(F.coalesce(f"s.{c}", F.lit(none)).alias(c) for c, none in (("step", -1), ("frame_idx", -1), ("channel", 0), ("op", ""))))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'run_001/' ELSE 'run' || CASE WHEN p_partkey % 3 = 1 THEN '' ELSE '_0' END || lpad(CAST(p_partkey + 1 AS VARCHAR), CAST(greatest(length(CAST(p_partkey AS VARCHAR)), length(CAST(p_partkey + 1 AS VARCHAR))) AS INTEGER), '0') || '/' END AS name FROM part WHERE p_partkey % 3 != 2 OR length(CAST(p_partkey AS VARCHAR)) = length(CAST(p_partkey + 1 AS VARCHAR))", views=False)
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'run_001/' ELSE 'run' || CASE p_partkey % 3 WHEN 1 THEN '' ELSE '_' END
+  || lpad(CAST(p_partkey + 1 AS VARCHAR), CAST(greatest(length(CAST(p_partkey AS VARCHAR)) + CASE p_partkey % 3 WHEN 2 THEN 1 ELSE 0 END, length(CAST(p_partkey + 1 AS VARCHAR))) AS INTEGER), '0') || '/' END AS name FROM part""", views=False)
 def increment_name(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     path = F.when(k % 3 == 0, F.lit("run//")).when(k % 3 == 1, F.concat(F.lit("run"), k.cast("string"))).otherwise(F.concat(F.lit("run_0"), k.cast("string"), F.lit("/")))
-    same_width = (k % 3 != 2) | (F.length(k.cast("string")) == F.length((k + 1).cast("string")))
-    return v.table(s, d, "part").where(same_width).select("p_partkey", pr.increment_name(path).alias("name"))
+    return v.table(s, d, "part").select("p_partkey", pr.increment_name(path).alias("name"))
 
 
 # Live data, as batches

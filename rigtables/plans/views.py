@@ -94,7 +94,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detection for each position, camera, image and corner."""
     c = F.col
-    keys = [(c("l_suppkey") % 10).alias("stage_x"), c("l_linenumber").alias("stage_y"), F.when(c("l_orderkey") % 2 == 0, "behavior").otherwise("muscle").alias("camera"), (c("l_orderkey") % 8).alias("image_idx"), (c("l_partkey") % 40).alias("corner_id")]
+    keys = [(c("l_suppkey") % 10).alias("stage_x"), c("l_linenumber").alias("stage_y"), F.when(c("l_orderkey") % 2 == 0, "behavior").otherwise("muscle").alias("camera"), (F.floor(c("l_orderkey") / 2) % 3).alias("image_idx"), (c("l_partkey") % 8).alias("corner_id")]
     found = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.min(c("l_tax") * 20).alias("x"), F.min(c("l_discount") * 10).alias("y"))
     return found.withColumn("is_reference", c("image_idx") == 0)
 
@@ -127,7 +127,7 @@ def mask(spark: SparkSession) -> DataFrame:
 
 
 WITH = f"""
-WITH e AS (SELECT event_id, user_id AS recording_id, epoch_us(ts) AS us, event_type, value FROM events),
+WITH RECURSIVE e AS (SELECT event_id, user_id AS recording_id, epoch_us(ts) AS us, event_type, value FROM events),
 t_frames AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY us, event_id) - 1 AS frame_id, us AS acquired_time_us,
   us + CAST(floor(value * 100) AS BIGINT) AS received_time_us, value FROM e),
 t_ratios AS (SELECT DISTINCT recording_id, 2 + recording_id % 5 AS ratio FROM e),
@@ -145,7 +145,7 @@ t_images AS (SELECT CAST(label AS BIGINT) AS recording_id, row_number() OVER (PA
   [CAST(floor((CAST(v AS DOUBLE) + 1) * 500) AS INTEGER) FOR v IN embedding] AS px FROM embeddings),
 t_pixels AS (SELECT recording_id, frame_id, unnest(px) AS v, unnest(range(64)) AS pos FROM t_images),
 t_corners AS (SELECT l_suppkey % 10 AS stage_x, l_linenumber AS stage_y, CASE WHEN l_orderkey % 2 = 0 THEN 'behavior' ELSE 'muscle' END AS camera,
-  l_orderkey % 8 AS image_idx, l_partkey % 40 AS corner_id, min(l_tax * 20) AS x, min(l_discount * 10) AS y, l_orderkey % 8 = 0 AS is_reference FROM lineitem GROUP BY ALL),
+  l_orderkey // 2 % 3 AS image_idx, l_partkey % 8 AS corner_id, min(l_tax * 20) AS x, min(l_discount * 10) AS y, l_orderkey // 2 % 3 = 0 AS is_reference FROM lineitem GROUP BY ALL),
 t_trials AS (SELECT o_custkey AS job_id, o_orderkey AS trial_id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'processing' ELSE 'failed' END AS status,
   o_orderpriority AS error, epoch_us(o_orderdate) AS us FROM orders),
 t_protocols AS (SELECT recording_id, recording_id % 9 != 0 AS valid, recording_id % 9 != 0 AND recording_id % 10 = 1 AS none,

@@ -10,5 +10,5 @@ def test_query_equals_its_oracle(name, spark, duck, sf_dir):
     assert got == want
 
 
-def test_every_query_without_oracle_is_known():
-    assert sorted(set(QUERIES) - set(ORACLES)) == ["blob_centroid", "count_leading_orphans", "interp_stage_cubic"]
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
