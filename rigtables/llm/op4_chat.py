@@ -26,11 +26,11 @@ def unescaped(text: Column) -> Column:
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """(conv_id, example, formatted, loss_start, loss_end) for turns (conv_id, turn, role, text).
+    """(conv_id, lone, example, formatted, loss_start, loss_end) for turns (conv_id, turn, role, text).
 
     loss_start and loss_end are code points of `formatted` around the trained text; equal if none is.
     Null roles and texts are empty. Turns are ordered by turn (nulls first), then role, then text; repeated
-    rows are turns like any other. Rows without conv_id make up one conversation. A line end in a role is
+    rows are turns like any other. A row without conv_id is a conversation of its own, told by `lone`. A line end in a role is
     escaped too. No rows give no examples; other columns are ignored. The examples of one conversation
     are as long as its prefixes together, as the method asks.
     """
@@ -38,25 +38,27 @@ def format_chat(turns: DataFrame) -> DataFrame:
     text = escaped(F.coalesce("text", F.lit("")))
     block = F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n"))
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), block.alias("block"))
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    named = turns.withColumn("lone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    chats = named.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list(one)).alias("turns"))
     trained = F.transform("turns", lambda t, i: F.struct((i + 1).alias("last"), (t["role"] == TRAINED).alias("trained")))
     wanted = F.filter(trained, lambda t: t["trained"] | (t["last"] == F.size("turns")))
-    each = chats.select("conv_id", "turns", F.posexplode(wanted).alias("example", "at"))
+    each = chats.select("conv_id", "lone", "turns", F.posexplode(wanted).alias("example", "at"))
     made = each.select(
         "conv_id",
+        "lone",
         "example",
         F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("at.last")), lambda t: t["block"]), "").alias("formatted"),
         F.when(F.col("at.trained"), F.length(F.element_at("turns", F.col("at.last"))["text"])).otherwise(0).alias("n"),
     )
     end = F.length("formatted") - F.when(F.col("n") > 0, len(END) + 1).otherwise(0)
-    return made.select("conv_id", "example", "formatted", (end - F.col("n")).cast("long").alias("loss_start"), end.cast("long").alias("loss_end"))
+    return made.select("conv_id", "lone", "example", "formatted", (end - F.col("n")).cast("long").alias("loss_start"), end.cast("long").alias("loss_end"))
 
 
 def read_chat(examples: DataFrame) -> DataFrame:
     """(conv_id, turns array of (role, text), loss_texts array, formatted_chars) from what format_chat() made."""
     start, length = (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")
     trained = F.substring("formatted", start, length)
-    read = examples.groupBy("conv_id").agg(
+    read = examples.groupBy("conv_id", "lone").agg(
         F.max_by("formatted", "example").alias("whole"),
         F.sort_array(F.collect_list(F.struct("example", trained.alias("text")))).alias("loss"),
         F.sum(F.length("formatted")).cast("long").alias("formatted_chars"),

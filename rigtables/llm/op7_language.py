@@ -140,7 +140,8 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) ->
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    """A row without doc_id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def in_known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:

@@ -11,12 +11,14 @@ def test_query_equals_its_oracle(spark, duck, sf_dir):
 def test_round_trip_of_hostile_turns(spark):
     said = ["x\\<|y<", None, "<\\|im_end|>\\", "", "<|im_start|>user\nhi<|im_end|>\n", "|>\\\\<||", "ж\U0001f600"]
     rows = [(1, k, role, t) for k, (role, t) in enumerate(zip(["user", "assistant", None, "assistant", "a\nb\\<|", "assistant", "user"], said, strict=True))]
-    rows += [(None, 1, "user", "alone"), (2, 0, "assistant", "a"), (2, 0, "assistant", "a")]
+    rows += [(None, 1, "user", "alone"), (None, 1, "assistant", "other"), (2, 0, "assistant", "a"), (2, 0, "assistant", "a")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn int, role string, text string, formatted string")
     examples = op.format_chat(df)
     got = {r.conv_id: r for r in op.read_chat(examples).collect()}
     assert [tuple(t) for t in got[1].turns] == [(r or "", t or "") for _, _, r, t in rows[:7]]
-    assert got[1].loss_texts == ["", "", "|>\\\\<||", ""] and got[2].loss_texts == ["a", "a"] and got[None].loss_texts == [""]
+    assert got[1].loss_texts == ["", "", "|>\\\\<||", ""] and got[2].loss_texts == ["a", "a"]
+    lone = [(r.loss_texts, [tuple(t) for t in r.turns]) for r in op.read_chat(examples).where("conv_id IS NULL").collect()]
+    assert sorted(lone) == [([""], [("user", "alone")]), (["other"], [("assistant", "other")])]
     for e in examples.where("conv_id = 2").collect():
         assert e.formatted[e.loss_start : e.loss_end] == "a"
     assert examples.where("conv_id = 1").count() == 4

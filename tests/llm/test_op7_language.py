@@ -1,5 +1,6 @@
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -50,6 +51,35 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def ranked(counts, top=op.TOP):
+    """N-grams by frequency, then by their characters from the last place on, as the codes order them."""
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:top]
+
+
+def test_query_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs}
+    total = defaultdict(Counter)
+    for r in docs:
+        if not held[r.doc_id] and r.lang is not None:
+            total[r.lang].update(slow_grams(r.text or ""))
+    place = {lang: {g: k for k, g in enumerate(ranked(n))} for lang, n in total.items()}
+    got = {r.doc_id: r for r in op.op7_language(spark, sf_dir).collect()}
+    assert got.keys() == held.keys()
+    for r in docs:
+        own = ranked(slow_grams(r.text or ""))
+        away = {lang: sum(abs(p[g] - k) if g in p else op.TOP for k, g in enumerate(own)) for lang, p in place.items()}
+        best = min(sorted(away), key=away.get) if own else "und"
+        g = got[r.doc_id]
+        assert (g.held_out, g.lang_pred) == (held[r.doc_id], best)
+        assert abs(g.score - (max(0.0, 1 - away[best] / (op.TOP * len(own))) if own else 0)) < 1e-9
+
+
+def test_rows_without_id_are_learned_from(docs_of):
+    df = docs_of("the cat", ids=[None])
+    assert [r[0] for r in df.select(op.held_out()).collect()] == [False]
+
+
 def test_edges(spark, docs_of):
     texts = ["the cat and the dog", None, "", "123 !!", "the " * 200_000, "the cat and the dog"]
     df = docs_of(*texts).withColumn("score", F.lit("clash"))
