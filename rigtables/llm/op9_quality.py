@@ -29,15 +29,17 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
 def text_counts(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and what the rules need besides.
 
-    Repeated 3-word windows are told apart by 64-bit hashes of their words, within one text.
+    3-word windows are told apart by 64-bit hashes of their words, within one text; they are sorted only in texts
+    that repeat one.
     """
     text = F.coalesce("text", F.lit(""))
     df = _held(docs.select("doc_id", text.alias("text")), words=F.filter(F.split("text", SPACE), lambda w: w != ""))
     n = F.size("words")
-    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    windows = F.zip_with(pairs, F.slice("words", F.lit(3), F.greatest(n, F.lit(1))), lambda p, c: F.xxhash64(p["a"], p["b"], c))
-    whole = F.slice(windows, F.lit(1), F.greatest(n - 2, F.lit(0)))
-    df = _held(df, by_window=F.sort_array(F.transform(whole, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    whole = F.transform(F.slice("words", F.lit(3), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(F.get("words", i), F.get("words", i + 1), w))
+    df = _held(df, windows=whole)
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    df = _held(df, by_window=F.when(repeats, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none))
     later = F.slice("by_window", F.lit(2), F.greatest(F.size("by_window"), F.lit(1)))
     same = F.zip_with("by_window", later, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
     df = _held(df, same=same)
@@ -57,7 +59,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
         long(F.size("words")).alias("n_words"),
         long(F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))).alias("word_chars"),
         long(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
-        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
+        long(F.when(F.size("lines") > 1, F.size("lines") - F.size(F.array_distinct("lines"))).otherwise(0)).alias("n_dup_lines"),
         long(covered).alias("n_repeat_words"),
         long(F.size("lines")).alias("n_lines"),
         long(F.size(F.filter("lines", lambda x: F.rlike(x, F.lit(r"[.!?…\"'”»)]\s*$"))))).alias("n_closed_lines"),

@@ -62,3 +62,21 @@ def test_labelled_documents(spark, sf_dir):
     assert sum(fine) / len(fine) > 0.97
     junk = [k.kept for k, q in labels if q == 0]
     assert sum(junk) / len(junk) < 0.5
+
+
+def test_verdicts_by_bayes_over_all_rows(spark, sf_dir):
+    """Votes counted again from the counts of every row; the verdict is the posterior of the fit over these patterns."""
+    vote = lambda good, bad: -1 if bad else 1 if good else 0
+    rows, patterns = op.weak_quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect(), {}
+    for r in rows:
+        n, c, lines = r.n_words, r.word_chars, r.n_lines
+        mean = c / max(n, 1)
+        patterns[r] = (
+            vote(n >= 100, n < 50), vote(3.5 <= mean <= 9, mean < 2.5 or mean > 12 or n == 0), vote(r.n_symbols <= 0.02 * n, r.n_symbols > 0.1 * n),
+            vote(r.n_dup_lines == 0 and lines >= 3, r.n_dup_lines > 0.3 * lines), vote(r.n_repeat_words <= 0.1 * n, r.n_repeat_words > 0.3 * n),
+            vote(r.n_closed_lines >= 0.7 * lines, r.n_closed_lines < 0.3 * lines or lines == 0), vote(r.n_letters >= 0.85 * c, r.n_letters < 0.7 * c or c == 0),
+        )
+    good, rates = op.fit_votes(sorted(Counter(patterns.values()).items()))
+    for r, p in patterns.items():
+        q = op.posterior(p, good, rates)
+        assert r.quality == pytest.approx(q) and r.kept == (not r.base_failed and q >= 0.5)
