@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -109,17 +110,32 @@ def allocate(estimates: np.ndarray, widths: list[int], tau: int, probe_cost: flo
     return out
 
 
-def links(fps: DataFrame, tau: int = 2, m: int = 3, crowd: int = 64) -> DataFrame:
+def groups_for(n: int, tau: int) -> int:
+    """How many groups of bits make probes and expected candidates of n even fingerprints the fewest; groups have 32 bits at most."""
+
+    def cost(m: int) -> float:
+        spare, out = tau - m + 1, 0.0
+        for g in range(m):
+            width, reach = BITS // m + (g < BITS % m), spare // m + (g < spare % m)
+            out += sum(comb(width, d) for d in range(reach + 1)) * (1 + n / 2**width)
+        return out
+
+    return min(range(2, tau + 2), key=cost)
+
+
+def links(fps: DataFrame, tau: int = 2, m: int | None = None, crowd: int = 64) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs within tau bits; fps has fp and rep, each once.
 
     A value of a group that over `crowd` fingerprints share is not paired up. Its fingerprints meet at
     the values between them instead: for tau = 2, two are linked if and only if some value is within one
     bit of both, and at most 65 fingerprints are within one bit of a value. So the crowded part is exact
-    too and grows with the number of fingerprints, not of their pairs.
+    too and grows with the number of fingerprints, not of their pairs. `m` groups of bits; without it as many
+    as suit the number of fingerprints, so that buckets stay small as they grow.
     """
     if tau != 2:
         raise ValueError("values between fingerprints settle crowded buckets for tau = 2 only")
     n = fps.count()
+    m = m or groups_for(n, tau)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BITS, BITS), np.int64)
@@ -146,7 +162,7 @@ def links(fps: DataFrame, tau: int = 2, m: int = 3, crowd: int = 64) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k)), pa.array(v), pa.array(t[v])], names=["k", "v", "c"])
 
     hist = [np.zeros(1 << len(h)) for h in halves]
-    for k, v, c in fps.select("fp").mapInArrow(counts, "k long, v long, c long").groupBy("k", "v").agg(F.sum("c")).collect():  # at most 6 x 2^11 rows
+    for k, v, c in fps.select("fp").mapInArrow(counts, "k long, v long, c long").groupBy("k", "v").agg(F.sum("c")).collect():  # at most 4 x 2^16 rows
         hist[k][v] = c
     near = [_near(h, len(half), tau) for h, half in zip(hist, halves, strict=True)]
     widths = [len(g) for g in groups]
@@ -211,13 +227,5 @@ def simhash_groups(docs: DataFrame, words: int = 3, tau: int = 2) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, tau: int = 2) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id. Rows without doc_id cannot be told apart and stay."""
-    groups = simhash_groups(docs, words, tau)
-    others = groups.where("doc_id != component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

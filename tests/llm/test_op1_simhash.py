@@ -47,11 +47,15 @@ def test_links_lose_none_in_crowds(spark):
     prints = dict(enumerate(fps))
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), d) for d, f in prints.items()], "fp long, rep long")
     want = slow_groups(prints)
-    for crowd in (2, 1000):
-        linked = {r.node: r.component for r in op.connected_components(op.links(df, crowd=crowd)).collect()}
+    for crowd, m in ((2, 3), (1000, 3), (2, 2), (1000, 2)):
+        linked = {r.node: r.component for r in op.connected_components(op.links(df, m=m, crowd=crowd)).collect()}
         assert {d: linked.get(d, d) for d in prints} == want
 
 
+def test_groups_grow_with_the_corpus():
+    assert [op.groups_for(n, 2) for n in (10, 10**6, 10**9, 10**10)] == [3, 3, 2, 2]
+
+
 def test_thresholds_add_up():
     rng = np.random.default_rng(1)
     t = op.allocate(rng.uniform(0, 100, (50, 3, 3)).cumsum(axis=2), [22, 21, 21], 2)
@@ -63,6 +67,3 @@ def test_edge_rows(docs_of):
     got = {(r.doc_id, r.component_id) for r in op.simhash_groups(docs_of(*texts, ids=[5, 6, 9, 7, 7, None])).collect()}
     assert {(5, 5), (6, 5), (9, 7), (7, 7)} <= got and len(got) == 5
     assert op.simhash_groups(docs_of()).count() == 0
-    kept = op.one_of_each(docs_of(*texts, ids=[5, 6, 9, 7, 7, None]))
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 5, 7]
-    assert kept.columns == docs_of().columns
