@@ -1,8 +1,10 @@
-"""Licence scan with DataFrame functions only: TF-IDF cosine of statements to templates, then inheritance.
+"""Licence scan with DataFrame functions only: TF-IDF cosine of statements and passages to templates, then inheritance.
 
-Every sentence or line of every whole text is a statement. Its sparse TF-IDF vector is compared with those
-of known licence statements. A file without a licence of its own takes that of the nearest directory
-above it that holds a licence file, found by joins on the paths of its ancestors.
+Every sentence or line of every whole text is a statement; its sparse TF-IDF vector is compared with those of
+known licence statements. Licence texts and file headers, which are wrapped anyhow and stand behind comment
+marks, are compared as passages: windows of the text, as many terms long as the template. SPDX tags are read as
+they stand. A file without a licence of its own takes that of the nearest directory above it that holds a
+licence file, found by joins on the paths of its ancestors.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("ISC", "Released under the ISC License."),
     ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
     ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
@@ -48,13 +53,62 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Texts and headers of public licences.
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details.
+You should have received a copy of the GNU {name} General Public License along with this program."""
+GPL_OPENING = """GNU {name} GENERAL PUBLIC LICENSE Version {n}
+Copyright (C) Free Software Foundation, Inc.
+Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."""
+PASSAGES: list[tuple[str, str]] = [
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-2-Clause", f"{BSD_2}\n{BSD_END}"),
+    ("BSD-3-Clause", f"{BSD_2}\n{BSD_3}\n{BSD_END}"),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("Apache-2.0", """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/
+TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("GPL-2.0", GPL_HEADER.format(name="", n=2)),
+    ("GPL-3.0", GPL_HEADER.format(name="", n=3)),
+    ("AGPL-3.0", GPL_HEADER.format(name="Affero", n=3)),
+    ("LGPL-2.1", GPL_HEADER.format(name="Lesser", n="2.1")),
+    ("LGPL-3.0", GPL_HEADER.format(name="Lesser", n=3)),
+    ("GPL-2.0", GPL_OPENING.format(name="", n="2, June 1991")),
+    ("GPL-3.0", GPL_OPENING.format(name="", n="3, 29 June 2007")),
+    ("AGPL-3.0", GPL_OPENING.format(name="AFFERO", n="3, 19 November 2007")),
+    ("LGPL-2.1", GPL_OPENING.format(name="LESSER", n="2.1, February 1999")),
+    ("LGPL-3.0", GPL_OPENING.format(name="LESSER", n="3, 29 June 2007")),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""),
+]
+#: Of the whole text only this says nothing of other rights, so it counts where nothing else is stated.
+WEAKEST = "Proprietary"
+#: A licence identifier behind an SPDX tag, and what a reader may choose beyond it.
+SPDX, LATER = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)", r"(-only|-or-later|\+)$"
 #: Cosine from which a statement counts; names of licence files.
 LEAST, LICENCE_FILE = 0.8, r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 TERM = r"[^\p{L}\p{N}]+"
 
 
 def template_terms() -> list[Counter[str]]:
-    return [Counter(re.findall(r"[^\W_]+", text.lower())) for _, text in TEMPLATES]
+    """Of all statements, then of all passages."""
+    return [Counter(re.findall(r"[^\W_]+", text.lower())) for _, text in TEMPLATES + PASSAGES]
+
+
+def template_sizes() -> list[int]:
+    """0 for a statement, the number of its terms for a passage."""
+    return [0 if k < len(TEMPLATES) else terms.total() for k, terms in enumerate(template_terms())]
 
 
 def terms_of(text: Column) -> Column:
@@ -77,7 +131,7 @@ def weights(files: DataFrame) -> tuple[dict[str, float], float]:
 
 
 def anchors(idf: dict[str, float], least: float) -> list[str]:
-    """Terms of which every statement has one whose cosine to some template is at least `least`.
+    """Terms of which everything has one whose cosine to some template is at least `least`.
 
     Without a template's heaviest terms, the rest of its vector bounds the cosine by its length.
     """
@@ -92,37 +146,67 @@ def anchors(idf: dict[str, float], least: float) -> list[str]:
     return sorted(out)
 
 
+def windows(terms: Column, size: Column) -> Column:
+    """Starts of windows of `size` terms, an eighth of it apart, the last at the end."""
+    last = F.greatest(F.size(terms) - size, F.lit(0))
+    return F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.greatest(F.expr("size div 8"), F.lit(1))), F.array(last)))
+
+
 def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
-    """(id, licenses, score): sorted licences that a file states, joined by ` AND `, and the best cosine; files with one only."""
+    """(id, licenses, score): sorted licences that a file states, joined by ` AND `, and the best cosine (1 for a tag); files with one only."""
     spark = files.sparkSession
     idf, other = weights(files)
-    needed = F.array(*map(F.lit, anchors(idf, least)))
-    some = files.where(F.arrays_overlap(terms_of(F.col("text")), needed)).select("id", F.posexplode(statements(F.col("text"))).alias("at", "statement"))
-    some = some.select("id", "at", terms_of(F.col("statement")).alias("terms")).where(F.arrays_overlap("terms", needed))
-    counted = some.select("id", "at", F.explode("terms").alias("term")).groupBy("id", "at", "term").count()
-    known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
+    names, sizes = [n for n, _ in TEMPLATES + PASSAGES], template_sizes()
+    needed = F.array(*map(F.lit, [*anchors(idf, least), "spdx"]))
+    some = written(files.withColumn("terms", terms_of(F.col("text"))).where(F.arrays_overlap("terms", needed)), "licensed")
     vectors = []
     for k, terms in enumerate(template_terms()):
         length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in terms.items()))
-        vectors += [(k, TEMPLATES[k][0], t, n * idf[t] / length) for t, n in sorted(terms.items())]
-    templates = spark.createDataFrame(vectors, "template int, license string, term string, w double").groupBy("term").agg(F.collect_list(F.struct("template", "license", "w")).alias("in"))
-    weighed = counted.join(F.broadcast(known), "term", "left").join(F.broadcast(templates), "term", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(other)))
-    lengths = F.sum(F.col("x") * F.col("x"))
-    parts = weighed.groupBy("id", "at").agg(lengths.alias("square"), F.flatten(F.collect_list(F.transform(F.coalesce("in", F.array().cast("array<struct<template:int,license:string,w:double>>")), lambda t: F.struct(t["template"].alias("template"), t["license"].alias("license"), (t["w"] * F.col("x")).alias("dot"))))).alias("dots"))
+        vectors += [(k, names[k], sizes[k], t, n * idf[t] / length) for t, n in sorted(terms.items())]
+    templates = spark.createDataFrame(vectors, "template int, license string, size int, term string, w double")
+
+    lines = some.select("id", F.posexplode(statements(F.col("text"))).alias("at", "statement")).select("id", F.lit(0).alias("size"), "at", terms_of(F.col("statement")).alias("terms"))
+    lines = lines.where(F.arrays_overlap("terms", needed))
+    # a passage can be in a text only if the terms that they share make up enough of the passage's vector
+    shared = some.select("id", F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(templates.where("size > 0")), "term")
+    likely = shared.groupBy("id", "template", "size").agg(F.sum(F.col("w") * F.col("w")).alias("most")).where(F.col("most") >= least**2 * (1 - 1e-9)).select("id", "size").distinct()
+    passages = some.join(likely, "id").select("id", "size", F.explode(windows(F.col("terms"), F.col("size"))).alias("at"), "terms")
+    passages = passages.withColumn("terms", F.slice("terms", F.col("at") + 1, F.col("size"))).where(F.arrays_overlap("terms", needed))
+
+    counted = lines.unionByName(passages).select("id", "size", "at", F.explode("terms").alias("term")).groupBy("id", "size", "at", "term").count()
+    known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
+    inside = templates.groupBy("term").agg(F.collect_list(F.struct("template", "license", "size", "w")).alias("in"))
+    weighed = counted.join(F.broadcast(known), "term", "left").join(F.broadcast(inside), "term", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(other)))
+    alike = F.filter(F.coalesce("in", F.array().cast("array<struct<template:int,license:string,size:int,w:double>>")), lambda t: t["size"] == F.col("size"))
+    dots = F.transform(alike, lambda t: F.struct(t["template"].alias("template"), t["license"].alias("license"), (t["w"] * F.col("x")).alias("dot")))
+    parts = weighed.groupBy("id", "size", "at").agg(F.sum(F.col("x") * F.col("x")).alias("square"), F.flatten(F.collect_list(dots)).alias("dots"))  # of one window
     close = (
-        parts.select("id", "at", "square", F.explode("dots").alias("d"))
-        .groupBy("id", "at", "d.template", "d.license", "square")
+        parts.select("id", "size", "at", "square", F.explode("dots").alias("d"))
+        .groupBy("id", "size", "at", "d.template", "d.license", "square")
         .agg((F.sum("d.dot") / F.sqrt("square")).alias("score"))
         .where(F.col("score") >= least)
     )
-    best = close.groupBy("id", "at").agg(F.max_by("license", F.struct("score", F.negative("template"))).alias("license"), F.max("score").alias("score"))
-    return best.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("license")), " AND ").alias("licenses"), F.max("score").alias("score"))
+    best = close.groupBy("id", "size", "at").agg(F.max_by(F.struct("license", "template"), F.struct("score", F.negative("template"))).alias("t"), F.max("score").alias("score"))
+    place = F.struct("score", F.negative("at"))
+    firm = best.where("size > 0").groupBy("id", "t.template", "t.license", "size").agg(F.max_by("at", place).alias("at"), F.max("score").alias("score"))
+    met = firm.groupBy("id").agg(F.collect_list(F.struct("score", F.negative("template").alias("rank"), "license", "at", (F.col("at") + F.col("size")).alias("end"))).alias("all"))  # one for each template
+    better = lambda h: F.exists("all", lambda g: (g["at"] < h["end"]) & (h["at"] < g["end"]) & ((g["score"] > h["score"]) | ((g["score"] == h["score"]) & (g["rank"] > h["rank"]))))
+    kept_passages = met.select("id", F.explode(F.filter("all", lambda h: ~better(h))).alias("h")).select("id", "h.license", "h.score")
+    kept_lines = best.where("size = 0").select("id", "t.license", "score")
+    expression = F.regexp_extract_all("text", F.lit(SPDX), 1)
+    words = F.flatten(F.transform(expression, lambda e: F.split(F.trim(F.regexp_replace(e, r"[()\s]+", " ")), " ")))
+    words = F.filter(words, lambda w: ~F.upper(w).isin("AND", "OR", "WITH", "") & ~F.endswith(w, F.lit("-exception")))
+    tags = some.select("id", F.explode(F.transform(words, lambda w: F.regexp_replace(w, LATER, ""))).alias("license")).withColumn("score", F.lit(1.0))
+    every = kept_lines.unionByName(kept_passages).unionByName(tags)
+    stated = every.groupBy("id").agg(F.collect_set("license").alias("all"), F.max("score").alias("score"))
+    firmer = F.filter("all", lambda n: (n != WEAKEST) | (F.size("all") == 1))
+    return stated.select("id", F.array_join(F.sort_array(firmer), " AND ").alias("licenses"), "score")
 
 
 def license_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """files (path, text, and any other columns) with licenses, score, origin (own, inherited or null), inherited_from.
 
-    A file has the licences that it states, else those of the nearest directory above it, itself included, in
+    A file has the licences that it states (of passages that overlap the nearest; `Proprietary` where it states no other), else those of the nearest directory above it, itself included, in
     which a licence file states any; several there are joined in order of their paths' text. Statements count
     from cosine `least`; of the templates that reach it the nearest names the licence, the first listed if
     equal. Null, empty or unlike texts state nothing; a null path lies in no directory. Repeated rows get the
@@ -132,25 +216,27 @@ def license_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     columns = [c for c in files.columns if c not in ("licenses", "score", "origin", "inherited_from")]
     named = written(files.select(*columns).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     own = kept(own_licenses(named.select(F.col("_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), least))
-    placed = named.select(F.col("_id").alias("id"), "path").join(own, "id", "left")
     directory = F.regexp_replace("path", "[^/]*$", "")
+    placed = named.select(F.col("_id").alias("id"), "path", directory.alias("directory")).join(own, "id", "left")
     is_licence = F.rlike(F.regexp_extract("path", "[^/]*$", 0), F.lit(LICENCE_FILE))
-    granted = placed.where("licenses IS NOT NULL").where(is_licence).groupBy(directory.alias("above")).agg(F.array_join(F.sort_array(F.collect_set("licenses")), " AND ").alias("granted"), F.min("path").alias("inherited_from"))
-    steps = F.split(directory, "/")
+    granted = placed.where("licenses IS NOT NULL").where(is_licence).groupBy(F.col("directory").alias("above")).agg(F.array_join(F.sort_array(F.collect_set("licenses")), " AND ").alias("granted"), F.min("path").alias("inherited_from"))
+    steps = F.split("directory", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.concat(F.slice(steps, F.lit(1), n - 1), F.array(F.lit(""))), "/"))
-    climbing = placed.where("licenses IS NULL AND path IS NOT NULL").select("id", F.posexplode(ancestors).alias("depth", "above"))
-    found = climbing.join(granted, "above").groupBy("id").agg(F.max_by(F.struct("granted", "inherited_from"), "depth").alias("from"))
+    open_ = placed.where("licenses IS NULL AND path IS NOT NULL").select("id", "directory")
+    climbing = open_.select("directory").distinct().select("directory", F.posexplode(ancestors).alias("depth", "above"))
+    nearest = climbing.join(granted, "above").groupBy("directory").agg(F.max_by(F.struct("granted", "inherited_from"), "depth").alias("from"))
+    found = open_.join(nearest, "directory")
     answer = own.select("id", "licenses", "score", F.lit("own").alias("origin"), F.lit(None).cast("string").alias("inherited_from")).unionByName(
         found.select("id", F.col("from.granted").alias("licenses"), F.lit(None).cast("double").alias("score"), F.lit("inherited").alias("origin"), F.col("from.inherited_from").alias("inherited_from"))
     )
     return named.join(answer, F.col("_id") == F.col("id"), "left").select(*columns, "licenses", "score", "origin", "inherited_from")
 
 
-#: Documents as a tree: source, thousands, hundreds; the first of each hundred and of each ten thousand is its licence file.
-PATH = """concat(coalesce(source, 'none'), '/', CAST(floor(doc_id / 10000) AS BIGINT), '/',
-  CASE WHEN doc_id % 10000 = 0 THEN 'LICENSE'
-       WHEN doc_id % 100 = 0 THEN concat(CAST(CAST(floor(doc_id / 100) AS BIGINT) % 100 AS STRING), '/LICENSE')
-       ELSE concat(CAST(CAST(floor(doc_id / 100) AS BIGINT) % 100 AS STRING), '/', CAST(doc_id AS STRING), '.txt') END)"""
+#: Documents as a tree: source, twenty thousands, two hundreds; twenty neighbours of each two hundred are its licence files.
+PATH = """concat(coalesce(source, 'none'), '/', CAST(floor(doc_id / 20000) AS BIGINT), '/',
+  CASE WHEN doc_id % 20000 = 19999 THEN 'LICENSE'
+       WHEN CAST(floor(doc_id / 20) AS BIGINT) % 10 = 0 THEN concat(CAST(CAST(floor(doc_id / 200) AS BIGINT) % 100 AS STRING), '/LICENSE')
+       ELSE concat(CAST(CAST(floor(doc_id / 200) AS BIGINT) % 100 AS STRING), '/', CAST(doc_id AS STRING), '.txt') END)"""
 
 
 def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,29 +245,44 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values() -> str:
-    rows = [f"({k}, '{name}', '{t}', {n})" for k, ((name, _), terms) in enumerate(zip(TEMPLATES, template_terms(), strict=True)) for t, n in sorted(terms.items())]
+    names, sizes = [n for n, _ in TEMPLATES + PASSAGES], template_sizes()
+    rows = [f"({k}, '{names[k]}', {sizes[k]}, '{t}', {n})" for k, terms in enumerate(template_terms()) for t, n in sorted(terms.items())]
     return ", ".join(rows)
 
 
+#: Without one of these no line or text reaches the least cosine to any template.
+HINT = "(?i)licen|rights|domain|permission|redistribut|warrant|granted|spdx|public"
 ORACLE = f"""
-WITH template(template, license, term, n) AS (VALUES {_values()}),
+WITH template(template, license, size, term, n) AS (VALUES {_values()}),
 f AS (SELECT doc_id, {PATH} AS path, coalesce(text, '') AS text FROM documents),
 total AS (SELECT count(*) AS n FROM f),
 seen AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM f)
   WHERE term IN (SELECT term FROM template) GROUP BY term),
 idf AS (SELECT t.term, ln((total.n + 1.0) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM template) t LEFT JOIN seen USING (term), total),
-tv AS (SELECT template, license, term, n * idf AS w, sqrt(sum(n * n * idf * idf) OVER (PARTITION BY template)) AS len FROM template JOIN idf USING (term)),
-s AS (SELECT doc_id, row_number() OVER () AS pos, statement FROM (
-  SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS statement FROM f
-  WHERE regexp_matches(text, '(?i)licen|rights|domain|permission'))),
-w AS (SELECT doc_id, pos, term, count(*) AS n FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(statement), '[\\p{{L}}\\p{{N}}]+')) AS term FROM s
-  WHERE regexp_matches(statement, '(?i)licen|rights|domain|permission')) GROUP BY ALL),
+tv AS (SELECT template, license, size, term, n * idf AS w, sqrt(sum(n * n * idf * idf) OVER (PARTITION BY template)) AS len FROM template JOIN idf USING (term)),
+hinted AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS terms FROM f WHERE regexp_matches(text, '{HINT}')),
+likely AS (SELECT DISTINCT doc_id, size FROM (SELECT doc_id, template, size FROM (SELECT DISTINCT doc_id, unnest(terms) AS term FROM hinted) JOIN tv USING (term)
+  WHERE size > 0 GROUP BY ALL HAVING sum(w * w / len / len) >= {LEAST**2 * (1 - 1e-9)})),
+u AS (SELECT doc_id, 0 AS size, row_number() OVER () AS pos, regexp_extract_all(lower(statement), '[\\p{{L}}\\p{{N}}]+') AS terms FROM (
+    SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS statement FROM hinted) WHERE regexp_matches(statement, '{HINT}')
+  UNION ALL SELECT doc_id, size, pos, list_slice(terms, pos + 1, pos + size) FROM (
+    SELECT doc_id, size, terms, unnest(list_distinct(list_append(range(0, greatest(len(terms) - size, 0) + 1, greatest(size // 8, 1)), greatest(len(terms) - size, 0)))) AS pos FROM hinted JOIN likely USING (doc_id))),
+w AS (SELECT doc_id, size, pos, term, count(*) AS n FROM (SELECT doc_id, size, pos, unnest(terms) AS term FROM u) GROUP BY ALL),
 x AS (SELECT w.*, w.n * coalesce(idf, ln(total.n + 1.0) + 1) AS x FROM w LEFT JOIN idf USING (term), total),
-len AS (SELECT doc_id, pos, sqrt(sum(x * x)) AS len FROM x GROUP BY ALL),
-c AS (SELECT x.doc_id, x.pos, template, license, sum(x * w / tv.len) / any_value(len.len) AS score
-  FROM x JOIN tv USING (term) JOIN len ON len.doc_id = x.doc_id AND len.pos = x.pos GROUP BY ALL),
-b AS (SELECT doc_id, pos, license, score FROM c WHERE score >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, template) = 1),
-own AS (SELECT doc_id, string_agg(DISTINCT license, ' AND ' ORDER BY license) AS licenses, max(score) AS score FROM b GROUP BY doc_id),
+len AS (SELECT doc_id, size, pos, sqrt(sum(x * x)) AS len FROM x GROUP BY ALL),
+c AS (SELECT x.doc_id, x.size, x.pos, template, license, sum(x * w / tv.len) / any_value(len.len) AS score
+  FROM x JOIN tv ON tv.term = x.term AND tv.size = x.size JOIN len ON len.doc_id = x.doc_id AND len.size = x.size AND len.pos = x.pos GROUP BY ALL),
+b AS (SELECT * FROM c WHERE score >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, size, pos ORDER BY score DESC, template) = 1),
+firm AS (SELECT * FROM b WHERE size > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY score DESC, pos) = 1),
+tag AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SPDX}', 1)) AS e FROM hinted),
+word AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(e, '[()\\s]+', ' ', 'g')), ' ')) AS w FROM tag),
+tags AS (SELECT doc_id, regexp_replace(w, '{LATER}', '') AS license FROM word),
+every AS (SELECT doc_id, license, score FROM b WHERE size = 0
+  UNION ALL SELECT doc_id, license, score FROM firm h WHERE NOT EXISTS (SELECT 1 FROM firm g WHERE g.doc_id = h.doc_id AND g.pos < h.pos + h.size AND h.pos < g.pos + g.size
+    AND (g.score > h.score OR (g.score = h.score AND g.template < h.template)))
+  UNION ALL SELECT doc_id, license, 1.0 FROM tags WHERE upper(license) NOT IN ('AND', 'OR', 'WITH', '') AND NOT ends_with(license, '-exception')),
+own AS (SELECT doc_id, string_agg(DISTINCT license, ' AND ' ORDER BY license) FILTER (license != '{WEAKEST}' OR alone) AS licenses, max(score) AS score
+  FROM (SELECT *, bool_and(license = '{WEAKEST}') OVER (PARTITION BY doc_id) AS alone FROM every) GROUP BY doc_id),
 p AS (SELECT f.doc_id, path, licenses, score, regexp_replace(path, '[^/]*$', '') AS dir FROM f LEFT JOIN own USING (doc_id)),
 g AS (SELECT dir AS above, string_agg(DISTINCT licenses, ' AND ' ORDER BY licenses) AS granted, min(path) AS inherited_from
   FROM p WHERE licenses IS NOT NULL AND path LIKE '%/LICENSE' GROUP BY dir),

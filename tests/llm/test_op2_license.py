@@ -31,6 +31,7 @@ def test_several_licences_long_texts_and_no_rows(spark):
 def test_anchors_lose_no_statement():
     idf = {t: 1.0 + len(t) for terms in op.template_terms() for t in terms}
     needed = set(op.anchors(idf, 0.8))
+    assert len(needed) < len(idf)
     for terms in op.template_terms():
         whole = sum((n * idf[t]) ** 2 for t, n in terms.items())
         rest = sum((n * idf[t]) ** 2 for t, n in terms.items() if t not in needed)
@@ -50,3 +51,55 @@ def test_ids_survive_another_split(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == {f"d{k}/f": "MIT" if k % 2 else None for k in range(64)}
+
+
+def wrapped(text, mark, width=60):
+    import textwrap
+
+    return "\n".join(f"{mark}{line}" for part in text.split("\n") for line in (textwrap.wrap(part, width) or [""]))
+
+
+GPL_2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301, USA."""
+
+
+def test_texts_and_headers_of_licences(spark):
+    texts = {k: dict(op.PASSAGES[::-1])[k] for k, _ in op.PASSAGES}
+    mit, two, three, isc = (texts[k] for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC"))
+    code = "\n\nimport sys\n\ndef main(args):\n    return [sys.path for _ in args]\n" * 30
+    notice = "Copyright (c) 2019, Some Body <some@body.org>\nAll rights reserved.\n\n"
+    want = {
+        "mit/LICENSE": ("MIT License\n\n" + notice + wrapped(mit, ""), "MIT"),
+        "b2/LICENSE": (notice + wrapped(two, ""), "BSD-2-Clause"),
+        "b3/LICENSE": (notice + wrapped(three, "", 78), "BSD-3-Clause"),
+        "b3/x.c": ("/*\n" + wrapped(notice + three, " * ", 70) + "\n */" + code, "BSD-3-Clause"),
+        "isc/LICENSE": (notice + wrapped(isc, ""), "ISC"),
+        "gpl2.c": (wrapped(GPL_2, "// ", 99) + code, "GPL-2.0"),
+        "mpl.js": ("/" + "* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. *" + "/" + code, "MPL-2.0"),
+        "apache.py": (wrapped(notice + dict(op.PASSAGES[:5])["Apache-2.0"], "# ") + code, "Apache-2.0"),
+        "spdx.c": ("// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception OR MIT)" + code, "GPL-2.0 AND MIT"),
+        "tag.c": ("/* SPDX-License-Identifier: Zlib */" + code, "Zlib"),
+        "rights.c": ("// " + notice + code, "Proprietary"),
+        "both.txt": (mit + code + isc, "ISC AND MIT"),
+        "none.py": (code, None),
+    }
+    for name, n in (("GPL", 7), ("AGPL", 9), ("LGPL", 11)):
+        license_, text = op.PASSAGES[n + 1 if name == "GPL" else n]
+        want[f"{name}.py"] = ("#!/usr/bin/python\n" + wrapped(text + " If not, see <https://www.gnu.org/licenses/>.", "# ", 75) + code, license_)
+    for k in range(12, 17):
+        license_, text = op.PASSAGES[k]
+        want[f"{license_}/COPYING"] = (wrapped(text, "   ") + "\n\nPreamble\n\n" + "The licenses for most software are designed to take away your freedom to share and change it. " * 20, license_)
+    rows = [(f"f{k}", f"other words number {k} of the rest and a line", "") for k in range(300)]
+    got = scan(spark, [*rows, *((p, t, "") for p, (t, _) in want.items())])
+    assert {p: got[p][0] for p in want} == {p: x for p, (_, x) in want.items()}
