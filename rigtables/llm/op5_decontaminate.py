@@ -16,14 +16,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigtables.llm.common import small_batches, table
-
-#: Characters of a q-gram, of a window of a long item and between two windows; share of edits allowed.
-Q, WINDOW, STRIDE, EDITS = 8, 120, 60, 0.1
-#: Places that are aligned side by side.
-ALIGNED = 4096
-#: Benchmark text, in bytes, that each task holds at a time; larger benchmarks are taken in blocks.
-BLOCK_BYTES = 8 << 20
+from rigtables.llm.common import small_batches, table, written
+
+#: Characters of a q-gram, of a window of a long item and between two windows; share of edits allowed. So any excerpt of
+#: WINDOW + STRIDE - 1 characters (about twenty words) holds a whole window, wherever it begins.
+Q, WINDOW, STRIDE, EDITS = 8, 80, 40, 0.1
+#: Places that are aligned side by side; shared q-grams that are counted at a time.
+ALIGNED, HITS = 4096, 1 << 19
+#: Benchmark text, in bytes, that each task holds at a time (in about 40 times that memory); larger benchmarks are taken in blocks.
+BLOCK_BYTES = 4 << 20
 #: Letters and digits are kept, ASCII ones in lower case; runs of anything else become one space.
 KEPT = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 
@@ -56,11 +57,16 @@ def budget(m: int) -> int:
 
 
 class Index:
-    """Q-grams of benchmark windows, with the places they come from."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
+    """Q-grams of benchmark windows, with the places they come from; and items too short for one, by their text."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        short = [(item, plain(text)) for item, text in items if len(plain(text)) < Q]
+        self.short: dict[bytes, list[int | None]] = {}
+        for item, text in short:
+            if text:
+                self.short.setdefault(text, []).append(item)
         found = [(item, w) for item, text in items for w in windows(plain(text)) if len(w) >= Q]
-        self.items = np.array([f[0] for f in found], np.int64)
+        self.items = [f[0] for f in found]
         self.texts = [np.frombuffer(f[1], np.uint8) for f in found]
         self.length = m = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.array([budget(x) for x in m.tolist()], np.int64)
@@ -68,10 +74,10 @@ class Index:
         grams = [q_grams(f[1]) for f in found]
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         by = np.argsort(every, kind="stable")
-        self.window = np.repeat(np.arange(len(found)), [len(g) for g in grams])[by]
-        self.offset = np.concatenate([np.arange(len(g)) for g in grams])[by] if grams else every.astype(np.int64)
-        self.grams, self.first, self.count = np.unique(every, return_index=True, return_counts=True) if len(every) else (every, every, every)
-        self.first = np.searchsorted(every[by], self.grams)
+        self.window = np.repeat(np.arange(len(found), dtype=np.int32), [len(g) for g in grams])[by]
+        self.offset = np.concatenate([np.arange(len(g), dtype=np.int16) for g in grams])[by] if grams else np.zeros(0, np.int16)
+        self.grams, self.count = np.unique(every, return_counts=True)
+        self.first = np.cumsum(self.count) - self.count
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self._slot(self.grams)] = True
 
@@ -80,25 +86,46 @@ class Index:
         return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
     def bands(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(window, band) wherever enough q-grams meet."""
+        """(window, band) wherever enough q-grams meet.
+
+        The text is taken in slices with about HITS shared q-grams each, which overlap by the longest stretch that a
+        window can match, so that whatever a band needs lies in one slice.
+        """
         grams = q_grams(text)
         (at,) = self.seen[self._slot(grams)].nonzero()
         k = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
         hit = self.grams[k] == grams[at]
         at, k = at[hit], k[hit]
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        reach = int(self.length.max() + 2 * (self.edits.max() + 1))
+        ends, parts, i = np.cumsum(self.count[k]), [], 0
+        while True:
+            j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HITS, side="right"))
+            j = max(j, int(np.searchsorted(at, at[i] + 2 * reach)))
+            parts.append(self._counted(at[i:j], k[i:j]))
+            if j >= len(at):
+                break
+            i = int(np.searchsorted(at, at[j] - reach))
+        key = np.unique(np.concatenate(parts))
+        return key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
+
+    def _counted(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Bands, as window << 40 | band, that reach their bound by the q-grams k at the places `at`."""
         n = self.count[k]
         each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)
-        w = self.window[each]
+        w = self.window[each].astype(np.int64)
         step = self.edits[w] + 1
         band = (np.repeat(at, n) - self.offset[each]) // step
-        key, counts = np.unique(np.concatenate([w << 40 | band + (1 << 39), w << 40 | band - 1 + (1 << 39)]), return_counts=True)
-        w = key >> 40
-        enough = counts >= self.least[w]
-        return w[enough], (key[enough] & ((1 << 40) - 1)) - (1 << 39)
-
-    def found(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
-        """For each plain text (item, window, edits) of each window that it holds within its budget."""
-        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        key, counts = np.unique(w << 40 | band + (1 << 39), return_counts=True)
+        key, lower = np.concatenate([key, key - 1]), np.concatenate([counts, counts])  # a band is two steps wide
+        key, of = np.unique(key, return_inverse=True)
+        counts = np.bincount(of, lower).astype(np.int64)
+        return key[counts >= self.least[key >> 40]]
+
+    def found(self, texts: list[bytes]) -> list[list[tuple[int | None, int, int]]]:
+        """For each plain text (item, window, edits) of each window that it holds within its budget; short items have window -1."""
+        out: list[list[tuple[int | None, int, int]]] = [[(item, -1, 0) for item in self.short.get(t, [])] for t in texts]
         if not len(self.grams):
             return out
         where = [(t, *self.bands(text)) for t, text in enumerate(texts) if len(text) >= Q]
@@ -115,7 +142,7 @@ class Index:
                 if e <= self.edits[k]:
                     best[d, k] = min(e, best.get((d, k), e))
         for (d, k), e in sorted(best.items()):
-            out[d].append((int(self.items[k]), k, e))
+            out[d].append((self.items[k], k, e))
         return out
 
 
@@ -154,15 +181,16 @@ def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Br
     blocks = max(1, -(-size // block_bytes))
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        yield spark.sparkContext.broadcast(Index(sorted((r[0], r[1]) for r in some if r[0] is not None)))
+        yield spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in some), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, windows, edits) for each row of docs (doc_id, text) and item (item_id, text) that it holds.
 
     `windows` counts the item's windows that are found, `edits` is the fewest edits of one. An item of up to
-    180 characters is one window. Null and empty texts hold nothing; items of under 8 plain characters are
-    found nowhere. Repeated rows of docs are reported as often as they come; equal items under several
+    WINDOW + STRIDE characters is one window. Null and empty texts hold nothing, and nothing holds a null or
+    empty item; an item of under 8 plain characters, which any text might hold by chance, is found where
+    it is the whole text. Items without an item_id are found like any other. Repeated rows of docs are reported as often as they come; equal items under several
     ids are found under each. Empty tables give no rows; other columns are ignored. The benchmark is
     taken in blocks of a bounded size, each against all of docs.
     """
@@ -174,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
             for b in batches:
                 rows = []
                 for doc, found in zip(b.column(0).to_pylist(), index.value.found([plain(t) for t in b.column(1).to_pylist()]), strict=True):
-                    each: dict[int, list[int]] = {}
+                    each: dict[int | None, list[int]] = {}
                     for item, _, edits in found:
                         each.setdefault(item, []).append(edits)
                     rows += [(doc, item, len(e), min(e)) for item, e in each.items()]
@@ -186,10 +214,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, whose text holds no item; nothing is shuffled."""
+    """The rows of docs, with all their columns, whose text holds no item; nothing is shuffled.
+
+    Null and empty texts stay, repeated rows stay or go together. What is left is written between two blocks
+    of a large benchmark, so that no task holds two.
+    """
     small_batches(docs.sparkSession)
     place = docs.columns.index("text")
-    for index in indexes(benchmark, block_bytes):
+    for k, index in enumerate(indexes(benchmark, block_bytes)):
+        docs = written(docs, "decontaminated") if k else docs
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
