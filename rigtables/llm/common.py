@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rigtables.durable import fresh_path, kept, shared_dir
+
+__all__ = ["kept", "shared_dir"]
+
 #: Words are runs of characters outside this class (space, tab, LF, VT, FF, CR).
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: The two texts with which ASCII letters are lower-cased by translate().
@@ -21,25 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where is None:
-        where = tempfile.mkdtemp(prefix="spark-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage at a compressed Parquet table in the shared folder; for wide rows."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -49,8 +35,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def text_of(value: str | None) -> str:
-    return value or ""
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of a text column, one row at least in each."""
+    texts = batch.column(column)
+    if not len(texts):
+        return
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    first = np.append((np.diff((ends[1:] - ends[0]) // most, prepend=-1) > 0).nonzero()[0], len(texts))
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield batch.slice(i, j - i)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -76,15 +69,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.selectExpr("a AS node", "b AS component").unionByName(now.selectExpr("b AS node", "b AS component").distinct())
 
 
-def in_order(df: DataFrame, keys: list[str], size: str, name: str) -> DataFrame:
+#: Bytes of wide rows that one sorted partition should hold.
+PART_BYTES = 128 << 20
+
+
+def parts_for(spark: SparkSession, size: int) -> int:
+    """Partitions for `size` bytes: those of the session, or more where they would hold over PART_BYTES each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
+def in_order(df: DataFrame, keys: list[str], size: str, name: str, width: int = 1) -> DataFrame:
     """df with long `part` and `start`: the sum of `size` over all rows before, in the order of `keys`.
 
     Range partitions (equal keys may be split by the later ones) each keep a running sum; only
     one total for each partition reaches the driver, and is broadcast back.
-    The sorted rows are written first, so that both passes see the same partitions.
+    The sorted rows are written first, so that both passes see the same partitions. `width` is the number
+    of bytes of a row for each unit of its size; df is read for their sum.
     """
     spark, schema = df.sparkSession, df.schema
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = parts_for(spark, width * (df.agg(F.sum(size)).first()[0] or 0))
     fields = df.columns
     at = fields.index(size)
 

@@ -2,7 +2,8 @@
 
 Code lengths come from the global counts of ids. A block holds whole documents; every `EVERY` ids it
 notes the bit at which the next code begins, so that a table-driven decoder can read all those
-stretches side by side, and any stretch alone.
+stretches side by side, and any stretch alone. The code lengths lie beside the blocks, so the files need
+nothing else to be read.
 
 Block, little-endian: b"HUF1", u32 documents, u64 ids, u32 EVERY, u32 padding, i64 doc_id each,
 u64 n_ids each, u64 bit offset of each stretch, then the codes, highest bit first.
@@ -18,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigtables.llm.common import table, totals_before, written
-from rigtables.llm.tokens import id_kind, token_ids, vocabulary_size
+from rigtables.durable import fresh_path
+from rigtables.llm.common import parts_for, table, totals_before, written
+from rigtables.llm.tokens import cut_up, flat, id_kind, token_ids, vocabulary_size
 
 HEAD = struct.Struct("<4sIQII")
 LONGEST, EVERY, BLOCK_IDS = 20, 128, 1 << 18
@@ -65,21 +67,23 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode_block(docs: list[int], ids: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    every = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-    bits = lengths[every].astype(np.int64)
+def encode_block(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
+    """One block of documents with `sizes` ids each, `ids` in a row."""
+    bits = lengths[ids].astype(np.int64)
     ends = np.cumsum(bits)
     at = ends - bits
     words = np.zeros(int(ends[-1]) // 64 + 2 if len(ends) else 0, np.uint64)
-    if len(every):
-        code, word, room = codes[every], at >> 6, 64 - (at & 63) - bits
-        high = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
-        begin = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[begin]] = np.bitwise_or.reduceat(high, begin)
+    if len(ids):
+        code, word, room = codes[ids], at >> 6, 64 - (at & 63) - bits
         (over,) = (room < 0).nonzero()  # one code at most goes over into each word
-        words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-    head = HEAD.pack(b"HUF1", len(docs), len(every), EVERY, 0)
-    return b"".join([head, np.array(docs, "<i8").tobytes(), np.array([len(x) for x in ids], "<u8").tobytes(), at[::EVERY].astype("<u8").tobytes(), words.astype(">u8").tobytes()])
+        split = code[over]
+        code <<= np.maximum(room, 0, out=bits).view(np.uint64)
+        code[over] = split >> (-room[over]).astype(np.uint64)
+        begin = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[begin]] = np.bitwise_or.reduceat(code, begin)
+        words[word[over] + 1] |= split << (64 + room[over]).astype(np.uint64)
+    head = HEAD.pack(b"HUF1", len(docs), len(ids), EVERY, 0)
+    return b"".join([head, np.asarray(docs, "<i8").tobytes(), np.asarray(sizes, "<u8").tobytes(), at[::EVERY].astype("<u8").tobytes(), words.astype(">u8").tobytes()])
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -106,30 +110,43 @@ def decode_block(block: bytes, tables: tuple[np.ndarray, np.ndarray, int]) -> tu
     at = np.frombuffer(block, "<u8", lanes, HEAD.size + 16 * n_docs).astype(np.int64)
     raw = np.frombuffer(block + bytes(8), np.uint8, offset=HEAD.size + 16 * n_docs + 8 * lanes).astype(np.uint32)
     four = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-    out, mask = np.zeros((lanes, every), "<u4"), np.uint32((1 << width) - 1)
+    out, mask = np.zeros((every, lanes), "<u4"), np.uint32((1 << width) - 1)
     for k in range(every):  # all stretches advance by one code
-        at = np.minimum(at, 8 * (len(four) - 1))  # the last stretch may have ended
+        np.minimum(at, 8 * (len(four) - 1), out=at)  # the last stretch may have ended
         window = four[at >> 3] >> (32 - width - (at & 7)).astype(np.uint32) & mask
-        out[:, k] = symbol[window]
-        at = at + bits[window]
-    return docs, sizes, out.ravel()[:n]
+        np.take(symbol, window, out=out[k])
+        at += bits[window]
+    return docs, sizes, out.T.ravel()[:n]
 
 
-def write_blocks(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, np.ndarray]:
-    """(blocks, code lengths): documents in ascending order of doc_id, as a table of blocks in the shared folder.
+def write_token_files(docs: DataFrame, folder: str, path: str | None = None) -> None:
+    """Documents (doc_id, text) as Huffman-coded files: `folder`/blocks, and the code lengths in `folder`/codes.
 
-    blocks: part, block, n_ids, start (ids before it in its part), data. The counts of ids, one for each
-    entry of the vocabulary, are all that reaches the driver.
+    Texts are sorted by doc_id before they become ids, so the ids are written once and no id is shuffled. A
+    block says after how many ids of its part it begins. The counts of ids, one for each entry of the
+    vocabulary, are all that reaches the driver.
     """
     spark, vocabulary = docs.sparkSession, vocabulary_size(path)
     kind = id_kind(vocabulary)
-    ids = written(token_ids(docs, path=path), "ids")
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    n = parts_for(spark, named.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    ranged = named.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    made = token_ids(ranged, path=path)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            sizes = b.column(2).to_numpy()
+            ends = total + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - sizes)], names=["part", "doc_id", "n_tokens", "ids", "start"])
+            total = int(ends[-1]) if len(ends) else total
+
+    ids = written(made.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "n_tokens", "ids").mapInArrow(start, "part long, doc_id long, n_tokens long, ids binary, start long"), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, kind), minlength=vocabulary)
+            total += np.bincount(flat(b.column(0), kind), minlength=vocabulary)
         (at,) = total.nonzero()
         yield pa.RecordBatch.from_pydict({"id": at, "n": total[at]})
 
@@ -137,33 +154,30 @@ def write_blocks(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, n
     for k, n in ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # one row for each id
         counts[k] = n
     lengths = code_lengths(counts)
+    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{folder}/codes")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, start, block, held, names, size = canonical_codes(lengths), 0, 0, [], [], 0
-        part = None
+        """A block holds documents of one part that follow each other in one batch."""
+        codes = canonical_codes(lengths)
         for b in batches:
-            for p, doc, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                part = p
-                names.append(doc)
-                held.append(np.frombuffer(x, kind))
-                size += len(held[-1])
-                if size >= BLOCK_IDS:
-                    yield one(part, block, start, names, held, codes)
-                    start, block, held, names, size = start + size, block + 1, [], [], 0
-        if names:
-            yield one(part, block, start, names, held, codes)
-
-    def one(part: int, block: int, start: int, names: list[int], held: list[np.ndarray], codes: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "n_ids": [sum(map(len, held))], "start": [start], "data": pa.array([encode_block(names, held, lengths, codes)], pa.binary())})
+            part, doc, sizes, start = (b.column(k).to_numpy() for k in (0, 1, 2, 4))
+            every, ends = flat(b.column(3), kind), np.cumsum(sizes)
+            begins = ends - sizes
+            fresh = np.ones(len(part), bool)
+            fresh[1:] = (part[1:] != part[:-1]) | (start[1:] != start[:-1] + sizes[:-1]) | (begins[1:] // BLOCK_IDS != begins[:-1] // BLOCK_IDS)
+            first = np.append(fresh.nonzero()[0], len(part))
+            for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                data = encode_block(doc[i:j], sizes[i:j], every[begins[i] : ends[j - 1]], lengths, codes)
+                yield pa.RecordBatch.from_pydict({"part": part[i : i + 1], "n_ids": sizes[i:j].sum(keepdims=True), "start": start[i : i + 1], "data": pa.array([data], pa.binary())})
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ids.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    parts = ranged.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "ids")
-    return written(parts.mapInArrow(encode, "part long, block long, n_ids long, start long, data binary"), "blocks"), lengths
+    blocks = ids.select("part", "doc_id", "n_tokens", "ids", "start").mapInArrow(encode, "part long, n_ids long, start long, data binary")
+    blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
-def read_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): documents decoded from blocks; ids little-endian unsigned 32-bit."""
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the documents in `folder`; ids little-endian unsigned 32-bit, start the ids of all before."""
+    lengths = np.frombuffer(spark.read.schema("lengths binary").parquet(f"{folder}/codes").first()[0], np.uint8)  # one row, a byte for each entry of the vocabulary
+    blocks = spark.read.schema("part long, n_ids long, start long, data binary").parquet(f"{folder}/blocks")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = decode_table(lengths)
@@ -171,20 +185,21 @@ def read_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
             for start, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 docs, sizes, ids = decode_block(data, tables)
                 ends = np.cumsum(sizes)
-                raw = [ids[e - s : e].tobytes() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": docs, "start": start + ends - sizes, "n_tokens": sizes, "ids": pa.array(raw, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": docs, "start": start + ends - sizes, "n_tokens": sizes, "ids": cut_up(sizes, ids)})
 
     placed = blocks.join(F.broadcast(totals_before(blocks, "n_ids")), "part").select((F.col("start") + F.col("before")).alias("start"), "data")
     return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def huffman_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of all rows of docs (doc_id, text), written as blocks and read back.
+    """(doc_id, start, n_tokens, ids) of all rows of docs (doc_id, text), written as files in the shared folder and read back.
 
     A null or empty text is the end id alone. Repeated doc_ids are written as often as they come, in any
     order among themselves; rows without doc_id come first. No rows give no blocks; other columns are ignored.
     """
-    return read_blocks(*write_blocks(docs, path))
+    folder = fresh_path(docs.sparkSession, "tokens")
+    write_token_files(docs, folder, path)
+    return read_token_files(docs.sparkSession, folder)
 
 
 def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rigtables.llm.common import in_order, table, written
-from rigtables.llm.tokens import id_kind, token_ids, vocabulary_size
+from rigtables.llm.tokens import cut_up, flat, id_kind, token_ids, vocabulary_size
 
 BUCKETS, DIMENSIONS, DEPTH = 512, 4, 12
 
@@ -47,15 +47,22 @@ def hilbert_key(points: np.ndarray, depth: int) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
-    """Hilbert keys of documents: hashed counts (square roots, unit length), projected and cut to cells.
+def curve_keys(sizes: np.ndarray, ids: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+    """Hilbert keys of documents with `sizes` ids each: hashed counts (square roots, unit length), projected and cut to cells.
 
     A projection of a unit vector by orthonormal rows lies in [-1, 1]; with BUCKETS dimensions
     most lie within 4 / sqrt(BUCKETS) of the axis, which the cells spread over.
     """
     rows = np.linalg.qr(np.random.default_rng(8).standard_normal((BUCKETS, DIMENSIONS)))[0]
     centre = rows.sum(axis=0) / np.sqrt(BUCKETS)
-    vectors = np.stack([np.bincount(((x.astype(np.uint32) * np.uint32(2654435761)) >> 23).astype(np.int64), minlength=BUCKETS) for x in ids]) if ids else np.zeros((0, BUCKETS))
+    vectors, ends = np.zeros((len(sizes), BUCKETS), np.float32), np.cumsum(sizes)
+    for i in range(0, len(ids), step):
+        some = ids[i : i + step]
+        first = int(np.searchsorted(ends, i, side="right"))
+        last = int(np.searchsorted(ends, i + len(some) - 1, side="right"))
+        own = np.minimum(ends[first : last + 1], i + len(some)) - np.maximum(ends[first : last + 1] - sizes[first : last + 1], i)
+        slot = np.repeat(np.arange(last + 1 - first), own) * BUCKETS + ((some.astype(np.uint32) * np.uint32(2654435761)) >> 23)
+        vectors[first : last + 1] += np.bincount(slot, minlength=(last + 1 - first) * BUCKETS).reshape(-1, BUCKETS)
     vectors = np.sqrt(vectors)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     cells = ((vectors @ rows - centre * 0.5) * np.sqrt(BUCKETS) / 16 + 0.5) * (1 << DEPTH)
@@ -71,7 +78,7 @@ def pack(docs: DataFrame, length: int = 1024, path: str | None = None) -> DataFr
     No rows give no pieces; other columns are ignored. Only the last sequence may be shorter than `length`.
     """
     kind = id_kind(vocabulary_size(path))
-    ordered = in_order(written(token_ids(docs, curve_keys, path), "ids"), ["key", "doc_id"], "n_tokens", "ordered")
+    ordered = in_order(written(token_ids(docs, curve_keys, path), "ids"), ["key", "doc_id"], "n_tokens", "ordered", np.dtype(kind).itemsize)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,11 +90,10 @@ def pack(docs: DataFrame, length: int = 1024, path: str | None = None) -> DataFr
             begin = np.maximum(sequence * length, at[row])
             end = np.minimum((sequence + 1) * length, at[row] + size[row])
             start = begin - at[row]
-            wide = [np.frombuffer(x, kind).astype("<u4") for x in b.column(3).to_pylist()]
-            ids = [wide[r][s : s + m].tobytes() for r, s, m in zip(row.tolist(), start.tolist(), (end - begin).tolist(), strict=True)]
+            ids = cut_up(end - begin, flat(b.column(3), kind).astype("<u4"))  # pieces follow each other as the ids do
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column(0).take(pa.array(row)), "start": start, "length": end - begin, "doc_tokens": size[row],
-                "sequence_id": sequence, "offset": begin - sequence * length, "ids": pa.array(ids, pa.binary()),
+                "sequence_id": sequence, "offset": begin - sequence * length, "ids": ids,
             })
 
     out = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigtables.llm.common import small_batches
+from rigtables.llm.common import slices, small_batches
 
 #: A comma or full stop between a letter or number and white space or the end is a piece of its own.
-STOP = re.compile(r"[.,](?<=[^\W_].)(?=\s|$)")
-#: Most pieces that a worker remembers (about 150 bytes each); beyond it, it starts afresh.
-MOST = 1_200_000
+STOP = r"([\pL\pN])([.,])(\s|$)"
+#: Two line ends between characters that are not white space (or are too rare to ask).
+TWO_ENDS = r"([^\pZ\x00-\x20\x7f-\xa0])\n\n([^\pZ\x00-\x20\x7f-\xa0])"
+TWO = "\x01"
+#: Most pieces that a worker remembers (about 200 bytes each), beyond which it starts afresh; bytes of text that are split at a time.
+MOST, AT_A_TIME = 400_000, 1 << 20
 LINE_END, END = 198, 0
+#: In place of a piece: its text goes to the tokenizer whole; not met yet.
+WHOLE, NEW = -1, -2
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -33,12 +37,29 @@ def id_kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def flat(column: pa.Array, kind: str) -> np.ndarray:
+    """All values of a binary column without nulls in a row, as numbers; nothing is copied."""
+    if not len(column):
+        return np.zeros(0, kind)
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if data is not None else np.zeros(0, kind)
+
+
+def cut_up(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Numbers in a row as a binary column with so many numbers in each value."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    if ends[-1] >= 1 << 31:
+        raise ValueError("one batch of texts has over 2 GB of ids")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 class Encoder:
     """Ids of texts as the tokenizer gives them for the whole text.
 
-    The byte-level pattern ends a piece before a space, and around a line end, that stands alone
-    between two other characters. Texts are split there and each new piece is encoded once. Any other
-    text (runs of white space, white space at an end, control strings) goes to the tokenizer whole.
+    The byte-level pattern ends a piece before a space, and around a line end or two, between two other
+    characters. Texts are split there and each new piece is encoded once. Any other text (runs of white
+    space, white space at an end, control strings) goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -47,49 +68,82 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_kind(self.tokenizer.get_vocab_size())
-        self.known: dict[str, bytes | None] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.known = {"\n": np.array([LINE_END], self.kind).tobytes()}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(1 << 20, self.kind), np.zeros(1 << 18, np.int64)
+        self.count = 0
+        self._remember(["\n", TWO], np.array([1, 2]), np.full(3, LINE_END, self.kind))
+
+    def _remember(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        begin = int(self.ends[self.count - 1]) if self.count else 0
+        while begin + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.count + len(pieces) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[begin : begin + len(ids)] = ids
+        self.ends[self.count : self.count + len(pieces)] = begin + np.cumsum(sizes)
+        self.known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
+        self.count += len(pieces)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Pieces go line by line into one text, and are told apart at the line ends; None marks white space out of place."""
+        """Pieces go line by line into one text, and are told apart at the line ends."""
         fit = [p for p in pieces if len(p.split()) == 1 and p.strip() == p.lstrip(" ") and p[:2] != "  "]
-        self.known.update(dict.fromkeys(set(pieces).difference(fit)))
+        self.known.update(dict.fromkeys(set(pieces).difference(fit), WHOLE))
         groups = [fit[i : i + 200] for i in range(0, len(fit), 200)]
         for some, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.kind)
             ends = np.append((ids == LINE_END).nonzero()[0], len(ids))
             if len(ends) != len(some):
                 raise ValueError("the tokenizer doesn't keep line ends apart")
-            raw, start, width = ids.tobytes(), 0, ids.itemsize
-            for p, end in zip(some, ends.tolist(), strict=True):
-                self.known[p] = raw[width * start : width * end]
-                start = end + 1
+            self._remember(some, np.diff(ends, prepend=-1) - 1, ids[ids != LINE_END])
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Where each piece is remembered, or WHOLE."""
+        k = [self.known.get(p, NEW) for p in pieces]
+        new = [p for p, x in zip(pieces, k, strict=True) if x == NEW]
+        if new:
+            if len(self.known) + len(new) > MOST:
+                self._forget()
+                new = [p for p in pieces if p not in self.known]
+            self._learn(new)
+            k = [self.known[p] for p in pieces]
+        return np.array(k, np.int64)
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in each text, all ids in a row); a null text is empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring_regex(texts, "[\\x00\\x01]"), pc.match_substring(texts, "<|"))
+        marked = pc.if_else(odd, "", texts)
+        if pc.any(pc.match_substring(marked, "\n\n")).as_py():
+            marked = pc.replace_substring_regex(marked, TWO_ENDS, f"\\1\0{TWO}\0\\2")
+        marked = pc.replace_substring_regex(marked, STOP, "\\1\0\\2\\3")
+        marked = pc.replace_substring(pc.replace_substring(marked, " ", "\0 "), "\n", "\0\n\0")
+        split = pc.split_pattern(marked, "\0")
+        pieces = split.flatten().dictionary_encode()
+        place = self._places(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+        bounds = np.asarray(split.offsets) - (split.offsets[0].as_py() if len(split) else 0)
+        empty = np.asarray(pc.equal(marked, ""))  # one piece that is nothing
+        whole = np.asarray(odd) | (np.add.reduceat(place == WHOLE, bounds[:-1]) > 0 if len(place) else empty) & ~empty
+        n = np.where(place < 0, 0, np.diff(self.ends[: self.count], prepend=0)[place])
+        ends = np.cumsum(n)
+        sizes = np.diff(np.concatenate([[0], ends])[bounds])
+        begin = np.where(place < 0, 0, self.ends[place] - n)
+        at = np.repeat((begin - (ends - n)).astype(np.int32), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        ids = self.ids[at]
+        if not whole.any():
+            return sizes, ids
+        ends, out, done = np.concatenate([[0], np.cumsum(sizes)]), [], 0
+        for t in whole.nonzero()[0].tolist():
+            found = self.tokenizer.encode(texts[t].as_py(), add_special_tokens=False).ids
+            out += [ids[done : ends[t]], np.array(found, self.kind)]
+            done, sizes[t] = ends[t + 1], len(found)
+        return sizes, np.concatenate([*out, ids[done:]])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of `kind`; null is empty."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            if not t or "\0" in t or "<|" in t:
-                split.append(None)
-            else:
-                split.append(STOP.sub("\0\\g<0>", t).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
-        every = set(chain.from_iterable(filter(None, split)))
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > MOST:
-            self._forget()
-            new = every.difference(self.known)
-        self._learn(sorted(new))
-        out = []
-        for t, pieces in zip(texts, split, strict=True):
-            ids = list(map(self.known.__getitem__, pieces)) if pieces else [None]
-            out.append(b"".join(ids) if None not in ids else self._whole(t) if t else b"")
-        return out
+        return cut_up(*self.flat(pa.array(texts, pa.string()))).to_pylist()
 
 
 @lru_cache(maxsize=2)
@@ -98,22 +152,28 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def token_ids(docs: DataFrame, key: Callable[[list[np.ndarray]], np.ndarray] | None = None, path: str | None = None) -> DataFrame:
+def with_end(sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the end id after each text."""
+    out = np.full(len(ids) + len(sizes), END, ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return sizes + 1, out
+
+
+def token_ids(docs: DataFrame, key: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, path: str | None = None) -> DataFrame:
     """(doc_id, [key], n_tokens, ids): ids are little-endian unsigned integers of id_kind(), id 0 at the end.
 
-    A null text is empty and has the end id alone. `key` makes a long from each document's ids.
+    A null text is empty and has the end id alone. `key` makes a long of each document from (sizes, all ids).
     """
     small_batches(docs.sparkSession)
     where = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(where)
-        end, width = np.array([END], e.kind).tobytes(), np.dtype(e.kind).itemsize
-        for b in batches:
-            ids = [x + end for x in e.encode(b.column(1).to_pylist())]
-            keys = {"key": pa.array(key([np.frombuffer(x, e.kind) for x in ids]), pa.int64())} if key else {}
-            n = pa.array([len(x) // width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0)} | keys | {"n_tokens": n, "ids": pa.array(ids, pa.binary())})
+        for b in (s for whole in batches for s in slices(whole, 1, AT_A_TIME)):
+            sizes, ids = with_end(*e.flat(b.column(1)))
+            keys = {"key": pa.array(key(sizes, ids), pa.int64())} if key else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0)} | keys | {"n_tokens": pa.array(sizes, pa.int64()), "ids": cut_up(sizes, ids)})
+            pa.default_memory_pool().release_unused()
 
     out = "doc_id long, " + "key long, " * (key is not None) + "n_tokens long, ids binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, out)

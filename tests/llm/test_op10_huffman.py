@@ -47,7 +47,7 @@ def test_blocks_round_trip():
     counts = np.bincount(np.concatenate(every), minlength=5000)
     for longest in (13, 20):
         lengths = op.code_lengths(counts, longest)
-        block = op.encode_block([*range(-1, 6)], every, lengths, op.canonical_codes(lengths))
+        block = op.encode_block(np.arange(-1, 6), np.array([len(x) for x in every]), np.concatenate(every), lengths, op.canonical_codes(lengths))
         docs, sizes, ids = op.decode_block(block, op.decode_table(lengths))
         assert docs.tolist() == [*range(-1, 6)] and sizes.tolist() == [len(x) for x in every]
         assert (ids == np.concatenate(every)).all()
@@ -81,3 +81,10 @@ def test_edges(docs_of, monkeypatch):
     assert sorted(got, key=lambda x: x[1]) == want(texts)
     assert op.huffman_round_trip(docs_of()).count() == 0
     assert op.huffman_round_trip(docs_of("a", "a", ids=[1, 1])).count() == 2
+
+
+def test_files_need_only_their_folder(spark, docs_of, tmp_path):
+    texts = ["one two two", None, "drei ä"]
+    op.write_token_files(docs_of(*texts), f"{tmp_path}/f")
+    got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in op.read_token_files(spark.newSession(), f"{tmp_path}/f").collect()]
+    assert sorted(got) == want(list(enumerate(texts)))

@@ -16,6 +16,19 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(ids, e.kind).tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_that_forgets(monkeypatch):
+    from rigtables.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST", 40)
+    e = Encoder(tokenizer_path())
+    rng = random.Random(2)
+    whole = e.tokenizer.encode
+    for _ in range(30):
+        t = "\n".join(" ".join(f"w{rng.randrange(200)}" for _ in range(rng.randint(1, 9))) for _ in range(3))
+        (ids,) = e.encode([t])
+        assert np.frombuffer(ids, e.kind).tolist() == whole(t, add_special_tokens=False).ids and "\n" in e.known and e.known["\n"] >= 0
+
+
 def test_hilbert_neighbours_touch():
     for dims, depth in ((2, 4), (3, 3), (4, 2)):
         cells = np.array(list(np.ndindex(*(1 << depth,) * dims)))
@@ -61,5 +74,7 @@ def test_alike_documents_are_neighbours():
     rng = np.random.default_rng(0)
     kinds = [rng.integers(0, 50_000, 300) for _ in range(6)]
     ids = [rng.choice(kinds[k % 6], 3000).astype(np.uint16) for k in range(120)]
-    order = np.argsort(op.curve_keys(ids), kind="stable") % 6
+    keys = op.curve_keys(np.full(120, 3000), np.concatenate(ids))
+    assert (op.curve_keys(np.full(120, 3000), np.concatenate(ids), step=7001) == keys).all()
+    order = np.argsort(keys, kind="stable") % 6
     assert (order[1:] == order[:-1]).mean() > 0.5
