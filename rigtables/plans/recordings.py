@@ -14,7 +14,10 @@ from rigtables.sources.files import write_text_files
 from rigtables.streaming import live
 
 CSV = "frame_id,acquired_time_us,received_time_us\n"
-LONG = F.col("recording_id").cast("long").alias("recording_id")
+
+
+def _id() -> Column:
+    return F.col("recording_id").cast("long").alias("recording_id")
 
 
 def _lines(head: str, *columns: str) -> Column:
@@ -34,7 +37,7 @@ def _behavior_files(s: SparkSession, d: str) -> str:
 @query("SELECT recording_id, frame_id AS behavior_frame_id, acquired_time_us, received_time_us FROM t_frames")
 def read_behavior_frames(s: SparkSession, d: str) -> DataFrame:
     read = readers.read_behavior_frames(s, f"{_behavior_files(s, d)}/*/behavior_images/*.csv")
-    return read.select(LONG, "behavior_frame_id", "acquired_time_us", "received_time_us")
+    return read.select(_id(), "behavior_frame_id", "acquired_time_us", "received_time_us")
 
 
 @query("SELECT recording_id, frame_id AS raw_frame_id, acquired_time_us, received_time_us FROM t_frames JOIN t_ratios USING (recording_id) WHERE frame_id % ratio = 0")
@@ -45,7 +48,7 @@ def read_muscle_frames(s: SparkSession, d: str) -> DataFrame:
     text = F.format_string(CSV.replace("%", "%%") + "%d,%d,%d\n9,9,9\n", "frame_id", "acquired_time_us", "received_time_us")
     write_text_files(due.select(F.format_string("%d/muscle_images/muscle_frame_%09d.csv", "recording_id", "frame_id").alias("path"), text.alias("text")), root)
     read = readers.read_muscle_frames(s, f"{root}/*/muscle_images/*.csv")
-    return read.select(LONG, "raw_frame_id", "acquired_time_us", "received_time_us")
+    return read.select(_id(), "raw_frame_id", "acquired_time_us", "received_time_us")
 
 
 @query("SELECT recording_id, timestamp_us, round(x_pos_mm, 6) AS x_pos_mm, round(y_pos_mm, 6) AS y_pos_mm FROM t_stage")
@@ -53,7 +56,7 @@ def read_stage_positions(s: SparkSession, d: str) -> DataFrame:
     root = fresh_path(s, "recordings")
     days = v.stage(s, d).groupBy("recording_id", F.expr("timestamp_us div 86400000000").alias("k")).agg(_lines("timestamp_us,x_pos_mm,y_pos_mm\n", "timestamp_us", "x_pos_mm", "y_pos_mm").alias("text"))
     write_text_files(days.select(F.format_string("%d/stage_%d.csv", "recording_id", "k").alias("path"), "text"), root)
-    return readers.read_stage_positions(s, f"{root}/*/stage_*.csv").select(LONG, "timestamp_us", r6("x_pos_mm", "x_pos_mm"), r6("y_pos_mm", "y_pos_mm"))
+    return readers.read_stage_positions(s, f"{root}/*/stage_*.csv").select(_id(), "timestamp_us", r6("x_pos_mm", "x_pos_mm"), r6("y_pos_mm", "y_pos_mm"))
 
 
 @query("""SELECT recording_id, 396 AS behavior_fps, CASE WHEN recording_id % 2 = 1 THEN ratio END AS muscle_sync_ratio, CASE WHEN recording_id % 2 = 0 THEN ratio END AS sync_ratio,
@@ -65,7 +68,7 @@ def read_experiment_params(s: SparkSession, d: str) -> DataFrame:
     text = F.format_string("# by hand\nbehavior_fps: 396\n\n%s: %d\nmuscle_imaging_enabled: %s\nexperiment_protocol: %s\n", key, "ratio", (r % 3 == 0).cast("string"), protocol)
     write_text_files(v.ratios(s, d).select(F.format_string("%d/metadata/experiment_parameters.yaml", r).alias("path"), text.alias("text")), root)
     read = readers.read_experiment_params(s, f"{root}/*/metadata/experiment_parameters.yaml")
-    return read.select(LONG, "behavior_fps", "muscle_sync_ratio", "sync_ratio", "muscle_imaging_enabled", "experiment_protocol")
+    return read.select(_id(), "behavior_fps", "muscle_sync_ratio", "sync_ratio", "muscle_imaging_enabled", "experiment_protocol")
 
 
 @query("""SELECT s_suppkey, unnest(['x', 'y']) AS name, unnest([1.0, -0.5]) AS stage_x, unnest([0.25, s_suppkey * 1.5]) AS pixel_y, unnest([s_suppkey * 1.0, -200.0]) AS bias FROM supplier""", views=False)
@@ -94,7 +97,7 @@ def read_arena_tags(s: SparkSession, d: str) -> DataFrame:
 def read_frame_pixels(s: SparkSession, d: str) -> DataFrame:
     path = fresh_path(s, "pixels")
     v.images(s, d).write.partitionBy("recording_id").parquet(path)
-    return readers.read_frame_pixels(s, path).select(LONG, "frame_id", F.concat_ws(",", F.col("px").cast("array<string>")).alias("px"))
+    return readers.read_frame_pixels(s, path).select(_id(), "frame_id", F.concat_ws(",", F.col("px").cast("array<string>")).alias("px"))
 
 
 @query("SELECT 'n' || s_nationkey || CASE s_suppkey % 4 WHEN 0 THEN '/x/y' ELSE '' END || '/r' || s_suppkey AS recording FROM supplier WHERE s_suppkey % 4 NOT IN (2, 3) UNION ALL SELECT 'n' || s_nationkey || '/a/b/c/d/r' || s_suppkey FROM supplier WHERE s_suppkey % 4 = 3", views=False)
@@ -116,7 +119,7 @@ def write_outputs(s: SparkSession, d: str) -> DataFrame:
     rows = v.frames(s, d).select("recording_id", "frame_id", F.col("acquired_time_us").alias("v"))
     readers.write_outputs(rows, path)
     readers.write_outputs(rows.where("recording_id % 3 = 0").withColumn("v", -F.col("v")), path, overwrite=True)
-    return s.read.parquet(path).select(LONG, "frame_id", "v")
+    return s.read.parquet(path).select(_id(), "frame_id", "v")
 
 
 @query("SELECT CAST(job_id AS VARCHAR) AS job_id, CAST(trial_id AS VARCHAR) AS trial_id, 'T' || trial_id AS display_name, status, CASE WHEN status = 'failed' THEN error END AS error FROM t_trials")
@@ -140,7 +143,7 @@ def stream_frame_metadata(s: SparkSession, d: str) -> DataFrame:
     frames = live.stream_frame_metadata(s, f"{_behavior_files(s, d)}/*/behavior_images/*.csv")
     out = fresh_path(s, "streamed")
     live.write_stream(frames, out, fresh_path(s, "stream"), once=True).awaitTermination()
-    return s.read.schema(frames.schema).parquet(out).select(LONG, "frame_id", "acquired_time_us", "received_time_us")
+    return s.read.schema(frames.schema).parquet(out).select(_id(), "frame_id", "acquired_time_us", "received_time_us")
 
 
 @query(""", sv AS (SELECT recording_id AS session, us, CAST(floor(value * 100) AS BIGINT) AS save_us, event_id % 20 AS queue, row_number() OVER (PARTITION BY recording_id ORDER BY us, floor(value * 100), event_id % 20) AS i FROM e),
