@@ -153,10 +153,10 @@ def _pool(points: DataFrame, key: str, row: str, size: int) -> DataFrame:
     return few.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("_h", row))).where(F.col("_r") <= size)
 
 
-def _counted(points: DataFrame, models: DataFrame, key: str, row: str, judge, everywhere: int = EVERYWHERE) -> DataFrame:
+def _counted(points: DataFrame, models: DataFrame, key: str, row: str, judge) -> DataFrame:
     """(key, axis, trial) of the best model; judge(points, models) gives errors [model, point] by axis.
 
-    Up to `everywhere` models are sent to all tasks and counted over the points where these lie; beyond, both
+    Up to EVERYWHERE models are sent to all tasks and counted over the points where these lie; beyond, both
     meet in groups of (key, salt).
     """
     kind = points.schema[key].dataType.simpleString()
@@ -172,7 +172,7 @@ def _counted(points: DataFrame, models: DataFrame, key: str, row: str, judge, ev
                 sse += np.where(inside, part, 0).sum(axis=1)
             yield axis, total, sse
 
-    if models.count() <= everywhere:
+    if models.count() <= EVERYWHERE:
         found: dict = {}
         for r in models.select(key, "trial", "w").toLocalIterator():
             found.setdefault(r[0], []).append((r[1], r[2]))

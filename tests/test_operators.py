@@ -105,7 +105,9 @@ def test_nearest_takes_the_earlier_of_two_and_clamps(spark):
     assert got == {0: 0, 10: 0, 15: 0, 16: 1, 20: 1, 99: 1}
 
 
-def test_ransac_and_homography_find_planted_maps(spark):
+@pytest.mark.parametrize("everywhere", [cal.EVERYWHERE, 0])
+def test_ransac_and_homography_find_planted_maps(spark, monkeypatch, everywhere):
+    monkeypatch.setattr(cal, "EVERYWHERE", everywhere)
     rng = np.random.default_rng(3)
     p = rng.uniform(0, 100, (400, 4))
     w = np.array([[1, 0.2, 0.5, 0.1, 7], [-0.3, 1, 0.2, 0.6, 9]])

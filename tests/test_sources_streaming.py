@@ -58,6 +58,39 @@ def test_calibration_and_arena(spark, tmp_path):
     assert {(r.apriltag_id, r.corner_id, r.physical_x_mm) for r in readers.read_arena_tags(spark, str(tmp_path / "arena.json")).collect()} == {(0, 3, 6.5), (0, 1, 9.5)}
 
 
+def png(pixels, width):
+    """An 8-bit grey PNG."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + bytes(pixels[i : i + width]) for i in range(0, len(pixels), width))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(pixels) // width, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_images_as_pixels(spark, tmp_path):
+    px = [10 * k for k in range(12)]
+    (tmp_path / "frame_000000007.png").write_bytes(png(px, 4))
+    (r,) = readers.read_frame_pixels(spark, f"{tmp_path}/*").collect()
+    assert (r.frame_id, r.height, r.width, r.channels, list(r.data)) == (7, 3, 4, 1, px)
+
+
+def test_files_by_name(spark, tmp_path):
+    from rigtables.sources.files import write_text_files
+
+    df = spark.createDataFrame([("a/b/x_1.txt", "one\n"), ("a/y.txt", None), ("ä.txt", "ü")], "path string, text string")
+    for _ in range(2):  # a task that runs again does no harm
+        assert write_text_files(df, f"file://{tmp_path}/root") == 3
+    assert (tmp_path / "root/a/b/x_1.txt").read_text() == "one\n" and (tmp_path / "root/a/y.txt").read_text() == "" and (tmp_path / "root/ä.txt").read_text() == "ü"
+    assert write_text_files(df.limit(0), str(tmp_path)) == 0
+
+
+def test_values_of_flat_yaml_keep_their_ends(spark, tmp_path):
+    (tmp_path / "p.yaml").write_text("a: 0\nb: 1\nc: 32\nd: 'x: 3'\n")
+    (r,) = readers._flat_yaml(spark, str(tmp_path / "p.yaml")).collect()
+    assert r["values"] == {"a": "0", "b": "1", "c": "32", "d": "x: 3"}
+
+
 def test_scan_images(spark):
     df = spark.createDataFrame([("d/homography_scan_x1_y2.5_frame1.tif",), ("d/homography_scan_x1_y2.5_frame0.tif",), ("d/other.tif",)], "path string")
     (r,) = readers.scan_images(df).collect()
@@ -109,6 +142,8 @@ def test_stream_states(spark, tmp_path):
 def test_partial_groups_and_grid(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     frames = spark.createDataFrame([(1, k, at + dt.timedelta(seconds=k)) for k in range(7)] + [(9, 0, at + dt.timedelta(days=1))], "recording_id long, frame_id long, at timestamp")
+    hour = spark.createDataFrame([(1, k, at + dt.timedelta(minutes=59, seconds=58 + k)) for k in range(3)], frames.schema)
+    assert [(r.num_valid, r.frame_ids) for r in live.stream_partial_groups(hour).collect()] == [(3, [0, 1, 2])]
     batch = {(r.recording_id, r.group_id): (r.num_valid, r.frame_ids) for r in live.stream_partial_groups(frames).collect()}
     assert batch[1, 2] == (1, [6]) and batch[1, 0] == (3, [0, 1, 2])
     out = run(spark, live.stream_partial_groups(streamed(spark, frames, str(tmp_path / "f"))), "groups")
