@@ -112,3 +112,27 @@ def totals_before(parts: DataFrame, size: str) -> DataFrame:
         rows.append((part, before))
         before += total
     return parts.sparkSession.createDataFrame(rows, "part long, before long")
+
+
+#: At most so many keys, those with the most rows, are looked up in a broadcast.
+HOT = 1 << 12
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows with the columns of `found`, one row for each key; rows without their key there are left out.
+
+    `n` of found is how many of the rows have the key, or more. Keys that have over 1 in HOT of all, of which there are
+    fewer than HOT, are known to every task; the others meet in a join, none of them with more rows than that. Keys must not be null.
+    """
+    most = (found.agg(F.sum(n)).first()[0] or 0) // HOT
+    many = F.broadcast(found.where(F.col(n) > most))
+    few = rows.join(many.select(*keys), keys, "left_anti").join(found.where(F.col(n) <= most), keys)
+    met = rows.join(many, keys)
+    return met.unionByName(few)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an expression of ASCII characters, bit by bit."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [CAST(ascii(substr({text}, CAST(i AS INT), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    turn = "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(list_reduce({steps}, {turn}, 4294967295::BIGINT), 4294967295)"
