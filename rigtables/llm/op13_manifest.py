@@ -163,10 +163,10 @@ def _along(rows: DataFrame, make: Callable[[Row], Row], out: str, columns: list[
     return rows.mapInArrow(run, f"{schema}, {out}")
 
 
-def version_nodes(row: Row) -> list[bytes]:
+def version_nodes(row: Row, bits: int) -> list[bytes]:
     """The nodes that a leaf's version copies, from the leaf's parent to the root; of an unchanged leaf, those that it shares."""
     at, n = row["at"], row["n"]
-    inside, levels = min(BITS, height(n)), height(n)
+    inside, levels = min(bits, height(n)), height(n)
     if row["changed"] is not None:
         copies = [row["copies"][k : k + 32] for k in range(0, len(row["copies"]), 32)]
     else:
@@ -179,7 +179,8 @@ def version_nodes(row: Row) -> list[bytes]:
 
 def versions(rows: DataFrame) -> DataFrame:
     """(doc_id, lang, level, digest): the nodes that each changed leaf's version has of its own, the leaf at level 0; all others it shares."""
-    changed = _along(rows.where("changed IS NOT NULL"), lambda r: {"nodes": [r["changed"], *version_nodes(r)]}, "nodes array<binary>", ["doc_id", "lang"])
+    bits = BITS
+    changed = _along(rows.where("changed IS NOT NULL"), lambda r: {"nodes": [r["changed"], *version_nodes(r, bits)]}, "nodes array<binary>", ["doc_id", "lang"])
     return changed.select("doc_id", "lang", F.posexplode("nodes").alias("level", "digest"))
 
 
@@ -189,8 +190,10 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
     rows = manifest(docs, F.coalesce(tampered, F.lit(False)), {"n_chars": more})
 
+    bits = BITS
+
     def fold(r: Row) -> Row:
-        nodes = version_nodes(r)
+        nodes = version_nodes(r, bits)
         return {"folded": nodes[-1] if nodes else r["changed"] or r["leaf"]}
 
     folded = _along(rows, fold, "folded binary", ["doc_id", "leaf", "siblings", "upper", "subroot", "root"])
