@@ -1,7 +1,7 @@
 """Work on pixels: rows of (recording_id, frame_id, height, width, px array of numbers by row).
 
 What is a statistic over pixels stays with Spark's own functions; what needs a frame's shape is a numpy
-helper over small batches of frames, which are independent rows.
+helper over stacks of frames of one shape: the Arrow buffer of their pixels seen as one array.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +17,54 @@ from pyspark.sql import functions as F
 from rigtables.operators.chunks import lagged
 
 FRAMES_A_CHUNK = 256
+#: Pixels (in or out) that a helper works on at once.
+PIXELS_AT_ONCE = 1 << 22
+#: Parts of a pixel to which the places of smooth resampling are rounded.
+PARTS = 32
+
+
+def _stacks(batch: pa.RecordBatch, out: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, frames as one array of rows x height x width), for rows of one shape, about PIXELS_AT_ONCE pixels at a time.
+
+    Rows that follow each other are a view of the batch. `out` is how many pixels a frame will have, if it may be more.
+    """
+    px = batch.column(batch.schema.get_field_index("px"))
+    if not len(px):
+        return
+    ends, values = px.offsets.to_numpy(), px.values.to_numpy(zero_copy_only=False)
+    shape = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("height", "width")])
+    if px.null_count or (np.diff(ends) != shape[0] * shape[1]).any():
+        raise ValueError("a frame doesn't have height x width pixels")
+    for h, w in np.unique(shape, axis=1).T.tolist():
+        (rows,) = ((shape[0] == h) & (shape[1] == w)).nonzero()
+        step = max(1, PIXELS_AT_ONCE // max(1, h * w, out))
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
+            if some[-1] - some[0] + 1 == len(some):
+                yield some, values[ends[some[0]] : ends[some[-1] + 1]].reshape(len(some), h, w)
+            else:
+                yield some, values[ends[some][:, None] + np.arange(h * w)].reshape(len(some), h, w)
+
+
+def _lists(stack: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A stack of frames as a column of pixel arrays; nothing is copied."""
+    n, size = len(stack), stack.shape[1] * stack.shape[2]
+    ends = pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(size))
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(stack).ravel(), kind))
+
+
+def _framewise(frames: DataFrame, make: Callable[[np.ndarray, pa.RecordBatch], dict[str, pa.Array]], columns: list[str], made: str, out: int = 0) -> DataFrame:
+    """(columns, what `make` says of a stack and its rows, as named and typed in `made`)."""
+    kinds = [f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, stack in _stacks(b, out):
+                some = b.take(pa.array(rows))
+                new = make(stack, some)
+                yield pa.RecordBatch.from_pydict({c: some.column(some.schema.get_field_index(c)) for c in columns} | new)
+
+    return frames.mapInArrow(run, ", ".join([*kinds, made]))
 
 
 def adaptive_vrange(frames: DataFrame, places: DataFrame, q: tuple[float, float] = (97.0, 99.995), rate: float = 0.05) -> DataFrame:
@@ -50,13 +98,21 @@ def percentile_stretch(frames: DataFrame, low: float = 10, high: float = 95) ->
 def burst_median_frame(frames: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, px): each pixel's median over the frames of a burst, cut off to whole numbers.
 
-    A burst is the few frames taken at one place, all of one shape; they are put side by side, not their pixels.
+    A burst is the few frames taken at one place, all of one shape; they are put side by side as one array.
     """
-    bursts = frames.groupBy(*keys).agg(F.collect_list("px").alias("_all"))
-    at = lambda i: F.array_sort(F.transform("_all", lambda px: F.get(px, i)))
-    middle = lambda s: ((F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2).cast("int")
-    values = F.transform(F.sequence(F.lit(0), F.size(F.col("_all")[0]) - 1), at)
-    return bursts.select(*keys, F.transform(values, middle).alias("px"))
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
+
+    def middle(key: tuple, burst: pa.Table) -> pa.Table:
+        px = burst["px"].combine_chunks()
+        sizes = np.diff(px.offsets.to_numpy())
+        if (sizes != sizes[0]).any():
+            raise ValueError("frames of a burst have several shapes")
+        stack = px.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+        values = np.median(stack, axis=0).astype(np.int32)
+        return pa.table({k: burst[k].slice(0, 1) for k in keys} | {"px": pa.array([values], pa.list_(pa.int32()))})
+
+    narrow = frames.select(*keys, "px")
+    return narrow.groupBy(*keys).applyInArrow(middle, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "px array<int>"]))
 
 
 def pixel_histogram(frames: DataFrame, low: int, high: int, bins: int = 256) -> DataFrame:
@@ -78,15 +134,16 @@ def window_for_display(v: Column, vmin: float, vmax: float) -> Column:
     return (F.least(F.greatest((v - vmin) / max(vmax - vmin, 1e-9), F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
 
 
-def diff_autocorrelation(before: np.ndarray, frame: np.ndarray) -> float:
-    """Mean of the products of side by side and stacked neighbours in the difference, halved, by its variance; 0 if it has none."""
-    d = (frame.astype(np.float32) - before.astype(np.float32)).astype(np.float64)
-    d = d - d.mean()
-    power = float(np.square(d).mean())
-    if power <= 0:
-        return 0.0
-    across, down = (float((a * b).mean()) if a.size else 0.0 for a, b in ((d[:, 1:], d[:, :-1]), (d[1:], d[:-1])))
-    return (across + down) / (2 * power)
+def diff_autocorrelation(before: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    """Mean of the products of side by side and stacked neighbours in the difference, halved, by its variance; 0 if it has none.
+
+    Both are frames, or stacks of frames that are compared one by one.
+    """
+    d = np.subtract(frame, before, dtype=np.float32, casting="unsafe").astype(np.float64)
+    d -= d.mean(axis=(-2, -1), keepdims=True)
+    power = np.square(d).mean(axis=(-2, -1))
+    across, down = ((a * b).mean(axis=(-2, -1)) if a.size else 0.0 for a, b in ((d[..., 1:], d[..., :-1]), (d[..., 1:, :], d[..., :-1, :])))
+    return np.where(power > 0, (across + down) / np.where(power > 0, 2 * power, 1.0), 0.0)
 
 
 def successive_frames(frames: DataFrame, within: int | None = None) -> DataFrame:
@@ -104,48 +161,49 @@ def frame_change(frames: DataFrame, within: int | None = None) -> DataFrame:
     """(recording_id, frame_id, autocorrelation, mean_px, previous_mean_px) of each frame and the one before; nulls for the first."""
     pairs = successive_frames(frames, within).select("recording_id", "frame_id", "height", "width", "px", "previous_px")
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                now = np.asarray(r.px, np.float32).reshape(r.height, r.width)
-                old = None if r.previous_px is None else np.asarray(r.previous_px, np.float32).reshape(r.height, r.width)
-                rows.append((r.recording_id, r.frame_id, None if old is None else diff_autocorrelation(old, now), float(now.mean(dtype=np.float64)), None if old is None else float(old.mean(dtype=np.float64))))
-            yield pd.DataFrame(rows, columns=["recording_id", "frame_id", "autocorrelation", "mean_px", "previous_mean_px"]).astype({"autocorrelation": float, "previous_mean_px": float})
+    def measure(stack: np.ndarray, rows: pa.RecordBatch) -> dict[str, pa.Array]:
+        old = rows.column(rows.schema.get_field_index("previous_px"))
+        first = np.asarray(old.is_null())
+        earlier = old.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, *stack.shape[1:])
+        change, mean = np.full(len(stack), np.nan), np.full(len(stack), np.nan)
+        change[~first] = diff_autocorrelation(earlier, stack[~first])
+        mean[~first] = earlier.astype(np.float32).mean(axis=(1, 2), dtype=np.float64)
+        own = stack.astype(np.float32).mean(axis=(1, 2), dtype=np.float64)
+        return {"autocorrelation": pa.array(change, mask=first), "mean_px": pa.array(own), "previous_mean_px": pa.array(mean, mask=first)}
 
-    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
-    out = pairs.mapInPandas(measure, f"recording_id {kinds['recording_id']}, frame_id {kinds['frame_id']}, autocorrelation double, mean_px double, previous_mean_px double")
-    none = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select("recording_id", "frame_id", none("autocorrelation"), "mean_px", none("previous_mean_px"))
+    return _framewise(pairs, measure, ["recording_id", "frame_id"], "autocorrelation double, mean_px double, previous_mean_px double")
 
 
 def count_leading_orphans(frames: DataFrame, threshold: float = 0.12, within: int = 50) -> DataFrame:
-    """(recording_id, n_orphans): place of the first of the first `within` frames that brightens in a coherent shape, else 0."""
+    """(recording_id, n_orphans, onset_found): place of the first of the first `within` frames that brightens in a coherent shape; 0 if none does."""
     change = frame_change(frames, within)
     place = F.row_number().over(W.partitionBy("recording_id").orderBy("frame_id")) - 1
     onset = (F.col("autocorrelation") > threshold) & (F.col("mean_px") > F.col("previous_mean_px"))
     placed = change.withColumn("_place", place)
-    return placed.groupBy("recording_id").agg(F.coalesce(F.min(F.when(onset, F.col("_place"))), F.lit(0)).alias("n_orphans"))
+    first = F.min(F.when(onset, F.col("_place")))
+    return placed.groupBy("recording_id").agg(F.coalesce(first, F.lit(0)).alias("n_orphans"), first.isNotNull().alias("onset_found"))
 
 
-def _per_frame(frames: DataFrame, change: Callable[[np.ndarray, pd.Series], np.ndarray]) -> DataFrame:
-    """frames with px, height and width changed by a function of the array and the row."""
-    schema = frames.schema
+def _changed(frames: DataFrame, change: Callable[[np.ndarray, pa.RecordBatch], np.ndarray], out: int = 0) -> DataFrame:
+    """frames with px, height and width of the stacks that `change` makes."""
+    fixed = [c for c in frames.columns if c not in ("px", "height", "width")]
+    kinds = {c: frames.schema[c].dataType.simpleString() for c in ("px", "height", "width")}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [change(np.asarray(r["px"]).reshape(r["height"], r["width"]), r) for r in pdf.to_dict("records")]
-            yield pdf.assign(px=[m.ravel() for m in made], height=[m.shape[0] for m in made], width=[m.shape[1] for m in made])
+    def make(stack: np.ndarray, rows: pa.RecordBatch) -> dict[str, pa.Array]:
+        new = change(stack, rows)
+        sides = {c: pa.array(np.full(len(new), n), rows.schema.field(c).type) for c, n in (("height", new.shape[1]), ("width", new.shape[2]))}
+        return sides | {"px": _lists(new, rows.schema.field("px").type.value_type)}
 
-    return frames.mapInPandas(run, schema)
+    made = _framewise(frames, make, fixed, ", ".join(f"{c} {kinds[c]}" for c in ("height", "width", "px")), out)
+    return made.select(*frames.columns)
 
 
 def reorient_frame(frames: DataFrame, camera: str) -> DataFrame:
     """A quarter turn counter-clockwise; behavior frames are then mirrored left to right."""
     if camera not in ("behavior", "muscle"):
         raise ValueError(f"camera is behavior or muscle, not {camera}")
-    turned = lambda a, _: np.fliplr(np.rot90(a)) if camera == "behavior" else np.rot90(a)
-    return _per_frame(frames, turned)
+    turned = lambda a, _: np.rot90(a, axes=(1, 2))[:, :, :: -1 if camera == "behavior" else 1]
+    return _changed(frames, turned)
 
 
 def expand_channels(groups: DataFrame) -> DataFrame:
@@ -155,34 +213,64 @@ def expand_channels(groups: DataFrame) -> DataFrame:
     return each.where("channel < num_valid").select(*rest, (3 * F.col("group_id") + F.col("channel")).alias("frame_id"), "px")
 
 
-def warp_frame(frames: DataFrame, out_height: int, out_width: int, matrix: str = "m", smooth: bool = False) -> DataFrame:
-    """Frames resampled by their own matrix (6 or 9 numbers by row, from input to output pixels); 0 outside.
+def places(matrices: np.ndarray, out_height: int, out_width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of each output pixel in the input, for a stack of 3 x 3 matrices from input to output; (0, 0) where the divisor is 0.
 
-    The nearest input pixel counts, or with `smooth` the four around, weighted.
+    Matrices that aren't finite, or can't be inverted, lead outside.
+    """
+    good = np.isfinite(matrices).all(axis=(1, 2))
+    good[good] = np.linalg.det(matrices[good]) != 0
+    back = np.zeros_like(matrices)
+    back[good] = np.linalg.inv(matrices[good])
+    u, v = np.arange(out_width, dtype=float), np.arange(out_height, dtype=float)[:, None]
+    part = lambda k: back[:, k, 0, None, None] * u + back[:, k, 1, None, None] * v + back[:, k, 2, None, None]
+    w = part(2)
+    scale = np.where(w != 0, 1 / np.where(w != 0, w, 1), 0.0)
+    far = np.float64(1 << 30)
+    x, y = (np.clip(part(k) * scale, -far, far) for k in (0, 1))
+    x[~good] = y[~good] = -far
+    return x, y
+
+
+def resampled(stack: np.ndarray, matrices: np.ndarray, out_height: int, out_width: int, smooth: bool) -> np.ndarray:
+    """Frames resampled by their matrices, all at once; beyond a frame's border all pixels are 0.
+
+    Smooth: places are rounded to 1 / PARTS of a pixel (half to even), the four pixels around are weighted by them, and the sum
+    is rounded half to even. Otherwise the nearest pixel counts.
     """
+    n, h, w = stack.shape
+    x, y = places(matrices, out_height, out_width)
+    base = (np.arange(n, dtype=np.int64) * h * w)[:, None, None]
+    flat = stack.reshape(-1)
+
+    def pixel(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        inside = (r >= 0) & (r < h) & (c >= 0) & (c < w)
+        return np.where(inside, flat[np.where(inside, base + r * w + c, 0)], 0)
+
+    if not smooth:
+        return pixel(np.floor(y + 0.5).astype(np.int64), np.floor(x + 0.5).astype(np.int64))
+    x, y = (np.rint(k * PARTS).astype(np.int64) for k in (x, y))
+    c, r, dx, dy = x // PARTS, y // PARTS, x % PARTS, y % PARTS
+    total = (PARTS - dy) * ((PARTS - dx) * pixel(r, c) + dx * pixel(r, c + 1))
+    total = total + dy * ((PARTS - dx) * pixel(r + 1, c) + dx * pixel(r + 1, c + 1))
+    mixed = total / (PARTS * PARTS)
+    return np.rint(mixed).astype(stack.dtype) if stack.dtype.kind in "iu" else mixed
+
 
-    def change(a: np.ndarray, row: dict) -> np.ndarray:
-        m = np.asarray(row[matrix], float)
-        m = np.append(m, [0, 0, 1]) if len(m) == 6 else m
-        back = np.linalg.inv(m.reshape(3, 3))
-        v, u = np.mgrid[:out_height, :out_width]
-        x, y, w = (back @ np.stack([u.ravel(), v.ravel(), np.ones(u.size)])).reshape(3, out_height, out_width)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            x, y = x / w, y / w
-        x, y = np.nan_to_num(x, nan=-1e9, posinf=-1e9, neginf=-1e9), np.nan_to_num(y, nan=-1e9, posinf=-1e9, neginf=-1e9)
+def warp_frame(frames: DataFrame, out_height: int, out_width: int, matrix: str = "m", smooth: bool = False) -> DataFrame:
+    """Frames resampled by their own matrix (6 or 9 numbers by row, from input to output pixels); 0 outside.
 
-        def pixel(r: np.ndarray, c: np.ndarray) -> np.ndarray:
-            inside = (r >= 0) & (r < a.shape[0]) & (c >= 0) & (c < a.shape[1])
-            return np.where(inside, a[np.clip(r, 0, a.shape[0] - 1), np.clip(c, 0, a.shape[1] - 1)], 0)
+    The nearest input pixel counts (behavior frames), or with `smooth` the four around, weighted (muscle frames). A null
+    matrix, or one that isn't finite or can't be inverted, gives a frame of zeros.
+    """
+    last_row = np.array([0.0, 0.0, 1.0])
 
-        if not smooth:
-            return pixel(np.floor(y + 0.5).astype(int), np.floor(x + 0.5).astype(int))
-        r, c = np.floor(y).astype(int), np.floor(x).astype(int)
-        dy, dx = y - r, x - c
-        mixed = (1 - dy) * ((1 - dx) * pixel(r, c) + dx * pixel(r, c + 1)) + dy * ((1 - dx) * pixel(r + 1, c) + dx * pixel(r + 1, c + 1))
-        return np.rint(mixed).astype(a.dtype if a.dtype.kind in "iu" else float)
+    def change(stack: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
+        given = rows.column(rows.schema.get_field_index(matrix)).to_pylist()  # a few numbers a frame
+        full = [np.full(9, np.nan) if m is None else np.append(m, last_row[: 9 - len(m)]) for m in given]
+        return resampled(stack, np.array(full, float).reshape(-1, 3, 3), out_height, out_width, smooth)
 
-    return _per_frame(frames, change)
+    return _changed(frames, change, out_height * out_width)
 
 
 def overlay_frame(behavior: DataFrame, muscle: DataFrame, vmin: float, vmax: float) -> DataFrame:
@@ -193,10 +281,11 @@ def overlay_frame(behavior: DataFrame, muscle: DataFrame, vmin: float, vmax: flo
 
 
 def _cross(mask: np.ndarray, reduce: Callable, fill: bool) -> np.ndarray:
-    """reduce over each pixel's 5 x 5 neighbourhood; beyond the frame is `fill`."""
-    padded = np.pad(mask, 2, constant_values=fill)
-    h, w = mask.shape
-    return reduce([padded[i : i + h, j : j + w] for i in range(5) for j in range(5)])
+    """reduce over each pixel's 5 x 5 neighbourhood, rows then columns, in a stack of masks; beyond the frame is `fill`."""
+    h, w = mask.shape[1:]
+    padded = np.pad(mask, ((0, 0), (2, 2), (2, 2)), constant_values=fill)
+    rows = reduce([padded[:, i : i + h] for i in range(5)])
+    return reduce([rows[:, :, j : j + w] for j in range(5)])
 
 
 def largest_blob(mask: np.ndarray) -> tuple[int, float, float] | None:
@@ -226,17 +315,12 @@ def blob_centroid(frames: DataFrame, threshold: float, least_area: int = 0) -> D
     Pixels over the threshold are opened, then closed, by 5 x 5.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                m = np.asarray(r.px, float).reshape(r.height, r.width) > threshold
-                m = _cross(_cross(m, np.logical_and.reduce, True), np.logical_or.reduce, False)
-                m = _cross(_cross(m, np.logical_or.reduce, False), np.logical_and.reduce, True)
-                best = largest_blob(m)
-                rows.append((r.recording_id, r.frame_id, *(best if best and best[0] > least_area else (None, None, None))))
-            yield pd.DataFrame(rows, columns=["recording_id", "frame_id", "area", "x", "y"]).astype({"area": "Int64", "x": float, "y": float})
+    def find(stack: np.ndarray, rows: pa.RecordBatch) -> dict[str, pa.Array]:
+        m = stack > threshold
+        m = _cross(_cross(m, np.logical_and.reduce, True), np.logical_or.reduce, False)
+        m = _cross(_cross(m, np.logical_or.reduce, False), np.logical_and.reduce, True)
+        best = [largest_blob(one) for one in m]
+        best = [b if b and b[0] > least_area else (None, None, None) for b in best]
+        return {c: pa.array([b[k] for b in best], t) for k, (c, t) in enumerate((("area", pa.int64()), ("x", pa.float64()), ("y", pa.float64())))}
 
-    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
-    out = frames.select("recording_id", "frame_id", "height", "width", "px").mapInPandas(run, f"recording_id {kinds['recording_id']}, frame_id {kinds['frame_id']}, area long, x double, y double")
-    return out.select("recording_id", "frame_id", "area", *(F.when(F.col("area").isNotNull(), F.col(c)).alias(c) for c in ("x", "y")))
+    return _framewise(frames.select("recording_id", "frame_id", "height", "width", "px"), find, ["recording_id", "frame_id"], "area long, x double, y double")

@@ -104,7 +104,7 @@ def skipped_groups(slots: DataFrame, ratios: DataFrame) -> DataFrame:
 def reindex_muscle(muscle: DataFrame, orphans: DataFrame, frame: str = "frame_id") -> DataFrame:
     """Muscle frames without the leading orphans, numbered from 0; orphans: (recording_id, n_orphans), negative counts are refused."""
     orphans = orphans.withColumn("n_orphans", F.when(F.col("n_orphans") < 0, F.raise_error(F.lit("n_orphans must not be negative"))).otherwise(F.col("n_orphans")))
-    placed = numbered(muscle, frame, "_i", FRAMES_A_CHUNK).join(orphans, "recording_id", "left")
+    placed = numbered(muscle, frame, "_i", FRAMES_A_CHUNK).join(orphans.select("recording_id", "n_orphans"), "recording_id", "left")
     n = F.coalesce("n_orphans", F.lit(0))
     return placed.where(F.col("_i") >= n).withColumn("muscle_frame_id", F.col("_i") - n).drop("_i", "n_orphans")
 

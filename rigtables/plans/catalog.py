@@ -9,14 +9,15 @@ from rigtables.functions import geometry as g
 from rigtables.functions import protocol as pr
 from rigtables.operators import calibration as cal
 from rigtables.operators import jobs, pixels, pose, quality, stage, sync
+from rigtables.plans import aligned as _aligned
 from rigtables.plans import recordings as _recordings
 from rigtables.plans import views as v
-from rigtables.plans.registry import ORACLES, QUERIES, query, r6
+from rigtables.plans.registry import AUTOCORRELATION, ORACLES, QUERIES, query, r6
 from rigtables.plans.registry import SLOTS as SLOTS_OF
 from rigtables.plans.workflows import pair_cameras
 from rigtables.sources.readers import frame_index, scan_position
 
-__all__ = ["ORACLES", "QUERIES", "_recordings"]
+__all__ = ["ORACLES", "QUERIES", "_aligned", "_recordings"]
 
 def _some_frames(s: SparkSession, d: str) -> DataFrame:
     """Frames with losses: every eleventh frame has been dropped by the camera."""
@@ -393,13 +394,6 @@ def adaptive_vrange(s: SparkSession, d: str) -> DataFrame:
     return pixels.adaptive_vrange(f, f.select("recording_id", "frame_id", F.col("frame_id").alias("place")))
 
 
-#: SQL: sums over neighbours of the difference to the frame before.
-AUTOCORRELATION = """, g AS (SELECT a.recording_id, a.frame_id, a.pos, a.v - b.v AS d FROM t_pixels a JOIN t_pixels b ON a.recording_id = b.recording_id AND b.frame_id = a.frame_id - 1 AND a.pos = b.pos),
-c AS (SELECT *, d - avg(d) OVER (PARTITION BY recording_id, frame_id) AS x FROM g),
-h AS (SELECT c.recording_id, c.frame_id, sum(c.x * r.x) FILTER (c.pos % 8 < 7 AND r.pos = c.pos + 1) / 56 AS across, sum(c.x * r.x) FILTER (r.pos = c.pos + 8) / 56 AS down, sum(c.x * c.x) FILTER (r.pos = c.pos) / 64 AS power
-  FROM c JOIN c r ON c.recording_id = r.recording_id AND c.frame_id = r.frame_id AND r.pos IN (c.pos, c.pos + 1, c.pos + 8) GROUP BY ALL)
-"""
-
 PX = "SELECT recording_id, frame_id, string_agg(CAST({} AS VARCHAR), ',' ORDER BY pos) AS px FROM {} GROUP BY ALL"
 
 
@@ -499,7 +493,7 @@ def fill_pose_gaps(s: SparkSession, d: str) -> DataFrame:
 @query(AUTOCORRELATION + """, mean AS (SELECT recording_id, frame_id, avg(v) AS m FROM t_pixels GROUP BY ALL),
 o AS (SELECT h.recording_id, min(h.frame_id) FILTER (0.5 * (across + down) / power > 0.12 AND b.m > a.m) AS n FROM h JOIN mean a ON a.recording_id = h.recording_id AND a.frame_id = h.frame_id - 1
   JOIN mean b ON b.recording_id = h.recording_id AND b.frame_id = h.frame_id WHERE h.frame_id < 50 GROUP BY ALL)
-SELECT i.recording_id, coalesce(o.n, 0) AS n_orphans FROM (SELECT DISTINCT recording_id FROM t_images) i LEFT JOIN o USING (recording_id)""")
+SELECT i.recording_id, coalesce(o.n, 0) AS n_orphans, o.n IS NOT NULL AS onset_found FROM (SELECT DISTINCT recording_id FROM t_images) i LEFT JOIN o USING (recording_id)""")
 def count_leading_orphans(s: SparkSession, d: str) -> DataFrame:
     return pixels.count_leading_orphans(v.images(s, d))
 

@@ -13,6 +13,9 @@ from rigtables.operators import calibration as cal
 from rigtables.operators import pixels, pose, quality, stage, sync
 
 
+IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+
+
 def pair_cameras(muscle: DataFrame, behavior: DataFrame, log: DataFrame, ratios: DataFrame) -> DataFrame:
     """Each muscle frame with its slot, behavior frame and stage position, on the line between the samples around."""
     groups = sync.sync_group_frames(behavior, ratios).select("recording_id", "slot", F.col("frame_id").alias("behavior_frame_id"), F.col("received_time_us").alias("group_received_us"))
@@ -51,6 +54,7 @@ def postprocess_recordings(
     earlier: tuple[DataFrame, DataFrame | None] | None = None,
     homography: list[float] | None = None,
     strict: bool = False,
+    full_size: tuple[int, int] | None = None,
 ) -> Processed:
     """All recordings at once. One that breaks a rule is named in `errors` (recording_id, rule) and left out; the rest go on.
 
@@ -59,7 +63,9 @@ def postprocess_recordings(
     (recording_id, ratio); orphans: (recording_id, n_orphans), counted from muscle_pixels where absent. Raw muscle
     ids are judged as they come from disk: a hole in them ends a recording's part in the job. With `strict` the
     first broken rule is raised instead. `homography` (9 numbers, muscle to behavior pixels) is put before each
-    frame's alignment. With muscle_pixels (frame_id the raw id) they are resampled into the aligned crop. `earlier` hands in behavior and alignment tables of an earlier run instead of making them.
+    frame's alignment. With muscle_pixels (frame_id the raw id) they are resampled smoothly: into the aligned crop, or without alignment
+    by the homography alone into frames of `full_size` (height, width), that of behavior frames. A muscle frame whose behavior frame has
+    no alignment is black. `earlier` hands in behavior and alignment tables of an earlier run instead of making them.
     """
     unsteady = quality.check_monotonic(behavior, order="behavior_frame_id").where("NOT monotonic").select("recording_id", F.lit("acquisition times do not increase").alias("rule"))
     unlogged = behavior.select("recording_id").distinct().join(log, "recording_id", "left_anti").select("recording_id", F.lit("no stage samples").alias("rule"))
@@ -96,17 +102,21 @@ def postprocess_recordings(
     slots = sync.discard_trailing_slots(sync.detect_dropped_frames(steady, frame="muscle_frame_id"), n_groups)
     at = groups.select("recording_id", "slot", F.col("behavior_frame_id").alias("corresponding_behavior_frame_id"), *(F.col(c).cast("float").alias(c) for c in ("x_pos_mm_interp", "y_pos_mm_interp")))
     paired = sync.muscle_slot_join(slots, at)
+    matrix = F.array(*map(F.lit, homography or IDENTITY)).cast("array<double>")
     if alignment is not None:
         m = alignment.select("recording_id", F.col("behavior_frame_id").alias("corresponding_behavior_frame_id"), g.as_3x3(F.col("m")).alias("alignment"))
         paired = paired.join(m, ["recording_id", "corresponding_behavior_frame_id"], "left")
-        if homography is not None:
-            paired = paired.withColumn("alignment", g.compose(F.col("alignment"), F.array(*map(F.lit, homography))))
+        matrix = g.compose(F.col("alignment"), matrix)
+    paired = paired.withColumn("alignment", matrix)
     if strict:
         refuse(bad)
-    warped = None
-    if muscle_pixels is not None and alignment is not None:
-        frames = muscle_pixels.withColumnRenamed("frame_id", "raw_frame_id").join(paired.select("recording_id", "raw_frame_id", F.col("alignment").alias("m")), ["recording_id", "raw_frame_id"])
-        warped = pixels.warp_frame(frames.where("m IS NOT NULL"), crop, crop)
+    warped, size = None, (crop, crop) if alignment is not None else full_size
+    if muscle_pixels is not None and size is None:
+        raise ValueError("without alignment, full_size tells how large the resampled frames are")
+    if muscle_pixels is not None:
+        at = paired.select("recording_id", "raw_frame_id", "muscle_frame_id", F.col("alignment").alias("m"))
+        frames = muscle_pixels.withColumnRenamed("frame_id", "raw_frame_id").join(at, ["recording_id", "raw_frame_id"])
+        warped = pixels.warp_frame(frames, *size, smooth=True)
     return Processed(placed, alignment, paired, bad, warped)
 
 

@@ -173,3 +173,51 @@ def test_postprocess_goes_on_without_bad_recordings(spark):
     with pytest.raises(ValueError, match="2: acquisition times do not increase; 3: muscle frames: hole"):
         workflows.postprocess_recordings(behavior, log, points, muscle, params, crop=20, strict=True)
     assert out.alignment.where(F.col("recording_id") == 2).count() == 0
+
+
+def test_smooth_warp_weighs_by_parts_of_a_pixel(spark):
+    schema = "recording_id long, frame_id long, height int, width int, px array<int>, m array<double>"
+    moved = lambda dx: [1.0, 0.0, dx, 0.0, 1.0, 0.0]
+    rows = [(1, 0, 1, 2, [0, 100], moved(0.5)), (1, 1, 1, 2, [0, 100], moved(-0.75)), (1, 2, 1, 2, [10, 20], [2.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]), (1, 3, 1, 2, [7, 9], None), (1, 4, 1, 2, [7, 9], [0.0] * 9), (1, 5, 2, 1, [8, 4], moved(0.0))]
+    got = {r.frame_id: r.px for r in pixels.warp_frame(spark.createDataFrame(rows, schema), 1, 2, smooth=True).collect()}
+    assert got == {0: [0, 50], 1: [75, 25], 2: [10, 15], 3: [0, 0], 4: [0, 0], 5: [8, 0]}
+
+
+def test_stacked_warps_equal_a_plain_loop():
+    rng = np.random.default_rng(4)
+    stack = rng.integers(0, 60000, (5, 7, 9)).astype(np.int32)
+    m = np.eye(3) + rng.normal(0, 0.05, (5, 3, 3)) * [[1, 1, 9], [1, 1, 9], [0.05, 0.05, 0]]
+    got = pixels.resampled(stack, m, 6, 8, True)
+    for k in range(5):
+        back = np.linalg.inv(m[k])
+        for v in range(6):
+            for u in range(8):
+                x, y, w = back @ [u, v, 1]
+                px, py = round(x / w * 32), round(y / w * 32)
+                c, r, total = px // 32, py // 32, 0
+                for i in (0, 1):
+                    for j in (0, 1):
+                        if 0 <= r + j < 7 and 0 <= c + i < 9:
+                            total += int(stack[k, r + j, c + i]) * abs(32 * (1 - i) - px % 32) * abs(32 * (1 - j) - py % 32)
+                assert got[k, v, u] == round(total / 1024)
+
+
+def test_job_without_alignment_warps_by_the_homography_alone(spark):
+    beh = spark.createDataFrame([(1, k, 10 * k + 1, 10 * k + 1) for k in range(8)], "recording_id long, behavior_frame_id long, acquired_time_us long, received_time_us long")
+    log = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 100, 1.0, 1.0)], "recording_id long, timestamp_us long, x_pos_mm double, y_pos_mm double")
+    muscle = spark.createDataFrame([(1, k, 20 * k + 1, 20 * k + 1) for k in range(4)], "recording_id long, raw_frame_id long, acquired_time_us long, received_time_us long")
+    px = spark.createDataFrame([(1, k, 1, 3, [0, 100, 40]) for k in range(4)], "recording_id long, frame_id long, height int, width int, px array<int>")
+    ratio = spark.createDataFrame([(1, 2)], "recording_id long, ratio long")
+    none = spark.createDataFrame([(1, 0)], "recording_id long, n_orphans long")
+    job = lambda **o: workflows.postprocess_recordings(beh, log, None, muscle, ratio, px, none, homography=[1.0, 0, 0.5, 0, 1.0, 0, 0, 0, 1.0], **o)
+    assert [r.px for r in job(full_size=(1, 4)).warped.collect()] == [[0, 50, 70, 20]] * 4
+    with pytest.raises(ValueError):
+        job()
+
+
+def test_burst_and_change_refuse_other_shapes(spark):
+    df = spark.createDataFrame([(1, 0, 1, 2, [1, 2]), (1, 1, 1, 3, [1, 2, 3])], "recording_id long, frame_id long, height int, width int, px array<int>")
+    with pytest.raises(Exception, match="several shapes"):
+        pixels.burst_median_frame(df, ["recording_id"]).collect()
+    with pytest.raises(Exception, match="height x width"):
+        pixels.reorient_frame(df.withColumn("width", F.lit(5)), "muscle").collect()
