@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from rigtables.operators.chunks import carried, numbered
 
 #: A chunk of the log in us; knots in a spline's chunk, and beside it: a knot's influence falls to about 0.27 with each knot.
 LOG_CHUNK_US, KNOTS, BESIDE = 3_600_000_000, 4096, 40
+#: Knots, with those that only fill up, that are solved for in one array.
+KNOTS_AT_ONCE = 1 << 18
 
 
 def bracketed(frames: DataFrame, log: DataFrame, clock: str = "received_time_us", extra: list[str] | None = None) -> DataFrame:
@@ -31,39 +36,86 @@ def interp_stage_linear(frames: DataFrame, log: DataFrame, clock: str = "receive
     return both.select(*frames.columns, at("x").alias("x_pos_mm_interp"), at("y").alias("y_pos_mm_interp"))
 
 
-def not_a_knot(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline through (t, y) with not-a-knot ends, extended beyond them; 2 knots give a line, 3 a parabola.
+def tridiagonal(low: np.ndarray, mid: np.ndarray, high: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solutions of a stack of tridiagonal systems (stack x n; right: stack x n x columns), all at once by cyclic reduction.
 
-    y may have several columns, which are fitted in one sweep.
+    Each round takes out of every equation the unknowns one, two, four ... places beside it, until each has its own alone.
     """
-    n = len(t)
-    t0, scale = t[0], float(t[-1] - t[0]) or 1.0
-    u, v = (t - t0) / scale, (at - t0) / scale
-    if y.ndim == 2 and n <= 3:
-        return np.column_stack([not_a_knot(t, c, at) for c in y.T])
-    if n <= 3:
-        return np.polyval(np.polyfit(u, y, n - 1), v)
-    wide = (slice(None), None) if y.ndim == 2 else slice(None)
-    h = np.diff(u)
-    d = np.diff(y, axis=0) / h[wide]
-    low, mid, high, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(d, axis=0)
-    a, b = h[0] / h[1], h[-1] / h[-2]  # the third derivative goes on over the second and last but one knot
-    mid[0] += h[0] * (1 + a)
-    high[0] -= h[0] * a
-    mid[-1] += h[-1] * (1 + b)
-    low[-1] -= h[-1] * b
-    for i in range(1, n - 2):
-        w = low[i] / mid[i - 1]
-        mid[i] -= w * high[i - 1]
-        right[i] -= w * right[i - 1]
+    n, step = mid.shape[1], 1
+    low, mid, high, right = low.copy(), mid.copy(), high.copy(), right.copy()
+    low[:, 0] = high[:, -1] = 0
+    while step < n:
+        up, down = np.zeros_like(mid), np.zeros_like(mid)
+        up[:, step:] = -low[:, step:] / mid[:, :-step]
+        down[:, :-step] = -high[:, :-step] / mid[:, step:]
+        new_mid, new_right, new_low, new_high = mid.copy(), right.copy(), np.zeros_like(low), np.zeros_like(high)
+        new_mid[:, step:] += up[:, step:] * high[:, :-step]
+        new_mid[:, :-step] += down[:, :-step] * low[:, step:]
+        new_right[:, step:] += up[:, step:, None] * right[:, :-step]
+        new_right[:, :-step] += down[:, :-step, None] * right[:, step:]
+        new_low[:, step:] = up[:, step:] * low[:, :-step]
+        new_high[:, :-step] = down[:, :-step] * high[:, step:]
+        low, mid, high, right, step = new_low, new_mid, new_high, new_right, 2 * step
+    return right / mid[:, :, None]
+
+
+def splines(t: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scale, pieces) of cubic splines with not-a-knot ends through a stack of knots; 2 knots give a line, 3 a parabola.
+
+    t: stack x n, y: stack x n x columns, of which the first `sizes` count. pieces (stack x n x columns x 4) are the polynomials that begin
+    at each knot, in (time - knot) / scale; the last knot's is that of the piece before it, goes on from there.
+    """
+    g, n = t.shape
+    knot, inner = np.arange(n) < sizes[:, None], np.arange(1, n - 1)
+    last = sizes - 1
+    scale = (np.take_along_axis(t, last[:, None], 1)[:, 0] - t[:, 0]).astype(float)
+    u = (t - t[:, :1]) / scale[:, None]
+    piece = knot[:, 1:]  # what lies before each knot but the first
+    h = np.where(piece, np.diff(u, axis=1), 1.0)
+    d = np.where(piece[:, :, None], np.diff(y, axis=1), 0.0) / h[:, :, None]
     m = np.zeros_like(y, float)
-    m[n - 2] = right[-1] / mid[-1]
-    for i in range(n - 4, -1, -1):
-        m[i + 1] = (right[i] - high[i] * m[i + 2]) / mid[i]
-    m[0], m[-1] = m[1] * (1 + a) - m[2] * a, m[-2] * (1 + b) - m[-3] * b
-    k = np.clip(np.searchsorted(u, v, side="right") - 1, 0, n - 2)
-    x, step = (v - u[k])[wide], h[k][wide]
-    return y[k] + x * (d[k] - step * (2 * m[k] + m[k + 1]) / 6 + x * (m[k] / 2 + x * (m[k + 1] - m[k]) / (6 * step)))
+    if n > 2:
+        h0, h1, real = h[:, :-1], h[:, 1:], knot[:, 2:]
+        low, mid, high = (np.where(real, k, fill) for k, fill in ((h0, 0.0), (2 * (h0 + h1), 1.0), (h1, 0.0)))
+        right = np.where(real[:, :, None], 6 * np.diff(d, axis=1), 0.0)
+        cubic = sizes >= 4
+        first, end = np.where(cubic, h[:, 0] / h[:, 1], 0.0), np.maximum(sizes - 3, 0)
+        at = (np.arange(g), end)
+        b = np.where(cubic, h1[at] / h0[at], 0.0)  # the third derivative goes on over the second and the last but one knot
+        mid[:, 0] += np.where(cubic, h0[:, 0] * (1 + first), 0.0)
+        high[:, 0] -= np.where(cubic, h0[:, 0] * first, 0.0)
+        mid[at] += np.where(cubic, h1[at] * (1 + b), 0.0)
+        low[at] -= np.where(cubic, h1[at] * b, 0.0)
+        high[at] = 0.0
+        m[:, inner] = tridiagonal(low, mid, high, right)
+        (three,) = (sizes == 3).nonzero()
+        m[three, 1] = 2 * (d[three, 1] - d[three, 0]) / (h[three, 0] + h[three, 1])[:, None]
+        a, z = np.where(cubic, first, 0.0)[:, None], b[:, None]
+        row = np.arange(g)
+        some = np.where(sizes >= 3)[0]
+        m[some, 0] = (m[:, 1] * (1 + a) - m[:, min(2, n - 1)] * a)[some]
+        m[some, last[some]] = (m[row, last - 1] * (1 + z) - m[row, np.maximum(last - 2, 0)] * z)[some]
+    step = h[:, :, None]
+    out = np.zeros((*y.shape, 4))
+    out[..., 0] = y
+    ahead = np.stack([d - step * (2 * m[:, :-1] + m[:, 1:]) / 6, m[:, :-1] / 2, (m[:, 1:] - m[:, :-1]) / (6 * step)], axis=-1)
+    out[:, :-1, :, 1:] = ahead
+    row, before = np.arange(g), np.maximum(last - 1, 0)
+    out[row, last, :, 1] = d[row, before] + step[row, before] * (m[row, before] + 2 * m[row, last]) / 6
+    out[row, last, :, 2] = m[row, last] / 2
+    out[row, last, :, 3] = ahead[row, before][..., 2]
+    return scale, out
+
+
+def not_a_knot(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The spline through (t, y), whose columns are fitted together, at other times."""
+    columns = y.reshape(len(t), -1).astype(float)
+    scale, pieces = splines(t[None], columns[None], np.array([len(t)]))
+    k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, len(t) - 1)
+    x = ((at - t[k]) / scale[0])[:, None]
+    c = pieces[0][k]
+    got = c[..., 0] + x * (c[..., 1] + x * (c[..., 2] + x * c[..., 3]))
+    return got.reshape(len(at), *y.shape[1:])
 
 
 def bad_stage_logs(log: DataFrame) -> DataFrame:
@@ -73,33 +125,60 @@ def bad_stage_logs(log: DataFrame) -> DataFrame:
     return state.where("knots < 2 OR most > 1").select("recording_id", F.when(F.col("most") > 1, "stage timestamps repeat").otherwise("too few stage samples").alias("rule"))
 
 
-def interp_stage_cubic(frames: DataFrame, log: DataFrame, clock: str = "received_time_us", knots: int = KNOTS, beside: int = BESIDE) -> DataFrame:
-    """frames with x_pos_mm_interp, y_pos_mm_interp on the not-a-knot spline through the recording's stage log.
+def spline_pieces(log: DataFrame, knots: int = KNOTS, beside: int = BESIDE) -> DataFrame:
+    """log, each sample with `piece` (scale, x, y): the polynomials of the not-a-knot spline that begin there, the last one's going on from it.
 
-    Long logs are cut into chunks of `knots` knots with `beside` more on either side. Recordings named by
-    bad_stage_logs() have no rows here.
+    Long logs are cut into chunks of `knots` knots with `beside` more on either side; a chunk is one row, and many chunks are solved
+    as one array. Recordings named by bad_stage_logs() have no rows here.
     """
     good = log.join(bad_stage_logs(log).select("recording_id"), "recording_id", "left_anti")
-    places = numbered(good, "timestamp_us", "_i", LOG_CHUNK_US)
-    marked = bracketed(frames, places, clock, extra=["_i"])
-    chunk = F.floor(F.coalesce("before._i", "after._i") / knots)
-    asked = marked.where("before IS NOT NULL OR after IS NOT NULL").select(*frames.columns, chunk.cast("long").alias("_chunk"))
+    numbers = numbered(good.select("recording_id", "timestamp_us", "x_pos_mm", "y_pos_mm"), "timestamp_us", "_i", LOG_CHUNK_US)
     near = F.array_distinct(F.transform(F.array(F.lit(-beside), F.lit(0), F.lit(beside)), lambda s: F.floor((F.col("_i") + s) / knots).cast("long")))
-    pieces = places.select("recording_id", "timestamp_us", "x_pos_mm", "y_pos_mm", F.explode(near).alias("_chunk"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema]
-    schema = ", ".join([*kinds, "x_pos_mm_interp double", "y_pos_mm_interp double"])
-
-    def fit(asked_for: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
-        samples = samples.sort_values("timestamp_us")
-        t, at = samples["timestamp_us"].to_numpy(np.int64), asked_for[clock].to_numpy(np.int64)
-        out = asked_for.drop(columns="_chunk")
-        if not len(out):
-            return out.assign(x_pos_mm_interp=[], y_pos_mm_interp=[])
-        x_y = not_a_knot(t, samples[["x_pos_mm", "y_pos_mm"]].to_numpy(float), at)
-        return out.assign(x_pos_mm_interp=x_y[:, 0], y_pos_mm_interp=x_y[:, 1])
-
-    by = ["recording_id", "_chunk"]
-    return asked.groupBy(*by).cogroup(pieces.groupBy(*by)).applyInPandas(fit, schema)
+    each = numbers.select("recording_id", F.explode(near).alias("chunk"), F.struct("timestamp_us", "x_pos_mm", "y_pos_mm", "_i").alias("k"))
+    chunks = each.groupBy("recording_id", "chunk").agg(F.sort_array(F.collect_list("k")).alias("k"))  # at most knots + 2 * beside in one
+    chunks = chunks.select("recording_id", "chunk", *(F.col(f"k.{c}").cast(f"array<{t}>").alias(c) for c, t in (("timestamp_us", "long"), ("x_pos_mm", "double"), ("y_pos_mm", "double"), ("_i", "long"))))
+    kind = log.schema["recording_id"].dataType.simpleString()
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [b.column(k) for k in range(2, 6)]
+            t, x, y, i = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+            sizes = np.asarray(pc.list_value_length(lists[0]), np.int64)
+            begins = np.cumsum(sizes) - sizes
+            order = np.argsort(sizes, kind="stable")
+            while len(order):  # chunks of like length, as many as make up KNOTS_AT_ONCE
+                most = np.arange(1, len(order) + 1) * sizes[order] <= KNOTS_AT_ONCE
+                some, order = np.split(order, [max(1, int(most.sum()) if most.all() else int(most.argmin()))])
+                own, n = sizes[some], int(sizes[some].max(initial=0))
+                inside = np.arange(n) < own[:, None]
+                flat = (begins[some][:, None] + np.arange(n))[inside]
+                ts, xy = np.zeros(inside.shape, np.int64), np.zeros((*inside.shape, 2))
+                ts[inside], xy[inside] = t[flat], np.column_stack([x[flat], y[flat]])
+                fit = own >= 2
+                scale, pieces = np.ones(len(some)), np.zeros((*xy.shape, 4))
+                scale[fit], pieces[fit] = splines(ts[fit], xy[fit], own[fit])
+                chunk = b.column(1).to_numpy()[some]
+                keep = inside & (i[np.where(inside, begins[some][:, None] + np.arange(n), 0)] // knots == chunk[:, None])
+                row = np.repeat(some, keep.sum(axis=1))
+                polynomial = lambda c: pa.FixedSizeListArray.from_arrays(pa.array(pieces[keep][:, c].ravel()), 4).cast(pa.list_(pa.float64()))  # noqa: E731, B023
+                piece = pa.StructArray.from_arrays([pa.array(np.repeat(scale, keep.sum(axis=1))), polynomial(0), polynomial(1)], ["scale", "x", "y"])
+                yield pa.RecordBatch.from_pydict({"recording_id": b.column(0).take(pa.array(row)), "timestamp_us": ts[keep], "x_pos_mm": xy[keep][:, 0].copy(), "y_pos_mm": xy[keep][:, 1].copy(), "piece": piece})
+
+    return chunks.mapInArrow(solve, f"recording_id {kind}, timestamp_us long, x_pos_mm double, y_pos_mm double, piece struct<scale double, x array<double>, y array<double>>")
+
+
+def interp_stage_cubic(frames: DataFrame, log: DataFrame, clock: str = "received_time_us", knots: int = KNOTS, beside: int = BESIDE) -> DataFrame:
+    """frames with x_pos_mm_interp, y_pos_mm_interp on the not-a-knot spline through the recording's stage log.
+
+    Only the log's knots are solved for; a frame finds the piece that begins at or before its clock (before the first knot, the
+    first) as it finds samples, and its polynomial is a column expression. Recordings named by bad_stage_logs() have no rows here.
+    """
+    marked = bracketed(frames, spline_pieces(log, knots, beside), clock, extra=["piece"])
+    known = marked.withColumn("_k", F.coalesce("before", "after")).where("_k IS NOT NULL")
+    s = (F.col(clock) - F.col("_k.t")) / F.col("_k.piece.scale")
+    c = lambda axis, k: F.get(F.col(f"_k.piece.{axis}"), F.lit(k))
+    at = lambda axis: c(axis, 0) + s * (c(axis, 1) + s * (c(axis, 2) + s * c(axis, 3)))
+    return known.select(*frames.columns, at("x").alias("x_pos_mm_interp"), at("y").alias("y_pos_mm_interp"))
 
 
 def trajectory_bounds(log: DataFrame) -> DataFrame:
