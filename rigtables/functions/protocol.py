@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rigtables.durable import kept
+
+#: Steps and recordings that are sent to all tasks; shares of a recording's frames that meet its steps apart otherwise.
+MOST_BROADCAST, SALTS = 1_000_000, 64
+
 
 def parse_protocol(protocols: DataFrame, text: str = "protocol") -> DataFrame:
     """(recording_id, valid, steps): steps are an array of (step, frame_idx, channel, op), channel -1 for the stop.
@@ -39,9 +44,10 @@ def channel_intervals(parsed: DataFrame) -> DataFrame:
     """(recording_id, from_frame, to_frame, ch2, ch3): states between steps; to_frame is exclusive, null without end.
 
     A step waits for those before it, so it fires at the running maximum of their frames. Of steps that fire
-    at one frame the last word on a channel counts. The stop turns both off for good.
+    at one frame the last word on a channel counts. The stop turns both off for good. What was parsed is kept at a
+    checkpoint: the plan would parse it again wherever it looks at a step.
     """
-    each = parsed.where("valid").select("recording_id", F.explode("steps").alias("s")).select("recording_id", "s.*")
+    each = kept(parsed.select("recording_id", "valid", "steps")).where("valid").select("recording_id", F.explode("steps").alias("s")).select("recording_id", "s.*")
     so_far = W.partitionBy("recording_id").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
     state = lambda c: F.last(F.when(F.col("op") == "stop", False).when(F.col("channel") == c, F.col("op") == "on"), True).over(so_far)
     fired = each.select("recording_id", "step", F.max("frame_idx").over(so_far).alias("from_frame"), state(2).alias("ch2"), state(3).alias("ch3"))
@@ -50,14 +56,35 @@ def channel_intervals(parsed: DataFrame) -> DataFrame:
     return last.select("recording_id", "from_frame", F.lead("from_frame").over(following).alias("to_frame"), *(F.coalesce(f"s.{c}", F.lit(False)).alias(c) for c in ("ch2", "ch3")))
 
 
-def protocol_state_join(frames: DataFrame, parsed: DataFrame, frame: str = "frame_id") -> DataFrame:
+def last_at_or_before(ordered: Column, value: Column, most: int) -> Column:
+    """The index of the last number of an ascending array of up to `most` that is not over `value`, by binary search; -1 if all are."""
+    widths = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, most).bit_length()))))
+    return F.aggregate(widths, F.lit(-1), lambda at, w: F.when(F.get(ordered, at + w) <= value, at + w).otherwise(at))
+
+
+def state_arrays(parsed: DataFrame) -> DataFrame:
+    """(recording_id, from_frames, states): the frames at which a recording's channels change, ascending, and what they are from there on."""
+    step = F.struct("from_frame", F.struct("ch2", "ch3").alias("state"))
+    each = channel_intervals(parsed).groupBy("recording_id").agg(F.sort_array(F.collect_list(step)).alias("_s"))  # the steps of one protocol
+    return each.select("recording_id", F.col("_s.from_frame").alias("from_frames"), F.col("_s.state").alias("states"))
+
+
+def protocol_state_join(frames: DataFrame, parsed: DataFrame, frame: str = "frame_id", most_broadcast: int = MOST_BROADCAST, salts: int = SALTS) -> DataFrame:
     """frames with ch2 and ch3; both off before the first step and without a valid protocol.
 
-    The frames are joined with the few intervals of their recording, by range.
+    Each recording's steps are an array in which a frame's is looked up. The arrays are counted: up to `most_broadcast` steps and
+    recordings are sent to all tasks and no frame moves; more meet the frames by recording and one of `salts` shares of its frames.
     """
-    i = channel_intervals(parsed).withColumnRenamed("recording_id", "_r")
-    inside = (F.col("recording_id") == F.col("_r")) & (F.col(frame) >= F.col("from_frame")) & (F.col("to_frame").isNull() | (F.col(frame) < F.col("to_frame")))
-    return frames.join(i, inside, "left").select(*frames.columns, *(F.coalesce(c, F.lit(False)).alias(c) for c in ("ch2", "ch3")))
+    arrays = kept(state_arrays(parsed))
+    total, most = arrays.agg(F.coalesce(F.sum(1 + F.size("states")), F.lit(0)), F.coalesce(F.max(F.size("states")), F.lit(0))).first()
+    if total <= most_broadcast:
+        met = frames.join(F.broadcast(arrays), "recording_id", "left")
+    else:
+        shares = arrays.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = frames.withColumn("_share", F.pmod(F.xxhash64(frame), F.lit(salts)).cast("int")).join(shares, ["recording_id", "_share"], "left")
+    at = last_at_or_before(F.col("from_frames"), F.col(frame), most)
+    found = met.withColumn("_state", F.get("states", at))
+    return found.select(*frames.columns, *(F.coalesce(f"_state.{c}", F.lit(False)).alias(c) for c in ("ch2", "ch3")))
 
 
 def programmed_stop(frames: DataFrame, parsed: DataFrame, frame: str = "frame_id", every: Column | None = None) -> DataFrame:
@@ -80,16 +107,26 @@ def accessible_cells(mask: DataFrame, margin_cells: int) -> DataFrame:
 
     A row of the ellipse, r from its middle, reaches round(sqrt(margin^2 - r^2)) cells to both sides (half to even).
 
-    mask: (arena, col, row, open) of all cells. Walls grow by the few offsets of the kernel; small beside the frames.
+    mask: (arena, col, row, open) of all cells. Walls are runs along rows: a run closes one longer run in each of the 2 margin_cells + 1
+    rows around. The runs that close cells of a row are merged, and each cell is looked up among them.
     """
-    reach = {r: round(math.sqrt(margin_cells * margin_cells - r * r)) for r in range(-margin_cells, margin_cells + 1)}
-    offsets = [(c, r) for r, n in reach.items() for c in range(-n, n + 1)]
-    kernel = F.array(*(F.struct(F.lit(c).cast("long").alias("c"), F.lit(r).cast("long").alias("r")) for c, r in offsets))
+    reach = F.array(*(F.struct(F.lit(r).cast("long").alias("r"), F.lit(round(math.sqrt(margin_cells * margin_cells - r * r))).cast("long").alias("n")) for r in range(-margin_cells, margin_cells + 1)))
+    along = W.partitionBy("arena", "row").orderBy("col")
+    walls = mask.where("NOT open").select("arena", "row", "col", (F.col("col") - F.row_number().over(along)).alias("_run"))
+    runs = walls.groupBy("arena", "row", "_run").agg(F.min("col").alias("a"), F.max("col").alias("b"))
+    grown = runs.select("arena", F.explode(reach).alias("k"), "row", "a", "b").select("arena", (F.col("row") + F.col("k.r")).alias("row"), (F.col("a") - F.col("k.n")).alias("a"), (F.col("b") + F.col("k.n")).alias("b"))
+    ordered = W.partitionBy("arena", "row").orderBy("a", "b")
+    fresh = F.when(F.col("a") > F.max("b").over(ordered.rowsBetween(W.unboundedPreceding, -1)) + 1, 1).otherwise(0)
+    merged = grown.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+    merged = merged.groupBy("arena", "row", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    closed = merged.groupBy("arena", "row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_closed"))  # the runs of one row
+    closed = kept(closed.select("arena", "row", F.col("_closed.a").alias("_from"), F.col("_closed.b").alias("_to")))
+    most = closed.agg(F.coalesce(F.max(F.size("_from")), F.lit(0))).first()[0]
     size = mask.groupBy("arena").agg(F.max("col").alias("_cols"), F.max("row").alias("_rows"))
-    walls = mask.where("NOT open").select("arena", "col", "row", F.explode(kernel).alias("k"))
-    closed = walls.select("arena", (F.col("col") + F.col("k.c")).alias("col"), (F.col("row") + F.col("k.r")).alias("row")).distinct()
-    inner = mask.where("open").join(size, "arena").where((F.col("col") >= margin_cells) & (F.col("row") >= margin_cells) & (F.col("col") <= F.col("_cols") - margin_cells) & (F.col("row") <= F.col("_rows") - margin_cells))
-    return inner.join(closed, ["arena", "col", "row"], "left_anti").select("arena", "col", "row")
+    m = margin_cells
+    inner = mask.where("open").join(size, "arena").where((F.col("col") >= m) & (F.col("row") >= m) & (F.col("col") <= F.col("_cols") - m) & (F.col("row") <= F.col("_rows") - m))
+    met = inner.join(closed, ["arena", "row"], "left").withColumn("_end", F.get("_to", last_at_or_before(F.col("_from"), F.col("col"), most)))
+    return met.where("_end IS NULL OR _end < col").select("arena", "col", "row")
 
 
 def inside_active_area(points: DataFrame, cells: DataFrame, resolution: float, x: str = "physical_x", y: str = "physical_y") -> DataFrame:

@@ -303,6 +303,22 @@ def inside_active_area(s: SparkSession, d: str) -> DataFrame:
     return pr.inside_active_area(p, pr.accessible_cells(v.mask(s), 2), 1.0, "x", "y").select("stage_x", "stage_y", r6("x", "x"), r6("y", "y"), "accessible")
 
 
+@query(""", wall AS (SELECT DISTINCT l_suppkey % 2 AS arena, l_partkey * 7 % 600 AS c, l_orderkey * 11 % 480 AS r FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 499 = 0),
+n AS (SELECT range AS d, round_even(sqrt(10000 - power(range, 2)), 0) AS n FROM range(-100, 101)),
+grown AS (SELECT DISTINCT arena, r + d AS r, c - n AS a, c + n AS b FROM wall, n)
+SELECT arena, r AS "row", c AS col FROM (SELECT DISTINCT l_suppkey % 2 AS arena FROM lineitem), (SELECT range AS c FROM range(100, 500)), (SELECT range AS r FROM range(100, 380))
+EXCEPT SELECT arena, r, unnest(range(CAST(greatest(a, 100) AS BIGINT), CAST(least(b, 499) AS BIGINT) + 1)) FROM grown""")
+def accessible_cells(s: SparkSession, d: str) -> DataFrame:
+    """Two arenas of 600 x 480 cells with walls from the tables; 100 cells around each wall and border are closed."""
+    c = F.col
+    marks = v.table(s, d, "lineitem")
+    walls = marks.where((c("l_linenumber") == 1) & (c("l_orderkey") % 499 == 0)).select((c("l_suppkey") % 2).alias("arena"), (c("l_partkey") * 7 % 600).alias("col"), (c("l_orderkey") * 11 % 480).alias("row")).distinct()
+    arenas = marks.select((c("l_suppkey") % 2).alias("arena")).distinct()
+    cells = arenas.select("arena", F.explode(F.sequence(F.lit(0), F.lit(600 * 480 - 1))).alias("k")).select("arena", (c("k") % 600).cast("long").alias("col"), F.floor(c("k") / 600).alias("row"))
+    mask = cells.join(walls.withColumn("_w", F.lit(True)), ["arena", "col", "row"], "left").select("arena", "col", "row", c("_w").isNull().alias("open"))
+    return pr.accessible_cells(mask, 100).select("arena", "row", "col")
+
+
 @query("SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'differs' ELSE 'identical' END AS state FROM documents", views=False)
 def verify_copy(s: SparkSession, d: str) -> DataFrame:
     return jobs.verify_copy(*v.manifests(s, d))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rigtables.functions import protocol
 from rigtables.operators import calibration as cal
 from rigtables.operators import jobs, pixels, pose, quality, stage, sync
 from rigtables.plans import workflows
@@ -221,3 +222,35 @@ def test_burst_and_change_refuse_other_shapes(spark):
         pixels.burst_median_frame(df, ["recording_id"]).collect()
     with pytest.raises(Exception, match="height x width"):
         pixels.reorient_frame(df.withColumn("width", F.lit(5)), "muscle").collect()
+
+
+def test_erosion_by_runs_equals_the_kernel(spark):
+    rng = np.random.default_rng(7)
+    walls = {(a, int(c), int(r)) for a in (0, 1) for c, r in rng.integers(0, 40, (30, 2))} | {(1, c, 20) for c in range(5, 30)}
+    cells = [(a, c, r) for a in (0, 1, 2) for c in range(40) for r in range(40)]
+    mask = spark.createDataFrame([(*x, x not in walls) for x in cells], "arena long, col long, row long, open boolean")
+    for m in (0, 1, 5):
+        reach = {r: round((m * m - r * r) ** 0.5) for r in range(-m, m + 1)}
+        near = lambda a, c, r: any((a, c + i, r + j) in walls for j, n in reach.items() for i in range(-n, n + 1))  # noqa: B023, E731
+        want = {x for x in cells if min(x[1:]) >= m and max(x[1:]) <= 39 - m and not near(*x)}
+        assert {tuple(x) for x in protocol.accessible_cells(mask, m).select("arena", "col", "row").collect()} == want
+
+
+def test_protocol_states_whichever_way_they_meet_the_frames(spark):
+    texts = {1: "5/ch2/on;3/ch3/on;9/ch2/off;20/x/stop", 2: None, 3: "bad", 4: "0/ch3/on;0/ch3/off;0/ch2/on;7/x/stop"}
+    parsed = protocol.parse_protocol(spark.createDataFrame(list(texts.items()), "recording_id long, protocol string"))
+    frames_ = spark.createDataFrame([(r, f) for r in (1, 2, 3, 4, 5) for f in range(25)], "recording_id long, frame_id long")
+    on = {1: lambda f: (5 <= f < 9, 5 <= f < 20), 4: lambda f: (f < 7, False)}
+    want = {(r, f, *on.get(r, lambda _: (False, False))(f)) for r in (1, 2, 3, 4, 5) for f in range(25)}
+    for most in (1_000_000, 0):
+        joined = protocol.protocol_state_join(frames_, parsed, most_broadcast=most, salts=3)
+        assert {tuple(x) for x in joined.collect()} == want
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "BroadcastHashJoin" in plan or most == 0
+
+
+def test_binary_search_in_arrays(spark):
+    for n in (0, 1, 2, 3, 8, 9):
+        rows = spark.createDataFrame([([2 * k for k in range(n)], v) for v in range(-2, 2 * n + 2)], "a array<long>, v long")
+        got = rows.select("v", protocol.last_at_or_before(F.col("a"), F.col("v"), n).alias("at")).collect()
+        assert all(r.at == max([k for k in range(n) if 2 * k <= r.v], default=-1) for r in got)
