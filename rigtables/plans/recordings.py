@@ -9,7 +9,7 @@ from rigtables.durable import fresh_path
 from rigtables.plans import views as v
 from rigtables.plans import workflows
 from rigtables.plans.registry import SLOTS, query, r6
-from rigtables.sources import readers
+from rigtables.sources import outputs, readers
 from rigtables.sources.files import write_text_files
 from rigtables.streaming import live
 
@@ -112,14 +112,24 @@ def discover_recordings(s: SparkSession, d: str) -> DataFrame:
     return readers.discover_recordings(s, root)
 
 
-@query("SELECT recording_id, frame_id, CASE WHEN recording_id % 3 = 0 THEN -acquired_time_us ELSE acquired_time_us END AS v FROM t_frames")
+@query("""SELECT recording_id, frame_id, CASE WHEN recording_id % 3 = 0 THEN -acquired_time_us ELSE acquired_time_us END AS v, true AS refused, recording_id % 5 = 1 AS reused FROM t_frames""")
 def write_outputs(s: SparkSession, d: str) -> DataFrame:
-    """All recordings are written, then every third is written anew."""
-    path = fresh_path(s, "outputs")
+    """Recordings are added to a folder, refused if they are there, replaced if that is asked, kept if that is, and taken up again."""
+    path, r = fresh_path(s, "outputs"), F.col("recording_id")
     rows = v.frames(s, d).select("recording_id", "frame_id", F.col("acquired_time_us").alias("v"))
-    readers.write_outputs(rows, path)
-    readers.write_outputs(rows.where("recording_id % 3 = 0").withColumn("v", -F.col("v")), path, overwrite=True)
-    return s.read.parquet(path).select(_id(), "frame_id", "v")
+    outputs.write_outputs(rows.where(r % 2 == 0), path)
+    outputs.write_outputs(rows.where(r % 4 == 1), path)
+    try:
+        outputs.write_outputs(rows.where(r % 4 < 3).withColumn("v", F.lit(0).cast("long")), path)
+        refused = False
+    except FileExistsError:
+        refused = True
+    outputs.write_outputs(rows.where((r % 4 == 3) | (r % 2 == 0)), path, existing="keep")
+    outputs.write_outputs(rows.where(r % 3 == 0).withColumn("v", -F.col("v")), path, existing="overwrite")
+    again = outputs.reuse_outputs(s, path, rows.where(r % 5 == 1).select("recording_id"))
+    rest = outputs.read_outputs(s, path).where(r % 5 != 1)
+    both = again.withColumn("reused", F.lit(True)).unionByName(rest.withColumn("reused", F.lit(False)))
+    return both.select("recording_id", "frame_id", "v", F.lit(refused).alias("refused"), "reused")
 
 
 @query("SELECT CAST(job_id AS VARCHAR) AS job_id, CAST(trial_id AS VARCHAR) AS trial_id, 'T' || trial_id AS display_name, status, CASE WHEN status = 'failed' THEN error END AS error FROM t_trials")

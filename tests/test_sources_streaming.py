@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from rigtables.operators import sync
-from rigtables.sources import readers
+from rigtables.sources import outputs, readers
 from rigtables.streaming import live
 
 
@@ -103,14 +103,44 @@ def test_job_documents(spark):
     assert [(r.job_id, r.trial_id, r.status, r.submission_time) for r in rows] == [("j", "t1", "failed", dt.datetime(2024, 1, 2, 3, 4, 5))]
 
 
-def test_outputs_are_not_overwritten_unasked(spark, tmp_path):
-    df = spark.createDataFrame([(1, 5), (2, 6)], "recording_id long, v long")
+def test_outputs_are_published_by_recording(spark, tmp_path):
+    df = spark.createDataFrame([("007", 5), ("b", 6)], "recording_id string, v long")
+    path, now = str(tmp_path / "out"), lambda: {(r.recording_id, r.v) for r in outputs.read_outputs(spark, path).collect()}
+    with pytest.raises(FileNotFoundError):
+        outputs.read_outputs(spark, path)
+    outputs.write_outputs(df.limit(0), path)
+    assert outputs.published(spark, path) is None
+    outputs.write_outputs(df, path)
+    more = spark.createDataFrame([("b", 7), ("c", 8), ("c", 9)], df.schema)
+    with pytest.raises(FileExistsError, match="recordings b are"):
+        outputs.write_outputs(more, path)
+    assert now() == {("007", 5), ("b", 6)}
+    outputs.write_outputs(more, path, existing="keep")
+    assert now() == {("007", 5), ("b", 6), ("c", 8), ("c", 9)}
+    outputs.write_outputs(more.where("v < 9"), path, existing="overwrite")
+    assert now() == {("007", 5), ("b", 7), ("c", 8)}
+    assert {r.v for r in outputs.reuse_outputs(spark, path, df.limit(1)).collect()} == {5}
+    with pytest.raises(FileNotFoundError, match="recordings d have|recordings d are"):
+        outputs.reuse_outputs(spark, path, spark.createDataFrame([("d",), ("b",)], "recording_id string"))
+    with pytest.raises(ValueError, match="columns"):
+        outputs.write_outputs(df.withColumn("w", F.lit(1)), path, existing="overwrite")
+
+
+def test_a_lost_run_leaves_nothing_that_is_read(spark, tmp_path):
+    df = spark.createDataFrame([(k, k) for k in range(20)], "recording_id long, v long")
     path = str(tmp_path / "out")
-    readers.write_outputs(df, path)
-    with pytest.raises(AnalysisException):
-        readers.write_outputs(df, path)
-    readers.write_outputs(spark.createDataFrame([(2, 7)], df.schema), path, overwrite=True)
-    assert {(r.recording_id, r.v) for r in spark.read.parquet(path).collect()} == {(1, 5), (2, 7)}
+    outputs.write_outputs(df.where("recording_id < 3"), path)
+    broken = df.repartition(4).withColumn("v", F.when(F.col("recording_id") == 17, F.raise_error(F.lit("lost")).cast("long")).otherwise(-F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        outputs.write_outputs(broken, path, existing="overwrite")
+    with pytest.raises(Exception, match="without recording_id"):
+        outputs.write_outputs(spark.createDataFrame([(None, 1)], df.schema), path)
+    # a run whose rows and list of recordings are there, but not its last file
+    df.withColumn("v", -F.col("v")).write.parquet(f"{path}/data/run=dead")
+    df.groupBy("recording_id").agg(F.count("*").alias("n_rows")).write.parquet(f"{path}/recordings/run=dead")
+    assert {(r.recording_id, r.v) for r in outputs.read_outputs(spark, path).collect()} == {(0, 0), (1, 1), (2, 2)}
+    outputs.write_outputs(df.where("recording_id = 17"), path)
+    assert outputs.read_outputs(spark, path).count() == 4
 
 
 def run(spark, df, name, mode="append"):
