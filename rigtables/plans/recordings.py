@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,6 +148,23 @@ def read_job_documents(s: SparkSession, d: str) -> DataFrame:
 
 # Streams
 
+DAY_US = 86_400_000_000
+
+
+def _streamed(s: SparkSession, batches: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream with state makes of the batches, one trigger each, in their order."""
+    source, out = fresh_path(s, "batches"), fresh_path(s, "streamed")
+    for b in batches:
+        b.coalesce(1).write.mode("append").parquet(source)  # a trigger takes one file
+    key, before = "spark.sql.streaming.stateStore.providerClass", s.conf.get("spark.sql.streaming.stateStore.providerClass")
+    s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        made = job(s.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(source))
+        live.write_stream(made, out, fresh_path(s, "stream"), once=True).awaitTermination()
+    finally:
+        s.conf.set(key, before)
+    return s.read.schema(made.schema).parquet(out)
+
 
 @query("SELECT recording_id, frame_id, acquired_time_us, received_time_us FROM t_frames")
 def stream_frame_metadata(s: SparkSession, d: str) -> DataFrame:
@@ -165,26 +184,44 @@ z AS (SELECT session, start_us, after_i, lead(start_us) OVER o AS end_us, lead(a
 SELECT z.session, start_us, end_us, count(*) AS n, CAST(sum(save_us) // count(*) AS BIGINT) AS mean_save_us, round(avg(queue), 6) AS mean_queue_length
 FROM z JOIN sv ON sv.session = z.session AND sv.i > after_i AND sv.i <= last_i WHERE end_us IS NOT NULL GROUP BY ALL""")
 def saver_perf_windows(s: SparkSession, d: str) -> DataFrame:
-    """Windows that restart at the save which closes them, by a stream with state."""
+    """Windows that restart at the save which closes them, by a stream with state; saves come in three interleaved batches."""
     saves = v._events(s, d).select(F.col("recording_id").alias("session"), F.col("us").alias("at_us"), F.floor(F.col("value") * 100).alias("save_us"), (F.col("event_id") % 20).alias("queue_length"))
-    source, out = fresh_path(s, "saves"), fresh_path(s, "streamed")
-    saves.write.parquet(source)
-    key, before = "spark.sql.streaming.stateStore.providerClass", s.conf.get("spark.sql.streaming.stateStore.providerClass")
-    s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        windows = live.saver_perf_windows(s.readStream.schema(saves.schema).parquet(source))
-        live.write_stream(windows, out, fresh_path(s, "stream"), once=True).awaitTermination()
-    finally:
-        s.conf.set(key, before)
-    return s.read.schema(windows.schema).parquet(out).select("session", "start_us", "end_us", "n", "mean_save_us", r6("mean_queue_length", "mean_queue_length"))
+    end = saves.agg(F.max("at_us").alias("t")).select(F.lit(-1).cast("long").alias("session"), (F.col("t") + 5000 * DAY_US).alias("at_us"), F.lit(0).cast("long").alias("save_us"), F.lit(0).cast("long").alias("queue_length"))
+    k = F.pmod(F.xxhash64("at_us"), F.lit(3))
+    windows = _streamed(s, [*(saves.where(k == i) for i in range(3)), end], lambda stream: live.saver_perf_windows(stream, late="4000 days"))
+    return windows.select("session", "start_us", "end_us", "n", "mean_save_us", r6("mean_queue_length", "mean_queue_length"))
 
 
-@query("SELECT recording_id, frame_id // 3 AS group_id, count(*) AS num_valid, string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY frame_id) AS frame_ids FROM t_frames GROUP BY ALL")
+@query("SELECT recording_id, frame_id // 3 AS group_id, count(*) AS num_valid, string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY frame_id) AS frame_ids, CASE WHEN count(*) = 3 THEN 'full' WHEN recording_id % 2 = 0 THEN 'ended' ELSE 'quiet' END AS why FROM t_frames GROUP BY recording_id, frame_id // 3")
 def stream_partial_groups(s: SparkSession, d: str) -> DataFrame:
-    """As a batch; the frames of these tables lie days apart."""
-    frames = v.frames(s, d).select("recording_id", "frame_id", F.timestamp_micros("acquired_time_us").alias("at"))
-    groups = live.stream_partial_groups(frames, quiet="4000 days")
-    return groups.select("recording_id", "group_id", "num_valid", F.concat_ws(",", F.col("frame_ids").cast("array<string>")).alias("frame_ids"))
+    """Frames of a group come in three batches, last first; then half of the recordings end, and the others are quiet."""
+    r = F.col("recording_id")
+    frames = v.frames(s, d).select("recording_id", "frame_id", F.timestamp_micros("acquired_time_us").alias("at"), F.lit(False).alias("ended"))
+    last = frames.groupBy("recording_id").agg(F.max("at").alias("at"))
+    none = F.lit(None).cast("long").alias("frame_id")
+    ends = last.where(r % 2 == 0).select("recording_id", none, "at", F.lit(True).alias("ended"))
+    later = last.agg(F.max("at").alias("t")).select(F.lit(-1).cast("long").alias("recording_id"), none, F.expr("t + INTERVAL 5000 DAYS").alias("at"), F.lit(False).alias("ended"))
+    groups = _streamed(s, [*(frames.where(F.col("frame_id") % 3 == 2 - i) for i in range(3)), ends, later], lambda stream: live.stream_partial_groups(stream, late="4000 days"))
+    return groups.select("recording_id", "group_id", "num_valid", F.concat_ws(",", F.col("frame_ids").cast("array<string>")).alias("frame_ids"), "why")
+
+
+@query(""", ev AS (SELECT user_id % 20 AS job_id, user_id AS trial_id, CASE event_id % 40 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' ELSE 'processing' END AS status, event_id FROM events),
+cut AS (SELECT max(event_id) // 2 AS half FROM events),
+seen AS (SELECT ev.*, job_id % 5 = 0 AND event_id > half AS after FROM ev, cut WHERE job_id % 5 != 1 OR event_id <= half),
+t AS (SELECT job_id, trial_id, min(event_id) AS first, min_by(status, event_id) AS first_status, min(event_id) FILTER (status != 'processing' AND NOT after) AS own, min_by(status, event_id) FILTER (status != 'processing' AND NOT after) AS own_status, bool_and(after) AS late FROM seen GROUP BY ALL)
+SELECT job_id, trial_id, CASE WHEN own IS NOT NULL THEN own_status WHEN late THEN CASE WHEN first_status = 'processing' THEN 'failed' ELSE first_status END ELSE 'failed' END AS status,
+  CASE WHEN own IS NOT NULL OR (late AND first_status != 'processing') THEN 'own' WHEN job_id % 5 = 0 THEN 'aborted' ELSE 'silent' END AS why
+FROM t WHERE own IS NOT NULL OR job_id % 5 < 2""")
+def live_jobs(s: SparkSession, d: str) -> DataFrame:
+    """One stream of trials, beats and an abort in its middle: every fifth job is aborted there, every fifth beats once and falls silent."""
+    k, j = F.col("event_id") % 40, F.col("job_id")
+    status = F.when(k == 0, "complete").when(k == 1, "failed").otherwise("processing")
+    trials = v._events(s, d).select((F.col("recording_id") % 20).alias("job_id"), F.lit("trial").alias("kind"), F.col("recording_id").alias("trial_id"), status.alias("status"), F.timestamp_micros("us").alias("at"), "event_id")
+    half = (trials.agg(F.max("event_id")).first()[0] or 0) // 2
+    early, late = trials.where(F.col("event_id") <= half), trials.where(F.col("event_id") > half)
+    named = lambda kind, jobs: early.groupBy("job_id").agg(F.max("at").alias("at"), F.max("event_id").alias("event_id")).where(jobs).select(j, F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("trial_id"), F.lit(None).cast("string").alias("status"), "at", "event_id")
+    batches = [early.unionByName(named("beat", j % 5 == 1)), named("abort", j % 5 == 0), late.where(j % 5 != 1)]
+    return _streamed(s, batches, lambda stream: live.live_jobs(stream, idle_s=40_000 * 86_400))
 
 
 # Whole jobs

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from rigtables.operators.jobs import trial_lifecycle
+from rigtables.operators.jobs import TERMINAL_STATES, trial_lifecycle
 from rigtables.operators.stage import latest_position
 from rigtables.sources.readers import SIDECAR, recording_of
 
-FIRST_WINDOW_S, WINDOW_S, HEARTBEAT_TIMEOUT_S, IDLE_S = 2, 60, 120, 86_400
+FIRST_WINDOW_S, WINDOW_S, HEARTBEAT_TIMEOUT_S, IDLE_S, SPAN_US = 2, 60, 120, 86_400, 10_000_000
 
 
 def stream_frame_metadata(spark: SparkSession, glob: str, depth: int = 2, files: int = 10_000) -> DataFrame:
@@ -35,49 +35,89 @@ def saver_perf_grid(saves: DataFrame, seconds: int = WINDOW_S, late: str = "10 m
     return got.select("session", F.col("w.start").alias("window_start"), "n", "mean_save_us", "mean_queue_length")
 
 
+def _set_timer(handle: StatefulProcessorHandle, at_ms: int | None) -> None:
+    """The key's one timer is at at_ms, or there is none."""
+    set_ = list(handle.listTimers())
+    for t in set_:
+        if t != at_ms:
+            handle.deleteTimer(t)
+    if at_ms is not None and at_ms not in set_:
+        handle.registerTimer(at_ms)
+
+
+SAVES = ["at_us", "save_us", "queue_length"]
+
+
 class SaverWindows(StatefulProcessor):
     """Windows that restart at the save which closes them: 2 s first, then 60 s; that save is still counted.
 
-    Saves of one batch count in the order of their time, then duration and queue. With processing time a session
-    without a save for IDLE_S is forgotten.
+    Saves wait in the state, by spans of SPAN_US, until the watermark has passed them, and then count in the order of their time,
+    duration and queue, whichever batch brought them. A session of which nothing came for IDLE_S is forgotten.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "start_us long, first boolean, n long, save_us long, queue long")
+        self.window = handle.getValueState("window", "start_us long, first boolean, n long, save_us long, queue long, last_us long")
+        self.waiting = handle.getMapState("waiting", "span long", "at_us array<long>, save_us array<long>, queue_length array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, first, n, save, queue = self.window.get() if self.window.exists() else (None, True, 0, 0, 0)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["at_us", "save_us", "queue_length"]).itertuples(index=False):
-            start = r.at_us if start is None else start
-            n, save, queue = n + 1, save + int(r.save_us), queue + int(r.queue_length)
-            if r.at_us - start >= (FIRST_WINDOW_S if first else WINDOW_S) * 1_000_000:
-                out.append((key[0], start, r.at_us, n, save // n, queue / n))
-                start, first, n, save, queue = r.at_us, False, 0, 0, 0
-        self.window.update((start, first, n, save, queue))
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if now >= 0:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(now + IDLE_S * 1000)
-        yield pd.DataFrame(out, columns=["session", "start_us", "end_us", "n", "mean_save_us", "mean_queue_length"])
+        for part in rows:
+            for span, some in part.groupby(part["at_us"] // SPAN_US):
+                have = self.waiting.getValue((int(span),)) if self.waiting.containsKey((int(span),)) else ([], [], [])
+                self.waiting.updateValue((int(span),), tuple([*h, *some[c].tolist()] for h, c in zip(have, SAVES, strict=True)))
+        yield self._release(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.window.clear()
-        yield pd.DataFrame({"session": [], "start_us": [], "end_us": [], "n": [], "mean_save_us": [], "mean_queue_length": []})
+        yield self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def _release(self, key, watermark_ms: int) -> pd.DataFrame:
+        start, first, n, save, queue, last = self.window.get() if self.window.exists() else (None, True, 0, 0, 0, None)
+        out, upto, next_ = [], watermark_ms * 1000, None
+        for (span,) in sorted(self.waiting.keys()):
+            if span * SPAN_US > upto:
+                next_ = span * SPAN_US
+                break
+            saves = sorted(zip(*self.waiting.getValue((span,)), strict=True))
+            passed = [x for x in saves if x[0] <= upto]
+            for at, took, length in passed:
+                start = at if start is None else start
+                n, save, queue, last = n + 1, save + took, queue + length, at
+                if at - start >= (FIRST_WINDOW_S if first else WINDOW_S) * 1_000_000:
+                    out.append((key[0], start, at, n, save // n, queue / n))
+                    start, first, n, save, queue = at, False, 0, 0, 0
+            left = saves[len(passed) :]
+            if left:
+                self.waiting.updateValue((span,), tuple(map(list, zip(*left, strict=True))))
+                next_ = left[0][0]
+                break
+            self.waiting.removeKey((span,))
+        if next_ is not None:
+            _set_timer(self.handle, -(-next_ // 1000))
+        elif last is None or last // 1000 + IDLE_S * 1000 <= watermark_ms:
+            self.window.clear()
+            _set_timer(self.handle, None)
+            return pd.DataFrame(out, columns=WINDOWS)
+        else:
+            _set_timer(self.handle, last // 1000 + IDLE_S * 1000)
+        self.window.update((start, first, n, save, queue, last))
+        return pd.DataFrame(out, columns=WINDOWS)
 
     def close(self) -> None:
         pass
 
 
-def saver_perf_windows(saves: DataFrame, forget: bool = False) -> DataFrame:
-    """(session, start_us, end_us, n, mean_save_us, mean_queue_length); saves: (session long, at_us, save_us, queue_length).
+WINDOWS = ["session", "start_us", "end_us", "n", "mean_save_us", "mean_queue_length"]
+
 
-    `forget` drops the state of sessions that have been idle for a day; for streams that never end.
+def saver_perf_windows(saves: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """(session, start_us, end_us, n, mean_save_us, mean_queue_length); saves: (session long, at_us, save_us, queue_length), a stream.
+
+    A save may come up to `late` after later ones, in any batch; what comes later still is left out. Saves are counted once the
+    watermark has passed them, so a session's last ones wait until any session goes on.
     """
+    timed = saves.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", late)
     out = "session long, start_us long, end_us long, n long, mean_save_us long, mean_queue_length double"
-    return saves.groupBy("session").transformWithStateInPandas(SaverWindows(), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if forget else "None")
+    return timed.groupBy("session").transformWithStateInPandas(SaverWindows(), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
 class Heartbeats(StatefulProcessor):
@@ -87,7 +127,7 @@ class Heartbeats(StatefulProcessor):
         self.handle, self.last = handle, handle.getValueState("last", "at_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(part["at"].max().timestamp() * 1000) for part in rows)
+        newest = max(int(part["at_ms"].max()) for part in rows)
         if self.last.exists():
             newest = max(newest, self.last.get()[0])
         for t in list(self.handle.listTimers()):
@@ -107,7 +147,8 @@ class Heartbeats(StatefulProcessor):
 
 def heartbeat_timeouts(beats: DataFrame, late: str = "1 minute") -> DataFrame:
     """(job_id long, last_beat_ms) of jobs that fell silent; beats: (job_id long, at timestamp)."""
-    return beats.withWatermark("at", late).groupBy("job_id").transformWithStateInPandas(Heartbeats(), outputStructType="job_id long, last_beat_ms long", outputMode="Append", timeMode="EventTime")
+    timed = beats.select("job_id", "at", F.unix_millis("at").alias("at_ms")).withWatermark("at", late)
+    return timed.groupBy("job_id").transformWithStateInPandas(Heartbeats(), outputStructType="job_id long, last_beat_ms long", outputMode="Append", timeMode="EventTime")
 
 
 def trial_lifecycle_updates(events: DataFrame) -> DataFrame:
@@ -120,13 +161,146 @@ def latest_stage_position(log: DataFrame) -> DataFrame:
     return latest_position(log)
 
 
-def stream_partial_groups(frames: DataFrame, late: str = "10 seconds", quiet: str = "1 minute") -> DataFrame:
-    """Groups of three frames by id; frames: (recording_id, frame_id, at).
+class PartialGroups(StatefulProcessor):
+    """Frames of a recording in groups of three: a full group leaves with its third frame, a partial one at the end or when it is quiet."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "frame_ids array<long>, last_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames, last = self.open.get() if self.open.exists() else ([], 0)
+        groups: dict[int, set[int]] = {}
+        for f in frames:
+            groups.setdefault(f // 3, set()).add(f)
+        ended = False
+        for part in rows:
+            out = []
+            last = max(last, int(part["at_ms"].max()))
+            ended |= bool(part["ended"].any())
+            for f in part["frame_id"].dropna().astype("int64").tolist():
+                one = groups.setdefault(f // 3, set())
+                one.add(f)
+                if len(one) == 3:
+                    out.append((key[0], f // 3, 3, sorted(groups.pop(f // 3)), "full"))
+            yield _groups(out)
+        if ended:
+            yield self._flush(key, groups, "ended")
+            return
+        self.open.update((sorted(f for one in groups.values() for f in one), last))
+        _set_timer(self.handle, last + self.quiet_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        frames, _ = self.open.get() if self.open.exists() else ([], 0)
+        groups: dict[int, set[int]] = {}
+        for f in frames:
+            groups.setdefault(f // 3, set()).add(f)
+        yield self._flush(key, groups, "quiet")
+
+    def _flush(self, key, groups: dict[int, set[int]], why: str) -> pd.DataFrame:
+        self.open.clear()
+        _set_timer(self.handle, None)
+        return _groups([(key[0], g, len(f), sorted(f), why) for g, f in sorted(groups.items())])
+
+    def close(self) -> None:
+        pass
+
+
+def _groups(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["recording_id", "group_id", "num_valid", "frame_ids", "why"])
+
+
+def stream_partial_groups(frames: DataFrame, late: str = "10 seconds", quiet_s: float = 60) -> DataFrame:
+    """(recording_id, group_id, num_valid, frame_ids, why): groups of three by id, from a stream (recording_id long, frame_id, at, [ended]).
+
+    A group leaves as soon as its third frame is there (`full`). What is partial leaves when a row of the recording says `ended`
+    (its frame_id may be null), or once the watermark is `quiet_s` past the recording's last frame. Frames of a batch may come in any
+    order, and a frame that comes twice while its group is open counts once. A frame that comes after its group has left makes a
+    partial group of its own, which leaves in the same way; one that is behind the watermark (`late` after the latest frame of any
+    recording) is left out. The state holds open groups alone.
+    """
+    marked = frames if "ended" in frames.columns else frames.withColumn("ended", F.lit(False))
+    timed = marked.select("recording_id", "frame_id", "at", F.unix_millis("at").alias("at_ms"), F.coalesce("ended", F.lit(False)).alias("ended")).withWatermark("at", late)
+    out = "recording_id long, group_id long, num_valid long, frame_ids array<long>, why string"
+    return timed.groupBy("recording_id").transformWithStateInPandas(PartialGroups(int(quiet_s * 1000)), outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
+class LiveJobs(StatefulProcessor):
+    """The trials of a job while it runs; a job that is aborted or falls silent takes its open trials with it."""
+
+    def __init__(self, idle_s: int):
+        self.idle_s = idle_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "beat_ms long, last_ms long, gone string")
+        self.open = handle.getMapState("open", "trial_id long", "status string")
+        self.done = handle.getMapState("done", "trial_id long", "status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        beat, last, gone = self.job.get() if self.job.exists() else (None, 0, None)
+        # a batch's events of one job count in the order of their time; equal ones as they are numbered
+        events = pd.concat(list(rows)).sort_values(["at_us", "event_id"])
+        out = []
+        for at, kind, trial, status in zip(events["at_us"], events["kind"], events["trial_id"], events["status"], strict=True):
+            now = int(at) // 1000
+            last = max(last, now)
+            if kind == "beat":
+                beat = max(beat or 0, now)
+            elif kind == "abort":
+                gone = gone or "aborted"
+                out += self._fail(key, gone)
+            elif kind == "trial" and not self.done.containsKey((int(trial),)):
+                trial = int(trial)
+                if status in TERMINAL_STATES or gone:
+                    out.append((key[0], trial, status if status in TERMINAL_STATES else "failed", "own" if status in TERMINAL_STATES else gone))
+                    self.done.updateValue((trial,), (out[-1][2],))
+                    if self.open.containsKey((trial,)):
+                        self.open.removeKey((trial,))
+                else:
+                    self.open.updateValue((trial,), (status,))
+        self.job.update((beat, last, gone))
+        _set_timer(self.handle, last + self.idle_s * 1000 if gone or beat is None else beat + HEARTBEAT_TIMEOUT_S * 1000 + 1)
+        yield pd.DataFrame(out, columns=TRIALS)
+
+    def _fail(self, key, why: str) -> list[tuple]:
+        """Every open trial has failed."""
+        failed = [(key[0], trial, "failed", why) for (trial,) in sorted(self.open.keys())]
+        for _, trial, status, _ in failed:
+            self.done.updateValue((trial,), (status,))
+        self.open.clear()
+        return failed
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        beat, last, gone = self.job.get() if self.job.exists() else (None, 0, None)
+        if gone is None and beat is not None:
+            self.job.update((beat, last, "silent"))
+            _set_timer(self.handle, max(last, beat + HEARTBEAT_TIMEOUT_S * 1000) + self.idle_s * 1000)
+            yield pd.DataFrame(self._fail(key, "silent"), columns=TRIALS)
+            return
+        for state in (self.job, self.open, self.done):
+            state.clear()
+        _set_timer(self.handle, None)
+        yield pd.DataFrame([], columns=TRIALS)
+
+    def close(self) -> None:
+        pass
+
+
+TRIALS = ["job_id", "trial_id", "status", "why"]
+
+
+def live_jobs(events: DataFrame, late: str = "1 minute", idle_s: int = IDLE_S) -> DataFrame:
+    """(job_id, trial_id, status, why): each trial once, as it ends; events: (job_id long, kind, trial_id, status, at, event_id), a stream.
 
-    A group ends, whole or partial, once `quiet` has passed without a frame of it and the watermark is beyond that,
-    whatever the clock says; so a frame that comes later still starts a partial group of its own.
+    kind is `trial` (with trial_id and status), `beat` or `abort`. The first terminal status of a trial stands (why: `own`). An abort
+    fails all open trials of its job (`aborted`); so does a last beat that is more than HEARTBEAT_TIMEOUT_S behind the watermark
+    (`silent`). Trials that a job still reports after that fail at once, if they are not at an end. A job without any beat is never
+    silent. Of jobs that are over, or never beat, the state is dropped `idle_s` after their last event.
     """
-    own = F.session_window("at", quiet).alias("w")
-    got = frames.withWatermark("at", late) if frames.isStreaming else frames
-    grouped = got.groupBy("recording_id", F.expr("frame_id div 3").alias("group_id"), own)
-    return grouped.agg(F.count("*").alias("num_valid"), F.sort_array(F.collect_list("frame_id")).alias("frame_ids")).drop("w")
+    timed = events.select("job_id", "kind", "trial_id", "status", "at", F.unix_micros("at").alias("at_us"), "event_id").withWatermark("at", late)
+    out = "job_id long, trial_id long, status string, why string"
+    return timed.groupBy("job_id").transformWithStateInPandas(LiveJobs(idle_s), outputStructType=out, outputMode="Append", timeMode="EventTime")

@@ -4,7 +4,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from rigtables.operators import sync
@@ -169,15 +168,8 @@ def test_stream_states(spark, tmp_path):
     assert {(r.trial_id, r.status) for r in out.collect()} == {(1, "complete"), (2, "input_copied")}
 
 
-def test_partial_groups_and_grid(spark, tmp_path):
+def test_saver_grid(spark):
     at = dt.datetime(2024, 1, 1)
-    frames = spark.createDataFrame([(1, k, at + dt.timedelta(seconds=k)) for k in range(7)] + [(9, 0, at + dt.timedelta(days=1))], "recording_id long, frame_id long, at timestamp")
-    hour = spark.createDataFrame([(1, k, at + dt.timedelta(minutes=59, seconds=58 + k)) for k in range(3)], frames.schema)
-    assert [(r.num_valid, r.frame_ids) for r in live.stream_partial_groups(hour).collect()] == [(3, [0, 1, 2])]
-    batch = {(r.recording_id, r.group_id): (r.num_valid, r.frame_ids) for r in live.stream_partial_groups(frames).collect()}
-    assert batch[1, 2] == (1, [6]) and batch[1, 0] == (3, [0, 1, 2])
-    out = run(spark, live.stream_partial_groups(streamed(spark, frames, str(tmp_path / "f"))), "groups")
-    assert {(r.recording_id, r.group_id, r.num_valid) for r in out.collect()} == {(1, 0, 3), (1, 1, 3), (1, 2, 1)}
     saves = spark.createDataFrame([(1, at + dt.timedelta(seconds=s), u, q) for s, u, q in ((0, 10, 1), (30, 15, 2), (61, 7, 3))], "session long, at timestamp, save_us long, queue_length long")
     got = [(r.n, r.mean_save_us, r.mean_queue_length) for r in live.saver_perf_grid(saves).orderBy("window_start").collect()]
     assert got == [(2, 12, 1.5), (1, 7, 3.0)]
@@ -190,11 +182,58 @@ def state_store(spark):
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
-def test_restarting_windows(spark, tmp_path, state_store):
+def batches(spark, path, schema, *parts):
+    """A stream that takes one part a trigger."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+AT = dt.datetime(2024, 1, 1)
+LATER = AT + dt.timedelta(days=30)
+
+
+def after(seconds):
+    return AT + dt.timedelta(seconds=seconds)
+
+
+def test_groups_leave_when_full_ended_or_quiet(spark, tmp_path, state_store):
+    # minutes apart, a group over three batches, a repeated frame, an end with an open group, a frame after its group has left
+    first = [(1, 2, after(0), False), (2, 0, after(1), False), (2, 1, after(1), False), (3, 7, after(1), None)]
+    second = [(1, 0, after(120), False), (1, 0, after(120), False), (1, 3, after(121), False), (2, None, after(122), True)]
+    third = [(1, 1, after(240), False), (1, 4, after(240), False), (1, 5, after(241), False), (1, 6, after(242), False)]
+    fourth = [(1, 2, after(250), False), (9, 0, LATER, False)]
+    stream = batches(spark, str(tmp_path / "f"), "recording_id long, frame_id long, at timestamp, ended boolean", first, second, third, fourth)
+    got = run(spark, live.stream_partial_groups(stream, late="10 minutes", quiet_s=60), "groups").collect()
+    assert sorted((r.recording_id, r.group_id, r.frame_ids, r.why) for r in got) == [
+        (1, 0, [0, 1, 2], "full"), (1, 0, [2], "quiet"), (1, 1, [3, 4, 5], "full"), (1, 2, [6], "quiet"), (2, 0, [0, 1], "ended"), (3, 2, [7], "quiet"),
+    ]
+    assert all(r.num_valid == len(r.frame_ids) for r in got)
+
+
+def test_restarting_windows_of_saves_that_come_late(spark, tmp_path, state_store):
     s = 1_000_000
-    saves = spark.createDataFrame([(1, t, u, q) for t, u, q in ((0, 10, 0), (s, 20, 1), (2 * s, 31, 2), (50 * s, 5, 1), (62 * s, 8, 2), (63 * s, 9, 9))], "session long, at_us long, save_us long, queue_length long")
-    out = run(spark, live.saver_perf_windows(streamed(spark, saves, str(tmp_path / "s"))), "perf")
-    assert sorted((r.start_us, r.end_us, r.n, r.mean_save_us, r.mean_queue_length) for r in out.collect()) == [(0, 2 * s, 3, 20, 1.0), (2 * s, 62 * s, 2, 6, 1.5)]
+    base = int(AT.replace(tzinfo=dt.timezone.utc).timestamp()) * s
+    saves = [(1, base + t, u, q) for t, u, q in ((0, 10, 0), (s, 20, 1), (2 * s, 31, 2), (50 * s, 5, 1), (62 * s, 8, 2), (63 * s, 9, 9))]
+    parts = [saves[k::3][::-1] for k in (2, 0, 1)]
+    end = [(7, base + 10_000 * s, 0, 0)]
+    stream = batches(spark, str(tmp_path / "s"), "session long, at_us long, save_us long, queue_length long", *parts, end, [(7, base + 400_000 * s, 0, 0)])
+    out = run(spark, live.saver_perf_windows(stream, late="5 minutes"), "perf").where("session = 1")
+    assert sorted((r.start_us - base, r.end_us - base, r.n, r.mean_save_us, r.mean_queue_length) for r in out.collect()) == [(0, 2 * s, 3, 20, 1.0), (2 * s, 62 * s, 2, 6, 1.5)]
+
+
+def test_jobs_that_are_aborted_or_fall_silent(spark, tmp_path, state_store):
+    e = lambda job, kind, t, trial=None, status=None: (job, kind, trial, status, after(t), t)
+    first = [e(1, "trial", 0, 10, "processing"), e(1, "trial", 2, 11, "complete"), e(1, "beat", 3), e(2, "trial", 4, 20, "input_copied"), e(2, "trial", 5, 21, "failed"), e(3, "trial", 6, 30, "processing"), e(3, "beat", 6)]
+    second = [e(2, "abort", 20), e(2, "trial", 19, 22, "processing"), e(2, "trial", 21, 20, "complete"), e(1, "trial", 22, 11, "failed"), e(3, "beat", 100)]
+    third = [e(2, "trial", 40, 23, "processing"), e(3, "trial", 110, 30, "complete"), e(3, "beat", 115)]
+    far = [(9, "beat", None, None, LATER, 0)]
+    stream = batches(spark, str(tmp_path / "j"), "job_id long, kind string, trial_id long, status string, at timestamp, event_id long", first, second, third, far)
+    got = run(spark, live.live_jobs(stream, late="2 minutes"), "jobs").collect()
+    assert sorted((r.job_id, r.trial_id, r.status, r.why) for r in got) == [
+        (1, 10, "failed", "silent"), (1, 11, "complete", "own"), (2, 20, "failed", "aborted"), (2, 21, "failed", "own"), (2, 22, "failed", "aborted"),
+        (2, 23, "failed", "aborted"), (3, 30, "complete", "own"),
+    ]
 
 
 def test_silent_jobs(spark, tmp_path, state_store):
