@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rigtables.durable import kept
+from rigtables.operators.chunks import last_at_or_before
 
 #: Steps and recordings that are sent to all tasks; shares of a recording's frames that meet its steps apart otherwise.
 MOST_BROADCAST, SALTS = 1_000_000, 64
@@ -56,12 +57,6 @@ def channel_intervals(parsed: DataFrame) -> DataFrame:
     return last.select("recording_id", "from_frame", F.lead("from_frame").over(following).alias("to_frame"), *(F.coalesce(f"s.{c}", F.lit(False)).alias(c) for c in ("ch2", "ch3")))
 
 
-def last_at_or_before(ordered: Column, value: Column, most: int) -> Column:
-    """The index of the last number of an ascending array of up to `most` that is not over `value`, by binary search; -1 if all are."""
-    widths = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, most).bit_length()))))
-    return F.aggregate(widths, F.lit(-1), lambda at, w: F.when(F.get(ordered, at + w) <= value, at + w).otherwise(at))
-
-
 def state_arrays(parsed: DataFrame) -> DataFrame:
     """(recording_id, from_frames, states): the frames at which a recording's channels change, ascending, and what they are from there on."""
     step = F.struct("from_frame", F.struct("ch2", "ch3").alias("state"))

@@ -154,7 +154,7 @@ def successive_frames(frames: DataFrame, within: int | None = None) -> DataFrame
     if within is not None:
         place = frames.select("recording_id", "frame_id").withColumn("_r", F.row_number().over(W.partitionBy("recording_id").orderBy("frame_id"))).where(F.col("_r") <= within).drop("_r")
         frames = frames.join(place, ["recording_id", "frame_id"], "left_semi")
-    return lagged(frames, "frame_id", "px", "previous_px", FRAMES_A_CHUNK)
+    return lagged(frames, "frame_id", "px", "previous_px", FRAMES_A_CHUNK, keep=False)
 
 
 def frame_change(frames: DataFrame, within: int | None = None) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rigtables.durable import kept
-from rigtables.operators.chunks import carried, lagged, numbered, sequenced
+from rigtables.operators.chunks import beside, carried, laid_out, lagged, last_at_or_before, numbered, starts
 
-FRAMES_A_CHUNK = 1_000_000
+#: Frames of a chunk; frames around candidates that are sought by broadcast.
+FRAMES_A_CHUNK, MOST_NEAR = 1_000_000, 1_000_000
 
 
 def resolve_sync_ratio(params: DataFrame) -> DataFrame:
@@ -37,31 +38,47 @@ def detect_dropped_frames(muscle: DataFrame, gap: float = 1.5, persistence: int
     With period the median interval and excess the time in periods less the frame's index, a gap of over
     `gap` periods is a candidate. It is a drop if the median excess of the `persistence` frames from it on
     exceeds that of those before by nearly a whole number (half-even rounding, `slack`) of one or more.
-    Fewer than 3 frames or a period of 0 or less: slot is the index. Candidates are rare, so medians are
-    taken for them alone, from neighbours joined by index. The ordered frames and the drops are kept at
-    checkpoints, as each is used several times.
+    Fewer than 3 frames or a period of 0 or less: slot is the index. `frame` is unique in a recording.
+
+    The frames move once, by chunks, and are kept there. Their index, interval and excess come with a row for each chunk;
+    so do the chunk's drops, in which a frame finds how many there are up to it. Medians are taken for candidates alone, around
+    which frames are sought by index: by broadcast up to MOST_NEAR of them, by a join beyond.
     """
-    key = "recording_id"
-    ordered = kept(sequenced(muscle, frame, clock, "_i", "_previous", FRAMES_A_CHUNK))
-    stats = ordered.groupBy(key).agg(F.percentile(F.col(clock) - F.col("_previous"), F.lit(0.5)).alias("_period"), F.min_by(clock, frame).alias("_t0"), F.count("*").alias("_n"))
-    timed = ordered.join(stats, key).withColumn("_ok", (F.col("_n") >= 3) & (F.col("_period") > 0))
+    key, half = "recording_id", F.lit(0.5)
+    last, inside = F.last(clock).over(W.partitionBy(key, "_chunk").orderBy(frame).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), W.partitionBy(key, "_chunk").orderBy(frame)
+    columns = [c for c in muscle.columns if c not in ("slot", "missed")]
+    rows = laid_out(muscle.select(*columns), frame, FRAMES_A_CHUNK, {"_before": F.lag(clock).over(inside), "_n": F.count("*").over(W.partitionBy(key, "_chunk")), "_last": last})
+    chunks = rows.where("_row = 1").select(key, "_chunk", "_n", "_last", F.col(clock).alias("_first"))
+    chunks = kept(chunks.select("*", starts(chunks).alias("_start"), F.lag("_last").over(W.partitionBy(key).orderBy("_chunk")).alias("_in")))
+    rows, n = rows.drop("_n", "_last"), chunks.count()
+    previous = F.when(F.col("_row") > 1, F.col("_before")).otherwise(F.col("_in"))
+    stats = beside(rows, chunks.select(key, "_chunk", "_in"), n).groupBy(key).agg(F.percentile(F.col(clock) - previous, half).alias("_period"))
+    whole = chunks.groupBy(key).agg(F.sum("_n").alias("_all"), F.min_by("_first", "_chunk").alias("_t0"))
+    chunks = kept(chunks.join(stats, key, "left").join(whole, key))
+    timed = beside(rows, chunks.select(key, "_chunk", "_in", "_start", "_period", "_all", "_t0"), n)
+    timed = timed.withColumns({"_i": F.col("_start") + F.col("_row") - 1, "_ok": (F.col("_all") >= 3) & (F.col("_period") > 0), "_step": F.col(clock) - previous})
     timed = timed.withColumn("_excess", F.when(F.col("_ok"), (F.col(clock) - F.col("_t0")) / F.col("_period") - F.col("_i")))
-    wide = F.col("_ok") & (F.col(clock) - F.col("_previous") > gap * F.col("_period"))
-    candidates = timed.where(wide).select(key, F.col("_i").alias("_at"))
+    candidates = kept(timed.where(F.col("_ok") & (F.col("_step") > gap * F.col("_period"))).select(key, "_chunk", F.col("_i").alias("_at")))
     near = candidates.select(key, "_at", F.explode(F.sequence(F.col("_at") - persistence, F.col("_at") + persistence - 1)).alias("_i"))
-    around = near.join(timed.select(key, "_i", "_excess"), [key, "_i"]).groupBy(key, "_at")
-    half = F.lit(0.5)
+    few = 2 * persistence * candidates.count() <= MOST_NEAR
+    around = timed.select(key, "_i", "_excess").join(F.broadcast(near) if few else near, [key, "_i"]).groupBy(key, "_at")
     steps = around.agg(
         F.percentile(F.when(F.col("_i") < F.col("_at"), F.col("_excess")), half).alias("_before"),
         F.percentile(F.when(F.col("_i") >= F.col("_at"), F.col("_excess")), half).alias("_after"),
     ).withColumn("_shift", F.col("_after") - F.col("_before"))
     whole = F.rint("_shift")
-    drops = kept(steps.where((whole >= 1) & (F.abs(F.col("_shift") - whole) <= slack)).select(key, F.col("_at").alias("_i"), whole.cast("long").alias("missed")))
-    ends = drops.select(key, "_i", F.sum("missed").over(W.partitionBy(key).orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_total"))
-    marked = timed.join(drops, [key, "_i"], "left").join(ends, [key, "_i"], "left")
-    total = carried(marked, "_i", FRAMES_A_CHUNK, F.col("_total"), back="_lost", ahead=None)
-    columns = [c for c in muscle.columns if c not in ("slot", "missed")]
-    return total.select(*columns, (F.col("_i") + F.coalesce("_lost", F.lit(0))).cast("long").alias("slot"), F.coalesce("missed", F.lit(0)).alias("missed"))
+    drops = steps.where((whole >= 1) & (F.abs(F.col("_shift") - whole) <= slack)).join(candidates, [key, "_at"]).select(key, "_chunk", "_at", whole.cast("long").alias("_lost"))
+    drops = drops.withColumn("_total", F.sum("_lost").over(W.partitionBy(key, "_chunk").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)))
+    one = F.sort_array(F.collect_list(F.struct("_at", "_lost", "_total")))  # of one chunk
+    drops = kept(drops.groupBy(key, "_chunk").agg(one.alias("_drops"), F.sum("_lost").alias("_sum")))
+    most = drops.agg(F.coalesce(F.max(F.size("_drops")), F.lit(0))).first()[0]
+    earlier = F.coalesce(F.sum("_sum").over(W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    every = chunks.join(drops, [key, "_chunk"], "left").select(key, "_chunk", "_start", earlier.alias("_base"), F.col("_drops._at").alias("_at"), F.col("_drops._lost").alias("_lost"), F.col("_drops._total").alias("_total"))
+    found = beside(rows.drop("_before"), every, n).withColumn("_i", F.col("_start") + F.col("_row") - 1)
+    found = found.withColumn("_k", F.coalesce(last_at_or_before(F.col("_at"), F.col("_i"), most), F.lit(-1)))
+    total = F.col("_base") + F.coalesce(F.get("_total", F.col("_k")), F.lit(0))
+    missed = F.when(F.get("_at", F.col("_k")) == F.col("_i"), F.get("_lost", F.col("_k"))).otherwise(0)
+    return found.select(*columns, (F.col("_i") + total).cast("long").alias("slot"), F.coalesce(missed, F.lit(0)).alias("missed"))
 
 
 def discard_trailing_slots(slots: DataFrame, groups: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rigtables.functions import protocol
 from rigtables.operators import calibration as cal
-from rigtables.operators import jobs, pixels, pose, quality, stage, sync
+from rigtables.operators import chunks, jobs, pixels, pose, quality, stage, sync
 from rigtables.plans import workflows
 
 
@@ -252,5 +252,52 @@ def test_protocol_states_whichever_way_they_meet_the_frames(spark):
 def test_binary_search_in_arrays(spark):
     for n in (0, 1, 2, 3, 8, 9):
         rows = spark.createDataFrame([([2 * k for k in range(n)], v) for v in range(-2, 2 * n + 2)], "a array<long>, v long")
-        got = rows.select("v", protocol.last_at_or_before(F.col("a"), F.col("v"), n).alias("at")).collect()
+        got = rows.select("v", chunks.last_at_or_before(F.col("a"), F.col("v"), n).alias("at")).collect()
         assert all(r.at == max([k for k in range(n) if 2 * k <= r.v], default=-1) for r in got)
+
+
+def moves(df, column):
+    """How often rows that have the column are moved in the plan of df."""
+    plan = df._jdf.queryExecution().executedPlan()
+    nodes, n = [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan], 0
+    while nodes:
+        node = nodes.pop()
+        n += node.nodeName() == "Exchange" and column in node.output().toString()
+        below = node.children()
+        nodes += [below.apply(k) for k in range(below.size())]
+    return n
+
+
+def test_ordered_steps_move_frames_once(spark, monkeypatch):
+    """Every plan that is kept or returned on the way moves the frames at most once, and there is one that does."""
+    rng = np.random.default_rng(8)
+    rows = [(r, k, int(t), f"row {k}") for r in (1, 2) for k, t in enumerate(np.delete(np.arange(300) * 15151 + rng.integers(-200, 200, 300), [70, 200]))]
+    df = spark.createDataFrame(rows, "recording_id long, frame_id long, acquired_time_us long, carried_along string")
+    plans, original = [], chunks.kept
+    note = lambda d: (plans.append(d), original(d))[1]
+    monkeypatch.setattr(chunks, "kept", note)
+    monkeypatch.setattr(sync, "kept", note)
+    monkeypatch.setattr(chunks, "MOST_CHUNKS", 1_000)
+    slots_ = sync.detect_dropped_frames(df)
+    assert [moves(p, "carried_along") for p in plans if "carried_along" in p.columns] == [1] and moves(slots_, "carried_along") == 0
+    plans.clear()
+    ratios = spark.createDataFrame([(1, 1), (2, 1)], "recording_id long, ratio long")
+    groups = sync.sync_group_frames(df.withColumnRenamed("carried_along", "behavior_row"), ratios).select("recording_id", "slot", "behavior_row")
+    assert [moves(p, "behavior_row") for p in plans if "behavior_row" in p.columns] == [1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        paired = sync.muscle_slot_join(slots_, groups)
+        assert moves(paired, "carried_along") == moves(paired, "behavior_row") == 1  # the second and last time, by slot
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r.slot for r in slots_.where("recording_id = 1").orderBy("frame_id").collect()] == [k for k in range(300) if k not in (70, 200)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_drops_whatever_a_chunk_holds_and_however_chunks_are_met(spark, monkeypatch, size, most):
+    monkeypatch.setattr(sync, "FRAMES_A_CHUNK", size)
+    monkeypatch.setattr(chunks, "MOST_CHUNKS", most)
+    monkeypatch.setattr(sync, "MOST_NEAR", most)
+    t = np.arange(60) * 15151
+    assert slots(spark, np.delete(t, [20, 21, 40])) == [k for k in range(60) if k not in (20, 21, 40)]
