@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rigtables.durable import kept
 from rigtables.functions.geometry import apply_homography, apply_map
+from rigtables.operators.selection import SMALL, quantiles
 
 HALF = 0.5
 #: Groups into which one calibration's points are dealt; points from which hypotheses are drawn; hypotheses (of 80 bytes) that go to every task.
@@ -46,15 +47,15 @@ def match_corners(a: DataFrame, b: DataFrame, least: int = 4) -> DataFrame:
     return both.withColumn("n", F.count("*").over(W.partitionBy("stage_x", "stage_y"))).where(F.col("n") >= least).drop("n")
 
 
-def mad_outlier_filter(points: DataFrame, keys: list[str], x: str = "pixel_x_px", y: str = "pixel_y_px", threshold: float = 3.0, floor: float = 1.0) -> DataFrame:
+def mad_outlier_filter(points: DataFrame, keys: list[str], x: str = "pixel_x_px", y: str = "pixel_y_px", threshold: float = 3.0, floor: float = 1.0, small: int = SMALL) -> DataFrame:
     """points with distance, limit and kept: a point stays within max(threshold * 1.4826 * MAD, floor) of its group's median.
 
-    MAD is the median deviation of the distances from their median.
+    MAD is the median deviation of the distances from their median. Medians of groups of over `small` points are selected in passes.
     """
-    middle = points.groupBy(*keys).agg(F.percentile(x, F.lit(HALF)).alias("_mx"), F.percentile(y, F.lit(HALF)).alias("_my"))
+    middle = quantiles(points, keys, {"_mx": (F.col(x), HALF), "_my": (F.col(y), HALF)}, small)
     away = points.join(middle, keys).withColumn("distance", F.sqrt(F.pow(F.col(x) - F.col("_mx"), F.lit(2.0)) + F.pow(F.col(y) - F.col("_my"), F.lit(2.0))))
-    typical = away.groupBy(*keys).agg(F.percentile("distance", F.lit(HALF)).alias("_md"))
-    spread = away.join(typical, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("distance") - F.col("_md")), F.lit(HALF)).alias("_mad"))
+    typical = quantiles(away, keys, {"_md": (F.col("distance"), HALF)}, small)
+    spread = quantiles(away.join(typical, keys), keys, {"_mad": (F.abs(F.col("distance") - F.col("_md")), HALF)}, small)
     limit = F.greatest(threshold * 1.4826 * F.col("_mad"), F.lit(float(floor)))
     return away.join(spread, keys).withColumn("limit", limit).withColumn("kept", F.col("distance") <= F.col("limit")).drop("_mx", "_my", "_mad")
 
@@ -76,10 +77,11 @@ def corner_distances(detections: DataFrame) -> DataFrame:
     return seen.withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("_r.x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("_r.y"), F.lit(2.0)))).drop("_r")
 
 
-def corner_consensus(detections: DataFrame, noise_px: float = 1.0) -> DataFrame:
+def corner_consensus(detections: DataFrame, noise_px: float = 1.0, small: int = SMALL) -> DataFrame:
     """(stage_x, stage_y, camera, corner_id, x, y, n): the median of detections within noise_px of the reference's corner."""
-    near = corner_distances(detections).where(F.col("distance") <= noise_px)
-    return near.groupBy("stage_x", "stage_y", "camera", "corner_id").agg(F.percentile("x", F.lit(HALF)).alias("x"), F.percentile("y", F.lit(HALF)).alias("y"), F.count("*").alias("n"))
+    keys, near = ["stage_x", "stage_y", "camera", "corner_id"], kept(corner_distances(detections).where(F.col("distance") <= noise_px))
+    middle = quantiles(near, keys, {"x": (F.col("x"), HALF), "y": (F.col("y"), HALF)}, small)
+    return middle.join(near.groupBy(*keys).agg(F.count("*").alias("n")), keys)
 
 
 def rejection_stats(detections: DataFrame, noise_px: float = 1.0) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rigtables.operators.chunks import lagged
+from rigtables.operators.selection import quantiles
 
 FRAMES_A_CHUNK = 256
 #: Pixels (in or out) that a helper works on at once.
@@ -76,7 +77,8 @@ def adaptive_vrange(frames: DataFrame, places: DataFrame, q: tuple[float, float]
     some = frames.join(places.where(F.col("place") % max(1, int(1 / rate)) == 0), ["recording_id", "frame_id"])
     bright = some.select("recording_id", F.array_sort(F.filter("px", lambda v: v > 0)).alias("_s")).where(F.size("_s") > 0)
     each = bright.select("recording_id", *(percentile_of("_s", p).alias(n) for p, n in zip(q, ("lo", "hi"), strict=True)))
-    return each.groupBy("recording_id").agg(F.percentile("lo", F.lit(0.5)).cast("long").alias("vmin"), F.percentile("hi", F.lit(0.95)).cast("long").alias("vmax"))
+    ends = quantiles(each, ["recording_id"], {"vmin": (F.col("lo"), 0.5), "vmax": (F.col("hi"), 0.95)})
+    return ends.select("recording_id", F.col("vmin").cast("long"), F.col("vmax").cast("long"))
 
 
 def percentile_of(ordered: str, q: float) -> Column:

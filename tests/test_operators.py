@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rigtables.functions import protocol
 from rigtables.operators import calibration as cal
-from rigtables.operators import chunks, jobs, pixels, pose, quality, stage, sync
+from rigtables.operators import chunks, jobs, pixels, pose, quality, selection, stage, sync
 from rigtables.plans import workflows
 
 
@@ -301,3 +301,25 @@ def test_drops_whatever_a_chunk_holds_and_however_chunks_are_met(spark, monkeypa
     monkeypatch.setattr(sync, "MOST_NEAR", most)
     t = np.arange(60) * 15151
     assert slots(spark, np.delete(t, [20, 21, 40])) == [k for k in range(60) if k not in (20, 21, 40)]
+
+
+def test_selected_quantiles_equal_percentiles(spark):
+    rng = np.random.default_rng(9)
+    hot = [(1, "a", float(v), float(w)) for v, w in zip(np.round(rng.normal(0, 1e3, 3000), 2), rng.integers(0, 3, 3000), strict=True)]
+    rows = hot + [(2, "a", 7.0, None)] * 50 + [(None, "b", float(k), -1e308 * (k % 3 - 1)) for k in range(9)] + [(4, None, None, None), (5, "inf", float("inf"), 1.0), (5, "inf", 3.0, float("nan")), (5, "inf", -float("inf"), 2.0)]
+    df = spark.createDataFrame(rows, "k long, s string, v double, w double")
+    wanted = {"mid": (F.col("v"), 0.5), "low": (F.col("w"), 0.3), "high": (F.col("v") * 2, 0.95)}
+    text = lambda found: sorted([(str(r.k), str(r.s), *(f"{x:.9g}" if x is not None else "-" for x in (r.mid, r.low, r.high))) for r in found.collect()])
+    want = text(selection.quantiles(df, ["k", "s"], wanted))
+    for bins, last in ((4, 5), (4096, 10_000)):
+        assert text(selection.quantiles(df, ["k", "s"], wanted, small=1, bins=bins, last=last)) == want
+
+
+def test_outliers_of_a_hot_tag(spark):
+    """One tag with nearly all points: the same ones stay, whichever way its medians are found."""
+    rng = np.random.default_rng(10)
+    xy = rng.normal(100, 2, (2000, 2))
+    xy[::50] += 60
+    df = spark.createDataFrame([(1, k, float(x), float(y)) for k, (x, y) in enumerate(xy)] + [(2, k, float(k), 0.0) for k in range(7)], "tag long, k long, pixel_x_px double, pixel_y_px double")
+    kept_ = [{(r.tag, r.k) for r in cal.mad_outlier_filter(df, ["tag"], small=n).where("kept").collect()} for n in (10, 100_000)]
+    assert kept_[0] == kept_[1] and not any((1, k) in kept_[0] for k in range(0, 2000, 50))
