@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rigtables.durable import kept
 from rigtables.functions.geometry import apply_homography, apply_map
-from rigtables.operators.selection import SMALL, quantiles
+from rigtables.operators.selection import SMALL, largest_group, quantiles
 
 HALF = 0.5
 #: Groups into which one calibration's points are dealt; points from which hypotheses are drawn; hypotheses (of 80 bytes) that go to every task.
@@ -52,10 +52,11 @@ def mad_outlier_filter(points: DataFrame, keys: list[str], x: str = "pixel_x_px"
 
     MAD is the median deviation of the distances from their median. Medians of groups of over `small` points are selected in passes.
     """
-    middle = quantiles(points, keys, {"_mx": (F.col(x), HALF), "_my": (F.col(y), HALF)}, small)
+    n = largest_group(points, keys)
+    middle = quantiles(points, keys, {"_mx": (F.col(x), HALF), "_my": (F.col(y), HALF)}, small, n)
     away = points.join(middle, keys).withColumn("distance", F.sqrt(F.pow(F.col(x) - F.col("_mx"), F.lit(2.0)) + F.pow(F.col(y) - F.col("_my"), F.lit(2.0))))
-    typical = quantiles(away, keys, {"_md": (F.col("distance"), HALF)}, small)
-    spread = quantiles(away.join(typical, keys), keys, {"_mad": (F.abs(F.col("distance") - F.col("_md")), HALF)}, small)
+    typical = quantiles(away, keys, {"_md": (F.col("distance"), HALF)}, small, n)
+    spread = quantiles(away.join(typical, keys), keys, {"_mad": (F.abs(F.col("distance") - F.col("_md")), HALF)}, small, n)
     limit = F.greatest(threshold * 1.4826 * F.col("_mad"), F.lit(float(floor)))
     return away.join(spread, keys).withColumn("limit", limit).withColumn("kept", F.col("distance") <= F.col("limit")).drop("_mx", "_my", "_mad")
 
@@ -79,7 +80,7 @@ def corner_distances(detections: DataFrame) -> DataFrame:
 
 def corner_consensus(detections: DataFrame, noise_px: float = 1.0, small: int = SMALL) -> DataFrame:
     """(stage_x, stage_y, camera, corner_id, x, y, n): the median of detections within noise_px of the reference's corner."""
-    keys, near = ["stage_x", "stage_y", "camera", "corner_id"], kept(corner_distances(detections).where(F.col("distance") <= noise_px))
+    keys, near = ["stage_x", "stage_y", "camera", "corner_id"], corner_distances(detections).where(F.col("distance") <= noise_px)
     middle = quantiles(near, keys, {"x": (F.col("x"), HALF), "y": (F.col("y"), HALF)}, small)
     return middle.join(near.groupBy(*keys).agg(F.count("*").alias("n")), keys)
 

@@ -22,19 +22,23 @@ def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> Dat
     return rows.join(many, keys).unionByName(few)
 
 
-def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]], small: int = SMALL, bins: int = BINS, last: int = LAST) -> DataFrame:
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).agg(F.count("*").alias("_rows")).agg(F.max("_rows")).first()[0] or 0
+
+
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]], small: int = SMALL, largest: int | None = None, bins: int = BINS, last: int = LAST) -> DataFrame:
     """(keys, a column for each of `wanted`: name -> (values, q)): the q-quantile of a group's values, on the line between the two ranks around.
 
-    Nulls don't count; a group without values has null; NaN is above all numbers. Keys may be null. Groups are counted first: if none has
-    over `small` rows, percentile() takes them. Otherwise every pass counts the values of each group in `bins` equal ranges and goes on
+    Nulls don't count; a group without values has null; NaN is above all numbers. Keys may be null. Groups are counted first, unless the rows of the `largest`
+    are known: if none has over `small` rows, percentile() takes them. Otherwise every pass counts the values of each group in `bins` equal ranges and goes on
     with the range that holds the rank, until it has few distinct values or is one value; only those are sorted. No group is held
     or sorted as a whole, and a hot group stays spread over its tasks.
     """
     names = list(wanted)
-    rows = kept(df.select(*keys, *(c.cast("double").alias(n) for n, (c, _) in wanted.items())))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    if (sizes.agg(F.max("_rows")).first()[0] or 0) <= small:
+    rows = df.select(*keys, *(c.cast("double").alias(n) for n, (c, _) in wanted.items()))
+    if (largest_group(rows, keys) if largest is None else largest) <= small:
         return rows.groupBy(*keys).agg(*(F.percentile(n, F.lit(q)).alias(n) for n, (_, q) in wanted.items()))
+    rows = kept(rows)
     group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
     each = rows.select(group.alias("_g"), F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.col(n).alias("v")) for n in names))).alias("_e"))
     each = kept(each.select(F.concat_ws("/", "_e.n", "_g").alias("_g"), F.col("_e.n").alias("_name"), F.col("_e.v").alias("_v")).where("_v IS NOT NULL"))
