@@ -37,7 +37,8 @@ def format_chat(turns: DataFrame) -> DataFrame:
     role = F.replace(escaped(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("\\\n"))
     text = escaped(F.coalesce("text", F.lit("")))
     block = F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n"))
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), block.alias("block"))
+    plain = [F.coalesce(c, F.lit("")).alias(n) for c, n in (("role", "role"), ("text", "plain"))]
+    one = F.struct("turn", *plain, text.alias("text"), block.alias("block"))
     named = turns.withColumn("lone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
     chats = named.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list(one)).alias("turns"))
     trained = F.transform("turns", lambda t, i: F.struct((i + 1).alias("last"), (t["role"] == TRAINED).alias("trained")))
