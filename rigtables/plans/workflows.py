@@ -135,10 +135,10 @@ def fit_arena_registration(scan: DataFrame, detections: DataFrame, tags: DataFra
 
 def fit_homography(detections: DataFrame, threshold: float = 3.0, trials: int = 1000, noise_px: float = 1.0) -> DataFrame:
     """One row: the homography from muscle to behavior pixels, its inverse, and the reprojection figures; no matches give no row."""
-    consensus = cal.corner_consensus(detections, noise_px)
+    consensus = kept(cal.corner_consensus(detections, noise_px))
     sides = [consensus.where(F.col("camera") == k).select("stage_x", "stage_y", "corner_id", "x", "y") for k in ("muscle", "behavior")]
     shared = cal.common_positions(*sides)
-    matches = cal.match_corners(*(x.join(shared, ["stage_x", "stage_y"], "left_semi") for x in sides))
+    matches = kept(cal.match_corners(*(x.join(shared, ["stage_x", "stage_y"], "left_semi") for x in sides)))
     keyed = matches.withColumns({"calibration_id": F.lit(0), "point": F.xxhash64("stage_x", "stage_y", "corner_id")})
     fit, judged = cal.homography_fit(keyed, "point", threshold, trials)
     return fit.join(cal.reprojection_stats(judged).drop("n_inliers"), "calibration_id").withColumn("h_inverse", g.invert_3x3(F.col("h"))).drop("calibration_id")
