@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and terms that the corpus shows to give a protected value away.
 
-Following information-theoretic sanitisation, a value found by the patterns is a protected entity e. A term
-t of the same document discloses the share PMI(t; e) / IC(e) of its information, with probabilities
-estimated from the documents: IC(e) = -log p(e), PMI = log p(t, e) / (p(t) p(e)). Terms at or over the
-threshold are generalised wherever they stand in the documents that hold the entity.
+Following information-theoretic sanitisation, a value found by the patterns is a protected entity e, and so is
+each class that it belongs to: an address's domain and local part, a network, the head of a number. A term
+t of the same document discloses the share PMI(t; e) / IC(e) of its information, with probabilities estimated
+from the documents: IC(e) = -log p(e), PMI = log p(e | t) / p(e), where p(e | t) is smoothed by PRIOR documents
+in which e is as frequent as in all. Terms at or over the threshold are generalised wherever they stand in the
+documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigtables.llm.common import small_batches, table, written
+from rigtables.llm.common import kept, looked_up, small_batches, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of an address before the @, and what follows them.
@@ -32,6 +34,8 @@ DIGIT = re.compile(r"[^0-9]+")
 TERM = re.compile(r"[^\W_]+")
 #: Share of an entity's information that a term may disclose; terms that a task holds to count them; the most terms known to every task.
 DISCLOSED, HELD, COMMON, SEED = 0.5, 250_000, 1 << 18, 42
+#: Documents by which p(e | t) is smoothed.
+PRIOR = 2.0
 
 
 def _byte(digits: str) -> bool:
@@ -78,6 +82,18 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{DIGIT.sub('', value) if kind in ('card', 'phone') else value.lower()}"
 
 
+def protected(kind: str, value: str) -> list[str]:
+    """The entity of a span and its classes: domain and local part, the first three parts, all digits but four, the first six."""
+    whole = entity(kind, value)
+    if kind == "email":
+        local, _, domain = whole.partition("@")
+        return [whole, f"email:@{domain}", f"{local}@"]
+    if kind == "ip":
+        return [whole, whole[: whole.rindex(".") + 1]]
+    head = whole[:-4] if kind == "phone" else whole[: len("card:") + 6]
+    return [whole, head + "*"]
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
@@ -162,7 +178,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 "spans": _arrow(spans),
                 "key": pa.array([h and hashlib.blake2b(h[0].encode("utf-8", "surrogatepass"), digest_size=16).digest() for h in held], pa.binary()),
                 "text": pa.array([h and h[0] for h in held], pa.string()),
-                "entities": pa.array([h and sorted({name_of(entity(k, h[0][s:e])) for k, s, e in h[1]}) for h in held], LONGS),
+                "entities": pa.array([h and sorted({name_of(x) for k, s, e in h[1] for x in protected(k, h[0][s:e])}) for h in held], LONGS),
                 "copy": pa.array([h and content(*h) for h in held], pa.int64()),
                 "term": pa.nulls(len(b), pa.int64()),
                 "n": pa.nulls(len(b), pa.int64()),
@@ -181,7 +197,8 @@ def disclosing(table_: DataFrame, share: float = DISCLOSED) -> DataFrame:
     """(key, wanted array<long>): for each text of scanned() the terms whose PMI with an entity of it is at least `share` of the entity's information.
 
     The two must have met in two documents that are not copies. Texts are taken once, with the number of their
-    rows. Terms in at least 1 in COMMON of all (term, document) pairs, so at most COMMON of them, are known to
+    rows. Entities that stand in the same texts are judged as one (their texts' hashes say which), so that a list of
+    addresses repeated elsewhere makes one row for each term, not one for each address and term. Terms in at least 1 in COMMON of all (term, document) pairs, so at most COMMON of them, are known to
     every task, so that most pairs that cannot count are never made.
     """
     spark = table_.sparkSession
@@ -190,8 +207,11 @@ def disclosing(table_: DataFrame, share: float = DISCLOSED) -> DataFrame:
     n = float(max(1, found.count()))
     texts = written(found.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.first("copy").alias("copy"), F.first("entities").alias("entities"), F.first("text").alias("text")), "private")
     held = texts.select("key", "copy", "n", F.explode("entities").alias("entity"))
-    entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo != hi").select("entity", "n_entity")
-    shared = held.join(entities, "entity").groupBy("key").agg(F.collect_list(F.struct("entity", "n_entity")).alias("shared"))  # of one text
+    which = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"texts{k}") for k in (1, 2)]
+    entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.min("copy").alias("lo"), F.max("copy").alias("hi"), *which).where("lo != hi")
+    entities = kept(entities.select("entity", "n_entity", F.xxhash64("texts1", "texts2").alias("as_one")))
+    one = looked_up(held.select("key", "entity"), entities, ["entity"], "n_entity").select("key", F.struct(F.col("as_one").alias("entity"), "n_entity").alias("e"))
+    shared = one.groupBy("key").agg(F.collect_set("e").alias("shared"))  # of one text
     least = max(most_documents(n, 2.0, share), (table_.agg(F.sum("n")).first()[0] or 0) / COMMON)
     common = spark.sparkContext.broadcast(dict(map(tuple, counts.where(F.col("n_term") >= least).collect())))
 
@@ -210,9 +230,9 @@ def disclosing(table_: DataFrame, share: float = DISCLOSED) -> DataFrame:
     pairs = written(asked.mapInArrow(pair, "key binary, copy long, n long, entity long, n_entity long, term long"), "pairs")
     met = pairs.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("both"), F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo != hi")
     information = F.log(F.lit(n) / F.col("n_entity"))
-    mutual = F.log(F.col("both") * F.lit(n) / (F.col("n_entity") * F.col("n_term")))
-    judged = met.join(counts, "term").where((mutual > 0) & (mutual >= share * information - 1e-12)).select("entity", "term")
-    return pairs.select("key", "entity", "term").join(judged, ["entity", "term"], "left_semi").groupBy("key").agg(F.collect_set("term").alias("wanted"))
+    mutual = F.log((F.col("both") * F.lit(n) / F.col("n_entity") + PRIOR) / (F.col("n_term") + PRIOR))
+    judged = met.join(counts, "term").where((mutual > 1e-12) & (mutual >= share * information - 1e-12)).select("entity", "term", "both")
+    return looked_up(pairs.select("key", "entity", "term"), kept(judged), ["entity", "term"], "both").groupBy("key").agg(F.collect_set("term").alias("wanted"))
 
 
 def term_spans(text: str, spans: list[tuple[str, int, int]], wanted: list[int]) -> list[tuple[str, int, int]]:
@@ -235,7 +255,7 @@ def with_terms(table_: DataFrame, share: float) -> DataFrame:
 def personal_data(docs: DataFrame, share: float = DISCLOSED) -> DataFrame:
     """(doc_id, spans) for every row of docs (doc_id, text): base spans by kind and start, then terms by start.
 
-    Spans are (kind, start, end) in code points. A null or empty text has none. The base kinds are matched
+    Spans are (kind, start, end) in code points. A null or empty text has none. An entity is a value or a class of values (protected()). The base kinds are matched
     by their patterns alone; the method adds spans of kind `term`, none of which meets a base span. Repeated
     rows count as documents of their own in the estimates, but a term must have met an entity in two
     documents that differ in their terms to be judged, so copies of a document prove nothing. A disclosing

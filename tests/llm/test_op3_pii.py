@@ -36,7 +36,10 @@ def test_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op.op3_pii(spark, sf_dir).collect()
     assert len(rows) == len(texts)
+    want = expected({k: t or "" for k, t in texts.items()})
     for r in rows:
+        terms = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term:")]
+        assert {texts[r.doc_id][s:e].lower() for s, e in terms} == want[r.doc_id]
         base = ",".join(f"{k}:{s}:{e}" for k, s, e in reference(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans.startswith(base)
 
@@ -57,7 +60,12 @@ def expected(texts):
     terms, held = {}, {}
     for k, t in texts.items():
         terms[k] = [m[0].lower() for m in re.finditer(r"[^\W_]+", t) if not any(s < m.end() and m.start() < e for _, s, e in spans[k])]
-        held[k] = {(kind, t[s:e].lower() if kind in ("email", "ip") else re.sub(r"\D", "", t[s:e])) for kind, s, e in spans[k]}
+        held[k] = set()
+        for kind, s, e in spans[k]:
+            v = t[s:e].lower() if kind in ("email", "ip") else re.sub(r"[^0-9]", "", t[s:e])
+            held[k].add((kind, v))
+            heads = {"email": ["@" + v.split("@")[-1], v.split("@")[0] + "@"], "ip": [".".join(v.split(".")[:3]) + "."], "card": [v[:6] + "*"], "phone": [v[:-4] + "*"]}
+            held[k] |= {(kind, h) for h in heads[kind]}
     want = {k: set() for k in texts}
     for entity in set().union(*held.values()):
         docs = [k for k in texts if entity in held[k]]
@@ -66,8 +74,9 @@ def expected(texts):
             if len({tuple(terms[k]) for k in both}) < 2:
                 continue
             df = sum(term in x for x in terms.values())
-            pmi = math.log(len(both) * len(texts) / (len(docs) * df))
-            if pmi > 0 and pmi >= 0.5 * math.log(len(texts) / len(docs)) - 1e-12:
+            p = len(docs) / len(texts)
+            pmi = math.log((len(both) + 2 * p) / (df + 2) / p)
+            if pmi > 1e-12 and pmi >= 0.5 * math.log(len(texts) / len(docs)) - 1e-12:
                 for k in both:
                     want[k].add(term)
     return want
@@ -154,3 +163,36 @@ def test_ids_survive_another_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == {k: f"text {k} [EMAIL] " + "x" * k for k in range(64)}
+
+
+def test_classes_of_values():
+    assert op.protected("email", "Ann.B@Mail.example.org") == ["email:ann.b@mail.example.org", "email:@mail.example.org", "email:ann.b@"]
+    assert op.protected("ip", "10.0.0.17") == ["ip:10.0.0.17", "ip:10.0.0."]
+    assert op.protected("phone", "+1 (407) 555-7710") == ["phone:14075557710", "phone:1407555*"]
+    assert op.protected("card", "4952 9359 0025 3052") == ["card:4952935900253052", "card:495293*"]
+
+
+def test_a_domain_is_given_away_by_terms_of_unlike_addresses(docs_of):
+    rng = random.Random(4)
+    some = lambda: " ".join(f"w{rng.randrange(40)}" for _ in range(20))
+    texts = [f"{some()} Hauptwerk person{k}@hauptwerk.example {some()}" for k in range(6)] + [some() for _ in range(54)]
+    got = check_terms(dict(enumerate(texts)), docs_of(*texts))
+    assert all("hauptwerk" in got[k] for k in range(6))
+
+
+def test_a_list_of_ten_thousand_addresses_makes_no_product(spark, docs_of, monkeypatch):
+    addresses = " ".join(f"m{k}@d{k % 7}.example.org" for k in range(10_000))
+    texts = [f"{addresses} " + " ".join(f"{a}{k}" for k in range(500)) + f" list {a}" for a in ("one", "two")] + [f"other {k}" for k in range(30)]
+    rows = {}
+    write = op.written
+
+    def counting(df, name):
+        out = write(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(op, "written", counting)
+    found = op.personal_data(docs_of(*texts)).collect()
+    assert rows["pairs"] <= 2 * 502
+    assert [len([s for s in r.spans if s.kind == "email"]) for r in sorted(found)[:2]] == [10_000] * 2
+    assert {texts[r.doc_id][s.start : s.end] for r in found for s in r.spans if s.kind == "term"} == {"list"}
