@@ -13,10 +13,10 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rigtables.llm.common import kept, table, written
+from rigtables.llm.common import kept, looked_up, table, written
 
 #: Customary statements of public licences, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
@@ -91,13 +91,55 @@ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
     ("LGPL-3.0", GPL_OPENING.format(name="LESSER", n="3, 29 June 2007")),
     ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
     ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""),
+    ("GPL-1.0", GPL_OPENING.format(name="", n="1, February 1989")),
+    ("LGPL-2.0", GPL_OPENING.format(name="LIBRARY", n="2, June 1991")),
+    ("GPL-1.0", GPL_HEADER.format(name="", n=1)),
+    ("LGPL-2.0", GPL_HEADER.format(name="Library", n=2)),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-1.1", """MOZILLA PUBLIC LICENSE Version 1.1
+1. Definitions. 1.0.1. "Commercial Use" means distribution or otherwise making the Covered Code available to a third party."""),
+    ("MPL-1.1", """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/
+Software distributed under the License is distributed on an "AS IS" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the specific language governing rights and limitations under the License."""),
+    ("MPL-2.0", """Mozilla Public License Version 2.0
+1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."""),
+    ("Artistic-1.0", """The "Artistic License"
+Preamble The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package"""),
+    ("CC0-1.0", """Creative Commons Legal Code CC0 1.0 Universal
+CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
+#: Terms of whole licence texts; what an opening of one of them begins with.
+WHOLE = {"AGPL-3.0": 5590, "Apache-2.0": 1608, "Artistic-1.0": 983, "CC0-1.0": 1088, "GFDL-1.2": 3329, "GFDL-1.3": 3748, "GPL-1.0": 2080, "GPL-2.0": 2989, "GPL-3.0": 5700,
+         "LGPL-2.0": 4213, "LGPL-2.1": 4415, "LGPL-3.0": 1241, "MPL-1.1": 3789, "MPL-2.0": 2426}
+OPENING = '(?i)(the )?"?(gnu|mozilla|apache|artistic|creative commons)'
+#: A term that a licence's passage has and the one nearest to it has not; words of statements that grant, not only name.
+TELLING = {"BSD-3-Clause": "endorse", "ISC": "appear"}
+GRANTS = {"licensed", "released", "distributed", "governed", "dedicated", "subject", "granted", "unencumbered", "reserved"}
 #: Of the whole text only this says nothing of other rights, so it counts where nothing else is stated.
 WEAKEST = "Proprietary"
-#: A licence identifier behind an SPDX tag, and what a reader may choose beyond it.
-SPDX, LATER = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)", r"(-only|-or-later|\+)$"
+#: A licence expression behind an SPDX tag, and what a reader may choose beyond an identifier.
+SPDX = r"(?i:SPDX-License-Identifier:)[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)"
+LATER = r"(?i)(-only|-or-later|\+|-+)($|[ )])"
 #: Cosine from which a statement counts; names of licence files.
-LEAST, LICENCE_FILE = 0.8, r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
+LEAST, LICENCE_FILE = 0.8, r"(?i)^((un)?licen[cs]es?|copying|notice)([._-].+)?$"
+#: A folder that holds the licences of the one above it.
+SHELF = "LICENSES/[^/]*$"
+#: Terms that a line may have beyond a template that only names a licence.
+BESIDE = 3
 TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -111,6 +153,30 @@ def template_sizes() -> list[int]:
     return [0 if k < len(TEMPLATES) else terms.total() for k, terms in enumerate(template_terms())]
 
 
+def about() -> list[tuple[int, str, int, int, int, int, int]]:
+    """(template, license, size, marks, most, telling, extent) of each template.
+
+    marks: how many terms of it must all be met; most: terms that a statement may have; telling: whether it has a term
+    that tells it from the nearest other licence; extent: terms of the licence's text from here, for its opening.
+    """
+    out = []
+    for k, ((name, text), terms, size, marked) in enumerate(zip(TEMPLATES + PASSAGES, template_terms(), template_sizes(), template_marks(), strict=True)):
+        most = 1 << 30 if size or GRANTS & set(terms) else terms.total() + BESIDE
+        extent = WHOLE[name] * 49 // 50 if size and name in WHOLE and re.match(OPENING, text) else 0  # texts differ in an address or two
+        out.append((k, name, size, len(marked), most, int(bool(size) and name in TELLING), extent))
+    return out
+
+
+def template_marks() -> list[set[str]]:
+    """Terms of each template without which it isn't met: its version, the date of its title, what tells it from another."""
+    out = []
+    for (name, text), terms, size in zip(TEMPLATES + PASSAGES, template_terms(), template_sizes(), strict=True):
+        version = set() if size and name.startswith("BSD") else set(re.findall(r"\d+", name)) - {"0"}
+        dated = {t for t in terms if t.isdigit()} if re.search(r"\b(19|20)\d\d\b", text) else set()
+        out.append((version | dated | ({TELLING[name]} if size and name in TELLING else set())) & set(terms))
+    return out
+
+
 def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TERM), lambda w: w != "")
 
@@ -146,6 +212,17 @@ def anchors(idf: dict[str, float], least: float) -> list[str]:
     return sorted(out)
 
 
+def expressions(text: Column) -> Column:
+    """Of the SPDX tags of a text: expressions with OR whole, in brackets, and what AND joins in others (operators are capitals)."""
+
+    def plain(e: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(e, r"[ \t]+", " "), LATER, "$2"), r"^\(([^()]*)\)$", "$1")
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(SPDX), 1), plain)
+    parts = F.transform(found, lambda e: F.when(F.contains(e, F.lit(" OR ")), F.array(F.concat(F.lit("("), e, F.lit(")")))).otherwise(F.split(F.regexp_replace(e, "[()]", ""), " AND ")))
+    return F.filter(F.flatten(parts), lambda e: e != "")
+
+
 def windows(terms: Column, size: Column) -> Column:
     """Starts of windows of `size` terms, an eighth of it apart, the last at the end."""
     last = F.greatest(F.size(terms) - size, F.lit(0))
@@ -156,14 +233,15 @@ def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     """(id, licenses, score): sorted licences that a file states, joined by ` AND `, and the best cosine (1 for a tag); files with one only."""
     spark = files.sparkSession
     idf, other = weights(files)
-    names, sizes = [n for n, _ in TEMPLATES + PASSAGES], template_sizes()
+    sizes, marks = template_sizes(), template_marks()
     needed = F.array(*map(F.lit, [*anchors(idf, least), "spdx"]))
     some = written(files.withColumn("terms", terms_of(F.col("text"))).where(F.arrays_overlap("terms", needed)), "licensed")
     vectors = []
     for k, terms in enumerate(template_terms()):
         length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in terms.items()))
-        vectors += [(k, names[k], sizes[k], t, n * idf[t] / length) for t, n in sorted(terms.items())]
-    templates = spark.createDataFrame(vectors, "template int, license string, size int, term string, w double")
+        vectors += [(k, sizes[k], t, n * idf[t] / length, int(t in marks[k])) for t, n in sorted(terms.items())]
+    templates = spark.createDataFrame(vectors, "template int, size int, term string, w double, mark int")
+    rules = F.broadcast(spark.createDataFrame(about(), "template int, license string, size int, marks int, most int, telling int, extent int").drop("size"))
 
     lines = some.select("id", F.posexplode(statements(F.col("text"))).alias("at", "statement")).select("id", F.lit(0).alias("size"), "at", terms_of(F.col("statement")).alias("terms"))
     lines = lines.where(F.arrays_overlap("terms", needed))
@@ -175,39 +253,49 @@ def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
 
     counted = lines.unionByName(passages).select("id", "size", "at", F.explode("terms").alias("term")).groupBy("id", "size", "at", "term").count()
     known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    inside = templates.groupBy("term").agg(F.collect_list(F.struct("template", "license", "size", "w")).alias("in"))
+    inside = templates.groupBy("term").agg(F.collect_list(F.struct("template", "size", "w", "mark")).alias("in"))
     weighed = counted.join(F.broadcast(known), "term", "left").join(F.broadcast(inside), "term", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(other)))
-    alike = F.filter(F.coalesce("in", F.array().cast("array<struct<template:int,license:string,size:int,w:double>>")), lambda t: t["size"] == F.col("size"))
-    dots = F.transform(alike, lambda t: F.struct(t["template"].alias("template"), t["license"].alias("license"), (t["w"] * F.col("x")).alias("dot")))
-    parts = weighed.groupBy("id", "size", "at").agg(F.sum(F.col("x") * F.col("x")).alias("square"), F.flatten(F.collect_list(dots)).alias("dots"))  # of one window
+    alike = F.filter(F.coalesce("in", F.array().cast("array<struct<template:int,size:int,w:double,mark:int>>")), lambda t: t["size"] == F.col("size"))
+    dots = F.transform(alike, lambda t: F.struct(t["template"].alias("template"), (t["w"] * F.col("x")).alias("dot"), t["mark"].alias("mark")))
+    parts = weighed.groupBy("id", "size", "at").agg(F.sum(F.col("x") * F.col("x")).alias("square"), F.sum("count").alias("n_terms"), F.flatten(F.collect_list(dots)).alias("dots"))  # of one window
     close = (
-        parts.select("id", "size", "at", "square", F.explode("dots").alias("d"))
-        .groupBy("id", "size", "at", "d.template", "d.license", "square")
-        .agg((F.sum("d.dot") / F.sqrt("square")).alias("score"))
+        parts.select("id", "size", "at", "square", "n_terms", F.explode("dots").alias("d"))
+        .groupBy("id", "size", "at", "d.template", "square", "n_terms")
+        .agg((F.sum("d.dot") / F.sqrt("square")).alias("score"), F.sum("d.mark").alias("met"))
         .where(F.col("score") >= least)
+        .join(rules, "template")
+        .where((F.col("met") == F.col("marks")) & (F.col("n_terms") <= F.col("most")))
     )
-    best = close.groupBy("id", "size", "at").agg(F.max_by(F.struct("license", "template"), F.struct("score", F.negative("template"))).alias("t"), F.max("score").alias("score"))
+    best = kept(close.groupBy("id", "size", "at").agg(F.max_by(F.struct("license", "template", "telling", "extent"), F.struct("score", F.negative("template"))).alias("t"), F.max("score").alias("score")))
     place = F.struct("score", F.negative("at"))
-    firm = best.where("size > 0").groupBy("id", "t.template", "t.license", "size").agg(F.max_by("at", place).alias("at"), F.max("score").alias("score"))
-    met = firm.groupBy("id").agg(F.collect_list(F.struct("score", F.negative("template").alias("rank"), "license", "at", (F.col("at") + F.col("size")).alias("end"))).alias("all"))  # one for each template
-    better = lambda h: F.exists("all", lambda g: (g["at"] < h["end"]) & (h["at"] < g["end"]) & ((g["score"] > h["score"]) | ((g["score"] == h["score"]) & (g["rank"] > h["rank"]))))
-    kept_passages = met.select("id", F.explode(F.filter("all", lambda h: ~better(h))).alias("h")).select("id", "h.license", "h.score")
-    kept_lines = best.where("size = 0").select("id", "t.license", "score")
-    expression = F.regexp_extract_all("text", F.lit(SPDX), 1)
-    words = F.flatten(F.transform(expression, lambda e: F.split(F.trim(F.regexp_replace(e, r"[()\s]+", " ")), " ")))
-    words = F.filter(words, lambda w: ~F.upper(w).isin("AND", "OR", "WITH", "") & ~F.endswith(w, F.lit("-exception")))
-    tags = some.select("id", F.explode(F.transform(words, lambda w: F.regexp_replace(w, LATER, ""))).alias("license")).withColumn("score", F.lit(1.0))
+    firm = best.where("size > 0").groupBy("id", "t.template", "t.license", "t.telling", "t.extent", "size").agg(F.max_by("at", place).alias("at"), F.max("score").alias("score"))
+    met = firm.groupBy("id").agg(F.collect_list(F.struct("telling", "score", F.negative("template").alias("rank"), "license", "at", (F.col("at") + F.col("size")).alias("end"), "extent")).alias("all"))  # one for each template
+    value = lambda g: F.struct(g["telling"], g["score"], g["rank"])
+    stands = F.filter("all", lambda h: ~F.exists("all", lambda g: (g["at"] < h["end"]) & (h["at"] < g["end"]) & (value(g) > value(h))))
+    met = met.select("id", stands.alias("all")).withColumn("bodies", F.filter("all", lambda g: g["extent"] > 0))
+    within = lambda at: F.exists("bodies", lambda g: (g["at"] < at) & (at < g["at"] + g["extent"]))
+    kept_passages = met.select("id", F.explode(F.filter("all", lambda h: ~within(h["at"]))).alias("h")).select("id", "h.license", "h.score")
+    # lines inside the whole text of a licence state nothing of their own; only files with such a text are looked at again
+    texts = met.where(F.size("bodies") > 0).select("id", "bodies")
+    sized = some.join(texts.select("id"), "id", "left_semi").select("id", F.posexplode(statements(F.col("text"))).alias("at", "statement")).select("id", "at", F.size(terms_of(F.col("statement"))).alias("n"))
+    starts = sized.withColumn("start", F.sum("n").over(Window.partitionBy("id").orderBy("at")) - F.col("n"))
+    covered = starts.join(texts, "id").where(within(F.col("start") + 0.5)).select("id", "at")
+    kept_lines = best.where("size = 0").join(covered, ["id", "at"], "left_anti").select("id", "t.license", "score")
+    tags = some.select("id", F.explode(expressions(F.col("text"))).alias("license")).withColumn("score", F.lit(1.0))
     every = kept_lines.unionByName(kept_passages).unionByName(tags)
     stated = every.groupBy("id").agg(F.collect_set("license").alias("all"), F.max("score").alias("score"))
     firmer = F.filter("all", lambda n: (n != WEAKEST) | (F.size("all") == 1))
-    return stated.select("id", F.array_join(F.sort_array(firmer), " AND ").alias("licenses"), "score")
+    joined = F.array_join(F.sort_array(firmer), " AND ")
+    return stated.select("id", F.when(F.size(firmer) == 1, F.regexp_replace(joined, r"^\((.*)\)$", "$1")).otherwise(joined).alias("licenses"), "score")
 
 
 def license_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """files (path, text, and any other columns) with licenses, score, origin (own, inherited or null), inherited_from.
 
-    A file has the licences that it states (of passages that overlap the nearest; `Proprietary` where it states no other), else those of the nearest directory above it, itself included, in
-    which a licence file states any; several there are joined in order of their paths' text. Statements count
+    A file has the licences that it states (of passages that overlap the nearest; what stands inside the whole text of
+    a licence is part of it; versions and dates must be there; templates that only name a licence count as lines of
+    their own; SPDX expressions keep OR and WITH; `Proprietary` where it states no other), else those of the nearest directory above it, itself included, in
+    which a licence file states any (files of a folder LICENSES/ are those of the folder above it); several there are joined in order of their paths' text. Statements count
     from cosine `least`; of the templates that reach it the nearest names the licence, the first listed if
     equal. Null, empty or unlike texts state nothing; a null path lies in no directory. Repeated rows get the
     same answer each. No files give no rows; columns with the names of the result are replaced. files is
@@ -218,14 +306,14 @@ def license_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     own = kept(own_licenses(named.select(F.col("_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), least))
     directory = F.regexp_replace("path", "[^/]*$", "")
     placed = named.select(F.col("_id").alias("id"), "path", directory.alias("directory")).join(own, "id", "left")
-    is_licence = F.rlike(F.regexp_extract("path", "[^/]*$", 0), F.lit(LICENCE_FILE))
-    granted = placed.where("licenses IS NOT NULL").where(is_licence).groupBy(F.col("directory").alias("above")).agg(F.array_join(F.sort_array(F.collect_set("licenses")), " AND ").alias("granted"), F.min("path").alias("inherited_from"))
+    is_licence = F.rlike(F.regexp_extract("path", "[^/]*$", 0), F.lit(LICENCE_FILE)) | F.rlike("path", F.lit(f"(^|/){SHELF}"))
+    granted = placed.where("licenses IS NOT NULL").where(is_licence).groupBy(F.regexp_replace("directory", SHELF, "").alias("above")).agg(F.array_join(F.sort_array(F.collect_set("licenses")), " AND ").alias("granted"), F.min("path").alias("inherited_from"))
     steps = F.split("directory", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.concat(F.slice(steps, F.lit(1), n - 1), F.array(F.lit(""))), "/"))
     open_ = placed.where("licenses IS NULL AND path IS NOT NULL").select("id", "directory")
-    climbing = open_.select("directory").distinct().select("directory", F.posexplode(ancestors).alias("depth", "above"))
-    nearest = climbing.join(granted, "above").groupBy("directory").agg(F.max_by(F.struct("granted", "inherited_from"), "depth").alias("from"))
-    found = open_.join(nearest, "directory")
+    climbing = open_.groupBy("directory").agg(F.count("*").alias("n_files")).select("directory", "n_files", F.posexplode(ancestors).alias("depth", "above"))
+    nearest = climbing.join(granted, "above").groupBy("directory", "n_files").agg(F.max_by(F.struct("granted", "inherited_from"), "depth").alias("from"))
+    found = looked_up(open_, kept(nearest), ["directory"], "n_files")
     answer = own.select("id", "licenses", "score", F.lit("own").alias("origin"), F.lit(None).cast("string").alias("inherited_from")).unionByName(
         found.select("id", F.col("from.granted").alias("licenses"), F.lit(None).cast("double").alias("score"), F.lit("inherited").alias("origin"), F.col("from.inherited_from").alias("inherited_from"))
     )
@@ -245,43 +333,55 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values() -> str:
-    names, sizes = [n for n, _ in TEMPLATES + PASSAGES], template_sizes()
-    rows = [f"({k}, '{names[k]}', {sizes[k]}, '{t}', {n})" for k, terms in enumerate(template_terms()) for t, n in sorted(terms.items())]
+    marks, sizes = template_marks(), template_sizes()
+    rows = [f"({k}, {sizes[k]}, '{t}', {n}, {int(t in marks[k])})" for k, terms in enumerate(template_terms()) for t, n in sorted(terms.items())]
     return ", ".join(rows)
 
 
+def _rules() -> str:
+    return ", ".join(f"({k}, '{name}', {', '.join(map(str, rest))})" for k, name, _, *rest in about())
+
+
 #: Without one of these no line or text reaches the least cosine to any template.
 HINT = "(?i)licen|rights|domain|permission|redistribut|warrant|granted|spdx|public"
 ORACLE = f"""
-WITH template(template, license, size, term, n) AS (VALUES {_values()}),
+WITH template(template, size, term, n, mark) AS (VALUES {_values()}),
+rules(template, license, marks, most, telling, extent) AS (VALUES {_rules()}),
 f AS (SELECT doc_id, {PATH} AS path, coalesce(text, '') AS text FROM documents),
 total AS (SELECT count(*) AS n FROM f),
 seen AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM f)
   WHERE term IN (SELECT term FROM template) GROUP BY term),
 idf AS (SELECT t.term, ln((total.n + 1.0) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM template) t LEFT JOIN seen USING (term), total),
-tv AS (SELECT template, license, size, term, n * idf AS w, sqrt(sum(n * n * idf * idf) OVER (PARTITION BY template)) AS len FROM template JOIN idf USING (term)),
+tv AS (SELECT template, size, term, mark, n * idf AS w, sqrt(sum(n * n * idf * idf) OVER (PARTITION BY template)) AS len FROM template JOIN idf USING (term)),
 hinted AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS terms FROM f WHERE regexp_matches(text, '{HINT}')),
 likely AS (SELECT DISTINCT doc_id, size FROM (SELECT doc_id, template, size FROM (SELECT DISTINCT doc_id, unnest(terms) AS term FROM hinted) JOIN tv USING (term)
   WHERE size > 0 GROUP BY ALL HAVING sum(w * w / len / len) >= {LEAST**2 * (1 - 1e-9)})),
-u AS (SELECT doc_id, 0 AS size, row_number() OVER () AS pos, regexp_extract_all(lower(statement), '[\\p{{L}}\\p{{N}}]+') AS terms FROM (
-    SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS statement FROM hinted) WHERE regexp_matches(statement, '{HINT}')
+st AS (SELECT doc_id, pos, statement, regexp_extract_all(lower(statement), '[\\p{{L}}\\p{{N}}]+') AS terms FROM (
+    SELECT doc_id, unnest(l) AS statement, generate_subscripts(l, 1) AS pos FROM (
+      SELECT doc_id, string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS l FROM hinted))),
+u AS (SELECT doc_id, 0 AS size, pos, terms FROM st WHERE regexp_matches(statement, '{HINT}')
   UNION ALL SELECT doc_id, size, pos, list_slice(terms, pos + 1, pos + size) FROM (
     SELECT doc_id, size, terms, unnest(list_distinct(list_append(range(0, greatest(len(terms) - size, 0) + 1, greatest(size // 8, 1)), greatest(len(terms) - size, 0)))) AS pos FROM hinted JOIN likely USING (doc_id))),
 w AS (SELECT doc_id, size, pos, term, count(*) AS n FROM (SELECT doc_id, size, pos, unnest(terms) AS term FROM u) GROUP BY ALL),
 x AS (SELECT w.*, w.n * coalesce(idf, ln(total.n + 1.0) + 1) AS x FROM w LEFT JOIN idf USING (term), total),
-len AS (SELECT doc_id, size, pos, sqrt(sum(x * x)) AS len FROM x GROUP BY ALL),
-c AS (SELECT x.doc_id, x.size, x.pos, template, license, sum(x * w / tv.len) / any_value(len.len) AS score
+len AS (SELECT doc_id, size, pos, sqrt(sum(x * x)) AS len, sum(n) AS n_terms FROM x GROUP BY ALL),
+c AS (SELECT x.doc_id, x.size, x.pos, template, sum(x * w / tv.len) / any_value(len.len) AS score, sum(mark) AS met, any_value(n_terms) AS n_terms
   FROM x JOIN tv ON tv.term = x.term AND tv.size = x.size JOIN len ON len.doc_id = x.doc_id AND len.size = x.size AND len.pos = x.pos GROUP BY ALL),
-b AS (SELECT * FROM c WHERE score >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, size, pos ORDER BY score DESC, template) = 1),
+b AS (SELECT * FROM c JOIN rules USING (template) WHERE score >= {LEAST} AND met = marks AND n_terms <= most QUALIFY row_number() OVER (PARTITION BY doc_id, size, pos ORDER BY score DESC, template) = 1),
 firm AS (SELECT * FROM b WHERE size > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY score DESC, pos) = 1),
+stand AS (SELECT * FROM firm h WHERE NOT EXISTS (SELECT 1 FROM firm g WHERE g.doc_id = h.doc_id AND g.pos < h.pos + h.size AND h.pos < g.pos + g.size
+    AND (g.telling > h.telling OR (g.telling = h.telling AND (g.score > h.score OR (g.score = h.score AND g.template < h.template)))))),
+body AS (SELECT doc_id, pos, pos + extent AS until FROM stand WHERE extent > 0),
+start AS (SELECT doc_id, pos, sum(len(terms)) OVER (PARTITION BY doc_id ORDER BY pos) - len(terms) AS start FROM st),
 tag AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SPDX}', 1)) AS e FROM hinted),
-word AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(e, '[()\\s]+', ' ', 'g')), ' ')) AS w FROM tag),
-tags AS (SELECT doc_id, regexp_replace(w, '{LATER}', '') AS license FROM word),
+plain AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(e, '[ \\t]+', ' ', 'g'), '{LATER}', '\\2', 'g'), '^\\(([^()]*)\\)$', '\\1') AS e FROM tag),
+tags AS (SELECT doc_id, unnest(CASE WHEN contains(e, ' OR ') THEN ['(' || e || ')'] ELSE string_split(regexp_replace(e, '[()]', '', 'g'), ' AND ') END) AS license FROM plain),
 every AS (SELECT doc_id, license, score FROM b WHERE size = 0
-  UNION ALL SELECT doc_id, license, score FROM firm h WHERE NOT EXISTS (SELECT 1 FROM firm g WHERE g.doc_id = h.doc_id AND g.pos < h.pos + h.size AND h.pos < g.pos + g.size
-    AND (g.score > h.score OR (g.score = h.score AND g.template < h.template)))
-  UNION ALL SELECT doc_id, license, 1.0 FROM tags WHERE upper(license) NOT IN ('AND', 'OR', 'WITH', '') AND NOT ends_with(license, '-exception')),
-own AS (SELECT doc_id, string_agg(DISTINCT license, ' AND ' ORDER BY license) FILTER (license != '{WEAKEST}' OR alone) AS licenses, max(score) AS score
+    AND NOT EXISTS (SELECT 1 FROM start s JOIN body g USING (doc_id) WHERE s.doc_id = b.doc_id AND s.pos = b.pos AND s.start >= g.pos AND s.start < g.until)
+  UNION ALL SELECT doc_id, license, score FROM stand h WHERE NOT EXISTS (SELECT 1 FROM body g WHERE g.doc_id = h.doc_id AND g.pos < h.pos AND h.pos < g.until)
+  UNION ALL SELECT doc_id, license, 1.0 FROM tags WHERE license != ''),
+own AS (SELECT doc_id, CASE WHEN count(DISTINCT license) FILTER (license != '{WEAKEST}' OR alone) = 1 THEN regexp_replace(max(license) FILTER (license != '{WEAKEST}' OR alone), '^\\((.*)\\)$', '\\1')
+    ELSE string_agg(DISTINCT license, ' AND ' ORDER BY license) FILTER (license != '{WEAKEST}' OR alone) END AS licenses, max(score) AS score
   FROM (SELECT *, bool_and(license = '{WEAKEST}') OVER (PARTITION BY doc_id) AS alone FROM every) GROUP BY doc_id),
 p AS (SELECT f.doc_id, path, licenses, score, regexp_replace(path, '[^/]*$', '') AS dir FROM f LEFT JOIN own USING (doc_id)),
 g AS (SELECT dir AS above, string_agg(DISTINCT licenses, ' AND ' ORDER BY licenses) AS granted, min(path) AS inherited_from

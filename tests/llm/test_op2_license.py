@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from compare import same
 
 from rigtables.llm import op2_license as op
@@ -88,7 +91,7 @@ def test_texts_and_headers_of_licences(spark):
         "gpl2.c": (wrapped(GPL_2, "// ", 99) + code, "GPL-2.0"),
         "mpl.js": ("/" + "* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. *" + "/" + code, "MPL-2.0"),
         "apache.py": (wrapped(notice + dict(op.PASSAGES[:5])["Apache-2.0"], "# ") + code, "Apache-2.0"),
-        "spdx.c": ("// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception OR MIT)" + code, "GPL-2.0 AND MIT"),
+        "spdx.c": ("// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception OR MIT)" + code, "GPL-2.0 WITH Classpath-exception OR MIT"),
         "tag.c": ("/* SPDX-License-Identifier: Zlib */" + code, "Zlib"),
         "rights.c": ("// " + notice + code, "Proprietary"),
         "both.txt": (mit + code + isc, "ISC AND MIT"),
@@ -103,3 +106,49 @@ def test_texts_and_headers_of_licences(spark):
     rows = [(f"f{k}", f"other words number {k} of the rest and a line", "") for k in range(300)]
     got = scan(spark, [*rows, *((p, t, "") for p, (t, _) in want.items())])
     assert {p: got[p][0] for p in want} == {p: x for p, (_, x) in want.items()}
+
+
+WHOLE = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(WHOLE), reason="no licence texts on this machine")
+def test_whole_texts_state_themselves(spark):
+    want = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0",
+            "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    texts = {n: open(f"{WHOLE}/{n}", encoding="utf-8", errors="replace").read() for n in want if os.path.exists(f"{WHOLE}/{n}")}
+    rows = [(f"f{k}", f"other words number {k} of the rest and a line", "") for k in range(300)]
+    both = [("both", texts["LGPL-3"] + "\n\n" + texts["GPL-3"], "")] if {"LGPL-3", "GPL-3"} <= set(texts) else []
+    got = scan(spark, [*rows, *((n, t, "") for n, t in texts.items()), *both])
+    assert {n: got[n][0] for n in texts} == {n: want[n] for n in texts}
+    assert not both or got["both"][0] == "GPL-3.0 AND LGPL-3.0"
+
+
+def test_openings_and_short_texts(spark):
+    named = {(n, k) for k, (n, _) in enumerate(op.PASSAGES)}
+    rows = [(f"f{k}", f"other words number {k} of the rest and a line", "") for k in range(300)]
+    got = scan(spark, [*rows, *((f"{n} {k}", "Some Body\n\n" + wrapped(op.PASSAGES[k][1], "  "), "") for n, k in named)])
+    assert {x: got[f"{x[0]} {x[1]}"][0] for x in named} == {x: x[0] for x in named}
+
+
+def test_names_that_are_only_mentioned(spark):
+    rows = [(f"f{k}", f"other words number {k} of the rest and a line", "") for k in range(300)]
+    said = {
+        "a": ("You may combine this with works under version 3 of the GNU Affero General Public License in a larger work.", None),
+        "b": ("GNU Affero General Public License, version 3", "AGPL-3.0"),
+        "c": ("This work is licensed under the GNU General Public License.", None),
+        "d": ("# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0 WITH Linux-syscall-note"),
+        "e": ("// spdx-license-identifier: MIT  OR\tApache-2.0 and more words", "MIT OR Apache-2.0"),
+        "f": ("SPDX-License-Identifier: (MIT OR Apache-2.0)\nReleased under the ISC License.", "(MIT OR Apache-2.0) AND ISC"),
+        "g": ("<!-- SPDX-License-Identifier: MIT AND Zlib -->", "MIT AND Zlib"),
+    }
+    got = scan(spark, [*rows, *((p, t, "") for p, (t, _) in said.items())])
+    assert {p: got[p][0] for p in said} == {p: x for p, (_, x) in said.items()}
+
+
+def test_names_of_licence_files(spark):
+    mit = "Released under the MIT License."
+    paths = ["LICENSE-MIT", "licence.md", "UNLICENSE", "LICENSE_APACHE", "COPYING.LESSER"]
+    rows = [r for k, p in enumerate(paths) for r in [(f"d{k}/{p}", mit, ""), (f"d{k}/x/y.py", "code", "")]]
+    got = scan(spark, [*rows, ("r/LICENSES/MIT.txt", mit, ""), ("r/a.py", "code", ""), ("s/licensed.py", mit, ""), ("s/b.py", "code", "")])
+    assert [got[f"d{k}/x/y.py"][0] for k in range(len(paths))] == ["MIT"] * len(paths)
+    assert got["r/a.py"] == ("MIT", "inherited", "r/LICENSES/MIT.txt") and got["s/b.py"][0] is None
