@@ -21,6 +21,19 @@ from pyspark.sql import functions as F
 from rigtables.llm.common import connected_components, kept, small_batches, table
 
 BITS, SEED = 64, 42
+#: [byte, bit]: the bits of each byte, the lowest first.
+BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit."""
+    at = hashes.view(np.uint8).reshape(-1, 8) + 256 * np.arange(8)
+    return (np.bincount(at.ravel(), minlength=8 * 256).reshape(8, 256) @ BYTES).ravel().astype(np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> np.int64:
+    """The fingerprint of n hashes with these counts: bits that more than half have."""
+    return np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]
 
 
 def fingerprint(text: str | None, words: int = 3, step: int = 1 << 18) -> int:
@@ -34,8 +47,8 @@ def fingerprint(text: str | None, words: int = 3, step: int = 1 << 18) -> int:
         part = w[i : min(i + step, n) + words - 1]
         shingles = zip(*(part[k:] for k in range(words)), strict=False) if len(w) >= words else [w]
         h = np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += bit_counts(h)
+    return int(majority(ones, n).view("<u8"))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
