@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,9 @@ STOP = r"([\pL\pN])([.,])(\s|$)"
 #: Two line ends between characters that are not white space (or are too rare to ask).
 TWO_ENDS = r"([^\pZ\x00-\x20\x7f-\xa0])\n\n([^\pZ\x00-\x20\x7f-\xa0])"
 TWO = "\x01"
-#: Most pieces that a worker remembers (about 200 bytes each), beyond which it starts afresh; bytes of text that are split at a time.
+#: A piece that others can follow after a line end and still get its own ids: no white space but one space at its beginning.
+PLAIN = re.compile(r" ?\S+").fullmatch
+#: Most pieces that a worker remembers (about 200 bytes each), beyond which it forgets all that few texts had; bytes of text that are split at a time.
 MOST, AT_A_TIME = 400_000, 1 << 20
 LINE_END, END = 198, 0
 #: In place of a piece: its text goes to the tokenizer whole; not met yet.
@@ -68,20 +72,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_kind(self.tokenizer.get_vocab_size())
-        self._forget()
+        self._start()
 
-    def _forget(self) -> None:
+    def _start(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(1 << 20, self.kind), np.zeros(1 << 18, np.int64)
+        self.ids, self.ends, self.used = np.zeros(1 << 20, self.kind), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
         self.count = 0
         self._remember(["\n", TWO], np.array([1, 2]), np.full(3, LINE_END, self.kind))
 
+    def _forget(self) -> None:
+        """Start afresh, with the pieces that several slices of text had since the last time; with none where they are over half of MOST."""
+        often = [(p, k) for p, k in self.known.items() if k > 1 and self.used[k] > 1]
+        pieces = [p for p, _ in often] if len(often) <= MOST // 2 else []
+        sizes, ids = self._ids_of(np.array([k for _, k in often][: len(pieces)], np.int64))
+        self._start()
+        self._remember(pieces, sizes, ids)
+
+    def _ids_of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each place has, all ids in a row); WHOLE has none."""
+        n = np.where(place < 0, 0, np.diff(self.ends[: self.count], prepend=0)[place])
+        ends = np.cumsum(n)
+        begin = np.where(place < 0, 0, self.ends[place] - n)
+        at = np.repeat((begin - (ends - n)).astype(np.int32), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        return n, self.ids[at]
+
     def _remember(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         begin = int(self.ends[self.count - 1]) if self.count else 0
         while begin + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.count + len(pieces) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.ends, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.used))
         self.ids[begin : begin + len(ids)] = ids
         self.ends[self.count : self.count + len(pieces)] = begin + np.cumsum(sizes)
         self.known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
@@ -89,8 +109,9 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Pieces go line by line into one text, and are told apart at the line ends."""
-        fit = [p for p in pieces if len(p.split()) == 1 and p.strip() == p.lstrip(" ") and p[:2] != "  "]
-        self.known.update(dict.fromkeys(set(pieces).difference(fit), WHOLE))
+        fit = list(filter(PLAIN, pieces))
+        if len(fit) < len(pieces):
+            self.known.update(dict.fromkeys(set(pieces).difference(fit), WHOLE))
         groups = [fit[i : i + 200] for i in range(0, len(fit), 200)]
         for some, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.kind)
@@ -101,15 +122,18 @@ class Encoder:
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where each piece is remembered, or WHOLE."""
-        k = [self.known.get(p, NEW) for p in pieces]
-        new = [p for p, x in zip(pieces, k, strict=True) if x == NEW]
-        if new:
-            if len(self.known) + len(new) > MOST:
-                self._forget()
-                new = [p for p in pieces if p not in self.known]
+        k = np.fromiter(map(self.known.get, pieces, repeat(NEW)), np.int64, len(pieces))
+        at = (k == NEW).nonzero()[0]
+        if len(at) and len(self.known) + len(at) > MOST:
+            self._forget()
+            k = np.fromiter(map(self.known.get, pieces, repeat(NEW)), np.int64, len(pieces))
+            at = (k == NEW).nonzero()[0]
+        if len(at):
+            new = list(map(pieces.__getitem__, at.tolist()))
             self._learn(new)
-            k = [self.known[p] for p in pieces]
-        return np.array(k, np.int64)
+            k[at] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        self.used[k[k >= 0]] += 1  # each piece is there once
+        return k
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids in each text, all ids in a row); a null text is empty."""
@@ -126,12 +150,9 @@ class Encoder:
         bounds = np.asarray(split.offsets) - (split.offsets[0].as_py() if len(split) else 0)
         empty = np.asarray(pc.equal(marked, ""))  # one piece that is nothing
         whole = np.asarray(odd) | (np.add.reduceat(place == WHOLE, bounds[:-1]) > 0 if len(place) else empty) & ~empty
-        n = np.where(place < 0, 0, np.diff(self.ends[: self.count], prepend=0)[place])
+        n, ids = self._ids_of(place)
         ends = np.cumsum(n)
         sizes = np.diff(np.concatenate([[0], ends])[bounds])
-        begin = np.where(place < 0, 0, self.ends[place] - n)
-        at = np.repeat((begin - (ends - n)).astype(np.int32), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
-        ids = self.ids[at]
         if not whole.any():
             return sizes, ids
         ends, out, done = np.concatenate([[0], np.cumsum(sizes)]), [], 0

@@ -88,3 +88,16 @@ def test_files_need_only_their_folder(spark, docs_of, tmp_path):
     op.write_token_files(docs_of(*texts), f"{tmp_path}/f")
     got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in op.read_token_files(spark.newSession(), f"{tmp_path}/f").collect()]
     assert sorted(got) == want(list(enumerate(texts)))
+
+
+def test_recurring_pieces_are_kept_when_others_are_forgotten(monkeypatch):
+    from rigtables.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST", 300)
+    e = tokens.Encoder(tokens.tokenizer_path())
+    learnt, learn = [], e._learn
+    monkeypatch.setattr(e, "_learn", lambda pieces: (learnt.extend(pieces), learn(pieces)))
+    for k in range(12):
+        text = " ".join(["The", *(f"common{i}" for i in range(80)), *(f"rare{k}x{i}" for i in range(40))]) + "  two"
+        assert e.encode([text])[0] == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, e.kind).tobytes()
+    assert learnt.count(" common7") == 1 and len(set(learnt)) > 500
