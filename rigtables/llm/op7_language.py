@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rigtables.llm.common import small_batches, table
+from rigtables.llm.tokens import lighter
 
 #: N-grams in a profile, and their longest length.
 TOP, LONGEST = 300, 3
@@ -68,6 +69,7 @@ def learn_profiles(docs: DataFrame, top: int = TOP, most: int = 1024) -> dict[st
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighter()
         total: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         held = 0
 
@@ -131,6 +133,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) ->
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighter()
         for b in batches:
             found = [one(t) for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])

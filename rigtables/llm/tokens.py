@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import lru_cache
 from itertools import repeat
 
@@ -173,6 +175,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def lighter() -> None:
+    """Give back what earlier stages left in this Python worker, which Spark hands on from stage to stage: encoders, and free memory that is still held.
+
+    For tasks that need no encoder, as they begin.
+    """
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_end(sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same with the end id after each text."""
     out = np.full(len(ids) + len(sizes), END, ids.dtype)
