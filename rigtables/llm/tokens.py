@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from rigtables.llm.common import slices, small_batches
 
-#: A comma or full stop between a letter or number and white space or the end is a piece of its own.
-STOP = r"([\pL\pN])([.,])(\s|$)"
+#: The tokenizer's pattern always ends a piece between a letter or number and a symbol, so a word and what follows it are known each by itself.
+STOP = r"([\pL\pN])([!-/:-@\[-`{-~])"
 #: Two line ends between characters that are not white space (or are too rare to ask).
 TWO_ENDS = r"([^\pZ\x00-\x20\x7f-\xa0])\n\n([^\pZ\x00-\x20\x7f-\xa0])"
 TWO = "\x01"
 #: A piece that others can follow after a line end and still get its own ids: no white space but one space at its beginning.
 PLAIN = re.compile(r" ?\S+").fullmatch
 #: Most pieces that a worker remembers (about 200 bytes each), beyond which it forgets all that few texts had; bytes of text that are split at a time.
-MOST, AT_A_TIME = 400_000, 1 << 20
+MOST, AT_A_TIME = 400_000, 1 << 22
 LINE_END, END = 198, 0
 #: In place of a piece: its text goes to the tokenizer whole; not met yet.
 WHOLE, NEW = -1, -2
@@ -144,7 +144,7 @@ class Encoder:
         marked = pc.if_else(odd, "", texts)
         if pc.any(pc.match_substring(marked, "\n\n")).as_py():
             marked = pc.replace_substring_regex(marked, TWO_ENDS, f"\\1\0{TWO}\0\\2")
-        marked = pc.replace_substring_regex(marked, STOP, "\\1\0\\2\\3")
+        marked = pc.replace_substring_regex(marked, STOP, "\\1\0\\2")
         marked = pc.replace_substring(pc.replace_substring(marked, " ", "\0 "), "\n", "\0\n\0")
         split = pc.split_pattern(marked, "\0")
         pieces = split.flatten().dictionary_encode()

@@ -101,3 +101,15 @@ def test_recurring_pieces_are_kept_when_others_are_forgotten(monkeypatch):
         text = " ".join(["The", *(f"common{i}" for i in range(80)), *(f"rare{k}x{i}" for i in range(40))]) + "  two"
         assert e.encode([text])[0] == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, e.kind).tobytes()
     assert learnt.count(" common7") == 1 and len(set(learnt)) > 500
+
+
+def test_words_are_known_apart_from_the_symbols_after_them():
+    e = Encoder(tokenizer_path())
+    rng = random.Random(5)
+    some = ["word", "öch", "Ж", "é", "12", "½", "'s", "'re", "n't", "'", "%%%", ",***", ".", "-", "_", "<", "|>", "€", "中", "~", "`", "@", "…", " ", " ", "\n", "\t", " "]
+    texts = ["".join(rng.choices(some, k=rng.randint(1, 30))) for _ in range(3000)]
+    for text, ids in zip(texts, e.encode(texts), strict=True):
+        assert ids == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, e.kind).tobytes(), text
+    e = Encoder(tokenizer_path())
+    e.encode(["a geteach%%% geteach,*** geteach.*** geteach"])
+    assert " geteach" in e.known and not [p for p in e.known if p.startswith(" geteach") and p != " geteach"]
