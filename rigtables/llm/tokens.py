@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 from functools import lru_cache
@@ -25,6 +26,8 @@ TWO_ENDS = r"([^\pZ\x00-\x20\x7f-\xa0])\n\n([^\pZ\x00-\x20\x7f-\xa0])"
 TWO = "\x01"
 #: A piece that others can follow after a line end and still get its own ids: no white space but one space at its beginning.
 PLAIN = re.compile(r" ?\S+").fullmatch
+#: A piece that the tokenizer's pattern takes as one, which its model alone can cut up; how its alphabet of bytes writes a space.
+LETTERS, SPACE = re.compile(r" ?[A-Za-z]+").fullmatch, "\u0120"
 #: Most pieces that a worker remembers (about 200 bytes each), beyond which it forgets all that few texts had; bytes of text that are split at a time.
 MOST, AT_A_TIME = 400_000, 1 << 22
 LINE_END, END = 198, 0
@@ -70,9 +73,11 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        plain = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.model = self.tokenizer.model if plain else None
         self.kind = id_kind(self.tokenizer.get_vocab_size())
         self._start()
 
@@ -110,10 +115,19 @@ class Encoder:
         self.count += len(pieces)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Pieces go line by line into one text, and are told apart at the line ends."""
+        """Words of ASCII letters go to the tokenizer's model; other pieces line by line into one text, and are told apart at the line ends."""
         fit = list(filter(PLAIN, pieces))
         if len(fit) < len(pieces):
             self.known.update(dict.fromkeys(set(pieces).difference(fit), WHOLE))
+        if self.model is not None:
+            words = list(filter(LETTERS, fit))
+            ids, sizes = array("I"), array("q")
+            for w in words:
+                found = [t.id for t in self.model.tokenize(w.replace(" ", SPACE))]
+                ids.extend(found)
+                sizes.append(len(found))
+            self._remember(words, np.array(sizes, np.int64), np.array(ids, self.kind))
+            fit = [p for p in fit if not LETTERS(p)]
         groups = [fit[i : i + 200] for i in range(0, len(fit), 200)]
         for some, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.kind)
