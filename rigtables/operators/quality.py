@@ -40,18 +40,20 @@ def check_monotonic(frames: DataFrame, clock: str = "acquired_time_us", order: s
     return n.select("recording_id", "n_frames", F.coalesce("n_violations", F.lit(0)).alias("n_violations"), F.col("n_violations").isNull().alias("monotonic"))
 
 
-def availability(muscle: DataFrame, groups: DataFrame, tolerance: int = 3, first: Column | int = 0, frame: str = "raw_frame_id") -> DataFrame:
+def availability(muscle: DataFrame, groups: DataFrame, tolerance: int = 3, first: Column | int = 0, frame: str = "raw_frame_id", leading: bool = False) -> DataFrame:
     """(recording_id, n_groups, kept, verdict) for groups (recording_id, n_groups, ...).
 
     Ids first .. first + n_groups - 1 are wanted; `first` may be a column of groups. One missing before the
-    last that is there: `hole`. More than `tolerance` + `first` groups without a frame at the end: `too_few`. Else `ok`.
+    last that is there: `hole`, with `leading` also one of those before `first`. More than `tolerance` + `first`
+    groups without a frame at the end: `too_few`. Else `ok`.
     """
+    least = F.lit(0) if leading else F.col("_first")
     wanted = groups.select("recording_id", "n_groups", (first if isinstance(first, Column) else F.lit(first)).alias("_first"))
-    ids = muscle.select("recording_id", F.col(frame).alias("_id")).join(wanted, "recording_id").where("_id >= _first AND _id < _first + n_groups")
-    seen = ids.groupBy("recording_id").agg(F.count_distinct("_id").alias("kept"), F.max("_id").alias("last"))
+    ids = muscle.select("recording_id", F.col(frame).alias("_id")).join(wanted, "recording_id").where((F.col("_id") >= least) & (F.col("_id") < F.col("_first") + F.col("n_groups")))
+    seen = ids.groupBy("recording_id").agg(F.count_distinct(F.when(F.col("_id") >= F.col("_first"), F.col("_id"))).alias("kept"), F.count_distinct("_id").alias("_there"))
     beyond = muscle.groupBy("recording_id").agg(F.max(frame).alias("_end"))
-    every = wanted.join(seen, "recording_id", "left").join(beyond, "recording_id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
-    hole = F.least("_end", F.col("_first") + F.col("n_groups") - 1) - F.col("_first") + 1 > F.col("kept")
+    every = wanted.join(seen, "recording_id", "left").join(beyond, "recording_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("kept", "_there")})
+    hole = F.least("_end", F.col("_first") + F.col("n_groups") - 1) - least + 1 > F.col("_there")
     few = F.col("n_groups") - F.col("kept") - F.col("_first") > tolerance
     return every.select("recording_id", "n_groups", "kept", F.when(hole, "hole").when(few, "too_few").otherwise("ok").alias("verdict"))
 

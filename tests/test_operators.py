@@ -176,6 +176,17 @@ def test_postprocess_goes_on_without_bad_recordings(spark):
     assert out.alignment.where(F.col("recording_id") == 2).count() == 0
 
 
+def test_a_hole_among_leading_orphans_ends_a_recording(spark):
+    """Recordings 1 to 3 have 3 orphans; 2 lacks the orphan 1, 3 ends before its first frame."""
+    behavior = spark.createDataFrame([(r, k, 1000 * k, 1000 * k + 50) for r in (1, 2, 3) for k in range(60)], "recording_id long, behavior_frame_id long, acquired_time_us long, received_time_us long")
+    log = spark.createDataFrame([(r, 13000 * k, float(k), 2.0 * k) for r in (1, 2, 3) for k in range(6)], "recording_id long, timestamp_us long, x_pos_mm double, y_pos_mm double")
+    muscle = spark.createDataFrame([(r, k, 6000 * k, 6000 * k + 9) for r in (1, 2, 3) for k in range(13) if (r, k) != (2, 1) and (r < 3 or k < 3)], "recording_id long, raw_frame_id long, acquired_time_us long, received_time_us long")
+    params, orphans = (spark.createDataFrame([(r, n) for r in (1, 2, 3)], f"recording_id long, {c} long") for c, n in (("ratio", 6), ("n_orphans", 3)))
+    out = workflows.postprocess_recordings(behavior, log, muscle=muscle, params=params, orphans=orphans)
+    assert {r.recording_id: r.rule for r in out.errors.collect()} == {2: "muscle frames: hole", 3: "muscle frames: too_few"}
+    assert {(r.recording_id, r.raw_frame_id): r.slot for r in out.muscle.collect()} == {(1, k + 3): k for k in range(10)}
+
+
 def test_smooth_warp_weighs_by_parts_of_a_pixel(spark):
     schema = "recording_id long, frame_id long, height int, width int, px array<int>, m array<double>"
     moved = lambda dx: [1.0, 0.0, dx, 0.0, 1.0, 0.0]
