@@ -28,12 +28,17 @@ def _inside(order: str, ties: list[str] | None = None) -> WindowSpec:
     return W.partitionBy(KEY, "_chunk").orderBy(order, *(ties or []))
 
 
-def laid_out(df: DataFrame, order: str, size: int, columns: dict[str, Column], ties: list[str] | None = None) -> DataFrame:
-    """df with its chunk, its 1-based row there and `columns` over windows of the chunk: moved once by chunks, and kept.
+def _from_end() -> WindowSpec:
+    """A chunk's rows from its last on: what lies ahead is found in one pass, where a window that reaches to the last row is read anew at every row."""
+    return W.partitionBy(KEY, "_chunk").orderBy(F.desc("_row"))
+
+
+def laid_out(df: DataFrame, order: str, size: int, columns: dict[str, Column], ties: list[str] | None = None, from_end: dict[str, Column] | None = None) -> DataFrame:
+    """df with its chunk, its 1-based row there and `columns` over windows of the chunk, those `from_end` by descending `_row`: moved once by chunks, and kept.
 
     Whatever else is asked of the rows, also across chunks, goes by beside() and moves them no more.
     """
-    return kept(_chunked(df, order, size).withColumns({"_row": F.row_number().over(_inside(order, ties))} | columns))
+    return kept(_chunked(df, order, size).withColumns({"_row": F.row_number().over(_inside(order, ties))} | columns).withColumns(from_end or {}))
 
 
 def beside(rows: DataFrame, edges: DataFrame, n: int | None = None) -> DataFrame:
@@ -69,23 +74,23 @@ def carried(df: DataFrame, order: str, size: int, value: Column, back: str | Non
         return df
     edge, inside = 1 if strict else 0, _inside(order, ties)
     named = df.withColumn("_value", value)
-    own = {}
+    own, own_after = {}, {}
     if back:
         own["_before"] = F.last("_value", True).over(inside.rowsBetween(W.unboundedPreceding, -edge))
     if ahead:
-        own["_after"] = F.first("_value", True).over(inside.rowsBetween(edge, W.unboundedFollowing))
-    by_chunk = W.partitionBy(KEY).orderBy("_chunk")
-    into = F.last("_last", True).over(by_chunk.rowsBetween(W.unboundedPreceding, -1)).alias("_in")
-    out = F.first("_first", True).over(by_chunk.rowsBetween(1, W.unboundedFollowing)).alias("_out")
+        own_after["_after"] = F.last("_value", True).over(_from_end().rowsBetween(W.unboundedPreceding, -edge))
+    by_chunk = W.partitionBy(KEY)
+    into, out = (F.last(c, True).over(by_chunk.orderBy(o).rowsBetween(W.unboundedPreceding, -1)).alias(n) for c, o, n in (("_last", F.asc("_chunk"), "_in"), ("_first", F.desc("_chunk"), "_out")))
     if keep:
         whole = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        rows = laid_out(named, order, size, own | {"_last": F.last("_value", True).over(whole), "_first": F.first("_value", True).over(whole)}, ties)
+        rows = laid_out(named, order, size, own | {"_last": F.last("_value", True).over(whole), "_first": F.first("_value", True).over(whole)}, ties, own_after)
         found = beside(rows.drop("_last", "_first"), rows.where("_row = 1").select(KEY, "_chunk", into, out))
     else:
         parts, place = _chunked(named, order, size), F.struct(order, *(ties or []))
         some = parts.where("_value IS NOT NULL").groupBy(KEY, "_chunk").agg(F.max_by("_value", place).alias("_last"), F.min_by("_value", place).alias("_first"))
         chunks = parts.select(KEY, "_chunk").distinct().join(some, [KEY, "_chunk"], "left")
-        found = parts.withColumns(own).join(chunks.select(KEY, "_chunk", into, out), [KEY, "_chunk"])
+        rows = parts.withColumns(own | ({"_row": F.row_number().over(inside)} if ahead else {})).withColumns(own_after)
+        found = rows.join(chunks.select(KEY, "_chunk", into, out), [KEY, "_chunk"])
     made = [F.coalesce(c, e).alias(n) for c, e, n in (("_before", "_in", back), ("_after", "_out", ahead)) if n]
     return found.select(*df.columns, *made)
 
