@@ -175,8 +175,10 @@ def links(fps: DataFrame, tau: int = 2, m: int | None = None, crowd: int = 64) -
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k)), pa.array(v), pa.array(t[v])], names=["k", "v", "c"])
 
     hist = [np.zeros(1 << len(h)) for h in halves]
-    for k, v, c in fps.select("fp").mapInArrow(counts, "k long, v long, c long").groupBy("k", "v").agg(F.sum("c")).collect():  # at most 4 x 2^16 rows
-        hist[k][v] = c
+    found = fps.select("fp").mapInArrow(counts, "k long, v long, c long").groupBy("k", "v").agg(F.sum("c").alias("c")).toArrow()  # at most 4 x 2^16 rows
+    half, value, count = (found.column(c).to_numpy() for c in ("k", "v", "c"))
+    for k in range(len(hist)):
+        hist[k][value[half == k]] = count[half == k]
     near = [_near(h, len(half), tau) for h, half in zip(hist, halves, strict=True)]
     widths = [len(g) for g in groups]
 
