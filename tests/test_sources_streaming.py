@@ -41,6 +41,32 @@ def test_read_recordings(spark, recordings):
     assert {r.recording for r in found.collect()} == {"a", "b"}
 
 
+def test_sidecars_are_found_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Odd files give the rows that Spark's own reader gives, and the driver lists none of them."""
+    head, root = "frame_id,acquired_time_us,received_time_us", tmp_path / "my recordings"
+    odd = {
+        "a/muscle_images/m_1.csv": f"{head}\r\n1,10,11\r\n9,9,9\r\n", "a/muscle_images/m_2.csv": f"\n  \n{head}\n\n2,20,21", "a/muscle_images/m_3.csv": head,
+        "a/muscle_images/m_4.csv": "", "a/muscle_images/_m_5.csv": f"{head}\n5,5,5\n", "a/muscle_images/.m_6.csv": f"{head}\n6,6,6\n", "a/muscle_images/m_7.txt": f"{head}\n7,7,7\n",
+        "a/notes.csv": f"{head}\n0,0,0\n", "b c%é/muscle_images/m_8.csv": f'{head}\n"8",80,x\n', "b c%é/muscle_images/m_9.csv": f"{head}\n9\n", "c/muscle_images/m_10.csv/m_11.csv": f"{head}\r11,110,111\r12,1,1\r",
+        "d/other/m_13.csv": f"{head}\n13,1,1\n", "muscle_images": "no folder",
+    }
+    for path, text in odd.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(text.encode())
+    for glob in (f"{root}/*/muscle_images/*.csv", f"file://{root}/[a-c]*/muscle_images/m_*.csv", f"{root}/a/muscle_images/m_1.csv", f"{root}/a/muscle_images"):
+        made = [f(spark, glob) for f in (readers.read_muscle_frames, readers.read_behavior_frames)]
+        assert not any(df.inputFiles() for df in made)
+        with monkeypatch.context() as m:
+            m.setattr(readers, "read_lines", lambda *_: None)
+            want = [f(spark, glob) for f in (readers.read_muscle_frames, readers.read_behavior_frames)]
+            assert all(df.inputFiles() for df in want)
+        for one, two in zip(made, want, strict=True):
+            assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())) != []
+    assert readers.read_muscle_frames(spark, f"{root}/{{a,d}}/*/m_[12].csv").count() == 2  # a glob for Spark alone
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_muscle_frames(spark, f"{root}/*/none/*.csv").count()
+
+
 def test_ratio_sources(spark):
     df = spark.createDataFrame([(1, 6, 5, None, None), (2, None, 5, 4, None), (3, None, None, None, 3), (4, None, None, None, None)], "recording_id long, muscle_sync_ratio long, sync_ratio_legacy_key long, muscle_sync_ratio_sibling long, sync_ratio_sibling long")
     got = {r.recording_id: (r.sync_ratio, r.used_legacy, r.ratio_error) for r in sync.resolve_sync_ratio(df).collect()}
