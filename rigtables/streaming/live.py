@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,9 @@ from rigtables.operators.jobs import TERMINAL_STATES, trial_lifecycle
 from rigtables.operators.stage import latest_position
 from rigtables.sources.readers import SIDECAR, recording_of
 
-FIRST_WINDOW_S, WINDOW_S, HEARTBEAT_TIMEOUT_S, IDLE_S, SPAN_US = 2, 60, 120, 86_400, 10_000_000
+FIRST_WINDOW_S, WINDOW_S, HEARTBEAT_TIMEOUT_S, IDLE_S = 2, 60, 120, 86_400
+#: States that sessions share (a stream goes on from a checkpoint with the same number alone); saves waiting there that are read and written at once; stands for a session that is null.
+SHELVES, BLOCK, NO_SESSION = 512, 16_384, -(1 << 63)
 
 
 def stream_frame_metadata(spark: SparkSession, glob: str, depth: int = 2, files: int = 10_000) -> DataFrame:
@@ -45,62 +49,103 @@ def _set_timer(handle: StatefulProcessorHandle, at_ms: int | None) -> None:
         handle.registerTimer(at_ms)
 
 
-SAVES = ["at_us", "save_us", "queue_length"]
+SAVES, SESSIONS = ["at_us", "save_us", "queue_length", "session"], ["session", "start_us", "first", "n", "save_us", "queue", "last_us", "waiting"]
 
 
 class SaverWindows(StatefulProcessor):
     """Windows that restart at the save which closes them: 2 s first, then 60 s; that save is still counted.
 
-    Saves wait in the state, by spans of SPAN_US, until the watermark has passed them, and then count in the order of their time,
-    duration and queue, whichever batch brought them. A session of which nothing came for IDLE_S is forgotten.
+    Sessions share one of SHELVES states, so that a batch asks for few. Saves wait there until the watermark has passed them, and then count
+    in the order of their time, duration and queue, whichever batch brought them. They wait in blocks of up to `block`, from a block's least
+    time to that of the next one (more only where they are of one time), so that those of a long session are not held as a whole.
+    A session of which nothing came for IDLE_S is forgotten.
     """
 
+    def __init__(self, block: int) -> None:
+        self.block = block
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "start_us long, first boolean, n long, save_us long, queue long, last_us long")
-        self.waiting = handle.getMapState("waiting", "span long", "at_us array<long>, save_us array<long>, queue_length array<long>")
+        kinds = ", ".join(f"{c} array<{'boolean' if c == 'first' else 'long'}>" for c in SESSIONS)
+        self.shelf = handle.getValueState("shelf", f"timer_ms long, blocks array<long>, least array<long>, {kinds}")
+        self.waiting = handle.getMapState("waiting", "block long", ", ".join(f"{c} array<long>" for c in SAVES))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        timer, blocks, least, sessions = self._state()
         for part in rows:
-            for span, some in part.groupby(part["at_us"] // SPAN_US):
-                have = self.waiting.getValue((int(span),)) if self.waiting.containsKey((int(span),)) else ([], [], [])
-                self.waiting.updateValue((int(span),), tuple([*h, *some[c].tolist()] for h, c in zip(have, SAVES, strict=True)))
-        yield self._release(key, timerValues.getCurrentWatermarkInMs())
+            saves = part[SAVES].to_numpy(np.int64)
+            for name, n in zip(*(x.tolist() for x in np.unique(saves[:, 3], return_counts=True)), strict=True):
+                sessions.setdefault(name, [None, True, 0, 0, 0, None, 0])[-1] += n
+            self._wait(saves, blocks, least)
+        yield from self._release(timerValues.getCurrentWatermarkInMs(), timer, blocks, least, sessions)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._release(key, timerValues.getCurrentWatermarkInMs())
-
-    def _release(self, key, watermark_ms: int) -> pd.DataFrame:
-        start, first, n, save, queue, last = self.window.get() if self.window.exists() else (None, True, 0, 0, 0, None)
-        out, upto, next_ = [], watermark_ms * 1000, None
-        for (span,) in sorted(self.waiting.keys()):
-            if span * SPAN_US > upto:
-                next_ = span * SPAN_US
-                break
-            saves = sorted(zip(*self.waiting.getValue((span,)), strict=True))
-            passed = [x for x in saves if x[0] <= upto]
-            for at, took, length in passed:
+        _, blocks, least, sessions = self._state()  # the timer goes by itself
+        yield from self._release(timerValues.getCurrentWatermarkInMs(), None, blocks, least, sessions)
+
+    def _state(self) -> tuple[int | None, list[int], list[int], dict[int, list]]:
+        """(timer, names of blocks, their least times, what is known of each session: the columns of SESSIONS after its name)."""
+        have = self.shelf.get()
+        if have is None:
+            return None, [], [], {}
+        return have[0], list(have[1]), list(have[2]), {name: known for name, *known in map(list, zip(*have[3:], strict=True))}
+
+    def _wait(self, saves: np.ndarray, blocks: list[int], least: list[int]) -> None:
+        """The saves (rows of SAVES) into the blocks, which are in order of time; one that grows too large is cut."""
+        old = len(blocks) > 0
+        if not old:
+            blocks.append(0)
+            least.append(int(saves[:, 0].min()))
+        at = np.maximum(np.searchsorted(least, saves[:, 0], side="right") - 1, 0)
+        for k in sorted(set(at.tolist()), reverse=True):  # from the last, so that the places of those to come stay
+            some = saves[at == k]
+            if old:
+                some = np.concatenate([np.array(self.waiting.getValue((blocks[k],)), np.int64).T, some])
+            pieces = [some]
+            if len(some) > self.block:
+                some = some[np.argsort(some[:, 0], kind="stable")]
+                first = np.searchsorted(some[:, 0], some[:: self.block // 2, 0])  # saves of one time stay together
+                pieces = np.split(some, np.unique(first)[1:])
+            names = [blocks[k], *range(max(blocks) + 1, max(blocks) + len(pieces))]
+            blocks[k : k + 1], least[k : k + 1] = names, [int(p[:, 0].min()) for p in pieces]
+            for name, piece in zip(names, pieces, strict=True):
+                self.waiting.updateValue((name,), tuple(piece.T.tolist()))
+
+    def _release(self, watermark_ms: int, timer: int | None, blocks: list[int], least: list[int], sessions: dict[int, list]) -> Iterator[pd.DataFrame]:
+        upto = watermark_ms * 1000
+        while blocks and least[0] <= upto:
+            saves = sorted(zip(*self.waiting.getValue((blocks[0],)), strict=True))
+            out, n_passed = [], bisect_right(saves, upto, key=lambda x: x[0])
+            for at, took, length, name in saves[:n_passed]:
+                start, first, n, save, queue, _, waiting = sessions[name]
                 start = at if start is None else start
-                n, save, queue, last = n + 1, save + took, queue + length, at
+                n, save, queue = n + 1, save + took, queue + length
                 if at - start >= (FIRST_WINDOW_S if first else WINDOW_S) * 1_000_000:
-                    out.append((key[0], start, at, n, save // n, queue / n))
+                    out.append((name, start, at, n, save // n, queue / n))
                     start, first, n, save, queue = at, False, 0, 0, 0
-            left = saves[len(passed) :]
+                sessions[name] = [start, first, n, save, queue, at, waiting - 1]
+            if out:
+                yield pd.DataFrame(out, columns=WINDOWS)
+            left = saves[n_passed:]
             if left:
-                self.waiting.updateValue((span,), tuple(map(list, zip(*left, strict=True))))
-                next_ = left[0][0]
+                self.waiting.updateValue((blocks[0],), tuple(map(list, zip(*left, strict=True))))
+                least[0] = left[0][0]
                 break
-            self.waiting.removeKey((span,))
-        if next_ is not None:
-            _set_timer(self.handle, -(-next_ // 1000))
-        elif last is None or last // 1000 + IDLE_S * 1000 <= watermark_ms:
-            self.window.clear()
-            _set_timer(self.handle, None)
-            return pd.DataFrame(out, columns=WINDOWS)
+            self.waiting.removeKey((blocks.pop(0),))
+            least.pop(0)
+        idle = {name: x[5] // 1000 + IDLE_S * 1000 for name, x in sessions.items() if not x[6]}
+        for name in [name for name, ms in idle.items() if ms <= watermark_ms]:
+            del sessions[name], idle[name]
+        next_ = min([*idle.values(), *(-(-x // 1000) for x in least[:1])], default=None)
+        if timer != next_:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if next_ is not None:
+                self.handle.registerTimer(next_)
+        if sessions:
+            self.shelf.update((next_, blocks, least, *map(list, zip(*((name, *x) for name, x in sessions.items()), strict=True))))
         else:
-            _set_timer(self.handle, last // 1000 + IDLE_S * 1000)
-        self.window.update((start, first, n, save, queue, last))
-        return pd.DataFrame(out, columns=WINDOWS)
+            self.shelf.clear()
 
     def close(self) -> None:
         pass
@@ -115,9 +160,11 @@ def saver_perf_windows(saves: DataFrame, late: str = "10 seconds") -> DataFrame:
     A save may come up to `late` after later ones, in any batch; what comes later still is left out. Saves are counted once the
     watermark has passed them, so a session's last ones wait until any session goes on.
     """
-    timed = saves.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", late)
+    named = saves.where("at_us IS NOT NULL").withColumns({"at": F.timestamp_micros("at_us"), "session": F.coalesce("session", F.lit(NO_SESSION))})
+    timed = named.withColumn("shelf", F.pmod(F.xxhash64("session"), F.lit(SHELVES))).withWatermark("at", late)
     out = "session long, start_us long, end_us long, n long, mean_save_us long, mean_queue_length double"
-    return timed.groupBy("session").transformWithStateInPandas(SaverWindows(), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    made = timed.groupBy("shelf").transformWithStateInPandas(SaverWindows(BLOCK), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    return made.withColumn("session", F.nullif("session", F.lit(NO_SESSION)))
 
 
 class Heartbeats(StatefulProcessor):

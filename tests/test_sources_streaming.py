@@ -248,6 +248,33 @@ def test_restarting_windows_of_saves_that_come_late(spark, tmp_path, state_store
     assert sorted((r.start_us - base, r.end_us - base, r.n, r.mean_save_us, r.mean_queue_length) for r in out.collect()) == [(0, 2 * s, 3, 20, 1.0), (2 * s, 62 * s, 2, 6, 1.5)]
 
 
+def test_sessions_share_states_and_wait_in_blocks(spark, tmp_path, state_store, monkeypatch):
+    """400 sessions, one of them long, one null, in three states: few rows of the state store, and the windows that a plain loop finds."""
+    import random
+
+    monkeypatch.setattr(live, "SHELVES", 3)
+    monkeypatch.setattr(live, "BLOCK", 64)
+    rng, s = random.Random(5), 1_000_000
+    base = int(AT.replace(tzinfo=dt.timezone.utc).timestamp()) * s
+    saves = [(k or None, base + rng.randrange(300) * s, rng.randrange(90), rng.randrange(9)) for k in range(400) for _ in range(1500 if k == 7 else 5)]
+    rng.shuffle(saves)
+    want = []
+    for k in range(400):
+        start, n, took, queue, first = None, 0, 0, 0, True
+        for _, at, u, q in sorted(x for x in saves if x[0] == (k or None)):
+            start, n, took, queue = at if start is None else start, n + 1, took + u, queue + q
+            if at - start >= (2 if first else 60) * s:
+                want.append((k or None, start, at, n, took // n, queue / n))
+                start, n, took, queue, first = at, 0, 0, 0, False
+    far = [[(9999, base + x * s, 0, 0)] for x in (100_000, 1_000_000)]
+    stream = batches(spark, str(tmp_path / "s"), "session long, at_us long, save_us long, queue_length long", saves[::2], saves[1::2], *far)
+    q = live.saver_perf_windows(stream, late="10 minutes").writeStream.format("memory").queryName("shelves").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.table("shelves").where("session IS NULL OR session < 9999")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) != []
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < 400
+
+
 def test_jobs_that_are_aborted_or_fall_silent(spark, tmp_path, state_store):
     e = lambda job, kind, t, trial=None, status=None: (job, kind, trial, status, after(t), t)
     first = [e(1, "trial", 0, 10, "processing"), e(1, "trial", 2, 11, "complete"), e(1, "beat", 3), e(2, "trial", 4, 20, "input_copied"), e(2, "trial", 5, 21, "failed"), e(3, "trial", 6, 30, "processing"), e(3, "beat", 6)]
