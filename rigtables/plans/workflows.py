@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigtables.durable import kept
+from rigtables.durable import kept, packed
 from rigtables.functions import geometry as g
 from rigtables.operators import calibration as cal
 from rigtables.operators import pixels, pose, quality, stage, sync
@@ -123,12 +123,15 @@ def postprocess_recordings(
 def fit_arena_registration(scan: DataFrame, detections: DataFrame, tags: DataFrame, threshold: float = 0.5, trials: int = 1000) -> DataFrame:
     """One row for each calibration_id: weights both ways and the fit's figures; no points give no row.
 
-    scan, detections and tags are those of calibration_points(), with calibration_id in scan.
+    scan, detections and tags are those of calibration_points(), with calibration_id in scan. The points, and those that stay after
+    outliers are left out, are written once, in the columns that are used; all that follows reads them, and shuffles few of them.
     """
-    points = cal.calibration_points(scan, quality.filter_detections(detections.withColumn("detected_id", F.coalesce("detected_id", "apriltag_id"))), tags).where("physical_x_mm IS NOT NULL")
-    kept = cal.mad_outlier_filter(points, ["calibration_id", "apriltag_id", "corner_id"]).where("kept")
-    named = kept.withColumnsRenamed({"stage_x_mm": "stage_x", "stage_y_mm": "stage_y", "pixel_x_px": "pixel_x", "pixel_y_px": "pixel_y", "physical_x_mm": "physical_x", "physical_y_mm": "physical_y"})
-    keyed = named.withColumn("point", F.xxhash64("apriltag_id", "image_id", "corner_id"))
+    seen = quality.filter_detections(detections.withColumn("detected_id", F.coalesce("detected_id", "apriltag_id")))
+    names = {"stage_x_mm": "stage_x", "stage_y_mm": "stage_y", "pixel_x_px": "pixel_x", "pixel_y_px": "pixel_y", "physical_x_mm": "physical_x", "physical_y_mm": "physical_y"}
+    keys = ["calibration_id", "apriltag_id", "corner_id"]
+    points = packed(cal.calibration_points(scan, seen, tags).where("physical_x_mm IS NOT NULL").select(*keys, "image_id", *names), "points")
+    near = cal.mad_outlier_filter(points, keys).where("kept")
+    keyed = packed(near.select("calibration_id", F.xxhash64("apriltag_id", "image_id", "corner_id").alias("point"), *(F.col(c).alias(n) for c, n in names.items())), "near_points")
     fit, judged = cal.ransac_linear_fit(keyed, "point", threshold, trials)
     return fit.join(cal.fit_metrics(judged), "calibration_id").withColumn("inverse_weights", g.invert_pixel_block(F.col("weights")))
 

@@ -320,6 +320,22 @@ def test_ordered_steps_move_frames_once(spark, monkeypatch):
     assert [r.slot for r in slots_.where("recording_id = 1").orderBy("frame_id").collect()] == [k for k in range(300) if k not in (70, 200)]
 
 
+def test_a_registration_moves_its_points_once(spark):
+    """What is returned reads the points that were written, and shuffles none of them with its pixel; the planted map is found."""
+    key, rng = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", np.random.default_rng(3)
+    before = spark.conf.get(key, None)
+    place = {(t, i): rng.uniform(0, 50, 2) for t in range(6) for i in range(10)}
+    at = {(t, c): (10.0 * t + c, 20.0 * (t % 3) + c * c) for t in range(6) for c in range(4)}
+    scan = spark.createDataFrame([(1, t, i, float(x), float(y)) for (t, i), (x, y) in place.items()], "calibration_id long, apriltag_id long, image_id long, stage_x_mm double, stage_y_mm double")
+    tags = spark.createDataFrame([(t, c, *p) for (t, c), p in at.items()], "apriltag_id long, corner_id int, physical_x_mm double, physical_y_mm double")
+    pixel = [(t, i, c, t, 0, float(999 - 2 * (at[t, c][0] - x)), float(4 * (at[t, c][1] - y)), 1000, 50.0) for (t, i), (x, y) in place.items() for c in range(4)]
+    detections = spark.createDataFrame(pixel, "apriltag_id long, image_id long, corner_id int, detected_id long, detection_no int, x_px double, y_px double, image_width int, decision_margin double")
+    fit = workflows.fit_arena_registration(scan, detections, tags, trials=50)
+    assert moves(fit, "pixel_") == 0 and spark.conf.get(key, None) == before
+    (r,) = fit.collect()
+    assert np.allclose(r.weights, [1, 0, 0.5, 0, 0, 0, 1, 0, 0.25, 0], atol=1e-6) and r.n_inliers == r.n_total > 100
+
+
 @pytest.mark.parametrize("size", [1, 7, 1000])
 @pytest.mark.parametrize("most", [0, 200_000])
 def test_drops_whatever_a_chunk_holds_and_however_chunks_are_met(spark, monkeypatch, size, most):
